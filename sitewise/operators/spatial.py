@@ -141,11 +141,13 @@ def exists_within(zones: DataFrame, points: DataFrame, r_km: float, out: str = "
 
 
 def _extent(zones: DataFrame, locs: DataFrame, zlat: str, zlon: str) -> tuple[float, int, float]:
-    """Diameter (km) of the box around zones and points, location count, point-box area (km²)."""
-    z = zones.agg(F.min(zlat).alias("a"), F.max(zlat).alias("b"), F.min(zlon).alias("c"), F.max(zlon).alias("d"))
-    p = locs.agg(F.min("plat").alias("a"), F.max("plat").alias("b"), F.min("plon").alias("c"),
-                 F.max("plon").alias("d"), F.count(F.lit(1)).alias("n"))
-    zr, pr = z.first(), p.first()
+    """Diameter (km) of the box around zones and points, location count and
+    point-box area (km²), from one small job (two one-row aggregates)."""
+    def box(df: DataFrame, la: str, lo: str, side: int) -> DataFrame:
+        return df.agg(F.lit(side).alias("side"), F.min(la).alias("a"), F.max(la).alias("b"),
+                      F.min(lo).alias("c"), F.max(lo).alias("d"), F.count(F.lit(1)).alias("n"))
+    rows = {r["side"]: r for r in box(zones, zlat, zlon, 0).unionByName(box(locs, "plat", "plon", 1)).collect()}
+    zr, pr = rows[0], rows[1]
     n = int(pr["n"])
     if n == 0 or zr["a"] is None:
         return 0.0, n, 0.0
@@ -159,44 +161,50 @@ def _extent(zones: DataFrame, locs: DataFrame, zlat: str, zlon: str) -> tuple[fl
 def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str = "lon",
             dist_col: str = "nearest_km", id_col: str | None = "nearest_point_id",
             self_exclude: bool = False, r0_km: float | None = None,
-            skew_rows: int | None = DEFAULT_SKEW_ROWS) -> DataFrame:
+            skew_rows: int | None = DEFAULT_SKEW_ROWS,
+            extra_aggs: list[Column] | None = None, min_r0_km: float = 0.0) -> DataFrame:
     """Exact nearest point per zone by radius doubling.
 
     Round k joins the still-unresolved zones to points within the 3×3 block
     of cells of size r_k and accepts a zone when its best distance is < r_k.
-    The start radius follows the point density (about one location per
-    cell); rounds stop when every zone is resolved, at the latest once r_k
-    covers the whole extent, so the answer equals the brute-force minimum.
-    Ties on distance go to the smallest point id.
+    The start radius follows the point density (about four locations per
+    cell); rounds stop when every zone is resolved, at the latest once a
+    cell spans the whole extent, so the answer equals the brute-force
+    minimum.  Ties on distance go to the smallest point id.
+
+    ``extra_aggs`` are radius aggregates (over ``dist_km``, ``weight``, …)
+    computed in the first round for every zone, which is exact for radii up
+    to ``min_r0_km`` (the first round's radius is at least that); this fuses
+    e.g. the 500 m count into the same join.
 
     ``zones`` must have a unique key among its columns (rows are grouped by
     all of them).  ``self_exclude``: the zones are the points themselves; a
     row's own location is skipped unless another point shares it (then the
     distance is 0).  Zones get NULL when there are no points at all.
     """
-    zcols = zones.columns
+    extra_aggs = extra_aggs or []
     locs = point_locations(points).persist()
     diam, n_locs, area = _extent(zones, locs, zlat, zlon)
-    if n_locs == 0:
-        locs.unpersist()
-        out = zones.withColumn(dist_col, F.lit(None).cast("double"))
-        return out.withColumn(id_col, F.lit(None).cast("long")) if id_col else out
-    r = r0_km or max(math.sqrt(max(area, 1e-6) / n_locs), 1e-3)
+    # no points (diam 0): the single final round leaves every zone NULL
+    r = max(r0_km or 2.0 * math.sqrt(max(area, 1e-6) / max(n_locs, 1)), min_r0_km, 1e-3)
     candidate = F.col("pid").isNotNull()
     if self_exclude:
         candidate = candidate & ((F.col("plat") != F.col(zlat)) | (F.col("plon") != F.col(zlon)) | (F.col("weight") >= 2))
     best = F.min(F.when(candidate, F.struct(F.col("dist_km").alias("d"), F.col("pid").alias("p")))).alias("best")
     pending = zones
     done: list[DataFrame] = []
+    first = True
     while True:
+        aggs = [best, *extra_aggs] if first else [best]
         if r * 2.0 >= diam * _PAD or diam == 0.0:
             # last round: a cell as large as the whole extent sees every point
-            done.append(radius_aggregate(pending, locs, max(r, diam) * 2.0 + 1e-6, [best], zlat, zlon,
+            done.append(radius_aggregate(pending, locs, max(r, diam) * 2.0 + 1e-6, aggs, zlat, zlon,
                                          inclusive=True, skew_rows=skew_rows))
             break
-        res = radius_aggregate(pending, locs, r, [best], zlat, zlon, inclusive=True, skew_rows=skew_rows).persist()
+        res = radius_aggregate(pending, locs, r, aggs, zlat, zlon, inclusive=True, skew_rows=skew_rows).persist()
         done.append(res.where(F.col("best.d") < F.lit(r)))
-        pending = res.where(F.col("best").isNull() | (F.col("best.d") >= F.lit(r))).select(*zcols)
+        pending = res.where(F.col("best").isNull() | (F.col("best.d") >= F.lit(r))).drop("best")
+        first = False
         if pending.isEmpty():
             break
         r *= 2.0
