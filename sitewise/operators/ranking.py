@@ -105,23 +105,28 @@ def average_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return pos.withColumn("avg_rank", F.col("before") + (F.col("cnt") + 1) / 2.0)
 
 
-def row_numbers(df: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
-    """P13 / trap 12: consecutive 1-based row numbers in a total order,
-    without pulling every row into one partition.
+def row_numbers(df: DataFrame, order: list[str], out: str = "seq", groups: list[str] | None = None) -> DataFrame:
+    """P13 / trap 12: consecutive 1-based row numbers in a total order (per
+    group when ``groups`` is given), without pulling a group into one task.
 
-    ``order`` must be a unique key.  Rows are range-partitioned on it; the
-    per-partition row counts (one per partition) give the offsets.
+    ``order`` must be unique within a group.  Rows are range-partitioned on
+    (groups, order); the row counts per (partition, group) — at most
+    partitions × groups rows — give the offsets of earlier partitions.
     """
+    groups = groups or []
     spark = df.sparkSession
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(nparts, *order).withColumn("_pid", F.spark_partition_id()).persist()
-    counts = sorted(r.groupBy("_pid").count().collect(), key=lambda x: x["_pid"])
-    off, run = [], 0
+    r = df.repartitionByRange(nparts, *groups, *order).withColumn("_pid", F.spark_partition_id()).persist()
+    counts = sorted(r.groupBy("_pid", *groups).count().collect(), key=lambda x: x["_pid"])
+    off, run = [], {}
     for c in counts:
-        off.append((c["_pid"], run))
-        run += c["count"]
-    offs = spark.createDataFrame(off, "_pid int, _off long")
-    w = Window.partitionBy("_pid").orderBy(*order)
-    return (r.join(F.broadcast(offs), "_pid", "left")
+        g = tuple(c[k] for k in groups)
+        off.append((*g, c["_pid"], run.get(g, 0)))
+        run[g] = run.get(g, 0) + c["count"]
+    gtypes = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups]
+    gtypes = [next(t for t in gtypes if t.startswith(f"`{g}`")) for g in groups]
+    offs = spark.createDataFrame(off, ", ".join(gtypes + ["_pid int", "_off long"]))
+    w = Window.partitionBy("_pid", *groups).orderBy(*order)
+    return (r.join(F.broadcast(offs), ["_pid", *groups], "left")
             .withColumn(out, F.row_number().over(w) + F.col("_off"))
             .drop("_pid", "_off"))
