@@ -32,5 +32,6 @@ def top_n_per_group(df: DataFrame, n: int, group: str, score: str = "suitability
 
 
 def batch_ids(df: DataFrame, id_col: str = "candidate_id", seq: str = "seq") -> DataFrame:
-    """Id defaults to ``candidate_id``, else the row position."""
-    return df.withColumn("zone_id", F.coalesce(F.col(id_col).cast("string"), F.col(seq).cast("string")))
+    """Id defaults to ``candidate_id``, else the row position (``seq``, when given)."""
+    fallback = F.col(seq).cast("string") if seq in df.columns else F.lit(None).cast("string")
+    return df.withColumn("zone_id", F.coalesce(F.col(id_col).cast("string"), fallback))
