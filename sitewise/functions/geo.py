@@ -104,3 +104,27 @@ def from_utm(x: Column | str, y: Column | str, zone: int = 18, south: bool = Tru
         phi = phi + F.lit(d) * F.sin(F.lit(2.0 * j) * chi)
     lam = F.lit(lam0) + F.atan2(F.sinh(eta_p), F.cos(xi_p))
     return F.degrees(phi), F.degrees(lam)
+
+
+def to_utm_sql(lat: str, lon: str, zone: int = 18, south: bool = True) -> tuple[str, str]:
+    """SQL text of :func:`to_utm` (same constants and operation order)."""
+    a, f = WGS84_A, WGS84_F
+    n = f / (2 - f)
+    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    e = math.sqrt(f * (2 - f))
+    lam0 = math.radians(utm_zone_central_meridian(zone))
+    lit = lambda v: f"CAST({v!r} AS DOUBLE)"
+    phi = f"radians({lat})"
+    lam = f"(radians({lon}) - {lit(lam0)})"
+    t = f"sinh(atanh(sin({phi})) - {lit(e)} * atanh({lit(e)} * sin({phi})))"
+    xi = f"atan2({t}, cos({lam}))"
+    eta = f"atanh(sin({lam}) / sqrt({lit(1.0)} + {t} * {t}))"
+    east, north = eta, xi
+    for j, al in enumerate(alpha, start=1):
+        k = lit(2.0 * j)
+        east = f"({east} + {lit(al)} * cos({k} * {xi}) * sinh({k} * {eta}))"
+        north = f"({north} + {lit(al)} * sin({k} * {xi}) * cosh({k} * {eta}))"
+    x = f"({lit(UTM_FALSE_EASTING)} + {lit(UTM_K0 * big_a)} * {east})"
+    y = f"({lit(UTM_K0 * big_a)} * {north} + {lit(UTM_FALSE_NORTHING_SOUTH if south else 0.0)})"
+    return x, y
