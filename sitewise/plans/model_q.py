@@ -136,3 +136,23 @@ def explain_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             "is_recommended": F.col("prob") >= thr})
     out = xp.explain(s, f["trees"], MODEL_FEATURES.names, ["zone_id", "suitability_score", "is_recommended"])
     return out.select("zone_id", "suitability_score", "is_recommended", "top_features")
+
+
+@query("stream_score", "§2.12 M5 M6")
+def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring of ``batch_score`` as an ``availableNow`` file stream.
+
+    The held-out zone rows (derived from the given tables) are written as
+    files into the shared checkpoint folder and consumed as a stream.
+    """
+    import uuid
+
+    from ..streaming.score_stream import read_sink, score_stream
+
+    f = fitted(spark, sf_dir)
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    src = f["data"].where(F.col("split") == "test").drop("split", "label")
+    src.write.mode("overwrite").parquet(f"{base}/in")
+    score_stream(spark, f"{base}/in", src.schema, f["model"], mdl.serving_threshold(f["meta"]),
+                 f"{base}/out", f"{base}/chk")
+    return read_sink(spark, f"{base}/out")
