@@ -84,10 +84,12 @@ def boundary_edges(spark: SparkSession, path: str) -> DataFrame:
 
     Output (name, ring, seq, x1, y1, x2, y2) in degrees (x = lon, y = lat).
     """
-    raw = spark.read.option("multiLine", True).json(path)
-    place = raw.select(F.explode(F.col("value")).alias("p")) if "value" in raw.columns else raw.select(F.struct("*").alias("p"))
-    poly = place.where(F.col("p.geojson.type") == "Polygon").select(
-        F.col("p.name").alias("name"), F.posexplode(F.col("p.geojson.coordinates")).alias("ring", "coords"))
+    # coordinates differ by geometry type (Point vs Polygon): read them as raw
+    # JSON text and parse only the polygons with their own schema
+    schema = "name string, geojson struct<type string, coordinates string>"
+    raw = spark.read.option("multiLine", True).schema(schema).json(path)
+    poly = raw.where(F.col("geojson.type") == "Polygon").select(
+        "name", F.posexplode(F.from_json("geojson.coordinates", "array<array<array<double>>>")).alias("ring", "coords"))
     pts = poly.select("name", "ring", F.posexplode("coords").alias("seq", "xy")).select(
         "name", "ring", "seq", F.col("xy")[0].cast("double").alias("x1"), F.col("xy")[1].cast("double").alias("y1"))
     w = Window.partitionBy("name", "ring").orderBy("seq")
