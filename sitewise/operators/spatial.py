@@ -140,9 +140,10 @@ def exists_within(zones: DataFrame, points: DataFrame, r_km: float, out: str = "
                             zlat, zlon, inclusive, skew_rows)
 
 
-def _extent(zones: DataFrame, locs: DataFrame, zlat: str, zlon: str) -> tuple[float, int, float]:
-    """Diameter (km) of the box around zones and points, location count and
-    point-box area (km²), from one small job (two one-row aggregates)."""
+def _extent(zones: DataFrame, locs: DataFrame, zlat: str, zlon: str) -> tuple[float, int, float, int]:
+    """Diameter (km) of the box around zones and points, location count,
+    point-box area (km²) and zone count, from one small job (two one-row
+    aggregates)."""
     def box(df: DataFrame, la: str, lo: str, side: int) -> DataFrame:
         return df.agg(F.lit(side).alias("side"), F.min(la).alias("a"), F.max(la).alias("b"),
                       F.min(lo).alias("c"), F.max(lo).alias("d"), F.count(F.lit(1)).alias("n"))
@@ -150,12 +151,12 @@ def _extent(zones: DataFrame, locs: DataFrame, zlat: str, zlon: str) -> tuple[fl
     zr, pr = rows[0], rows[1]
     n = int(pr["n"])
     if n == 0 or zr["a"] is None:
-        return 0.0, n, 0.0
+        return 0.0, n, 0.0, int(zr["n"])
     lat_lo, lat_hi = min(zr["a"], pr["a"]), max(zr["b"], pr["b"])
     lon_lo, lon_hi = min(zr["c"], pr["c"]), max(zr["d"], pr["d"])
     diam = math.hypot((lat_hi - lat_lo) * KM_PER_DEG_LAT, (lon_hi - lon_lo) * KM_PER_DEG_LON)
     area = (pr["b"] - pr["a"]) * KM_PER_DEG_LAT * (pr["d"] - pr["c"]) * KM_PER_DEG_LON
-    return diam, n, area
+    return diam, n, area, int(zr["n"])
 
 
 def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str = "lon",
@@ -184,7 +185,9 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
     """
     extra_aggs = extra_aggs or []
     locs = point_locations(points).persist()
-    diam, n_locs, area = _extent(zones, locs, zlat, zlon)
+    diam, n_locs, area, n_zones = _extent(zones, locs, zlat, zlon)
+    if skew_rows and n_zones <= skew_rows:
+        skew_rows = None  # no bucket can hold more zones than there are: skip the hot-bucket scans
     # no points (diam 0): the single final round leaves every zone NULL
     r = max(r0_km or 2.0 * math.sqrt(max(area, 1e-6) / max(n_locs, 1)), min_r0_km, 1e-3)
     candidate = F.col("pid").isNotNull()
