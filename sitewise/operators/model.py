@@ -32,7 +32,7 @@ from ..schema import CATEGORICAL_FEATURES, RANDOM_STATE
 
 # fixed values: base parameters (mapped) and the search ranges
 BASE_PARAMS = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 0.8,
-               "featureSubsetStrategy": "all", "seed": RANDOM_STATE}
+               "featureSubsetStrategy": "all", "seed": RANDOM_STATE, "cacheNodeIds": True}
 SEARCH_SPACE = {"stepSize": (0.01, 0.15, "log"), "maxDepth": (4, 7, "int"), "minInstancesPerNode": (10, 60, "int"),
                 "subsamplingRate": (0.6, 1.0, "lin")}
 DEFAULT_THRESHOLD = 0.5
