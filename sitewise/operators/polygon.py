@@ -21,18 +21,32 @@ from ..functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON
 CELL_KM = 0.5
 
 
-def star_polygons(points: DataFrame, group: str, pid: str = "point_id", min_vertices: int = 3) -> DataFrame:
-    """Vertices of one simple polygon per group: its points ordered by angle
-    around their mean position (star-shaped, usually concave).
+SECTORS = 64
 
-    Output ``(group, seq, x, y)`` in km.  The ordering window is per group.
+
+def star_polygons(points: DataFrame, group: str, pid: str = "point_id", sectors: int = SECTORS) -> DataFrame:
+    """One simple polygon per group from its points: the farthest point from
+    the group's mean in each of ``sectors`` angular sectors, in angle order.
+
+    Every point takes part, through a grouped ``max`` (partial aggregation
+    before the shuffle), and the ring has at most ``sectors`` vertices, so
+    later per-polygon steps (edges, rings for clipping) stay bounded however
+    many points a group has.  Output ``(group, seq, x, y)`` in km; groups
+    with fewer than 3 occupied sectors are dropped.
     """
     p = points.select(group, pid, (F.col("lon") * KM_PER_DEG_LON).alias("x"), (F.col("lat") * KM_PER_DEG_LAT).alias("y"))
-    c = p.groupBy(group).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("nv"))
-    j = p.join(c.where(F.col("nv") >= min_vertices), group)
+    c = p.groupBy(group).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    j = p.join(c, group)
     ang = F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
-    w = Window.partitionBy(group).orderBy(ang, F.col(pid))
-    return j.select(group, F.row_number().over(w).alias("seq"), "x", "y")
+    sector = F.least(F.floor((ang + F.lit(math.pi)) / F.lit(2 * math.pi) * F.lit(float(sectors))),
+                     F.lit(sectors - 1)).cast("int")
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    far = j.groupBy(group, sector.alias("sector")).agg(
+        F.max(F.struct((dx * dx + dy * dy).alias("d2"), (-F.col(pid)).alias("npid"), "x", "y")).alias("v"))
+    w = Window.partitionBy(group).orderBy("sector")  # ≤ sectors rows per group
+    out = far.select(group, "sector", F.col("v.x").alias("x"), F.col("v.y").alias("y")).withColumns(
+        {"seq": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(group))})
+    return out.where(F.col("_n") >= 3).select(group, "seq", "x", "y")
 
 
 def edges(vertices: DataFrame, group: str) -> DataFrame:

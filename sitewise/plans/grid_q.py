@@ -1,7 +1,8 @@
 """Stage 6 queries: grid cells, polygon clipping, UTM projection.
 
-The polygons are derived from the data: per district, its points ordered by
-angle around their mean position form a star-shaped (usually concave) ring.
+The polygons are derived from the data: per district, the farthest point from
+the district's mean in each of 64 angular sectors, in angle order, forms a
+star-shaped (usually concave) ring.
 """
 
 from __future__ import annotations
@@ -16,10 +17,16 @@ from .registry import query
 
 POLY_SQL = with_views(POINTS_SQL) + """,
 v AS (SELECT district_id, point_id, lon * 88 AS x, lat * 111 AS y FROM points),
-c AS (SELECT district_id, avg(x) AS cx, avg(y) AS cy, count(*) AS nv FROM v GROUP BY district_id),
-vv AS (SELECT v.district_id, row_number() OVER (PARTITION BY v.district_id
-                                                ORDER BY atan2(v.y - c.cy, v.x - c.cx), v.point_id) AS seq, v.x, v.y
-       FROM v JOIN c ON v.district_id = c.district_id WHERE c.nv >= 3),
+c AS (SELECT district_id, avg(x) AS cx, avg(y) AS cy FROM v GROUP BY district_id),
+s AS (SELECT v.district_id, v.point_id, v.x, v.y,
+             CAST(least(floor((atan2(v.y - c.cy, v.x - c.cx) + pi()) / (2 * pi()) * 64.0), 63) AS INTEGER) AS sector,
+             (v.x - c.cx) * (v.x - c.cx) + (v.y - c.cy) * (v.y - c.cy) AS d2
+      FROM v JOIN c ON v.district_id = c.district_id),
+far AS (SELECT district_id, sector, x, y
+        FROM (SELECT *, row_number() OVER (PARTITION BY district_id, sector ORDER BY d2 DESC, point_id) AS rn FROM s) t
+        WHERE rn = 1),
+vv AS (SELECT district_id, row_number() OVER (PARTITION BY district_id ORDER BY sector) AS seq, x, y FROM far
+       WHERE district_id IN (SELECT district_id FROM far GROUP BY district_id HAVING count(*) >= 3)),
 e AS (SELECT district_id, seq, x AS x1, y AS y1,
              coalesce(lead(x) OVER (PARTITION BY district_id ORDER BY seq),
                       first_value(x) OVER (PARTITION BY district_id ORDER BY seq)) AS x2,
