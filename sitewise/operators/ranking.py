@@ -31,7 +31,12 @@ def value_counts(df: DataFrame, groups: list[str], value: str, weight: str | Non
 
 
 def positions(vc: DataFrame, groups: list[str], value: str, max_window: int = DEFAULT_MAX_WINDOW) -> DataFrame:
-    """Add ``before`` and ``n`` to value counts (see module doc)."""
+    """Add ``before`` and ``n`` to value counts (see module doc).
+
+    The counts are persisted first: the size check and the ordered pass then
+    read them once instead of recomputing the upstream plan twice.
+    """
+    vc = vc.persist()
     widest = vc.groupBy(*groups).count().agg(F.max("count")).first()[0] if groups else vc.count()
     if widest is None or widest <= max_window:
         w = Window.partitionBy(*groups).orderBy(value)

@@ -168,7 +168,7 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
 
     Round k joins the still-unresolved zones to points within the 3×3 block
     of cells of size r_k and accepts a zone when its best distance is < r_k.
-    The start radius follows the point density (about four locations per
+    The start radius follows the point density (about nine locations per
     cell); rounds stop when every zone is resolved, at the latest once a
     cell spans the whole extent, so the answer equals the brute-force
     minimum.  Ties on distance go to the smallest point id.
@@ -189,7 +189,7 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
     if skew_rows and n_zones <= skew_rows:
         skew_rows = None  # no bucket can hold more zones than there are: skip the hot-bucket scans
     # no points (diam 0): the single final round leaves every zone NULL
-    r = max(r0_km or 2.0 * math.sqrt(max(area, 1e-6) / max(n_locs, 1)), min_r0_km, 1e-3)
+    r = max(r0_km or 3.0 * math.sqrt(max(area, 1e-6) / max(n_locs, 1)), min_r0_km, 1e-3)
     candidate = F.col("pid").isNotNull()
     if self_exclude:
         candidate = candidate & ((F.col("plat") != F.col(zlat)) | (F.col("plon") != F.col(zlon)) | (F.col("weight") >= 2))

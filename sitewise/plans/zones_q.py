@@ -45,7 +45,8 @@ scored AS (
 
 
 def zone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.zone_features(zones(spark, sf_dir), points(spark, sf_dir))
+    # the address text is not a feature: keep it out of the spatial shuffles
+    return scoring.zone_features(zones(spark, sf_dir).drop("address"), points(spark, sf_dir))
 
 
 def scored_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
