@@ -91,7 +91,7 @@ def _bucketed(zones: DataFrame, locs: DataFrame, size_km: float, zlat: str, zlon
 
 def radius_aggregate(zones: DataFrame, locs: DataFrame, r_km: float, aggs: list[Column],
                      zlat: str = "lat", zlon: str = "lon", inclusive: bool = False,
-                     skew_rows: int | None = DEFAULT_SKEW_ROWS, join_on: list[str] | None = None) -> DataFrame:
+                     skew_rows: int | None = DEFAULT_SKEW_ROWS) -> DataFrame:
     """Left join zones to pre-aggregated locations within ``r_km``; aggregate per zone.
 
     Zones without any location in range keep their row (aggregates see nulls).
@@ -104,8 +104,6 @@ def radius_aggregate(zones: DataFrame, locs: DataFrame, r_km: float, aggs: list[
     dist = flat_km(z(zlat), z(zlon), p("plat"), p("plon"))
     within = dist <= F.lit(r_km) if inclusive else dist < F.lit(r_km)
     cond = (z("bx") == p("bx")) & (z("by") == p("by")) & (z("salt") == p("salt")) & within
-    for k in join_on or []:
-        cond = cond & (z(k) == p(k))
     pcols = [c for c in pb.columns if c not in ("bx", "by", "salt") and c not in zcols]
     joined = zb.join(pb, cond, "left").select(
         z("bx").alias("bx"), z("by").alias("by"), z("salt").alias("salt"), *[z(c).alias(c) for c in zcols],
@@ -240,7 +238,7 @@ def pairs_within(left: DataFrame, points: DataFrame, r_km: float, zlat: str = "l
                                                dist.alias("dist_km"))
 
 
-def count_by_kind(zones: DataFrame, points: DataFrame, r_km: float, kinds: list[str], key: str,
+def count_by_kind(zones: DataFrame, points: DataFrame, r_km: float, kinds: list[str],
                   kind_col: str = "kind", prefix: str = "poi_", suffix: str = "_500m",
                   skew_rows: int | None = DEFAULT_SKEW_ROWS) -> DataFrame:
     """Per-zone counts of points by kind within ``r_km``; zeros kept.
@@ -253,5 +251,4 @@ def count_by_kind(zones: DataFrame, points: DataFrame, r_km: float, kinds: list[
         F.coalesce(F.sum(F.when(F.col(kind_col) == F.lit(k), F.col("weight"))), F.lit(0)).alias(f"{prefix}{k}{suffix}")
         for k in kinds
     ]
-    _ = key
     return radius_aggregate(zones, locs, r_km, aggs, skew_rows=skew_rows)

@@ -184,7 +184,7 @@ FROM zones z LEFT JOIN pairs q ON z.candidate_id = q.candidate_id GROUP BY z.can
 )
 def poi_density_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = zones(spark, sf_dir).select("candidate_id", "lat", "lon")
-    out = spatial.count_by_kind(z, points(spark, sf_dir), 0.5, ["commercial", "educational", "parks"], "candidate_id")
+    out = spatial.count_by_kind(z, points(spark, sf_dir), 0.5, ["commercial", "educational", "parks"])
     return out.select("candidate_id", "poi_commercial_500m", "poi_educational_500m", "poi_parks_500m")
 
 

@@ -63,3 +63,39 @@ def test_no_points_gives_null(spark):
     p = spark.createDataFrame([], "point_id long, lat double, lon double")
     r = spatial.nearest(z, p).collect()[0]
     assert r.nearest_km is None
+
+
+def test_radius_counts_property(spark):
+    """Random radii, strict and inclusive: bucketed == brute force."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    rng = np.random.default_rng(11)
+    z = _pts(rng, 60)
+    p = _pts(rng, 30, dup=4)
+    zdf = spark.createDataFrame(z, "candidate_id long, lat double, lon double").persist()
+    pdf = spark.createDataFrame(p, "point_id long, lat double, lon double").persist()
+
+    @settings(max_examples=6, deadline=None)
+    @given(r=st.floats(min_value=0.05, max_value=3.0), inclusive=st.booleans())
+    def check(r, inclusive):
+        got = {x.candidate_id: x.n for x in
+               spatial.count_within(zdf, pdf, r, out="n", inclusive=inclusive).collect()}
+        for zr in z:
+            ds = [_d(zr, pr) for pr in p]
+            want = sum(1 for d in ds if (d <= r if inclusive else d < r))
+            assert got[zr[0]] == want
+
+    check()
+
+
+def test_poi_pivot_by_kind(spark):
+    rng = np.random.default_rng(5)
+    z = _pts(rng, 40)
+    p = [(i, a, b, ["x", "y"][i % 2]) for i, a, b in _pts(rng, 30)]
+    zdf = spark.createDataFrame(z, "candidate_id long, lat double, lon double")
+    pdf = spark.createDataFrame(p, "point_id long, lat double, lon double, kind string")
+    got = {r.candidate_id: (r.poi_x_500m, r.poi_y_500m) for r in spatial.count_by_kind(zdf, pdf, 0.5, ["x", "y"]).collect()}
+    for zr in z:
+        want = tuple(sum(1 for pr in p if pr[3] == k and _d(zr, pr) < 0.5) for k in ("x", "y"))
+        assert got[zr[0]] == want
