@@ -115,7 +115,7 @@ SELECT candidate_id, CAST(coalesce(suitability_score >= cutoff, false) AS INTEGE
        round(cutoff, 6) AS score_cutoff FROM s, c""",
 )
 def quantile_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored_zones(spark, sf_dir).select("candidate_id", "suitability_score")
+    s = scored_zones(spark, sf_dir, stored=True).select("candidate_id", "suitability_score")
     lab, cutoff = ds.quantile_label(s, "suitability_score", SCORE_RATE)
     return lab.select("candidate_id", "is_optimal", F.round(F.lit(cutoff).cast("double"), 6).alias("score_cutoff"))
 
@@ -128,7 +128,7 @@ def quantile_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT candidate_id, CAST(coalesce(u < (prob_optimal - 0.7) / 0.3, false) AS INTEGER) AS is_optimal FROM scored""",
 )
 def bernoulli_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored_zones(spark, sf_dir).withColumn("_p", (F.col("prob_optimal") - 0.7) / 0.3)
+    s = scored_zones(spark, sf_dir, stored=True).withColumn("_p", (F.col("prob_optimal") - 0.7) / 0.3)
     return s.select("candidate_id", ds.bernoulli_label("_p", "u").alias("is_optimal"))
 
 
@@ -147,7 +147,7 @@ SELECT printf('ECO-SIM-V03-%04d', row_number() OVER (ORDER BY zone_key)) AS cand
 FROM s, c""",
 )
 def labelled_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored_zones(spark, sf_dir).select(F.col("candidate_id").alias("zone_key"), "district_id", "suitability_score")
+    s = scored_zones(spark, sf_dir, stored=True).select(F.col("candidate_id").alias("zone_key"), "district_id", "suitability_score")
     d, _ = ds.simulated_dataset(s, SCORE_RATE, "zone_key")
     return d.select("candidate_id", "zone_id", "zone_key", "district_id", "suitability_score", "is_optimal",
                     "is_suitable", "dataset_version", "label_status")
@@ -169,7 +169,7 @@ SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT district_id) AS BIG
 FROM l""",
 )
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored_zones(spark, sf_dir).select("candidate_id", "district_id", "suitability_score")
+    s = scored_zones(spark, sf_dir, stored=True).select("candidate_id", "district_id", "suitability_score")
     lab, cutoff = ds.quantile_label(s, "suitability_score", SCORE_RATE)
     return lab.agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("district_id").alias("districts"),

@@ -29,7 +29,7 @@ eda AS (SELECT candidate_id, district_id, population_density, nse_ab_pct, walkab
 
 
 def eda_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored_zones(spark, sf_dir)
+    s = scored_zones(spark, sf_dir, stored=True)
     return s.select("candidate_id", "district_id", *EDA_FEATURES, "prob_optimal",
                     (F.col("u") < (F.col("prob_optimal") - 0.7) / 0.3).cast("int").alias(TARGET))
 

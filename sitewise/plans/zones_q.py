@@ -49,8 +49,19 @@ def zone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.zone_features(zones(spark, sf_dir).drop("address"), points(spark, sf_dir))
 
 
-def scored_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_zones(scoring.derive(zone_table(spark, sf_dir)))
+def zone_table_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone feature table written once and reused by downstream stages
+    (profiling, datasets, evaluation, model): they read Parquet instead of
+    re-running the spatial joins."""
+    from ..sources.materialize import materialized
+
+    return materialized(spark, "zone_features", [f"{sf_dir}/customer.parquet", f"{sf_dir}/supplier.parquet"],
+                        lambda: zone_table(spark, sf_dir))
+
+
+def scored_zones(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    z = zone_table_stored(spark, sf_dir) if stored else zone_table(spark, sf_dir)
+    return scoring.score_zones(scoring.derive(z))
 
 
 @query(
