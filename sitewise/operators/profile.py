@@ -9,8 +9,6 @@ explicit guards instead of ``corr`` (traps 5, 25).
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +71,7 @@ def crosstab(df: DataFrame, group: str, target: str, classes: tuple = (0, 1)) ->
     return df.groupBy(group).agg(*aggs)
 
 
-def target_correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
+def target_correlations(df: DataFrame, features: list[str], target: str, spearman: bool = True) -> DataFrame:
     """A10 + A11 + A15: per feature, over pairwise-complete rows.
 
     pearson / spearman are NULL when fewer than 3 valid pairs, fewer than 2
@@ -96,6 +94,11 @@ def target_correlations(df: DataFrame, features: list[str], target: str) -> Data
     )
     ok = (F.col("n_valid") >= 3) & (F.col("_ux") >= 2) & (F.col("_tmin") != F.col("_tmax"))
     stats = stats.withColumn("pearson_vs_target", F.when(ok, pearson("_c", "_vx", "_vt")))
+    if not spearman:
+        return stats.select(
+            "feature", "pearson_vs_target", F.lit(None).cast("double").alias("spearman_vs_target"),
+            F.abs("pearson_vs_target").alias("abs_pearson"), "n_valid", "missing", "unique_values",
+            "mean_when_target_0", "mean_when_target_1")
     # Spearman: Pearson over average ranks within the valid pairs
     vp = lf.where(valid).select("feature", "value", "t")
     xr = ranking.average_ranks(vp, ["feature"], "value").select("feature", "value", F.col("avg_rank").alias("rx"))
@@ -120,25 +123,25 @@ def pearson(cov: str, vx: str, vy: str) -> Column:
 def corr_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     """Every feature pair i<j, Pearson over the rows where both are present.
 
-    One aggregate with k(k-1)/2 sets of moments (no self-join, no unpivot of
-    n·k² rows); NULL for a constant column within the pair.
+    Each row is expanded on the fly into its k(k-1)/2 (i, j) value pairs and
+    aggregated by pair with map-side partial aggregation, so at most
+    k(k-1)/2 rows per task reach the shuffle (no n·k² self-join, and no
+    single aggregate with hundreds of expressions to plan and compile).
+    NULL for a constant column within the pair.
     """
-    aggs = []
-    pairs = list(combinations(range(len(features)), 2))
-    for i, j in pairs:
-        a, b = features[i], features[j]
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        xa = F.when(both, F.col(a).cast("double"))
-        xb = F.when(both, F.col(b).cast("double"))
-        aggs += [F.count(xa).alias(f"n_{i}_{j}"), F.covar_pop(xa, xb).alias(f"c_{i}_{j}"),
-                 F.var_pop(xa).alias(f"va_{i}_{j}"), F.var_pop(xb).alias(f"vb_{i}_{j}")]
-    row = df.agg(*aggs)
-    structs = [
-        F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"),
-                 F.col(f"n_{i}_{j}").alias("n"), pearson(f"c_{i}_{j}", f"va_{i}_{j}", f"vb_{i}_{j}").alias("r"))
-        for i, j in pairs
-    ]
-    return row.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
+    k = len(features)
+    names = F.array(*[F.lit(f) for f in features])
+    vals = F.array(*[F.col(f).cast("double") for f in features])
+    p = df.select(vals.alias("v")).select("v", F.explode(F.sequence(F.lit(0), F.lit(k - 2))).alias("i"))
+    p = p.select("v", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(k - 1))).alias("j"))
+    x, y = F.element_at("v", F.col("i") + 1), F.element_at("v", F.col("j") + 1)
+    both = x.isNotNull() & y.isNotNull()
+    xm, ym = F.when(both, x), F.when(both, y)
+    agg = p.groupBy("i", "j").agg(F.count(xm).alias("n"), F.covar_pop(xm, ym).alias("_c"),
+                                  F.var_pop(xm).alias("_va"), F.var_pop(ym).alias("_vb"))
+    return agg.select(F.element_at(names, F.col("i") + 1).alias("feature_a"),
+                      F.element_at(names, F.col("j") + 1).alias("feature_b"), "n",
+                      pearson("_c", "_va", "_vb").alias("r"))
 
 
 def redundant_pairs(pairs: DataFrame, threshold: float = REDUNDANT_ABS_R) -> DataFrame:

@@ -148,7 +148,7 @@ SELECT feature,
 FROM agg ORDER BY abs_pearson DESC NULLS LAST""",
 )
 def target_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = profile.target_correlations(eda_table(spark, sf_dir), EDA_FEATURES, TARGET)
+    c = profile.target_correlations(eda_table(spark, sf_dir), EDA_FEATURES, TARGET, spearman=False)
     return c.select("feature", *_r6(["pearson_vs_target", "abs_pearson"]), "n_valid",
                     *_r6(["mean_when_target_0", "mean_when_target_1"])).orderBy(F.desc_nulls_last("abs_pearson"))
 
@@ -209,7 +209,7 @@ SELECT feature, round(r, 6) AS r, CASE WHEN r > 0 THEN 'positive' ELSE 'negative
 FROM r WHERE abs(r) < 0.05""",
 )
 def weak_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = profile.target_correlations(eda_table(spark, sf_dir), EDA_FEATURES, TARGET)
+    c = profile.target_correlations(eda_table(spark, sf_dir), EDA_FEATURES, TARGET, spearman=False)
     return c.where(F.col("abs_pearson") < profile.WEAK_ABS_R).select(
         "feature", F.round("pearson_vs_target", 6).alias("r"), fx.direction("pearson_vs_target").alias("direction"))
 
@@ -307,7 +307,7 @@ UNION ALL SELECT 'balance', NULL, round(avg(is_optimal), 6),
 def eda_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Automatic conclusions as a findings table (kind, feature, value, verdict)."""
     e = eda_table(spark, sf_dir)
-    corr = profile.target_correlations(e, EDA_FEATURES, TARGET).select(
+    corr = profile.target_correlations(e, EDA_FEATURES, TARGET, spearman=False).select(
         "feature", F.col("pearson_vs_target").alias("r")).persist()
     pairs = profile.corr_pairs(e, EDA_FEATURES)
     top = corr.where(F.col("r").isNotNull()).orderBy(F.abs("r").desc(), "feature").limit(5).select(
