@@ -69,9 +69,14 @@ def _positions_by_range(vc: DataFrame, groups: list[str], value: str) -> DataFra
                                    ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in vc.schema.fields
                                               if f.name in groups] + ["n long"]))
     w = Window.partitionBy("_pid", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = r.join(F.broadcast(off), ["_pid", *groups], "left").withColumn(
+    # offsets and totals are driver-built local tables: Spark knows their exact
+    # size and broadcasts them only under the size threshold
+    out = r.join(off, ["_pid", *groups], "left").withColumn(
         "before", F.coalesce(F.sum("cnt").over(w), F.lit(0)) + F.col("_off"))
-    out = out.join(F.broadcast(totals), groups, "left") if groups else out.crossJoin(F.broadcast(totals))
+    if groups:
+        out = out.join(totals, groups, "left")
+    else:
+        out = out.withColumn("n", F.lit(running.get((), 0)).cast("long"))
     return out.drop("_pid", "_off")
 
 
@@ -132,6 +137,6 @@ def row_numbers(df: DataFrame, order: list[str], out: str = "seq", groups: list[
     gtypes = [next(t for t in gtypes if t.startswith(f"`{g}`")) for g in groups]
     offs = spark.createDataFrame(off, ", ".join(gtypes + ["_pid int", "_off long"]))
     w = Window.partitionBy("_pid", *groups).orderBy(*order)
-    return (r.join(F.broadcast(offs), ["_pid", *groups], "left")
+    return (r.join(offs, ["_pid", *groups], "left")
             .withColumn(out, F.row_number().over(w) + F.col("_off"))
             .drop("_pid", "_off"))

@@ -105,3 +105,11 @@ def test_confusion_cells_sum_to_n(spark):
     df = spark.createDataFrame([(i / 10.0, i % 2) for i in range(10)], "prob double, label int")
     c = ev.confusion(df, 0.5).first()
     assert c.tn + c.fp + c.fn + c.tp == c.n_test == 10
+
+
+def test_range_positions_without_groups(spark):
+    df = spark.createDataFrame([(float(i % 53),) for i in range(400)], "v double")
+    vc = ranking.value_counts(df, [], "v")
+    a = {r.v: (r.before, r.n) for r in ranking.positions(vc, [], "v").collect()}
+    b = {r.v: (r.before, r.n) for r in ranking.positions(vc, [], "v", max_window=0).collect()}
+    assert a == b and all(n == 400 for _, n in a.values())
