@@ -115,12 +115,39 @@ def shoelace(vertices: DataFrame, group: str) -> DataFrame:
              (F.col("_sy") / (6 * F.col("_a"))).alias("cy"))
 
 
+def edge_cells(edge_tbl: DataFrame, bbox: DataFrame, group: str, size: float = CELL_KM) -> DataFrame:
+    """Cells whose square touches a polygon edge (exact supercover, per edge).
+
+    For every grid column an edge spans, the y-range of the segment inside
+    that column gives the rows it touches; both ranges become ``sequence``
+    explodes, so the work is proportional to the boundary length.
+    """
+    e = edge_tbl.join(bbox.select(group, "xmin", "ymin"), group)
+    lo_x, hi_x = F.least("x1", "x2"), F.greatest("x1", "x2")
+    ix0 = F.floor((lo_x - F.col("xmin")) / size).cast("int")
+    ix1 = F.floor((hi_x - F.col("xmin")) / size).cast("int")
+    e = e.withColumn("ix", F.explode(F.sequence(ix0, ix1)))
+    cx0 = F.greatest(lo_x, F.col("xmin") + F.col("ix") * size)
+    cx1 = F.least(hi_x, F.col("xmin") + (F.col("ix") + 1) * size)
+    dx = F.col("x2") - F.col("x1")
+    y_at = lambda x: F.when(dx == 0, None).otherwise(
+        F.col("y1") + F.try_divide((x - F.col("x1")) * (F.col("y2") - F.col("y1")), dx))
+    ya = F.when(dx == 0, F.least("y1", "y2")).otherwise(F.least(y_at(cx0), y_at(cx1)))
+    yb = F.when(dx == 0, F.greatest("y1", "y2")).otherwise(F.greatest(y_at(cx0), y_at(cx1)))
+    iy0 = F.floor((ya - F.col("ymin")) / size).cast("int")
+    iy1 = F.floor((yb - F.col("ymin")) / size).cast("int")
+    e = e.withColumn("iy", F.explode(F.sequence(iy0, iy1)))
+    return e.select(group, "ix", "iy").distinct()
+
+
 def clip_centroids(cells: DataFrame, vertices: DataFrame, group: str, size: float = CELL_KM) -> DataFrame:
     """Exact clipped area and centroid of cells (Sutherland–Hodgman).
 
     Each polygon's ring becomes one sorted array (bounded by its vertex
     count) joined to its cells; the clipping then runs in ``mapInPandas``
     over cell rows, so a polygon with many cells spreads over many tasks.
+    Pass only the cells that touch an edge (:func:`edge_cells`): the others
+    are wholly inside or outside.
     """
     ring = vertices.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ring"))
     j = cells.select(group, "ix", "iy", "x0", "y0").join(ring, group)
@@ -132,9 +159,10 @@ def clip_centroids(cells: DataFrame, vertices: DataFrame, group: str, size: floa
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                pts = [(float(v["x"]), float(v["y"])) for v in r.ring]
-                a, cx, cy = _area_centroid(_clip_square(pts, r.x0, r.y0, size))
-                out.append((getattr(r, group), int(r.ix), int(r.iy), a, cx, cy))
+                # clip in the cell's own frame: no cancellation on large coordinates
+                pts = [(float(v["x"]) - r.x0, float(v["y"]) - r.y0) for v in r.ring]
+                a, cx, cy = _area_centroid(_clip_square(pts, 0.0, 0.0, size))
+                out.append((getattr(r, group), int(r.ix), int(r.iy), a, cx + r.x0, cy + r.y0))
             yield pd.DataFrame(out, columns=[group, "ix", "iy", "clip_area_km2", "clip_cx", "clip_cy"])
 
     return j.mapInPandas(clip, f"`{group}` {gtype}, ix int, iy int, clip_area_km2 double, clip_cx double, "

@@ -108,6 +108,8 @@ def boundary_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     polygon area."""
     v, bb = _polys(spark, sf_dir)
     cells = pg.grid_cells(bb, "district_id")
+    touched = pg.edge_cells(pg.edges(v, "district_id"), bb, "district_id")
+    cells = cells.join(touched, ["district_id", "ix", "iy"], "left_semi")
     clipped = pg.clip_centroids(cells, v, "district_id").where(F.col("clip_area_km2") > 0)
     part = clipped.where(F.col("clip_area_km2") < pg.CELL_KM * pg.CELL_KM - 1e-12)
     return part.select("district_id", "ix", "iy", F.round("clip_area_km2", 6).alias("clip_area_km2"),

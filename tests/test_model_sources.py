@@ -96,3 +96,20 @@ def test_clip_areas_sum_to_polygon_area(spark):
     assert total == pytest.approx(area, rel=1e-9)
     inside = pg.inside_polygon(cells, pg.edges(v, "g"), bb, "g").where("inside").count()
     assert abs(inside * 0.25 - area) <= 1.5
+
+
+def test_edge_cells_cover_all_partial_cells(spark):
+    rng = np.random.default_rng(4)
+    ang = np.sort(rng.random(9) * 2 * np.pi)
+    rad = 1.0 + rng.random(9) * 3.0
+    rows = [(1, i + 1, float(-6700.0 + r * np.cos(a)), float(-1350.0 + r * np.sin(a)))
+            for i, (a, r) in enumerate(zip(ang, rad))]
+    v = spark.createDataFrame(rows, "g int, seq int, x double, y double")
+    bb = pg.bbox_of(v, "g")
+    cells = pg.grid_cells(bb, "g")
+    part = F.col("clip_area_km2").between(1e-12, 0.25 - 1e-12)
+    every = {(r.ix, r.iy) for r in pg.clip_centroids(cells, v, "g").where(part).collect()}
+    touched = pg.edge_cells(pg.edges(v, "g"), bb, "g")
+    only = {(r.ix, r.iy) for r in pg.clip_centroids(cells.join(touched, ["g", "ix", "iy"], "left_semi"), v, "g")
+            .where(part).collect()}
+    assert every == only and len(every) > 0
