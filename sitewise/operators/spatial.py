@@ -91,14 +91,19 @@ def _bucketed(zones: DataFrame, locs: DataFrame, size_km: float, zlat: str, zlon
 
 def radius_aggregate(zones: DataFrame, locs: DataFrame, r_km: float, aggs: list[Column],
                      zlat: str = "lat", zlon: str = "lon", inclusive: bool = False,
-                     skew_rows: int | None = DEFAULT_SKEW_ROWS) -> DataFrame:
+                     skew_rows: int | None = DEFAULT_SKEW_ROWS, prune_points: bool = False) -> DataFrame:
     """Left join zones to pre-aggregated locations within ``r_km``; aggregate per zone.
 
     Zones without any location in range keep their row (aggregates see nulls).
     ``aggs`` may use ``weight``, ``pid``, ``dist_km`` and any location column.
+    ``prune_points``: first keep only point copies whose bucket holds a zone
+    (a semi-join on the zones' distinct buckets, broadcast by the planner
+    when that set is small) — for few zones against many points.
     """
     zcols = zones.columns
     zb, pb = _bucketed(zones, locs, r_km, zlat, zlon, skew_rows)
+    if prune_points:
+        pb = pb.join(zb.select("bx", "by").distinct(), ["bx", "by"], "left_semi")
     zb, pb = zb.alias("z"), pb.alias("p")
     z, p = (lambda c: F.col(f"z.`{c}`")), (lambda c: F.col(f"p.`{c}`"))
     dist = flat_km(z(zlat), z(zlon), p("plat"), p("plon"))
@@ -200,9 +205,10 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
         if r * 2.0 >= diam * _PAD or diam == 0.0:
             # last round: a cell as large as the whole extent sees every point
             done.append(radius_aggregate(pending, locs, max(r, diam) * 2.0 + 1e-6, aggs, zlat, zlon,
-                                         inclusive=True, skew_rows=skew_rows))
+                                         inclusive=True, skew_rows=skew_rows, prune_points=not first))
             break
-        res = radius_aggregate(pending, locs, r, aggs, zlat, zlon, inclusive=True, skew_rows=skew_rows).persist()
+        res = radius_aggregate(pending, locs, r, aggs, zlat, zlon, inclusive=True, skew_rows=skew_rows,
+                               prune_points=not first).persist()
         done.append(res.where(F.col("best.d") < F.lit(r)))
         pending = res.where(F.col("best").isNull() | (F.col("best.d") >= F.lit(r))).drop("best")
         first = False
