@@ -52,8 +52,9 @@ def positions(vc: DataFrame, groups: list[str], value: str, max_window: int = DE
 
 def _positions_by_range(vc: DataFrame, groups: list[str], value: str) -> DataFrame:
     spark = vc.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = vc.repartitionByRange(nparts, *groups, value).withColumn("_pid", F.spark_partition_id()).persist()
+    # no explicit count: AQE may coalesce the range partitions; ids are read
+    # after the (persisted) shuffle, so totals and offsets agree
+    r = vc.repartitionByRange(*groups, value).withColumn("_pid", F.spark_partition_id()).persist()
     tot = r.groupBy("_pid", *groups).agg(F.sum("cnt").alias("_t")).collect()
     # offsets of earlier partitions per group, and the group totals
     running: dict[tuple, int] = {}
@@ -125,8 +126,7 @@ def row_numbers(df: DataFrame, order: list[str], out: str = "seq", groups: list[
     """
     groups = groups or []
     spark = df.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(nparts, *groups, *order).withColumn("_pid", F.spark_partition_id()).persist()
+    r = df.repartitionByRange(*groups, *order).withColumn("_pid", F.spark_partition_id()).persist()
     counts = sorted(r.groupBy("_pid", *groups).count().collect(), key=lambda x: x["_pid"])
     off, run = [], {}
     for c in counts:
