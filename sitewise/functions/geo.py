@@ -1,6 +1,6 @@
 """Geometry as column expressions: flat distance, grid, UTM projection.
 
-# fixed values: the flat approximation used for distances around Lima:
+# fixed values: the flat distance approximation (degrees to km):
 # 111 km per degree of latitude, 88 km per degree of longitude.
 """
 
