@@ -23,7 +23,7 @@ RECOMMEND_THRESHOLD = 0.74
 def zone_features(zones: DataFrame, points: DataFrame, skew_rows: int | None = spatial.DEFAULT_SKEW_ROWS) -> DataFrame:
     """Nearest-point distance (m) and strict 500 m point count per zone."""
     n500 = F.coalesce(F.sum(F.when(F.col("dist_km") < F.lit(COUNT_RADIUS_KM), F.col("weight"))), F.lit(0))
-    z = spatial.nearest(zones, points, dist_col="nearest_km", id_col="nearest_point_id", skew_rows=skew_rows,
+    z = spatial.nearest(zones, points, dist_col="nearest_km", id_col=None, skew_rows=skew_rows,
                         extra_aggs=[n500.alias("recycling_density_1km")], min_r0_km=COUNT_RADIUS_KM)
     return z.withColumn("dist_nearest_recycling_m", F.col("nearest_km") * F.lit(1000.0)).drop("nearest_km")
 

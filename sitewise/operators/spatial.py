@@ -196,7 +196,14 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
     candidate = F.col("pid").isNotNull()
     if self_exclude:
         candidate = candidate & ((F.col("plat") != F.col(zlat)) | (F.col("plon") != F.col(zlon)) | (F.col("weight") >= 2))
-    best = F.min(F.when(candidate, F.struct(F.col("dist_km").alias("d"), F.col("pid").alias("p")))).alias("best")
+    if id_col:
+        # (distance, id) as one struct: smallest id on equal distances.  Struct
+        # buffers are sort-aggregated; only callers that want the id pay it.
+        best = F.min(F.when(candidate, F.struct(F.col("dist_km").alias("d"), F.col("pid").alias("p")))).alias("best")
+        best_d = F.col("best.d")
+    else:
+        best = F.min(F.when(candidate, F.col("dist_km"))).alias("best")  # hash-aggregated double
+        best_d = F.col("best")
     pending = zones
     done: list[DataFrame] = []
     first = True
@@ -209,8 +216,8 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
             break
         res = radius_aggregate(pending, locs, r, aggs, zlat, zlon, inclusive=True, skew_rows=skew_rows,
                                prune_points=not first).persist()
-        done.append(res.where(F.col("best.d") < F.lit(r)))
-        pending = res.where(F.col("best").isNull() | (F.col("best.d") >= F.lit(r))).drop("best")
+        done.append(res.where(best_d < F.lit(r)))
+        pending = res.where(F.col("best").isNull() | (best_d >= F.lit(r))).drop("best")
         first = False
         if pending.isEmpty():
             break
@@ -218,7 +225,7 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    cols = {dist_col: F.col("best.d")}
+    cols = {dist_col: best_d}
     if id_col:
         cols[id_col] = F.col("best.p")
     return out.withColumns(cols).drop("best")

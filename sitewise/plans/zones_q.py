@@ -27,9 +27,8 @@ nn AS (SELECT candidate_id, min(d) AS nearest_km,
 nid AS (SELECT q.candidate_id, min(q.point_id) AS nearest_point_id
         FROM pairs q JOIN nn ON q.candidate_id = nn.candidate_id AND q.d = nn.nearest_km
         GROUP BY q.candidate_id),
-zf AS (SELECT z.*, nid.nearest_point_id, nn.n500 AS recycling_density_1km,
-              nn.nearest_km * 1000 AS dist_nearest_recycling_m
-       FROM zones z JOIN nn ON z.candidate_id = nn.candidate_id JOIN nid ON z.candidate_id = nid.candidate_id),
+zf AS (SELECT z.*, nn.n500 AS recycling_density_1km, nn.nearest_km * 1000 AS dist_nearest_recycling_m
+       FROM zones z JOIN nn ON z.candidate_id = nn.candidate_id),
 scored AS (
   SELECT *, 1 / (1 + exp(0.2 - (2 * (population_density / 25000) + 1.5 * accessibility_composite
                                + 1.2 * coverage_gap_index + 0.8 * nse_high_ratio
@@ -55,7 +54,8 @@ def zone_table_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     re-running the spatial joins."""
     from ..sources.materialize import materialized
 
-    return materialized(spark, "zone_features", [f"{sf_dir}/customer.parquet", f"{sf_dir}/supplier.parquet"],
+    # the name carries a schema version: a changed table definition gets a new folder
+    return materialized(spark, "zone_features_v2", [f"{sf_dir}/customer.parquet", f"{sf_dir}/supplier.parquet"],
                         lambda: zone_table(spark, sf_dir))
 
 
@@ -105,7 +105,8 @@ def suitability_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     "J4 F10",
     with_views(ZONE_FEATURES_SQL)
     + """
-SELECT candidate_id, nearest_point_id, round(dist_nearest_recycling_m, 4) AS dist_nearest_recycling_m FROM zf""",
+SELECT zf.candidate_id, nid.nearest_point_id, round(zf.dist_nearest_recycling_m, 4) AS dist_nearest_recycling_m
+FROM zf JOIN nid ON zf.candidate_id = nid.candidate_id""",
 )
 def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = zones(spark, sf_dir).select("candidate_id", "lat", "lon")
