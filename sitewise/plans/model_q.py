@@ -53,20 +53,34 @@ def fitted(spark: SparkSession, sf_dir: str) -> dict:
     return out
 
 
+def _model_path(spark: SparkSession, sf_dir: str) -> str:
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    return os.path.join(ensure_checkpoint_dir(spark), "models", MODEL_NAME, tag)
+
+
 def persisted(spark: SparkSession, sf_dir: str) -> dict:
-    """The fitted model saved once (on first need) into the shared
-    checkpoint folder, with its tree node table read back for explanations."""
+    """The fitted Pipeline saved once (on first need) into the shared
+    checkpoint folder."""
     f = fitted(spark, sf_dir)
     if "path" not in f:
-        model = f["model"]
-        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-        path = os.path.join(ensure_checkpoint_dir(spark), "models", MODEL_NAME, tag)
-        mdl.save(model, path, f["meta"])
-        gbt_path = f"{path}/model/stages/{len(model.stages) - 1}_{model.stages[-1].uid}"
-        f["path"], f["trees"] = path, xp.Trees.from_saved(spark, gbt_path)
+        path = _model_path(spark, sf_dir)
+        mdl.save(f["model"], path, f["meta"])
+        f["path"] = path
     return f
 
 
+def tree_table(spark: SparkSession, sf_dir: str) -> xp.Trees:
+    """The GBT node table for explanations, read from Spark ML's own format
+    (only the boosted-tree stage is written for it)."""
+    f = fitted(spark, sf_dir)
+    if "trees" not in f:
+        gbt = f["model"].stages[-1]
+        path = os.path.join(_model_path(spark, sf_dir), "gbt")
+        gbt.write().overwrite().save(path)
+        f["trees"] = xp.Trees.from_saved(spark, path)
+    return f["trees"]
+
+
 def _scored(spark: SparkSession, sf_dir: str, split: str | None = "test") -> DataFrame:
     f = fitted(spark, sf_dir)
     d = f["data"] if split is None else f["data"].where(F.col("split") == split)
@@ -146,17 +160,18 @@ def model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.select(F.lit(meta.get("model_name")).alias("model_name"), F.lit(meta.get("target")).alias("target"),
                        F.lit(mdl.serving_threshold(meta)).alias("threshold"),
                        F.lit(len(meta.get("feature_names", []))).alias("n_features"),
-                       F.lit(len(f["trees"].trees)).alias("n_trees"), "max_diff")
+                       F.lit(model.stages[-1].getNumTrees).alias("n_trees"), "max_diff")
 
 
 @query("explain_top5", "M14 M21 F20")
 def explain_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = persisted(spark, sf_dir)
+    f = fitted(spark, sf_dir)
+    trees = tree_table(spark, sf_dir)
     thr = mdl.serving_threshold(f["meta"])
     s = _scored(spark, sf_dir).withColumns({"zone_id": F.col("candidate_id").cast("string"),
                                             "suitability_score": F.round("prob", 4),
                                             "is_recommended": F.col("prob") >= thr})
-    out = xp.explain(s, f["trees"], MODEL_FEATURES.names, ["zone_id", "suitability_score", "is_recommended"])
+    out = xp.explain(s, trees, MODEL_FEATURES.names, ["zone_id", "suitability_score", "is_recommended"])
     return out.select("zone_id", "suitability_score", "is_recommended", "top_features")
 
 
