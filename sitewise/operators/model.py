@@ -99,45 +99,65 @@ def random_grid(n: int, seed: int = RANDOM_STATE) -> list[dict]:
 
 def cross_validate(train: DataFrame, fs: FeatureSet, fold_col: str, trials: int = 2, parallelism: int = 8,
                    label: str = "label", params: dict | None = None, n_folds: int = 5,
-                   draws: list[dict] | None = None):  # noqa: ANN201
+                   draws: list[dict] | None = None, early_stopping: bool = False,
+                   max_seconds: float | None = None):  # noqa: ANN201
     """M2-M4: CV over the whole Pipeline on a group-preserving fold column.
 
     Every (trial, fold) fit is an independent Spark job submitted from a
     driver thread pool, so small fits overlap instead of queueing (Spark's
     CrossValidator runs folds one after another).  Each fit refits the whole
     Pipeline — imputers included — on the training folds only.  AUC is exact
-    (``numBins=0``, ties averaged, trap 6).  ``draws=[{}]`` evaluates
-    the base parameters only (no search).
+    (``numBins=0``, ties averaged, trap 6).  ``draws=[{}]`` evaluates the
+    base parameters only (no search).
+
+    ``early_stopping`` (M3): the held-out fold also drives GBT early stopping
+    through ``validationIndicatorCol`` (the preprocessing is still fitted on
+    the training folds only).  ``max_seconds`` (M2 budget): trials are
+    submitted in order and no new trial starts once the budget is spent.
 
     Returns (best params, [(params, mean AUC, population std AUC)]).
     """
+    import time
     from concurrent.futures import ThreadPoolExecutor
 
     import numpy as np
+    from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     draws = draws if draws is not None else random_grid(trials)
     data = train.withColumn(fold_col, F.col(fold_col).cast("int")).persist()
-    folds = [r[0] for r in data.select(fold_col).distinct().collect()]  # ≤ n_folds values
+    folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())  # ≤ n_folds values
     if len(folds) < 2:
         raise ValueError("cross-validation needs at least two folds")
     base = dict(params or {})
-
     # exact AUC: numBins=0 keeps every distinct score (no down-sampling)
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", numBins=0)
 
     def one(job):  # noqa: ANN001, ANN202
         d, k = job
-        m = build_pipeline(fs, {**base, **d}, label).fit(data.where(F.col(fold_col) != k))
-        return d, k, ev.evaluate(m.transform(data.where(F.col(fold_col) == k)))
-
-    jobs = [(d, k) for d in draws for k in sorted(folds)]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
-        out = list(pool.map(one, jobs))
+        pipe = build_pipeline(fs, {**base, **d}, label)
+        tr, va = data.where(F.col(fold_col) != k), data.where(F.col(fold_col) == k)
+        if not early_stopping:
+            return d, k, ev.evaluate(pipe.fit(tr).transform(va))
+        stages = pipe.getStages()
+        prep_model = Pipeline(stages=stages[:-1]).fit(tr)
+        both = prep_model.transform(data.withColumn("_is_val", F.col(fold_col) == k))
+        gbt = stages[-1].copy().setValidationIndicatorCol("_is_val")
+        m = gbt.fit(both)
+        return d, k, ev.evaluate(m.transform(both.where(F.col("_is_val"))))
+
+    start = time.monotonic()
+    out = []
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(draws) * len(folds)))) as pool:
+        for d in draws:
+            if max_seconds is not None and out and time.monotonic() - start > max_seconds:
+                break
+            out += list(pool.map(one, [(d, k) for k in folds]))
     res = []
     for d in draws:
         vals = [a for dd, _, a in out if dd is d and a is not None]
-        res.append((d, float(np.mean(vals)) if vals else float("nan"), float(np.std(vals)) if vals else float("nan")))
+        if vals:
+            res.append((d, float(np.mean(vals)), float(np.std(vals))))
     best = max(res, key=lambda r: r[1])[0]
     _ = n_folds
     return best, res

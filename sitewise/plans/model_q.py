@@ -114,7 +114,8 @@ def cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = training_frame(spark, sf_dir).where(F.col("split") == "train")
     folds = prep.group_folds(data, "district_id", 5)
     data = data.join(F.broadcast(folds), "district_id", "left")
-    best, res = mdl.cross_validate(data, MODEL_FEATURES, "fold", trials=2, params={"maxIter": 10})
+    best, res = mdl.cross_validate(data, MODEL_FEATURES, "fold", trials=2, params={"maxIter": 10},
+                                   early_stopping=True, max_seconds=600)
     rows = [(i, json.dumps(p, sort_keys=True), m, s, p == best) for i, (p, m, s) in enumerate(res)]
     return spark.createDataFrame(rows, "trial int, params string, cv_auc_mean double, cv_auc_std double, best boolean")
 

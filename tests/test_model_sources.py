@@ -113,3 +113,22 @@ def test_edge_cells_cover_all_partial_cells(spark):
     only = {(r.ix, r.iy) for r in pg.clip_centroids(cells.join(touched, ["g", "ix", "iy"], "left_semi"), v, "g")
             .where(part).collect()}
     assert every == only and len(every) > 0
+
+
+def test_cross_validate_paths(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        a, b = rng.random(2)
+        rows.append((i, float(a * 20000), float(b), 100.0, float(a), float(b * 900), int(i % 4),
+                     float(a + 0.3 * b > 0.7), i % 3))
+    df = spark.createDataFrame(rows, "candidate_id long, population_density double, nse_ab_pct double, "
+                                     "dist_nearest_road_m double, walkability_score double, "
+                                     "dist_nearest_recycling_m double, land_use_encoded int, label double, fold int")
+    fs = mdl.FeatureSet(["population_density", "nse_ab_pct", "walkability_score"])
+    small = {"maxIter": 4, "maxDepth": 3, "minInstancesPerNode": 5}
+    _, res = mdl.cross_validate(df, fs, "fold", draws=[{}], params=small)
+    assert len(res) == 1 and 0.5 < res[0][1] <= 1.0
+    best, res = mdl.cross_validate(df, fs, "fold", draws=[{"stepSize": 0.1}, {"stepSize": 0.3}], params=small,
+                                   early_stopping=True, max_seconds=600)
+    assert len(res) == 2 and best in ({"stepSize": 0.1}, {"stepSize": 0.3})
