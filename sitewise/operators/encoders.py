@@ -1,0 +1,57 @@
+"""D3 as a Pipeline stage: ordinal encoding over sorted categories, unseen → -1.
+
+``StringIndexer`` differs on both points (unseen → k with ``keep``, numbers
+sorted as text; trap 8), so this small Estimator learns the sorted distinct
+values of the training rows (a bounded set: one row per category) and its
+Model maps a value to its 0-based position with ``array_position`` — a
+JVM-side expression, no UDF.  Both are persisted with the Pipeline.
+"""
+
+from __future__ import annotations
+
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_CATEGORIES = 100_000
+
+
+class _HasCategories(Params):
+    categories = Param(Params._dummy(), "categories", "sorted training categories",
+                       typeConverter=TypeConverters.toListFloat)
+
+    def getCategories(self) -> list[float]:
+        return self.getOrDefault(self.categories)
+
+
+class OrdinalEncoderModel(Model, HasInputCol, HasOutputCol, _HasCategories, DefaultParamsReadable,
+                          DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None,
+                 categories: list[float] | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        cats = F.array(*[F.lit(float(c)) for c in self.getCategories()])
+        x = F.col(self.getInputCol()).cast("double")
+        code = F.when(x.isNull(), F.lit(-1.0)).otherwise(F.array_position(cats, x).cast("double") - 1.0)
+        return df.withColumn(self.getOutputCol(), code)
+
+
+class OrdinalEncoder(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> OrdinalEncoderModel:
+        col = self.getInputCol()
+        vals = (df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v")).distinct()
+                .orderBy("v").limit(MAX_CATEGORIES + 1).collect())
+        if len(vals) > MAX_CATEGORIES:
+            raise ValueError(f"{col}: more than {MAX_CATEGORIES} categories")
+        return OrdinalEncoderModel(inputCol=col, outputCol=self.getOutputCol(), categories=[r.v for r in vals])

@@ -1,7 +1,8 @@
 """Model stage (D4, M1-M6, S7): a Spark ML ``Pipeline`` around ``GBTClassifier``.
 
 derive (SQLTransformer, F2) → median imputation of numeric features →
-mode imputation of the categorical one → VectorAssembler (numeric block
+mode imputation of the categorical one → ordinal encoding over its sorted
+training categories, unseen → -1 (D3) → VectorAssembler (numeric block
 first, then the categorical, as in the studied contract) → GBT with
 logistic loss.  Cross-validation runs over the whole Pipeline, so the
 imputers are refitted per fold (M4), on a precomputed ``fold`` column that
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORICAL_FEATURES, RANDOM_STATE
+from .encoders import OrdinalEncoder
 
 # fixed values: base parameters (mapped) and the search ranges
 BASE_PARAMS = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 0.8,
@@ -69,9 +71,11 @@ def build_pipeline(fs: FeatureSet, params: dict | None = None, label: str = "lab
                   outputCols=[f"{c}__i" for c in fs.numeric])
     cat = Imputer(strategy="mode", inputCols=[f"{c}__x" for c in fs.categorical],
                   outputCols=[f"{c}__i" for c in fs.categorical])
-    vec = VectorAssembler(inputCols=[f"{c}__i" for c in fs.names], outputCol="features", handleInvalid="keep")
+    enc = [OrdinalEncoder(inputCol=f"{c}__i", outputCol=f"{c}__e") for c in fs.categorical]
+    vec = VectorAssembler(inputCols=[f"{c}__i" for c in fs.numeric] + [f"{c}__e" for c in fs.categorical],
+                          outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(featuresCol="features", labelCol=label, lossType="logistic", **p)
-    return Pipeline(stages=[derive, cast, num, cat, vec, gbt])
+    return Pipeline(stages=[derive, cast, num, cat, *enc, vec, gbt])
 
 
 def prob_col(col: str = "probability") -> F.Column:

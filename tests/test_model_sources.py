@@ -132,3 +132,18 @@ def test_cross_validate_paths(spark):
     best, res = mdl.cross_validate(df, fs, "fold", draws=[{"stepSize": 0.1}, {"stepSize": 0.3}], params=small,
                                    early_stopping=True, max_seconds=600)
     assert len(res) == 2 and best in ({"stepSize": 0.1}, {"stepSize": 0.3})
+
+
+def test_ordinal_encoder_stage_roundtrip(spark, tmpdir_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from sitewise.operators.encoders import OrdinalEncoder
+
+    train = spark.createDataFrame([(3.0,), (1.0,), (10.0,), (None,)], "c double")
+    m = Pipeline(stages=[OrdinalEncoder(inputCol="c", outputCol="e")]).fit(train)
+    p = os.path.join(tmpdir_path, "enc")
+    m.write().overwrite().save(p)
+    back = PipelineModel.load(p)
+    df = spark.createDataFrame([(1.0,), (3.0,), (10.0,), (2.0,), (None,)], "c double")
+    got = {r.c: r.e for r in back.transform(df).collect()}
+    assert got == {1.0: 0.0, 3.0: 1.0, 10.0: 2.0, 2.0: -1.0, None: -1.0}
