@@ -60,8 +60,12 @@ class FeatureSet:
         return self.numeric + self.categorical
 
 
-def build_pipeline(fs: FeatureSet, params: dict | None = None, label: str = "label") -> Pipeline:
+def build_pipeline(fs: FeatureSet, params: dict | None = None, label: str = "label",
+                   weight_col: str | None = None) -> Pipeline:
+    """``weight_col`` (M18): per-row weights, e.g. from :func:`with_class_weights`."""
     p = dict(BASE_PARAMS, **(params or {}))
+    if weight_col:
+        p["weightCol"] = weight_col
     derive = SQLTransformer(statement=DERIVE_SQL)
     # the refreshed engineered features replace the stored ones (F2 overwrites)
     src = {c: f"{c}__d" if c in _DERIVED else c for c in fs.names}
@@ -78,6 +82,14 @@ def build_pipeline(fs: FeatureSet, params: dict | None = None, label: str = "lab
     return Pipeline(stages=[derive, cast, num, cat, *enc, vec, gbt])
 
 
+def with_class_weights(df: DataFrame, label: str = "label", out: str = "class_weight") -> DataFrame:
+    """M18: 'balanced' weights n / (k · n_class) joined per row (a k-row table)."""
+    from .evaluate import class_weights
+
+    w = class_weights(df, label).select(label, F.col("weight").alias(out))
+    return df.join(F.broadcast(w), label, "left")  # one row per class: bounded
+
+
 def prob_col(col: str = "probability") -> F.Column:
     """M5: probability of the positive class."""
     return vector_to_array(F.col(col))[1]

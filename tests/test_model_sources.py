@@ -147,3 +147,17 @@ def test_ordinal_encoder_stage_roundtrip(spark, tmpdir_path):
     df = spark.createDataFrame([(1.0,), (3.0,), (10.0,), (2.0,), (None,)], "c double")
     got = {r.c: r.e for r in back.transform(df).collect()}
     assert got == {1.0: 0.0, 3.0: 1.0, 10.0: 2.0, 2.0: -1.0, None: -1.0}
+
+
+def test_class_weighted_fit(spark):
+    rows = [(i, float(i), float(i % 7 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "candidate_id long, population_density double, label double")
+    df = df.withColumns({"nse_ab_pct": F.lit(0.5), "dist_nearest_road_m": F.lit(10.0), "walkability_score": F.lit(0.5),
+                         "dist_nearest_recycling_m": F.lit(100.0), "land_use_encoded": F.lit(1)})
+    w = mdl.with_class_weights(df)
+    ws = {r.label: r.class_weight for r in w.select("label", "class_weight").distinct().collect()}
+    n1 = sum(1 for r in rows if r[2] == 1.0)
+    assert ws[1.0] == pytest.approx(200 / (2 * n1)) and ws[0.0] == pytest.approx(200 / (2 * (200 - n1)))
+    fs = mdl.FeatureSet(["population_density"])
+    m = mdl.build_pipeline(fs, {"maxIter": 3, "maxDepth": 2, "minInstancesPerNode": 1}, weight_col="class_weight").fit(w)
+    assert m.stages[-1].getWeightCol() == "class_weight"
