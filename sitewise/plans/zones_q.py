@@ -9,7 +9,7 @@ from ..functions import features as fx
 from ..functions.geo import flat_km
 from ..operators import recommend, scoring, spatial
 from ..operators.joins import bounded_broadcast
-from ..schema import ALL_FEATURES, add_missing, canonical_order, cast_contract, numeric_columns
+from ..schema import ALL_FEATURES, add_missing, canonical_order, cast_contract, numeric_columns, unique_existing
 from ..sources.tables import DISTRICTS_SQL, POINTS_SQL, ZONES_SQL, districts, points, with_views, zones
 from .registry import dist_sql, query
 
@@ -247,11 +247,13 @@ def conform_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "centroid_lon": F.coalesce("centroid_lon", "longitude")})
     z = canonical_order(add_missing(cast_contract(z)), ["candidate_id", "district_id", "latitude", "longitude",
                                                          "centroid_lat", "centroid_lon"] + ALL_FEATURES)
-    keep = ["candidate_id", "district_id", "latitude", "longitude", "centroid_lat", "centroid_lon",
-            "population_density", "num_households", "nse_ab_pct", "nse_c_pct", "urbanization_rate",
-            "dist_nearest_road_m", "walkability_score", "land_use_encoded", "waste_per_capita_kg",
-            "coverage_gap_index"]
-    return z.select(*[c for c in keep if c in numeric_columns(z) or c in z.columns])
+    # Ordered, de-duplicated, existing columns; P12: numeric ones, read from the schema
+    keep = unique_existing(z, ["candidate_id", "district_id", "latitude", "longitude", "centroid_lat",
+                               "centroid_lon", "population_density", "num_households", "nse_ab_pct", "nse_c_pct",
+                               "urbanization_rate", "dist_nearest_road_m", "walkability_score", "land_use_encoded",
+                               "waste_per_capita_kg", "coverage_gap_index", "latitude"])
+    numeric = set(numeric_columns(z))
+    return z.select(*[c for c in keep if c in numeric])
 
 
 @query(
