@@ -101,8 +101,14 @@ def target_correlations(df: DataFrame, features: list[str], target: str, spearma
             "mean_when_target_0", "mean_when_target_1")
     # Spearman: Pearson over average ranks within the valid pairs
     vp = lf.where(valid).select("feature", "value", "t")
-    xr = ranking.average_ranks(vp, ["feature"], "value").select("feature", "value", F.col("avg_rank").alias("rx"))
-    tr = ranking.average_ranks(vp, ["feature"], "t").select("feature", "t", F.col("avg_rank").alias("rt"))
+    # one rank pass for both sides: value counts of x and of t, told apart by "side"
+    vc = ranking.value_counts(vp, ["feature"], "value").withColumn("side", F.lit("x")).unionByName(
+        ranking.value_counts(vp.select("feature", F.col("t").alias("value")), ["feature"], "value")
+        .withColumn("side", F.lit("t")))
+    rk = ranking.positions(vc, ["feature", "side"], "value").withColumn(
+        "avg_rank", F.col("before") + (F.col("cnt") + 1) / 2.0)
+    xr = rk.where(F.col("side") == "x").select("feature", "value", F.col("avg_rank").alias("rx"))
+    tr = rk.where(F.col("side") == "t").select("feature", F.col("value").alias("t"), F.col("avg_rank").alias("rt"))
     ranked = vp.join(xr, ["feature", "value"]).join(tr, ["feature", "t"])
     sp = ranked.groupBy("feature").agg(
         F.covar_pop("rx", "rt").alias("_c"), F.var_pop("rx").alias("_vx"), F.var_pop("rt").alias("_vt"),
