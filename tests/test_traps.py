@@ -113,3 +113,22 @@ def test_range_positions_without_groups(spark):
     a = {r.v: (r.before, r.n) for r in ranking.positions(vc, [], "v").collect()}
     b = {r.v: (r.before, r.n) for r in ranking.positions(vc, [], "v", max_window=0).collect()}
     assert a == b and all(n == 400 for _, n in a.values())
+
+
+def test_quantiles_match_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    vals = np.round(rng.normal(size=257), 2)  # ties on purpose
+    df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(vals)], "v double, g int")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {r.g: r for r in ranking.quantiles(df, ["g"], "v", qs, [f"q{i}" for i in range(len(qs))]).collect()}
+    for g in range(3):
+        sub = vals[np.arange(len(vals)) % 3 == g]
+        for i, q in enumerate(qs):
+            assert got[g][f"q{i}"] == pytest.approx(float(np.quantile(sub, q)), abs=1e-12)
+    ranks = {r.v: r.avg_rank for r in ranking.average_ranks(df.where("g = 0"), [], "v").collect()}
+    sub = np.sort(vals[np.arange(len(vals)) % 3 == 0])
+    for v, rk in list(ranks.items())[:20]:
+        pos = np.nonzero(sub == v)[0]
+        assert rk == pytest.approx(pos.mean() + 1)
