@@ -109,9 +109,20 @@ def target_correlations(df: DataFrame, features: list[str], target: str, spearma
         "avg_rank", F.col("before") + (F.col("cnt") + 1) / 2.0)
     xr = rk.where(F.col("side") == "x").select("feature", "value", F.col("avg_rank").alias("rx"))
     tr = rk.where(F.col("side") == "t").select("feature", F.col("value").alias("t"), F.col("avg_rank").alias("rt"))
-    ranked = vp.join(xr, ["feature", "value"]).join(tr, ["feature", "t"])
-    sp = ranked.groupBy("feature").agg(
-        F.covar_pop("rx", "rt").alias("_c"), F.var_pop("rx").alias("_vx"), F.var_pop("rt").alias("_vt"),
+    # ranks are attached to (feature, value, t) counts, never to the raw rows: a
+    # value shared by a third of the rows is one weighted row here
+    cells = vp.groupBy("feature", "value", "t").agg(F.count(F.lit(1)).alias("w"))
+    ranked = cells.join(xr, ["feature", "value"]).join(tr, ["feature", "t"])
+    w, rx, rt = F.col("w"), F.col("rx"), F.col("rt")
+    m = ranked.groupBy("feature").agg(
+        F.sum(w).alias("_n"), F.sum(w * rx).alias("_sx"), F.sum(w * rt).alias("_st"),
+        F.sum(w * rx * rx).alias("_sxx"), F.sum(w * rt * rt).alias("_stt"), F.sum(w * rx * rt).alias("_sxt"))
+    n = F.col("_n")
+    sp = m.select(
+        "feature",
+        (F.col("_sxt") / n - F.col("_sx") / n * (F.col("_st") / n)).alias("_c"),
+        (F.col("_sxx") / n - F.col("_sx") / n * (F.col("_sx") / n)).alias("_vx"),
+        (F.col("_stt") / n - F.col("_st") / n * (F.col("_st") / n)).alias("_vt"),
     ).select("feature", pearson("_c", "_vx", "_vt").alias("_sp"))
     out = stats.join(sp, "feature", "left").withColumn("spearman_vs_target", F.when(ok, F.col("_sp")))
     return out.select(
