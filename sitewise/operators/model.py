@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORICAL_FEATURES, RANDOM_STATE
+from ..session import cached
 from .encoders import OrdinalEncoder
 
 # fixed values: base parameters (mapped) and the search ranges
@@ -141,7 +142,7 @@ def cross_validate(train: DataFrame, fs: FeatureSet, fold_col: str, trials: int
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     draws = draws if draws is not None else random_grid(trials)
-    data = train.withColumn(fold_col, F.col(fold_col).cast("int")).persist()
+    data = cached(train.withColumn(fold_col, F.col(fold_col).cast("int")))
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())  # ≤ n_folds values
     if len(folds) < 2:
         raise ValueError("cross-validation needs at least two folds")

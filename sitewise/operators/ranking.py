@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cached
+
 DEFAULT_MAX_WINDOW = 2_000_000
 
 
@@ -36,7 +38,7 @@ def positions(vc: DataFrame, groups: list[str], value: str, max_window: int = DE
     The counts are persisted first: the size check and the ordered pass then
     read them once instead of recomputing the upstream plan twice.
     """
-    vc = vc.persist()
+    vc = cached(vc)
     widest = vc.groupBy(*groups).count().agg(F.max("count")).first()[0] if groups else vc.count()
     if widest is None or widest <= max_window:
         w = Window.partitionBy(*groups).orderBy(value)
@@ -54,7 +56,7 @@ def _positions_by_range(vc: DataFrame, groups: list[str], value: str) -> DataFra
     spark = vc.sparkSession
     # no explicit count: AQE may coalesce the range partitions; ids are read
     # after the (persisted) shuffle, so totals and offsets agree
-    r = vc.repartitionByRange(*groups, value).withColumn("_pid", F.spark_partition_id()).persist()
+    r = cached(vc.repartitionByRange(*groups, value).withColumn("_pid", F.spark_partition_id()))
     tot = r.groupBy("_pid", *groups).agg(F.sum("cnt").alias("_t")).collect()
     # offsets of earlier partitions per group, and the group totals
     running: dict[tuple, int] = {}
@@ -126,7 +128,7 @@ def row_numbers(df: DataFrame, order: list[str], out: str = "seq", groups: list[
     """
     groups = groups or []
     spark = df.sparkSession
-    r = df.repartitionByRange(*groups, *order).withColumn("_pid", F.spark_partition_id()).persist()
+    r = cached(df.repartitionByRange(*groups, *order).withColumn("_pid", F.spark_partition_id()))
     counts = sorted(r.groupBy("_pid", *groups).count().collect(), key=lambda x: x["_pid"])
     off, run = [], {}
     for c in counts:

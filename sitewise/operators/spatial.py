@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON, bucket, flat_km
+from ..session import cached
 
 # grid cells are a hair larger than the radius so that a point at exactly
 # distance r cannot fall two buckets away through floating-point rounding
@@ -187,7 +188,7 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
     distance is 0).  Zones get NULL when there are no points at all.
     """
     extra_aggs = extra_aggs or []
-    locs = point_locations(points).persist()
+    locs = cached(point_locations(points))
     diam, n_locs, area, n_zones = _extent(zones, locs, zlat, zlon)
     if skew_rows and n_zones <= skew_rows:
         skew_rows = None  # no bucket can hold more zones than there are: skip the hot-bucket scans
@@ -214,8 +215,8 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
             done.append(radius_aggregate(pending, locs, max(r, diam) * 2.0 + 1e-6, aggs, zlat, zlon,
                                          inclusive=True, skew_rows=skew_rows, prune_points=not first))
             break
-        res = radius_aggregate(pending, locs, r, aggs, zlat, zlon, inclusive=True, skew_rows=skew_rows,
-                               prune_points=not first).persist()
+        res = cached(radius_aggregate(pending, locs, r, aggs, zlat, zlon, inclusive=True,
+                                      skew_rows=skew_rows, prune_points=not first))
         done.append(res.where(best_d < F.lit(r)))
         pending = res.where(F.col("best").isNull() | (best_d >= F.lit(r))).drop("best")
         first = False

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import from_utm, to_utm, to_utm_sql
 from ..operators import polygon as pg
 from ..sources.tables import POINTS_SQL, ZONES_SQL, points, with_views, zones
+from ..session import cached
 from .registry import query
 
 POLY_SQL = with_views(POINTS_SQL) + """,
@@ -39,7 +40,7 @@ cells AS (SELECT district_id, ix, iy, xmin + CAST(ix AS DOUBLE) * 0.5 + 0.25 AS
 
 
 def _polys(spark: SparkSession, sf_dir: str):  # noqa: ANN202
-    v = pg.star_polygons(points(spark, sf_dir), "district_id").persist()
+    v = cached(pg.star_polygons(points(spark, sf_dir), "district_id"))
     bb = pg.bbox_of(v, "district_id")
     return v, bb
 

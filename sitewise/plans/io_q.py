@@ -14,7 +14,7 @@ from ..functions import features as fx
 from ..operators import evaluate as ev
 from ..operators.joins import bounded_broadcast
 from ..schema import ZONE
-from ..session import ensure_checkpoint_dir
+from ..session import cached, ensure_checkpoint_dir
 from ..sources import files
 from ..sources.tables import POINTS_SQL, ZONES_SQL, districts, points, with_views, zones
 from .registry import query
@@ -129,7 +129,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     4-digit score) appended to a runs table, and the latest one read back."""
     from .eval_q import scored
 
-    s = scored(spark, sf_dir).persist()
+    s = cached(scored(spark, sf_dir))
     path = _scratch(spark, "runs")
     for name, col in (("raw", F.col("prob")), ("rounded", F.round("prob", 4))):
         a = ev.auc(s.withColumn("prob", col)).first()

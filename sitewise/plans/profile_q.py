@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..operators import profile, ranking
+from ..session import cached
 from .registry import query
 from .zones_q import ZONE_FEATURES_SQL, scored_zones
 from ..sources.tables import with_views
@@ -308,7 +309,8 @@ def eda_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Automatic conclusions as a findings table (kind, feature, value, verdict)."""
     e = eda_table(spark, sf_dir)
     corr = profile.target_correlations(e, EDA_FEATURES, TARGET, spearman=False).select(
-        "feature", F.col("pearson_vs_target").alias("r")).persist()
+        "feature", F.col("pearson_vs_target").alias("r"))
+    corr = cached(corr)
     pairs = profile.corr_pairs(e, EDA_FEATURES)
     top = corr.where(F.col("r").isNotNull()).orderBy(F.abs("r").desc(), "feature").limit(5).select(
         F.lit("top_correlation").alias("kind"), "feature", F.round("r", 6).alias("value"),

@@ -3,11 +3,14 @@ result is SQL-expressible, an independent SQL twin used as an oracle."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import release_cached
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,8 +29,14 @@ def query(name: str, ids: str, sql: str | None = None) -> Callable[[QueryFn], Qu
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, ids)
-        return fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            release_cached()  # the previous query's intermediates
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = Query(name, run, sql, ids)
+        return run
 
     return deco
 

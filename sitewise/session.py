@@ -53,3 +53,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Intermediate caches of the query being built (iterative rounds, value
+# counts, range-partitioned rows).  A registered query releases the previous
+# query's caches when it starts; a persisted frame keeps its lineage, so a
+# late reader of an older result recomputes instead of failing.
+_TRACKED: list[DataFrame] = []
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """``persist`` and remember the frame for :func:`release_cached`."""
+    df = df.persist()
+    _TRACKED.append(df)
+    return df
+
+
+def release_cached() -> None:
+    while _TRACKED:
+        try:
+            _TRACKED.pop().unpersist(blocking=False)
+        except Exception:  # noqa: BLE001 - session already stopped
+            pass
