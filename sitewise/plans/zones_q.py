@@ -52,11 +52,16 @@ def zone_table_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone feature table written once and reused by downstream stages
     (profiling, datasets, evaluation, model): they read Parquet instead of
     re-running the spatial joins."""
+    import sys
+
+    from ..functions import features as _fx
+    from ..functions import geo as _geo
+    from ..sources import tables as _tables
     from ..sources.materialize import materialized
 
-    # the name carries a schema version: a changed table definition gets a new folder
-    return materialized(spark, "zone_features_v2", [f"{sf_dir}/customer.parquet", f"{sf_dir}/supplier.parquet"],
-                        lambda: zone_table(spark, sf_dir))
+    code = [sys.modules[__name__], scoring, spatial, _fx, _geo, _tables]
+    return materialized(spark, "zone_features", [f"{sf_dir}/customer.parquet", f"{sf_dir}/supplier.parquet"],
+                        lambda: zone_table(spark, sf_dir), code=code)
 
 
 def scored_zones(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:

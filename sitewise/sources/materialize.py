@@ -40,9 +40,23 @@ def source_key(spark: SparkSession, paths: list[str], tag: str) -> str:
     return h.hexdigest()[:16]
 
 
-def materialized(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` built from ``sources``: read if present, else built and written once."""
-    key = source_key(spark, sources, name)
+def code_key(modules: list) -> str:  # noqa: ANN001
+    """Hash of the source text of the modules that define a table."""
+    h = hashlib.sha1()
+    for m in modules:
+        with open(m.__file__, "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:12]
+
+
+def materialized(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame],
+                 code: list | None = None) -> DataFrame:
+    """The table ``name`` built from ``sources``: read if present, else built and written once.
+
+    ``code``: modules whose source defines the table; editing them yields a
+    new key, so a changed definition is never served from an old table.
+    """
+    key = source_key(spark, sources, name + (code_key(code) if code else ""))
     root = os.path.join(ensure_checkpoint_dir(spark), "tables", name)
     final = f"{root}/{key}"
     p, fs = _fs(spark, final)
