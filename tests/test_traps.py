@@ -132,3 +132,17 @@ def test_quantiles_match_numpy(spark):
     for v, rk in list(ranks.items())[:20]:
         pos = np.nonzero(sub == v)[0]
         assert rk == pytest.approx(pos.mean() + 1)
+
+
+def test_utm_round_trip(spark):
+    from sitewise.functions.geo import from_utm, to_utm
+
+    df = spark.createDataFrame([(-12.12, -77.03), (-12.0, -75.0), (-5.5, -73.2)], "lat double, lon double")
+    x, y = to_utm("lat", "lon")
+    u = df.select("lat", "lon", x.alias("x"), y.alias("y"))
+    la, lo = from_utm("x", "y")
+    for r in u.select("lat", "lon", "x", "y", la.alias("la"), lo.alias("lo")).collect():
+        assert r.la == pytest.approx(r.lat, abs=1e-9) and r.lo == pytest.approx(r.lon, abs=1e-9)
+        if r.lon == -75.0:  # central meridian of zone 18
+            assert r.x == pytest.approx(500000.0, abs=1e-6)
+        assert 1_000_000 < r.y < 10_000_000  # southern hemisphere false northing
