@@ -115,7 +115,7 @@ def random_grid(n: int, seed: int = RANDOM_STATE) -> list[dict]:
 
 
 def cross_validate(train: DataFrame, fs: FeatureSet, fold_col: str, trials: int = 2, parallelism: int = 8,
-                   label: str = "label", params: dict | None = None, n_folds: int = 5,
+                   label: str = "label", params: dict | None = None,
                    draws: list[dict] | None = None, early_stopping: bool = False,
                    max_seconds: float | None = None):  # noqa: ANN201
     """M2-M4: CV over the whole Pipeline on a group-preserving fold column.
@@ -176,7 +176,6 @@ def cross_validate(train: DataFrame, fs: FeatureSet, fold_col: str, trials: int
         if vals:
             res.append((d, float(np.mean(vals)), float(np.std(vals))))
     best = max(res, key=lambda r: r[1])[0]
-    _ = n_folds
     return best, res
 
 

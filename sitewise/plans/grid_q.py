@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import from_utm, to_utm, to_utm_sql
+from ..functions.geo import to_utm, to_utm_sql
 from ..operators import polygon as pg
 from ..sources.tables import POINTS_SQL, ZONES_SQL, points, with_views, zones
 from ..session import cached
@@ -117,5 +117,3 @@ def boundary_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round(F.col("clip_cy") / 111.0, 6).alias("centroid_lat"),
                        F.round(F.col("clip_cx") / 88.0, 6).alias("centroid_lon"))
 
-
-_ = (from_utm,)
