@@ -18,7 +18,7 @@ from ..operators import evaluate as ev
 from ..operators import explain as xp
 from ..operators import model as mdl
 from ..operators import prep, recommend
-from ..session import ensure_checkpoint_dir
+from ..session import cached, ensure_checkpoint_dir
 from .profile_q import eda_table
 from .registry import query
 
@@ -194,3 +194,40 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     score_stream(spark, f"{base}/in", src.schema, f["model"], mdl.serving_threshold(f["meta"]),
                  f"{base}/out", f"{base}/chk")
     return read_sink(spark, f"{base}/out")
+
+
+@query("training_run", "P17 L2 D5 D6 M1 M4 M11 M13 M16 S6")
+def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simulated-training lifecycle end to end, as Spark jobs.
+
+    Quantile-labelled dataset (rate 0.35) → spatial split → Pipeline fit →
+    5-fold group CV of the final parameters → threshold sweep on the held-out
+    districts → evaluation at that threshold → run record appended to the
+    runs table.  Returns the metrics row.
+    """
+    from ..operators import datasets as ds
+    from ..sources import files
+    from .zones_q import scored_zones
+
+    s = scored_zones(spark, sf_dir, stored=True)
+    lab, cutoff = ds.simulated_dataset(s, 0.35, "candidate_id")
+    data = cached(prep.spatial_split(lab, "district_id", 2).withColumn("label", F.col("is_optimal").cast("double")))
+    train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+    model = mdl.build_pipeline(MODEL_FEATURES).fit(train)
+    folds = prep.group_folds(train, "district_id", 5)
+    _, cv = mdl.cross_validate(train.join(F.broadcast(folds), "district_id", "left"), MODEL_FEATURES, "fold",
+                               draws=[{}])
+    scored = cached(model.transform(test).withColumn("prob", mdl.prob_col()))
+    thr = float(ev.threshold_sweep(scored, "f1").where("is_best").first()["threshold"])
+    a = ev.auc(scored).first()["auc_roc"]
+    c = ev.confusion(scored, thr).first()
+    rec = {"auc_roc": a, "f1": c["f1"], "precision": c["precision"], "recall": c["recall"], "threshold": thr,
+           "n_test": c["n_test"], "cv_auc_mean": cv[0][1], "cv_auc_std": cv[0][2], "score_cutoff": cutoff,
+           "confusion_matrix": [[c["tn"], c["fp"]], [c["fn"], c["tp"]]]}
+    files.append_run(spark, os.path.join(ensure_checkpoint_dir(spark), "runs", MODEL_NAME), rec)
+    row = (a, c["f1"], c["precision"], c["recall"], thr, int(c["n_test"]), cv[0][1], cv[0][2], cutoff,
+           [[int(c["tn"]), int(c["fp"])], [int(c["fn"]), int(c["tp"])]])
+    out = spark.createDataFrame([row], "auc_roc double, f1 double, precision double, recall double, "
+                                       "threshold double, n_test long, cv_auc_mean double, cv_auc_std double, "
+                                       "score_cutoff double, confusion_matrix array<array<bigint>>")
+    return out.withColumn("auc_tier", ev.auc_tier(F.col("auc_roc")))
