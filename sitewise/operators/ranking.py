@@ -83,9 +83,36 @@ def _positions_by_range(vc: DataFrame, groups: list[str], value: str) -> DataFra
     return out.drop("_pid", "_off")
 
 
+def _split(x: Column) -> tuple[Column, Column]:
+    """Dekker split of a double into high and low halves (exact)."""
+    c = F.lit(134217729.0) * x  # 2**27 + 1
+    hi = c - (c - x)
+    return hi, x - hi
+
+
+def fma(a: Column, b: Column, c: Column) -> Column:
+    """a·b + c with a single rounding, from error-free transformations.
+
+    The product's rounding error comes from Dekker's two-product and the
+    sum's from Knuth's two-sum; adding both corrections before the last
+    rounding gives the correctly rounded result (barring double-rounding
+    ties).  The JVM never fuses a multiply-add on its own, so every step
+    here is a plain IEEE operation.
+    """
+    p = a * b
+    ah, al = _split(a)
+    bh, bl = _split(b)
+    e = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    bb = s - p
+    t = (p - (s - bb)) + (c - bb)
+    return s + (t + e)
+
+
 def quantile_aggs(probs: list[float], value: str = "value", names: list[str] | None = None) -> list[Column]:
     """Aggregates over ``positions`` output giving linear-interpolated quantiles
-    (position p·(n-1), like SQL ``percentile`` / ``quantile_cont``)."""
+    at position p·(n-1): lo + (hi - lo)·frac rounded once, the correctly
+    rounded interpolation (what SQL ``quantile_cont`` computes)."""
     out = []
     for i, p in enumerate(probs):
         pos = F.lit(p) * (F.col("n") - 1)
@@ -93,8 +120,8 @@ def quantile_aggs(probs: list[float], value: str = "value", names: list[str] | N
         at = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("cnt"))
         vlo = F.min(F.when(at(lo), F.col(value)))
         vhi = F.min(F.when(at(hi), F.col(value)))
-        wlo, whi = F.first(hi - pos), F.first(pos - lo)
-        val = F.when(F.first(hi == lo), vlo).otherwise(wlo * vlo + whi * vhi)
+        frac = F.first(pos - lo)
+        val = F.when(F.first(hi == lo), vlo).otherwise(fma(vhi - vlo, frac, vlo))
         out.append(val.alias(names[i] if names else f"q{p}"))
     return out
 

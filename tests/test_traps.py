@@ -146,3 +146,16 @@ def test_utm_round_trip(spark):
         if r.lon == -75.0:  # central meridian of zone 18
             assert r.x == pytest.approx(500000.0, abs=1e-6)
         assert 1_000_000 < r.y < 10_000_000  # southern hemisphere false northing
+
+
+def test_fma_matches_math_fma(spark):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(c)) for a, b, c in rng.normal(size=(200, 3)) * [1e-5, 0.75, 77.0]]
+    rows += [(-77.07514 - -77.07517, 0.75, -77.07517), (-12.12495 - -12.12496, 0.25, -12.12496)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = [r.f for r in df.select(ranking.fma(F.col("a"), F.col("b"), F.col("c")).alias("f")).collect()]
+    assert got == [math.fma(a, b, c) for a, b, c in rows]
