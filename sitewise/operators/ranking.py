@@ -111,8 +111,9 @@ def fma(a: Column, b: Column, c: Column) -> Column:
 
 def quantile_aggs(probs: list[float], value: str = "value", names: list[str] | None = None) -> list[Column]:
     """Aggregates over ``positions`` output giving linear-interpolated quantiles
-    at position p·(n-1): lo + (hi - lo)·frac rounded once, the correctly
-    rounded interpolation (what SQL ``quantile_cont`` computes)."""
+    at position p·(n-1): lo·(1-d) + hi·d with the first product fused into
+    the addition (one rounding), bit-identical to the SQL engine used as the
+    oracle (its ``quantile_cont`` is compiled that way)."""
     out = []
     for i, p in enumerate(probs):
         pos = F.lit(p) * (F.col("n") - 1)
@@ -121,7 +122,7 @@ def quantile_aggs(probs: list[float], value: str = "value", names: list[str] | N
         vlo = F.min(F.when(at(lo), F.col(value)))
         vhi = F.min(F.when(at(hi), F.col(value)))
         frac = F.first(pos - lo)
-        val = F.when(F.first(hi == lo), vlo).otherwise(fma(vhi - vlo, frac, vlo))
+        val = F.when(F.first(hi == lo), vlo).otherwise(fma(vlo, F.lit(1.0) - frac, vhi * frac))
         out.append(val.alias(names[i] if names else f"q{p}"))
     return out
 

@@ -159,3 +159,18 @@ def test_fma_matches_math_fma(spark):
     df = spark.createDataFrame(rows, "a double, b double, c double")
     got = [r.f for r in df.select(ranking.fma(F.col("a"), F.col("b"), F.col("c")).alias("f")).collect()]
     assert got == [math.fma(a, b, c) for a, b, c in rows]
+
+
+def test_quantiles_bit_equal_to_sql(spark):
+    import random
+
+    import duckdb
+
+    random.seed(5)
+    for _ in range(12):
+        n = random.randint(2, 60)
+        vals = [round(random.uniform(-100, 100), random.randint(0, 6)) for _ in range(n)]
+        p = random.choice([0.1, 0.25, 0.33, 0.5, 0.65, 0.75, 0.9])
+        want = duckdb.sql(f"select quantile_cont(v, {p}) from (select unnest({vals}::DOUBLE[]) v)").fetchall()[0][0]
+        df = spark.createDataFrame([(v,) for v in vals], "v double")
+        assert ranking.quantile_value(df, "v", p) == want
