@@ -128,8 +128,18 @@ def quantile_aggs(probs: list[float], value: str = "value", names: list[str] | N
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
-              names: list[str] | None = None) -> DataFrame:
-    """Exact quantiles of ``value`` per group."""
+              names: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+    """Exact quantiles of ``value`` per group.
+
+    ``accuracy``: use ``percentile_approx`` instead (one pass, bounded
+    memory per group, relative rank error 1/accuracy) where exactness is
+    not needed.
+    """
+    names = names or [f"q{p}" for p in probs]
+    if accuracy:
+        qa = F.percentile_approx(value, probs, accuracy)
+        out = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(qa.alias("_q"))
+        return out.select(*groups, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
     pos = positions(value_counts(df, groups, value), groups, value)
     return pos.groupBy(*groups).agg(*quantile_aggs(probs, value, names))
 

@@ -174,3 +174,9 @@ def test_quantiles_bit_equal_to_sql(spark):
         want = duckdb.sql(f"select quantile_cont(v, {p}) from (select unnest({vals}::DOUBLE[]) v)").fetchall()[0][0]
         df = spark.createDataFrame([(v,) for v in vals], "v double")
         assert ranking.quantile_value(df, "v", p) == want
+
+
+def test_approx_quantiles_close(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1001)], "v double")
+    r = ranking.quantiles(df, [], "v", [0.25, 0.5], ["a", "b"], accuracy=10000).first()
+    assert abs(r.a - 250.0) <= 1.0 and abs(r.b - 500.0) <= 1.0
