@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_codec, exact, lines, packing, simhash, substring, toxicity
+from . import bpe_codec, exact, html_text, lines, nearest, packing, preference, simhash, substring, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -25,10 +25,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode_decode(docs, public_tokenizers.path(WORD_BPE)))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), SEQUENCE)
 
 
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = preference.conversations(table(spark, sf_dir, "conversations"))
+    return preference.digests(preference.formatted(preference.stale_pairs(talks)))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = lines.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -50,16 +59,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
+    "op3_nearest": op3_nearest,
     "op4_packing": op4_packing,
+    "op5_preference": op5_preference,
     "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {
+    "op5_preference": preference.ORACLE,
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
