@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from .bpe import encoder
 from .store import forget, saved
 
-SALTS = 256             # groups that pieces of one size are ranked in
-BUNDLE_GROUP = 20_000   # small pieces bundled together in one window
+ROWS_PER_TASK = 20_000  # pieces and gaps that one window or task is meant to hold
 PIECES_OUT = 20_000     # rows per Arrow batch
 
 
@@ -65,82 +64,85 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
-def _ranked(rows: DataFrame, key: str) -> DataFrame:
-    """Add ``rank``: 0, 1, ... among the rows of one size, counted in salted groups."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-    before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("size", "salt").agg(F.count("*").alias("n")).select(
-        "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("size", "salt").orderBy(key)
-    return salted.withColumn("k", F.row_number().over(within) - 1).join(offsets, ["size", "salt"]).select(
-        *rows.columns, (F.col("before") + F.col("k")).alias("rank"))
-
-
 def _bundled(items: DataFrame, small: float, groups: int) -> DataFrame:
-    """Add ``unit`` (what travels together) and ``inside`` (offset in it).
+    """Add ``unit`` (what travels together), ``inside`` (offset in it) and ``size`` (of all of it).
 
     Pieces of at most ``small`` whose running sums begin in one stretch of that
     length make a unit of at most twice that length.
     """
-    big = items.filter(F.col("length") > small).withColumns({"unit": F.col("item"), "inside": F.lit(0).cast("long")})
+    big = items.filter(F.col("length") > small).withColumns({"unit": F.col("item"), "inside": F.lit(0).cast("long"), "size": F.col("length")})
     few = items.filter(F.col("length") <= small).withColumn("g", F.pmod(F.xxhash64("item"), F.lit(groups)))
     running = Window.partitionBy("g").orderBy(F.desc("length"), "item").rowsBetween(Window.unboundedPreceding, -1)
     few = few.withColumn("from", F.coalesce(F.sum("length").over(running), F.lit(0)))
     few = few.withColumn("stretch", F.floor(F.col("from") / F.lit(float(max(small, 1)))))
     unit = Window.partitionBy("g", "stretch")
-    few = few.withColumns({"unit": F.min("item").over(unit), "inside": F.col("from") - F.min("from").over(unit)})
+    few = few.withColumns({"unit": F.min("item").over(unit), "inside": F.col("from") - F.min("from").over(unit), "size": F.sum("length").over(unit)})
     return big.unionByName(few.select(*big.columns))
 
 
-def _sweep(units: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Partners (unit, seq, gap): one unit per gap at most, each in the smallest free gap."""
+def _sweep(units: DataFrame, gaps: DataFrame, tasks: int, salts: int) -> DataFrame:
+    """Partners (unit, seq, size, gap): one unit per gap at most, each in the smallest free gap.
+
+    Rows of one size are ranked in ``salts`` groups, so that no task holds them all.
+    """
     both = units.select(F.lit(1).alias("closes"), F.col("unit").alias("row"), "size").unionByName(
         gaps.select(F.lit(0).alias("closes"), F.col("seq").alias("row"), F.col("gap").alias("size")))
+    both = both.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    counts = both.groupBy("size", "closes", "salt").agg(F.count("*").alias("n")).coalesce(tasks)
+    earlier = Window.partitionBy("size", "closes").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).coalesce(tasks)
+    # two rows per possible length at most: how many gaps are open before the rows of a size
     step = F.when(F.col("closes") == 1, -F.col("n")).otherwise(F.col("n"))
     order = Window.orderBy(F.desc("size"), "closes")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = both.groupBy("size", "closes").agg(F.count("*").alias("n"))  # at most two rows per possible length
-    sizes = sizes.withColumn("sum", F.sum(step).over(so_far))
+    sizes = counts.groupBy("size", "closes").agg(F.sum("n").alias("n")).withColumn("sum", F.sum(step).over(so_far))
     sizes = sizes.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
     sizes = sizes.select("size", "closes", F.coalesce(F.lag("depth").over(order), F.lit(0)).alias("open"))
-    ranked = _ranked(units.select(F.col("unit").alias("row"), "size"), "row").withColumn("closes", F.lit(1)).unionByName(
-        _ranked(gaps.select(F.col("seq").alias("row"), F.col("gap").alias("size")), "row").withColumn("closes", F.lit(0)))
+    within = Window.partitionBy("size", "closes", "salt").orderBy("row")
+    ranked = both.withColumn("k", F.row_number().over(within) - 1).join(counts, ["size", "closes", "salt"])
+    ranked = ranked.join(F.broadcast(sizes), ["size", "closes"]).withColumn("rank", F.col("before") + F.col("k"))
     level = F.when(F.col("closes") == 1, F.col("open") - F.col("rank")).otherwise(F.col("open") + F.col("rank") + 1)
-    levels = ranked.join(F.broadcast(sizes), ["size", "closes"]).withColumn("level", level).filter("level > 0")
+    levels = ranked.withColumn("level", level).filter("level > 0").select("level", "closes", "size", "row").coalesce(tasks)
     there = Window.partitionBy("level").orderBy(F.desc("size"), "closes")
     levels = levels.withColumns({"seq": F.lag("row").over(there), "gap": F.lag("size").over(there)})
-    return levels.filter("closes = 1").select(F.col("row").alias("unit"), "size", "seq", "gap")
+    return levels.filter("closes = 1").select(F.col("row").alias("unit"), "size", "seq", "gap").coalesce(tasks)
 
 
 def best_fit(spark: SparkSession, items: DataFrame, capacity: int) -> DataFrame:
     """Place items (item long unique, length long, 1 to capacity) into sequences.
 
-    Returns (item, sequence_id, offset), every item once.  No items, no rows.
+    Returns (item, sequence_id, offset), every item once.  No items, no rows.  Later
+    rounds have few rows and run in as few tasks.
     """
     placed = items.filter(F.col("length") == capacity).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = items.filter(F.col("length") < capacity).select("item", "length")
     gaps = spark.range(0).select(F.col("id").alias("seq"), F.col("id").alias("gap"))
-    opened, old = 0, []
+    opened, old, most = 0, [], int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        sizes = {r["length"]: r["n"] for r in left.groupBy("length").agg(F.count("*").alias("n")).collect()}  # under capacity rows
+        both = left.select("length", F.lit(0).alias("kind")).unionByName(gaps.select(F.col("gap").alias("length"), F.lit(1).alias("kind")))
+        found = both.groupBy("kind", "length").agg(F.count("*").alias("n")).collect()  # twice the capacity of rows at most
+        sizes = {r["length"]: r["n"] for r in found if not r["kind"]}
         if not sizes:
             return placed
-        free = {r["gap"]: r["n"] for r in gaps.groupBy("gap").agg(F.count("*").alias("n")).collect() if r["gap"] >= min(sizes)}
+        free = {r["length"]: r["n"] for r in found if r["kind"] and r["length"] >= min(sizes)}
         volume, room, largest = sum(s * n for s, n in sizes.items()), sum(g * n for g, n in free.items()), max(free, default=0)
         misfit = sum(s * n for s, n in sizes.items() if s > largest)
         new = max(-(-max(0, volume - room) // capacity), -(-misfit // capacity))
         gaps = gaps.filter(F.col("gap") >= min(sizes)).unionByName(
             spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")))
         opened += new
-        mean = (room + new * capacity) / (sum(free.values()) + new)
-        units = _bundled(left, mean / 4, -(-sum(sizes.values()) // BUNDLE_GROUP))
-        pairs = saved(_sweep(units.groupBy("unit").agg(F.sum("length").alias("size")), gaps), "packing-pairs")
+        n_items, n_gaps = sum(sizes.values()), sum(free.values()) + new
+        tasks = min(most, -(-(n_items + n_gaps) // ROWS_PER_TASK))
+        mean = (room + new * capacity) / n_gaps
+        units = _bundled(left, mean / 4, -(-n_items // ROWS_PER_TASK)).coalesce(tasks)
+        one_each = units.filter("item = unit").select("unit", "size")
+        pairs = saved(_sweep(one_each, gaps, tasks, -(-(n_items + n_gaps) // ROWS_PER_TASK)), "packing-pairs")
         found = units.join(pairs.select("unit", "seq", "gap"), "unit", "left")
-        found = saved(found.select("item", "length", "seq", (F.lit(capacity) - F.col("gap") + F.col("inside")).alias("offset")), "packing-found")
+        found = saved(found.select("item", "length", "seq", (F.lit(capacity) - F.col("gap") + F.col("inside")).alias("offset")).coalesce(tasks), "packing-found")
         placed = placed.unionByName(found.filter("seq is not null").select("item", F.col("seq").alias("sequence_id"), "offset"))
         left = found.filter("seq is null").select("item", "length")
         taken = gaps.join(pairs.select("seq", "size"), "seq", "left").select("seq", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap"))
-        gaps = saved(taken, "packing-gaps")
+        gaps = saved(taken.coalesce(tasks), "packing-gaps")
         for x in old:
             forget(x)
         old = [pairs, gaps]
