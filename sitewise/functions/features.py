@@ -7,6 +7,9 @@ SURVEY §2.13): clip keeps nulls, a comparison with a missing value is 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,40 +111,44 @@ def normalize_name(x: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.translate(F.trim(_c(x)), ACCENTED, PLAIN)), r"\s+", " ")
 
 
-def ensure_engineered(df: DataFrame) -> DataFrame:
-    """derive engineered features only where absent (never overwrites)."""
-    cols = set(df.columns)
-    if "poi_parks_500m" not in cols and "has_park_300m" in cols:
-        df = df.withColumn("poi_parks_500m", F.col("has_park_300m").cast("double"))
-    if "accessibility_composite" not in cols and {"walkability_score", "dist_nearest_road_m"} <= cols:
-        df = df.withColumn("accessibility_composite", accessibility_composite())
-    if "nse_high_ratio" not in cols and "nse_ab_pct" in cols:
-        df = df.withColumn("nse_high_ratio", F.col("nse_ab_pct"))
-    if "recycling_deficit" not in cols and "dist_nearest_recycling_m" in cols:
-        df = df.withColumn("recycling_deficit", recycling_deficit())
-    if "coverage_gap_index" not in cols and "recycling_deficit" in df.columns:
-        df = df.withColumn("coverage_gap_index", F.col("recycling_deficit").cast("double"))
-    return df
+@dataclass(frozen=True)
+class Derived:
+    """How one feature follows from others; ``refreshed``: a stored value may be replaced."""
 
+    output: str
+    inputs: tuple[str, ...]
+    value: Callable[[], Column]
+    refreshed: bool
 
-def recompute_engineered(df: DataFrame) -> DataFrame:
-    """Refresh derived features (overwrites three, fills two if absent).
 
-    Unlike the studied code (trap 22) a missing distance column does not make
-    the gap index fail: it is only derived when the deficit exists.
+#: F2-F7, in an order in which inputs come before what is derived from them
+DERIVED = (
+    Derived("accessibility_composite", ("walkability_score", "dist_nearest_road_m"), accessibility_composite, True),
+    Derived("nse_high_ratio", ("nse_ab_pct",), lambda: F.col("nse_ab_pct"), True),
+    Derived("recycling_deficit", ("dist_nearest_recycling_m",), recycling_deficit, True),
+    Derived("coverage_gap_index", ("recycling_deficit",), lambda: F.col("recycling_deficit").cast("double"), False),
+    Derived("poi_parks_500m", ("has_park_300m",), lambda: F.col("has_park_300m").cast("double"), False),
+)
+
+
+def with_derived(df: DataFrame, refresh: bool) -> DataFrame:
+    """Add every derived feature whose inputs exist and that is absent.
+
+    ``refresh`` also replaces the stored values of the refreshed ones (F2);
+    without it nothing is overwritten (F1).
     """
-    cols = set(df.columns)
-    new: dict[str, Column] = {}
-    if {"walkability_score", "dist_nearest_road_m"} <= cols:
-        new["accessibility_composite"] = accessibility_composite()
-    if "nse_ab_pct" in cols:
-        new["nse_high_ratio"] = F.col("nse_ab_pct")
-    if "dist_nearest_recycling_m" in cols:
-        new["recycling_deficit"] = recycling_deficit()
-    if new:
-        df = df.withColumns(new)
-    if "coverage_gap_index" not in cols and "recycling_deficit" in df.columns:
-        df = df.withColumn("coverage_gap_index", F.col("recycling_deficit").cast("double"))
-    if "poi_parks_500m" not in cols and "has_park_300m" in cols:
-        df = df.withColumn("poi_parks_500m", F.col("has_park_300m").cast("double"))
+    for d in DERIVED:
+        there = set(df.columns)
+        if there.issuperset(d.inputs) and (d.output not in there or (refresh and d.refreshed)):
+            df = df.withColumn(d.output, d.value())
     return df
+
+
+def ensure_engineered(df: DataFrame) -> DataFrame:
+    """derived features only where absent."""
+    return with_derived(df, refresh=False)
+
+
+def recompute_engineered(df: DataFrame) -> DataFrame:
+    """derived features refreshed."""
+    return with_derived(df, refresh=True)

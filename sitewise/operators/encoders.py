@@ -1,23 +1,22 @@
-"""D3 as a Pipeline stage: ordinal encoding over sorted categories, unseen → -1.
+"""Pipeline stages: derived features (F2), exact medians (D1), ordinal codes (D3).
 
-``StringIndexer`` differs on both points (unseen → k with ``keep``, numbers
-sorted as text; trap 8), so this small Estimator learns the sorted distinct
-values of the training rows (a bounded set: one row per category) and its
-Model maps a value to its 0-based position with ``array_position`` — a
-JVM-side expression, no UDF.  Both are persisted with the Pipeline.
+``Imputer`` takes the lower of two middle values, so the median stage fits the
+interpolated median from value counts.  ``StringIndexer`` numbers unseen
+categories k and sorts numbers as text (trap 8), so the encoder learns the
+sorted distinct training values and its Model joins them as a table of codes.
+All are persisted with the Pipeline.
 """
 
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
+from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 100_000
-
+from ..functions.features import with_derived
 
 class _HasCategories(Params):
     categories = Param(Params._dummy(), "categories", "sorted training categories",
@@ -36,10 +35,9 @@ class OrdinalEncoderModel(Model, HasInputCol, HasOutputCol, _HasCategories, Defa
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        cats = F.array(*[F.lit(float(c)) for c in self.getCategories()])
-        x = F.col(self.getInputCol()).cast("double")
-        code = F.when(x.isNull(), F.lit(-1.0)).otherwise(F.array_position(cats, x).cast("double") - 1.0)
-        return df.withColumn(self.getOutputCol(), code)
+        codes = df.sparkSession.createDataFrame([(float(c), float(i)) for i, c in enumerate(self.getCategories())], "_category double, _code double")
+        out = df.join(codes, F.col(self.getInputCol()).cast("double") == codes["_category"], "left")
+        return out.withColumn(self.getOutputCol(), F.coalesce("_code", F.lit(-1.0))).drop("_category", "_code")
 
 
 class OrdinalEncoder(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -51,7 +49,44 @@ class OrdinalEncoder(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable
     def _fit(self, df: DataFrame) -> OrdinalEncoderModel:
         col = self.getInputCol()
         vals = (df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v")).distinct()
-                .orderBy("v").limit(MAX_CATEGORIES + 1).collect())
-        if len(vals) > MAX_CATEGORIES:
-            raise ValueError(f"{col}: more than {MAX_CATEGORIES} categories")
+                .orderBy("v").collect())  # one row per category
         return OrdinalEncoderModel(inputCol=col, outputCol=self.getOutputCol(), categories=[r.v for r in vals])
+
+
+class DerivedFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """derived features refreshed from their inputs."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return with_derived(df, refresh=True)
+
+
+class _HasMedians(Params):
+    medians = Param(Params._dummy(), "medians", "median of each input column", typeConverter=TypeConverters.toListFloat)
+
+
+class MedianImputerModel(Model, HasInputCols, HasOutputCols, _HasMedians, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, inputCols: list[str] | None = None, outputCols: list[str] | None = None, medians: list[float] | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        filled = zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault(self.medians), strict=True)
+        return df.withColumns({o: F.coalesce(F.nanvl(F.col(i).cast("double"), F.lit(None)), F.lit(m)) for i, o, m in filled})
+
+
+class MedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Interpolated medians of the training rows, missing being null or NaN."""
+
+    @keyword_only
+    def __init__(self, inputCols: list[str] | None = None, outputCols: list[str] | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> MedianImputerModel:
+        from .prep import fit_medians
+
+        cols = self.getInputCols()
+        known = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])
+        found = fit_medians(known, cols)
+        return MedianImputerModel(inputCols=cols, outputCols=self.getOutputCols(), medians=[float(found[c]) for c in cols])

@@ -36,7 +36,8 @@ def auc(scored: DataFrame, prob: str = "prob", label: str = "label", groups: lis
         F.sum(F.col("npos") * (F.col("before") + (F.col("cnt") + 1) / 2.0)).alias("_rs"),
         F.sum("npos").alias("n_pos"), F.sum(F.col("cnt") - F.col("npos")).alias("n_neg"),
     )
-    a = (F.col("_rs") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / (F.col("n_pos") * F.col("n_neg"))
+    n_pos, n_neg = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")  # their products pass the range of a long
+    a = (F.col("_rs") - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)
     return r.select(*groups, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), a).alias("auc_roc"),
                     "n_pos", "n_neg")
 

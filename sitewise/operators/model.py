@@ -1,6 +1,6 @@
 """Model stage (D4, M1-M6, S7): a Spark ML ``Pipeline`` around ``GBTClassifier``.
 
-derive (SQLTransformer, F2) → median imputation of numeric features →
+derived features (F2) → exact median imputation of numeric features →
 mode imputation of the categorical one → ordinal encoding over its sorted
 training categories, unseen → -1 (D3) → VectorAssembler (numeric block
 first, then the categorical, as in the studied contract) → GBT with
@@ -29,26 +29,16 @@ from pyspark.sql import functions as F
 
 from ..schema import CATEGORICAL_FEATURES, RANDOM_STATE
 from ..session import cached
-from .encoders import OrdinalEncoder
+from .encoders import DerivedFeatures, MedianImputer, OrdinalEncoder
 
 # fixed values: base parameters (mapped) and the search ranges
-BASE_PARAMS = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 0.8,
+TREES, TRIALS = 500, 50
+BASE_PARAMS = {"maxIter": TREES, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 0.8,
                "featureSubsetStrategy": "all", "seed": RANDOM_STATE, "cacheNodeIds": True}
 SEARCH_SPACE = {"stepSize": (0.01, 0.15, "log"), "maxDepth": (4, 7, "int"), "minInstancesPerNode": (10, 60, "int"),
                 "subsamplingRate": (0.6, 1.0, "lin")}
 DEFAULT_THRESHOLD = 0.5
 
-DERIVE_SQL = (
-    "SELECT *, 0.6 * walkability_score + 0.4 * (1 - CASE WHEN dist_nearest_road_m IS NULL THEN NULL "
-    "ELSE least(greatest(dist_nearest_road_m / 300, 0.0), 1.0) END) AS accessibility_composite__d, "
-    "nse_ab_pct AS nse_high_ratio__d, "
-    "CAST(coalesce(dist_nearest_recycling_m >= 500, false) AS INT) AS recycling_deficit__d FROM __THIS__"
-)
-
-
-_DERIVED = {"accessibility_composite", "nse_high_ratio", "recycling_deficit"}
-
-
 class FeatureSet:
     """Model inputs: numeric features then the categorical one (model order)."""
 
@@ -67,20 +57,15 @@ def build_pipeline(fs: FeatureSet, params: dict | None = None, label: str = "lab
     p = dict(BASE_PARAMS, **(params or {}))
     if weight_col:
         p["weightCol"] = weight_col
-    derive = SQLTransformer(statement=DERIVE_SQL)
-    # the refreshed engineered features replace the stored ones (F2 overwrites)
-    src = {c: f"{c}__d" if c in _DERIVED else c for c in fs.names}
-    cast = SQLTransformer(statement="SELECT *, " + ", ".join(
-        f"CAST({src[c]} AS DOUBLE) AS {c}__x" for c in fs.names) + " FROM __THIS__")
-    num = Imputer(strategy="median", relativeError=0.0, inputCols=[f"{c}__x" for c in fs.numeric],
-                  outputCols=[f"{c}__i" for c in fs.numeric])
+    cast = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}__x" for c in fs.names) + " FROM __THIS__")
+    num = MedianImputer(inputCols=[f"{c}__x" for c in fs.numeric], outputCols=[f"{c}__i" for c in fs.numeric])
     cat = Imputer(strategy="mode", inputCols=[f"{c}__x" for c in fs.categorical],
                   outputCols=[f"{c}__i" for c in fs.categorical])
     enc = [OrdinalEncoder(inputCol=f"{c}__i", outputCol=f"{c}__e") for c in fs.categorical]
     vec = VectorAssembler(inputCols=[f"{c}__i" for c in fs.numeric] + [f"{c}__e" for c in fs.categorical],
                           outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(featuresCol="features", labelCol=label, lossType="logistic", **p)
-    return Pipeline(stages=[derive, cast, num, cat, *enc, vec, gbt])
+    return Pipeline(stages=[DerivedFeatures(), cast, num, cat, *enc, vec, gbt])
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "class_weight") -> DataFrame:
@@ -114,7 +99,7 @@ def random_grid(n: int, seed: int = RANDOM_STATE) -> list[dict]:
     return out
 
 
-def cross_validate(train: DataFrame, fs: FeatureSet, fold_col: str, trials: int = 2, parallelism: int = 8,
+def cross_validate(train: DataFrame, fs: FeatureSet, fold_col: str, trials: int = TRIALS, parallelism: int = 8,
                    label: str = "label", params: dict | None = None,
                    draws: list[dict] | None = None, early_stopping: bool = False,
                    max_seconds: float | None = None):  # noqa: ANN201

@@ -66,30 +66,47 @@ def spatial_split(df: DataFrame, group: str, k: int = 2) -> DataFrame:
         "split", F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train"))).drop("_test")
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5, max_groups: int = 100_000) -> DataFrame:
+def _deal(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Greedy dealing of ``(group size, number of groups)``, largest first.
+
+    Each group goes to the least-filled fold (the lowest one on ties).  Groups
+    of one size go round the folds that lie less than that size apart, so a
+    whole stretch is one row: (size, first rank, rank after the last, folds in turn).
+    """
+    load = [0] * k
+    out: list[tuple[int, int, int, list[int]]] = []
+    for size, many in sorted(sizes, reverse=True):
+        rank = 0
+        while rank < many:
+            turn = sorted(range(k), key=lambda i: (load[i], i))
+            low = [i for i in turn if load[i] < load[turn[0]] + size]
+            others = [load[i] for i in turn if i not in low]
+            rounds = (many - rank) // len(low)
+            if others:
+                rounds = min(rounds, (min(others) - load[low[-1]] - 1) // size + 1)
+            step, taken = (rounds * len(low), low) if rounds else (1, low[:1])
+            for i in taken:
+                load[i] += size * max(rounds, 1)
+            out.append((size, rank, rank + step, taken))
+            rank += step
+    return out
+
+
+def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Groups never split; largest group first to the least-filled fold.
 
-    The greedy pass is sequential but runs over group counts only (one row
-    per group, bounded by ``max_groups``); past that bound groups are dealt
-    in snake order of their size rank, a distributed approximation.
+    The greedy rule runs over the histogram (group size, number of groups): n
+    rows have at most about sqrt(2n) different group sizes, however many groups
+    there are.  A group finds its fold by its rank, in order of its id, among
+    the groups of its size.
     """
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if counts.limit(max_groups + 1).count() <= max_groups:
-        rows = counts.collect()
-        rows.sort(key=lambda r: (-r["n"], r[group]))
-        load = [0] * k
-        assign = []
-        for r in rows:
-            f = min(range(k), key=lambda i: (load[i], i))
-            load[f] += r["n"]
-            assign.append((r[group], f))
-        gtype = df.schema[group].dataType.simpleString()
-        table = df.sparkSession.createDataFrame(assign, f"`{group}` {gtype}, fold int")
-        return table
-    ranked = ranking.row_numbers(counts.withColumn("_neg", -F.col("n")), ["_neg", group], "_r")
-    r0 = F.col("_r") - 1
-    fold = F.when((F.floor(r0 / k) % 2) == 0, r0 % k).otherwise(k - 1 - r0 % k)
-    return ranked.select(group, fold.cast("int").alias("fold"))
+    sizes = [(r["n"], r["m"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()]
+    dealt = df.sparkSession.createDataFrame(_deal(sizes, k), "n long, first long, after long, turn array<int>")
+    ranked = ranking.row_numbers(counts, [group], "_r", groups=["n"]).withColumn("_r", F.col("_r") - 1)
+    found = ranked.join(dealt, "n").where((F.col("_r") >= F.col("first")) & (F.col("_r") < F.col("after")))
+    turn = F.element_at("turn", ((F.col("_r") - F.col("first")) % F.size("turn") + 1).cast("int"))
+    return found.select(group, turn.alias("fold"))
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:

@@ -61,7 +61,7 @@ def distinct_counts(df: DataFrame, features: list[str], approx: bool = False) ->
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """A2 / A3: counts per value, null kept as its own group, with share."""
     vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, no single-partition window
+    total = vc.agg(F.sum("count")).scalar()  # scalar subquery over the counts, no single-partition window
     return vc.withColumn("share", F.round(F.col("count") / total, 6))
 
 
@@ -71,12 +71,14 @@ def crosstab(df: DataFrame, group: str, target: str, classes: tuple = (0, 1)) ->
     return df.groupBy(group).agg(*aggs)
 
 
-def target_correlations(df: DataFrame, features: list[str], target: str, spearman: bool = True) -> DataFrame:
+def target_correlations(df: DataFrame, features: list[str], target: str, spearman: bool = True,
+                        unique: bool = False) -> DataFrame:
     """A10 + A11 + A15: per feature, over pairwise-complete rows.
 
     pearson / spearman are NULL when fewer than 3 valid pairs, fewer than 2
     distinct feature values, or a constant target among the valid pairs.
-    Also: n_valid, missing, unique_values, mean_when_target_0/1.
+    Also: n_valid, missing, mean_when_target_0/1, and unique_values where
+    ``unique`` asks for it (exact distinct counts shuffle all values).
     """
     lf = long_form(df, features, [target], keep_nulls=True)
     lf = lf.withColumn("t", F.col(target).cast("double"))
@@ -85,14 +87,14 @@ def target_correlations(df: DataFrame, features: list[str], target: str, spearma
     stats = lf.groupBy("feature").agg(
         F.count(x).alias("n_valid"),
         F.count(F.when(F.col("value").isNull(), 1)).alias("missing"),
-        F.countDistinct("value").alias("unique_values"),
-        F.countDistinct(x).alias("_ux"),
+        (F.countDistinct("value") if unique else F.lit(None).cast("long")).alias("unique_values"),
+        F.min(x).alias("_xmin"), F.max(x).alias("_xmax"),
         F.min(t).alias("_tmin"), F.max(t).alias("_tmax"),
         F.covar_pop(x, t).alias("_c"), F.var_pop(x).alias("_vx"), F.var_pop(t).alias("_vt"),
         F.avg(F.when(valid & (F.col("t") == 0), F.col("value"))).alias("mean_when_target_0"),
         F.avg(F.when(valid & (F.col("t") == 1), F.col("value"))).alias("mean_when_target_1"),
     )
-    ok = (F.col("n_valid") >= 3) & (F.col("_ux") >= 2) & (F.col("_tmin") != F.col("_tmax"))
+    ok = (F.col("n_valid") >= 3) & (F.col("_xmin") != F.col("_xmax")) & (F.col("_tmin") != F.col("_tmax"))
     stats = stats.withColumn("pearson_vs_target", F.when(ok, pearson("_c", "_vx", "_vt")))
     if not spearman:
         return stats.select(
@@ -170,7 +172,7 @@ def iqr_outliers(df: DataFrame, features: list[str], k: float = IQR_K) -> DataFr
     """Per feature, strict fences q1 - k·IQR / q3 + k·IQR; count and % outside."""
     lf = long_form(df, features)
     q = ranking.quantiles(lf, ["feature"], "value", [0.25, 0.75], ["q1", "q3"])
-    q = q.withColumns({"lower_fence": F.col("q1") - k * (F.col("q3") - F.col("q1")),
+    q = q.withColumns({c: F.round(c, 9) for c in ("q1", "q3")}).withColumns({"lower_fence": F.col("q1") - k * (F.col("q3") - F.col("q1")),
                        "upper_fence": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
     j = lf.join(F.broadcast(q), "feature")  # one row per feature: bounded by the feature list
     return j.groupBy("feature", "lower_fence", "upper_fence").agg(
@@ -204,7 +206,7 @@ def box_stats(df: DataFrame, features: list[str], target: str, k: float = IQR_K)
     """Per (feature, class): quartiles, whiskers (furthest value inside the fences), fliers."""
     lf = long_form(df, features, [target]).where(F.col(target).isNotNull())
     q = ranking.quantiles(lf, ["feature", target], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    q = q.withColumns({"_lo": F.col("q1") - k * (F.col("q3") - F.col("q1")),
+    q = q.withColumns({c: F.round(c, 9) for c in ("q1", "median", "q3")}).withColumns({"_lo": F.col("q1") - k * (F.col("q3") - F.col("q1")),
                        "_hi": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
     j = lf.join(F.broadcast(q), ["feature", target])
     inside = (F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))

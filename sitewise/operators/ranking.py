@@ -7,10 +7,13 @@ pass then runs over distinct values:
 * when every group has at most ``max_window`` distinct values, one window
   partitioned by the group computes running counts (each task holds one
   group's distinct values — bounded by the check);
-* otherwise the counts are range-partitioned on (group, value), each
-  partition totals its rows per group (≤ partitions × groups rows, collected
-  and turned into offsets), and running counts inside a partition plus the
-  offset of all earlier partitions give the global position.
+* otherwise the counts are range-partitioned on (group, value) and written
+  with their partition number, so that numbers never depend on a cache or on
+  how a plan is recomputed; each partition totals its rows per group, and
+  running counts inside a partition plus the offset of all earlier partitions
+  (a window over one row per partition and group) give the global position.
+
+Both give the same rows; null is a group of its own.
 
 ``before`` is the number of rows of the group strictly before the value,
 ``n`` the group's row count.  Average rank of a value = before + (cnt+1)/2.
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cached
+from ..session import cached, written
 
 DEFAULT_MAX_WINDOW = 2_000_000
 
@@ -52,68 +55,29 @@ def positions(vc: DataFrame, groups: list[str], value: str, max_window: int = DE
     return _positions_by_range(vc, groups, value)
 
 
+def _in_ranges(df: DataFrame, groups: list[str], order: list[str], weight: Column) -> DataFrame:
+    """Range-partitioned rows with ``_pid``, ``_off`` (weight of the group's earlier
+    partitions) and ``_all`` (weight of the group)."""
+    r = written(df.repartitionByRange(*groups, *order).withColumn("_pid", F.spark_partition_id()), "ranges")
+    totals = r.groupBy("_pid", *groups).agg(F.sum(weight).alias("_t"))
+    group = Window.partitionBy(*groups)
+    earlier = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_pid", *groups, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"), F.sum("_t").over(group).alias("_all"))
+    same = F.col("r._pid") == F.col("t._pid")
+    for g in groups:
+        same = same & F.col(f"r.`{g}`").eqNullSafe(F.col(f"t.`{g}`"))
+    return r.alias("r").join(totals.alias("t"), same).select("r.*", "t._off", "t._all")
+
+
 def _positions_by_range(vc: DataFrame, groups: list[str], value: str) -> DataFrame:
-    spark = vc.sparkSession
-    # no explicit count: AQE may coalesce the range partitions; ids are read
-    # after the (persisted) shuffle, so totals and offsets agree
-    r = cached(vc.repartitionByRange(*groups, value).withColumn("_pid", F.spark_partition_id()))
-    tot = r.groupBy("_pid", *groups).agg(F.sum("cnt").alias("_t")).collect()
-    # offsets of earlier partitions per group, and the group totals
-    running: dict[tuple, int] = {}
-    rows = []
-    for row in sorted(tot, key=lambda x: x["_pid"]):
-        g = tuple(row[c] for c in groups)
-        rows.append((*g, row["_pid"], running.get(g, 0)))
-        running[g] = running.get(g, 0) + row["_t"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in vc.schema.fields if f.name in groups]
-                       + ["_pid int", "_off long"])
-    off = spark.createDataFrame(rows, schema)
-    totals = spark.createDataFrame([(*g, n) for g, n in running.items()],
-                                   ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in vc.schema.fields
-                                              if f.name in groups] + ["n long"]))
     w = Window.partitionBy("_pid", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    # offsets and totals are driver-built local tables: Spark knows their exact
-    # size and broadcasts them only under the size threshold
-    out = r.join(off, ["_pid", *groups], "left").withColumn(
-        "before", F.coalesce(F.sum("cnt").over(w), F.lit(0)) + F.col("_off"))
-    if groups:
-        out = out.join(totals, groups, "left")
-    else:
-        out = out.withColumn("n", F.lit(running.get((), 0)).cast("long"))
-    return out.drop("_pid", "_off")
-
-
-def _split(x: Column) -> tuple[Column, Column]:
-    """Dekker split of a double into high and low halves (exact)."""
-    c = F.lit(134217729.0) * x  # 2**27 + 1
-    hi = c - (c - x)
-    return hi, x - hi
-
-
-def fma(a: Column, b: Column, c: Column) -> Column:
-    """a·b + c with a single rounding, from error-free transformations.
-
-    The product's rounding error comes from Dekker's two-product and the
-    sum's from Knuth's two-sum; adding both corrections before the last
-    rounding gives the correctly rounded result (barring double-rounding
-    ties).  The JVM never fuses a multiply-add on its own, so every step
-    here is a plain IEEE operation.
-    """
-    p = a * b
-    ah, al = _split(a)
-    bh, bl = _split(b)
-    e = ((ah * bh - p) + ah * bl + al * bh) + al * bl
-    s = p + c
-    bb = s - p
-    t = (p - (s - bb)) + (c - bb)
-    return s + (t + e)
+    out = _in_ranges(vc, groups, [value], F.col("cnt"))
+    return out.withColumns({"before": F.coalesce(F.sum("cnt").over(w), F.lit(0)) + F.col("_off"), "n": F.col("_all")}).drop("_pid", "_off", "_all")
 
 
 def quantile_aggs(probs: list[float], value: str = "value", names: list[str] | None = None) -> list[Column]:
     """Aggregates over ``positions`` output giving linear-interpolated quantiles
-    at position p·(n-1): lo·(1-d) + hi·d with the first product fused into
-    the addition (one rounding), bit-identical to the SQL engine used as the
-    oracle (its ``quantile_cont`` is compiled that way)."""
+    at position p·(n-1)."""
     out = []
     for i, p in enumerate(probs):
         pos = F.lit(p) * (F.col("n") - 1)
@@ -122,7 +86,7 @@ def quantile_aggs(probs: list[float], value: str = "value", names: list[str] | N
         vlo = F.min(F.when(at(lo), F.col(value)))
         vhi = F.min(F.when(at(hi), F.col(value)))
         frac = F.first(pos - lo)
-        val = F.when(F.first(hi == lo), vlo).otherwise(fma(vlo, F.lit(1.0) - frac, vhi * frac))
+        val = F.when(F.first(hi == lo), vlo).otherwise(vlo + (vhi - vlo) * frac)
         out.append(val.alias(names[i] if names else f"q{p}"))
     return out
 
@@ -160,23 +124,8 @@ def row_numbers(df: DataFrame, order: list[str], out: str = "seq", groups: list[
     """P13 / trap 12: consecutive 1-based row numbers in a total order (per
     group when ``groups`` is given), without pulling a group into one task.
 
-    ``order`` must be unique within a group.  Rows are range-partitioned on
-    (groups, order); the row counts per (partition, group) — at most
-    partitions × groups rows — give the offsets of earlier partitions.
+    ``order`` must be unique within a group.  Null is a group of its own.
     """
     groups = groups or []
-    spark = df.sparkSession
-    r = cached(df.repartitionByRange(*groups, *order).withColumn("_pid", F.spark_partition_id()))
-    counts = sorted(r.groupBy("_pid", *groups).count().collect(), key=lambda x: x["_pid"])
-    off, run = [], {}
-    for c in counts:
-        g = tuple(c[k] for k in groups)
-        off.append((*g, c["_pid"], run.get(g, 0)))
-        run[g] = run.get(g, 0) + c["count"]
-    gtypes = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups]
-    gtypes = [next(t for t in gtypes if t.startswith(f"`{g}`")) for g in groups]
-    offs = spark.createDataFrame(off, ", ".join(gtypes + ["_pid int", "_off long"]))
     w = Window.partitionBy("_pid", *groups).orderBy(*order)
-    return (r.join(offs, ["_pid", *groups], "left")
-            .withColumn(out, F.row_number().over(w) + F.col("_off"))
-            .drop("_pid", "_off"))
+    return _in_ranges(df, groups, order, F.lit(1)).withColumn(out, F.row_number().over(w) + F.col("_off")).drop("_pid", "_off", "_all")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def top_n(df: DataFrame, n: int, score: str = "suitability_score", seq: str = "candidate_id") -> DataFrame:
     """K1: rank by score desc (nulls last), ties by ``seq``, keep the first ``n``."""
@@ -31,7 +33,10 @@ def top_n_per_group(df: DataFrame, n: int, group: str, score: str = "suitability
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def batch_ids(df: DataFrame, id_col: str = "candidate_id", seq: str = "seq") -> DataFrame:
-    """Id defaults to ``candidate_id``, else the row position (``seq``, when given)."""
-    fallback = F.col(seq).cast("string") if seq in df.columns else F.lit(None).cast("string")
-    return df.withColumn("zone_id", F.coalesce(F.col(id_col).cast("string"), fallback))
+def batch_ids(df: DataFrame, id_col: str = "candidate_id", order: str = "seq") -> DataFrame:
+    """``zone_id`` is the record's id, else its position from 0 in ``order`` (if there)."""
+    given = F.col(id_col).cast("string")
+    if order == id_col or order not in df.columns:
+        return df.withColumn("zone_id", given)
+    numbered = ranking.row_numbers(df, [order], "_position")
+    return numbered.withColumn("zone_id", F.coalesce(given, (F.col("_position") - 1).cast("string"))).drop("_position")

@@ -30,13 +30,7 @@ def zone_features(zones: DataFrame, points: DataFrame, skew_rows: int | None = s
 
 def derive(df: DataFrame) -> DataFrame:
     """F3, F4, F5, F6 on a zone feature table."""
-    return df.withColumns(
-        {
-            "accessibility_composite": fx.accessibility_composite(),
-            "nse_high_ratio": F.col("nse_ab_pct"),
-            "recycling_deficit": fx.recycling_deficit(),
-        }
-    ).withColumn("coverage_gap_index", F.col("recycling_deficit").cast("double"))
+    return fx.with_derived(df, refresh=True)
 
 
 def score_zones(df: DataFrame, threshold: float = RECOMMEND_THRESHOLD) -> DataFrame:

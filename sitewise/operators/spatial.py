@@ -11,8 +11,7 @@ Scale measures:
   before they are copied and shuffled, so duplicates never multiply the join;
 * hot buckets (one bucket may hold a third of all zones) are split by a salt
   on the zone side and the matching point buckets are replicated per salt;
-  the hot-bucket table has at most ``n_zones / skew_rows`` rows, checked
-  before it is broadcast;
+  the hot-bucket table is joined as a frame;
 * aggregation after the join groups by the join keys plus the zone columns,
   so it reuses the join's hash partitioning instead of shuffling again;
 * nearest neighbour doubles the radius for the zones still unresolved
@@ -33,7 +32,6 @@ from ..session import cached
 # distance r cannot fall two buckets away through floating-point rounding
 _PAD = 1.0 + 1e-9
 DEFAULT_SKEW_ROWS = 2_000_000
-MAX_HOT_BUCKETS = 100_000
 
 
 def point_locations(points: DataFrame, pid: str = "point_id", lat: str = "lat", lon: str = "lon",
@@ -46,22 +44,12 @@ def point_locations(points: DataFrame, pid: str = "point_id", lat: str = "lat",
     )
 
 
-def _hot_buckets(zb: DataFrame, skew_rows: int) -> DataFrame | None:
-    """Buckets holding more than ``skew_rows`` zones, with their salt count.
-
-    The result has at most n_zones / skew_rows rows; that bound is checked
-    (and the collect is of that bounded size) before it is broadcast.
-    """
-    hot = (
+def _hot_buckets(zb: DataFrame, skew_rows: int) -> DataFrame:
+    """Buckets holding more than ``skew_rows`` zones, with their salt count."""
+    return (
         zb.groupBy("bx", "by").count().where(F.col("count") > F.lit(skew_rows))
         .select("bx", "by", F.ceil(F.col("count") / F.lit(skew_rows)).cast("int").alias("nsalt"))
     )
-    rows = hot.limit(MAX_HOT_BUCKETS + 1).collect()
-    if not rows:
-        return None
-    if len(rows) > MAX_HOT_BUCKETS:
-        raise ValueError("too many hot buckets; raise skew_rows")
-    return zb.sparkSession.createDataFrame(rows, "bx long, by long, nsalt int")
 
 
 def _bucketed(zones: DataFrame, locs: DataFrame, size_km: float, zlat: str, zlon: str,
@@ -77,10 +65,9 @@ def _bucketed(zones: DataFrame, locs: DataFrame, size_km: float, zlat: str, zlon
         .withColumns({"bx": F.col("cx") + F.col("dx"), "by": F.col("cy") + F.col("dy")})
         .drop("cx", "cy", "dx", "dy")
     )
-    hot = _hot_buckets(zb, skew_rows) if skew_rows else None
-    if hot is None:
+    if not skew_rows:
         return zb.withColumn("salt", F.lit(0)), pb.withColumn("salt", F.lit(0))
-    hb = F.broadcast(hot)
+    hb = _hot_buckets(zb, skew_rows)  # few rows: the planner broadcasts them once it knows their size
     zb = zb.join(hb, ["bx", "by"], "left").withColumn(
         "salt", F.pmod(F.xxhash64(*[F.col(c) for c in zones.columns]), F.coalesce("nsalt", F.lit(1))).cast("int")
     ).drop("nsalt")
@@ -103,6 +90,7 @@ def radius_aggregate(zones: DataFrame, locs: DataFrame, r_km: float, aggs: list[
     """
     zcols = zones.columns
     zb, pb = _bucketed(zones, locs, r_km, zlat, zlon, skew_rows)
+    zb = zb.withColumn("_row", F.monotonically_increasing_id())  # equal zone rows stay apart in the grouping
     if prune_points:
         pb = pb.join(zb.select("bx", "by").distinct(), ["bx", "by"], "left_semi")
     zb, pb = zb.alias("z"), pb.alias("p")
@@ -112,11 +100,11 @@ def radius_aggregate(zones: DataFrame, locs: DataFrame, r_km: float, aggs: list[
     cond = (z("bx") == p("bx")) & (z("by") == p("by")) & (z("salt") == p("salt")) & within
     pcols = [c for c in pb.columns if c not in ("bx", "by", "salt") and c not in zcols]
     joined = zb.join(pb, cond, "left").select(
-        z("bx").alias("bx"), z("by").alias("by"), z("salt").alias("salt"), *[z(c).alias(c) for c in zcols],
+        z("bx").alias("bx"), z("by").alias("by"), z("salt").alias("salt"), z("_row").alias("_row"), *[z(c).alias(c) for c in zcols],
         *[p(c).alias(c) for c in pcols],
         F.when(p("plat").isNotNull(), dist).alias("dist_km"),
     )
-    return joined.groupBy("bx", "by", "salt", *zcols).agg(*aggs).drop("bx", "by", "salt")
+    return joined.groupBy("bx", "by", "salt", "_row", *zcols).agg(*aggs).drop("bx", "by", "salt", "_row")
 
 
 def count_within(zones: DataFrame, points: DataFrame, r_km: float, out: str = "n_within",
@@ -182,8 +170,7 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
     to ``min_r0_km`` (the first round's radius is at least that); this fuses
     e.g. the 500 m count into the same join.
 
-    ``zones`` must have a unique key among its columns (rows are grouped by
-    all of them).  ``self_exclude``: the zones are the points themselves; a
+    ``self_exclude``: the zones are the points themselves; a
     row's own location is skipped unless another point shares it (then the
     distance is 0).  Zones get NULL when there are no points at all.
     """

@@ -110,7 +110,7 @@ SCORE_RATE = 0.35
     with_views(ZONE_FEATURES_SQL)
     + """,
 s AS (SELECT candidate_id, round(prob_optimal, 4) AS suitability_score FROM scored),
-c AS (SELECT quantile_cont(suitability_score, 0.65) AS cutoff FROM s)
+c AS (SELECT round(quantile_cont(suitability_score, 0.65), 9) AS cutoff FROM s)
 SELECT candidate_id, CAST(coalesce(suitability_score >= cutoff, false) AS INTEGER) AS is_optimal,
        round(cutoff, 6) AS score_cutoff FROM s, c""",
 )
@@ -138,7 +138,7 @@ def bernoulli_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(ZONE_FEATURES_SQL)
     + """,
 s AS (SELECT candidate_id AS zone_key, district_id, round(prob_optimal, 4) AS suitability_score FROM scored),
-c AS (SELECT quantile_cont(suitability_score, 0.65) AS cutoff FROM s)
+c AS (SELECT round(quantile_cont(suitability_score, 0.65), 9) AS cutoff FROM s)
 SELECT printf('ECO-SIM-V03-%04d', row_number() OVER (ORDER BY zone_key)) AS candidate_id,
        row_number() OVER (ORDER BY zone_key) - 1 AS zone_id, zone_key, district_id, suitability_score,
        CAST(coalesce(suitability_score >= cutoff, false) AS INTEGER) AS is_optimal,
@@ -159,7 +159,7 @@ def labelled_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(ZONE_FEATURES_SQL)
     + """,
 s AS (SELECT candidate_id, district_id, round(prob_optimal, 4) AS suitability_score FROM scored),
-c AS (SELECT quantile_cont(suitability_score, 0.65) AS cutoff FROM s),
+c AS (SELECT round(quantile_cont(suitability_score, 0.65), 9) AS cutoff FROM s),
 l AS (SELECT s.*, CAST(coalesce(suitability_score >= cutoff, false) AS INTEGER) AS is_optimal, cutoff FROM s, c)
 SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT district_id) AS BIGINT) AS districts,
        CAST(count(*) FILTER (WHERE is_optimal = 1) AS BIGINT) AS n_pos,

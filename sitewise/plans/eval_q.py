@@ -93,12 +93,23 @@ def ordinal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.apply_ordinal(e, "n_name", codes, "district_code").select("candidate_id", "district_code")
 
 
-@query("group_folds", "D6")
+@query(
+    "group_folds",
+    "D6",
+    "WITH RECURSIVE" + EDA_SQL.removeprefix("WITH") + """,
+g AS (SELECT district_id, n, row_number() OVER (ORDER BY n DESC, district_id) AS i FROM (SELECT district_id, count(*) AS n FROM eda GROUP BY district_id)),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, CAST(NULL AS INTEGER) AS fold, CAST(0 AS BIGINT) AS n
+  UNION ALL
+  SELECT g.i, list_transform(r.load, lambda x, j: x + CASE WHEN j = list_position(r.load, list_min(r.load)) THEN g.n ELSE 0 END),
+         CAST(list_position(r.load, list_min(r.load)) - 1 AS INTEGER), g.n
+  FROM r JOIN g ON g.i = r.i + 1)
+SELECT fold, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS groups FROM r WHERE i > 0 GROUP BY fold""",
+)
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy largest-first group → fold assignment (sequential: no SQL twin)."""
     e = eda_table(spark, sf_dir)
     folds = prep.group_folds(e, "district_id", 5)
-    return e.join(F.broadcast(folds), "district_id", "left").groupBy("fold").agg(
+    return e.join(folds, "district_id", "left").groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("district_id").alias("groups"))
 
 

@@ -18,7 +18,8 @@ from ..operators import evaluate as ev
 from ..operators import explain as xp
 from ..operators import model as mdl
 from ..operators import prep, recommend
-from ..session import cached, ensure_checkpoint_dir
+from ..session import cached, ensure_checkpoint_dir, written
+from ..sources.materialize import source_key
 from .profile_q import eda_table
 from .registry import query
 
@@ -28,27 +29,36 @@ MODEL_FEATURES = mdl.FeatureSet([
     "nse_high_ratio", "recycling_deficit",
 ])
 MODEL_NAME = "gbt_suitability"
+# Boosting in Spark runs several jobs per tree, so the registered queries fit fewer
+# trees and trials than the operators' defaults (README, "Known limits").
+QUERY_PARAMS = {"maxIter": 20}
+QUERY_TRIALS, QUERY_TRIAL_PARAMS = 2, {"maxIter": 10}
 _MEMO: dict[tuple[str, str], dict] = {}
 
 
-def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = eda_table(spark, sf_dir).where(F.col("is_optimal").isNotNull())
+def scoring_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every zone, labelled or not; ``split`` says whether its district is held out."""
+    e = eda_table(spark, sf_dir)
     return prep.spatial_split(e, "district_id", 2).withColumn("label", F.col("is_optimal").cast("double"))
 
 
+def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring_frame(spark, sf_dir).where(F.col("label").isNotNull())
+
+
 def fitted(spark: SparkSession, sf_dir: str) -> dict:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, source_key(spark, [f"{sf_dir}/{t}.parquet" for t in ("customer", "supplier", "nation", "region")], MODEL_NAME))
     if key in _MEMO:
         return _MEMO[key]
-    data = training_frame(spark, sf_dir).persist()
-    data.count()  # materialise once: the boosting iterations re-read it
+    every = written(scoring_frame(spark, sf_dir), "model-zones")  # the boosting iterations re-read it
+    data = every.where(F.col("label").isNotNull())
     train = data.where(F.col("split") == "train")
-    model = mdl.build_pipeline(MODEL_FEATURES).fit(train)
+    model = mdl.build_pipeline(MODEL_FEATURES, QUERY_PARAMS).fit(train)
     test = model.transform(data.where(F.col("split") == "test")).withColumn("prob", mdl.prob_col())
     sweep = ev.threshold_sweep(test, "f1").where("is_best").first()  # trap 18: tuned on held-out rows
     meta = {"model_name": MODEL_NAME, "target": "is_optimal", "serving_threshold": float(sweep["threshold"]),
-            "feature_names": MODEL_FEATURES.names, "params": mdl.BASE_PARAMS}
-    out = {"model": model, "meta": meta, "data": data}
+            "feature_names": MODEL_FEATURES.names, "params": {**mdl.BASE_PARAMS, **QUERY_PARAMS}}
+    out = {"model": model, "meta": meta, "data": data, "every": every}
     _MEMO[key] = out
     return out
 
@@ -83,7 +93,7 @@ def tree_table(spark: SparkSession, sf_dir: str) -> xp.Trees:
 
 def _scored(spark: SparkSession, sf_dir: str, split: str | None = "test") -> DataFrame:
     f = fitted(spark, sf_dir)
-    d = f["data"] if split is None else f["data"].where(F.col("split") == split)
+    d = f["every"] if split is None else f["data"].where(F.col("split") == split)
     return f["model"].transform(d).withColumn("prob", mdl.prob_col())
 
 
@@ -113,9 +123,8 @@ def cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random search over GBT parameters, CV over the whole Pipeline with group folds."""
     data = training_frame(spark, sf_dir).where(F.col("split") == "train")
     folds = prep.group_folds(data, "district_id", 5)
-    data = data.join(F.broadcast(folds), "district_id", "left")
-    best, res = mdl.cross_validate(data, MODEL_FEATURES, "fold", trials=2, params={"maxIter": 10},
-                                   early_stopping=True, max_seconds=600)
+    data = data.join(folds, "district_id", "left")
+    best, res = mdl.cross_validate(data, MODEL_FEATURES, "fold", trials=QUERY_TRIALS, params=QUERY_TRIAL_PARAMS, early_stopping=True)
     rows = [(i, json.dumps(p, sort_keys=True), m, s, p == best) for i, (p, m, s) in enumerate(res)]
     return spark.createDataFrame(rows, "trial int, params string, cv_auc_mean double, cv_auc_std double, best boolean")
 
@@ -126,8 +135,8 @@ def cv_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     Pipeline refitted per fold; mean and population std of the fold AUCs."""
     data = training_frame(spark, sf_dir).where(F.col("split") == "train")
     folds = prep.group_folds(data, "district_id", 5)
-    data = data.join(F.broadcast(folds), "district_id", "left")
-    _, res = mdl.cross_validate(data, MODEL_FEATURES, "fold", draws=[{}])
+    data = data.join(folds, "district_id", "left")
+    _, res = mdl.cross_validate(data, MODEL_FEATURES, "fold", draws=[{}], params=QUERY_PARAMS)
     _, mean, std = res[0]
     return spark.createDataFrame([(5, mean, std)], "n_folds int, cv_auc_mean double, cv_auc_std double")
 
@@ -135,7 +144,7 @@ def cv_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("batch_score", "M19 M5")
 def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     thr = mdl.serving_threshold(fitted(spark, sf_dir)["meta"])
-    s = recommend.batch_ids(_scored(spark, sf_dir, None))
+    s = recommend.batch_ids(_scored(spark, sf_dir, None), order="candidate_id")
     return s.select("zone_id", F.round("prob", 4).alias("suitability_score"),
                     (F.col("prob") >= thr).alias("is_recommended"))
 
@@ -154,7 +163,7 @@ def model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reload the persisted model; report its metadata and check it scores the same."""
     f = persisted(spark, sf_dir)
     model, meta = mdl.load(f["path"])
-    d = f["data"].where(F.col("split") == "test")
+    d = f["every"]
     a = model.transform(d).select("candidate_id", mdl.prob_col().alias("p1"))
     b = f["model"].transform(d).select("candidate_id", mdl.prob_col().alias("p2"))
     same = a.join(b, "candidate_id").agg(F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_diff"))
@@ -169,7 +178,7 @@ def explain_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fitted(spark, sf_dir)
     trees = tree_table(spark, sf_dir)
     thr = mdl.serving_threshold(f["meta"])
-    s = _scored(spark, sf_dir).withColumns({"zone_id": F.col("candidate_id").cast("string"),
+    s = _scored(spark, sf_dir, None).withColumns({"zone_id": F.col("candidate_id").cast("string"),
                                             "suitability_score": F.round("prob", 4),
                                             "is_recommended": F.col("prob") >= thr})
     out = xp.explain(s, trees, MODEL_FEATURES.names, ["zone_id", "suitability_score", "is_recommended"])
@@ -180,7 +189,7 @@ def explain_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scoring of ``batch_score`` as an ``availableNow`` file stream.
 
-    The held-out zone rows (derived from the given tables) are written as
+    All zone rows (derived from the given tables) are written as
     files into the shared checkpoint folder and consumed as a stream.
     """
     import uuid
@@ -189,7 +198,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     f = fitted(spark, sf_dir)
     base = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
-    src = f["data"].where(F.col("split") == "test").drop("split", "label")
+    src = f["every"].drop("split", "label")
     src.write.mode("overwrite").parquet(f"{base}/in")
     score_stream(spark, f"{base}/in", src.schema, f["model"], mdl.serving_threshold(f["meta"]),
                  f"{base}/out", f"{base}/chk")
@@ -213,10 +222,9 @@ def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab, cutoff = ds.simulated_dataset(s, 0.35, "candidate_id")
     data = cached(prep.spatial_split(lab, "district_id", 2).withColumn("label", F.col("is_optimal").cast("double")))
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-    model = mdl.build_pipeline(MODEL_FEATURES).fit(train)
+    model = mdl.build_pipeline(MODEL_FEATURES, QUERY_PARAMS).fit(train)
     folds = prep.group_folds(train, "district_id", 5)
-    _, cv = mdl.cross_validate(train.join(F.broadcast(folds), "district_id", "left"), MODEL_FEATURES, "fold",
-                               draws=[{}])
+    _, cv = mdl.cross_validate(train.join(folds, "district_id", "left"), MODEL_FEATURES, "fold", draws=[{}], params=QUERY_PARAMS)
     scored = cached(model.transform(test).withColumn("prob", mdl.prob_col()))
     thr = float(ev.threshold_sweep(scored, "f1").where("is_best").first()["threshold"])
     a = ev.auc(scored).first()["auc_roc"]

@@ -50,12 +50,13 @@ def _r6(cols: list[str]) -> list:
     "A6",
     EDA_SQL + f"""
 SELECT feature, CAST(count(value) AS BIGINT) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
-       round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
-       round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max
+       round(min(value), 6) AS min, round(round(quantile_cont(value, 0.25), 9), 6) AS p25, round(round(quantile_cont(value, 0.5), 9), 6) AS p50,
+       round(round(quantile_cont(value, 0.75), 9), 6) AS p75, round(max(value), 6) AS max
 FROM {_long_sql(EDA_FEATURES)} GROUP BY feature""",
 )
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = profile.describe(eda_table(spark, sf_dir), EDA_FEATURES)
+    d = d.withColumns({c: F.round(c, 9) for c in ("p25", "p50", "p75")})  # interpolation noise must not decide a tie
     return d.select("feature", "count", *_r6(["mean", "std", "min", "p25", "p50", "p75", "max"]))
 
 
@@ -220,7 +221,7 @@ def weak_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     "A16",
     EDA_SQL + f""",
 lf AS (SELECT feature, value FROM {_long_sql(NUMERIC_EDA)}),
-q AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM lf GROUP BY feature),
+q AS (SELECT feature, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.75), 9) AS q3 FROM lf GROUP BY feature),
 f AS (SELECT feature, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
 SELECT lf.feature, CAST(count(*) FILTER (WHERE value < lo OR value > hi) AS BIGINT) AS n_outliers,
        round(count(*) FILTER (WHERE value < lo OR value > hi) / count(*) * 100, 2) AS pct_outliers,
@@ -231,14 +232,14 @@ def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.iqr_outliers(eda_table(spark, sf_dir), NUMERIC_EDA)
 
 
-HIST_FEATURES = ["population_density", "nse_ab_pct", "dist_nearest_recycling_m", "accessibility_composite"]
+BOX_FEATURES = 12
 
 
 @query(
     "class_histogram",
     "A17",
     EDA_SQL + f""",
-lf AS (SELECT feature, value, is_optimal FROM {_long_sql(HIST_FEATURES, ['is_optimal'])} WHERE is_optimal IS NOT NULL),
+lf AS (SELECT feature, value, is_optimal FROM {_long_sql(NUMERIC_EDA, ['is_optimal'])} WHERE is_optimal IS NOT NULL),
 rg AS (SELECT feature, is_optimal, min(value) AS lo, max(value) AS hi, count(*) AS n FROM lf GROUP BY feature, is_optimal),
 b AS (SELECT lf.feature, lf.is_optimal, n,
              CASE WHEN hi > lo THEN (hi - lo) / 30 ELSE 1.0 / 30 END AS width,
@@ -249,16 +250,20 @@ SELECT feature, is_optimal, bin, CAST(count(*) AS BIGINT) AS count, round(count(
 FROM b GROUP BY feature, is_optimal, bin""",
 )
 def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.class_histogram(eda_table(spark, sf_dir), HIST_FEATURES, TARGET)
+    return profile.class_histogram(eda_table(spark, sf_dir), NUMERIC_EDA, TARGET)
 
 
 @query(
     "box_stats",
     "A18",
     EDA_SQL + f""",
-lf AS (SELECT feature, value, is_optimal FROM {_long_sql(HIST_FEATURES, ['is_optimal'])} WHERE is_optimal IS NOT NULL),
-q AS (SELECT feature, is_optimal, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
-             quantile_cont(value, 0.75) AS q3 FROM lf GROUP BY feature, is_optimal),
+every AS (SELECT feature, value, is_optimal FROM {_long_sql(NUMERIC_EDA, ['is_optimal'])} WHERE is_optimal IS NOT NULL),
+strongest AS (SELECT feature FROM (SELECT feature, CASE WHEN var_pop(value) * var_pop(is_optimal) > 0
+                THEN round(abs(covar_pop(value, is_optimal) / sqrt(var_pop(value) * var_pop(is_optimal))), 6) END AS r FROM every GROUP BY feature)
+              ORDER BY r DESC NULLS LAST, feature LIMIT {BOX_FEATURES}),
+lf AS (SELECT * FROM every WHERE feature IN (SELECT feature FROM strongest)),
+q AS (SELECT feature, is_optimal, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.5), 9) AS median,
+             round(quantile_cont(value, 0.75), 9) AS q3 FROM lf GROUP BY feature, is_optimal),
 j AS (SELECT lf.*, q.q1, q.median, q.q3,
              lf.value >= q.q1 - 1.5 * (q.q3 - q.q1) AND lf.value <= q.q3 + 1.5 * (q.q3 - q.q1) AS inside
       FROM lf JOIN q ON lf.feature = q.feature AND lf.is_optimal = q.is_optimal)
@@ -268,7 +273,10 @@ SELECT feature, is_optimal, round(min(q1), 6) AS q1, round(min(median), 6) AS me
 FROM j GROUP BY feature, is_optimal""",
 )
 def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = profile.box_stats(eda_table(spark, sf_dir), HIST_FEATURES, TARGET)
+    e = eda_table(spark, sf_dir)
+    ranked = profile.target_correlations(e, NUMERIC_EDA, TARGET, spearman=False)
+    top = ranked.orderBy(F.desc_nulls_last(F.round("abs_pearson", 6)), "feature").limit(BOX_FEATURES)
+    b = profile.box_stats(e, [r["feature"] for r in top.collect()], TARGET)
     return b.select("feature", TARGET, *_r6(["q1", "median", "q3", "whisker_lo", "whisker_hi"]), "n_fliers")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,7 @@ LOCAL_CONF = {
 
 
 def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "sitewise") -> SparkSession:
+    """A local session; its checkpoint folder is a fresh one unless already configured."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("SITEWISE_DRIVER_MEMORY", "16g"))
@@ -38,21 +40,33 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "si
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is used as is.  Only
-    when it is unset (local tests) do we pick a fresh scratch folder.
+    Only a local master may lack the setting: it gets a fresh scratch folder.
+    On a cluster the folder must be one that all executors share, so a missing
+    setting is an error.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="sitewise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sitewise-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    What follows depends on the rows alone: not on caches, nor on the physical
+    partitions of a recomputed plan.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Intermediate caches of the query being built (iterative rounds, value

@@ -15,10 +15,9 @@ def spark():
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.checkpoint.dir", os.environ.get("SITEWISE_TEST_CKPT") or tempfile.mkdtemp(prefix="sitewise-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sitewise-test-ckpt-"))
     yield s
 
 
