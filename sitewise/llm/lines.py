@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import whole_row
+
 EVERY = 4   # lines of a chunk on average
 WINDOW = 2  # lines that the rolling hash covers
 
@@ -77,7 +79,7 @@ def judged(docs: DataFrame) -> DataFrame:
     ones don't remove from each other.  Rows with equal doc_id and text are judged alike.
     Kept lines are joined by newlines.  An empty table gives no rows.
     """
-    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), whole_row(docs))
     gone = _repeated(keyed.select("doc", "mark", F.struct(F.col("row.text").alias("text")).alias("row")))
     same = F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.mark") == F.col("r.mark"))
     joined = keyed.alias("l").join(gone.alias("r"), same, "left").select("l.row", "r.gone")

@@ -209,5 +209,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 def one_per_component(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The document of each component whose id names it, once; rows without an id all stay."""
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return once.unionByName(docs.filter("doc_id is null"))

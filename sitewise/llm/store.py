@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import ensure_checkpoint_dir as shared_dir
+from ..session import written as saved
 
+__all__ = ["forget", "partitions", "saved", "shared_dir", "whole_row"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only a local master may lack it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = tempfile.mkdtemp(prefix="sitewise-llm-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
 
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: what follows never recomputes ``df``, and a lost executor
-    costs only the reread.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``: names of the caller's columns can't clash with an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
 def forget(df: DataFrame) -> None:

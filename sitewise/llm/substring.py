@@ -20,8 +20,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import partitions
+from .store import partitions, whole_row
 
 GRAM = 8                 # words of a minimiser
 CHUNK_BYTES = 12 << 20   # text whose strings are packed together
@@ -301,12 +302,12 @@ def _cutter(text_at: int):  # noqa: ANN202
 def _judged(docs: DataFrame, k: int) -> DataFrame:
     """(row: all columns of docs, n_words, n_removed, kept)."""
     keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64("text").alias("mark"), F.struct(*docs.columns).alias("row"))
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64("text").alias("mark"), whole_row(docs))
     spans = repeated_spans(keyed.select("doc", "mark", F.col("row.text").alias("text")), k)
     spans = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     joined = keyed.join(spans, ["doc", "mark"], "left").select("row", "spans")
-    row = dict(joined.dtypes)["row"]
-    return joined.mapInArrow(_cutter(docs.columns.index("text")), f"row {row}, n_words long, n_removed long, kept string")
+    added = [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()))]
+    return joined.mapInArrow(_cutter(docs.columns.index("text")), T.StructType([joined.schema["row"], *added]))
 
 
 def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:

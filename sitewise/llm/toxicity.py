@@ -20,8 +20,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import saved
+from .store import saved, whole_row
 
 SIZES = (3, 4, 5, 6)
 BITS = 20               # hashed features: 2**BITS
@@ -192,8 +193,8 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
             total = np.bincount(rows, weights=table[found], minlength=len(texts)) + model.intercept
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-total)))], ["row", "score"])
 
-    whole = docs.select(F.struct(*docs.columns).alias("row"))
-    return whole.mapInArrow(run, f"row {dict(whole.dtypes)['row']}, score double")
+    whole = docs.select(whole_row(docs))
+    return whole.mapInArrow(run, T.StructType([whole.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
