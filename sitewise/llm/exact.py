@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from .store import saved, shared_dir
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: state on the executors' disks, without the megabytes that each small store would reserve in advance
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -50,13 +53,15 @@ def keepers(spark: SparkSession, path: str, schema, digest: Callable[[Column], C
     def hand_on(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(hand_on).option("checkpointLocation", marks).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     kinds = state.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", batch int"
     batches = spark.read.schema(kinds).option("basePath", out).parquet(f"{out}/batch=*") if query.lastProgress else spark.createDataFrame([], kinds)
     latest = F.max_by(F.struct("keep_id", "locator", "n"), "batch").alias("last")
