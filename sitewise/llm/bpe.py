@@ -11,7 +11,6 @@ Null and empty texts give no ids.  Texts of any length are encoded whole.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -19,6 +18,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
+from .store import per_process
+
 # fixed values: Unicode White_Space, which the tokenizer's \s means
 SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
 _SPLIT = re.compile(f"[{SPACE}]+")
@@ -235,7 +236,6 @@ def _letter(byte: int) -> str:
     return chr(byte) if byte in shown else chr(256 + sum(b not in shown for b in range(byte)))
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
     """The worker's encoder of one file; its memo lives as long as the worker."""
-    return Encoder(path)
+    return per_process(("bpe", path), lambda: Encoder(path))

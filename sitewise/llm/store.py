@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Hashable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir as shared_dir
 from ..session import written as saved
 
-__all__ = ["forget", "partitions", "saved", "shared_dir", "whole_row"]
+__all__ = ["forget", "partitions", "per_process", "saved", "shared_dir", "whole_row"]
+
+
+def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a worker process.
+
+    The package's code travels inside task closures, so each task has module
+    variables of its own; only a module that workers import is shared by them.
+    """
+    kept = sys.__dict__.setdefault("_sitewise_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def whole_row(df: DataFrame) -> Column:

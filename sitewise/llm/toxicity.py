@@ -10,7 +10,6 @@ whole texts; every document is scored over its whole text.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import saved, whole_row
+from .store import per_process, saved, whole_row
 
 SIZES = (3, 4, 5, 6)
 BITS = 20               # hashed features: 2**BITS
@@ -35,10 +34,9 @@ PENALTY = 1e-4
 SLICE_CHARS = 500_000
 
 
-@functools.cache
 def _inside() -> np.ndarray:
     """Whether a code point belongs to a word; those past the basic plane do."""
-    return np.array([chr(i).isalnum() for i in range(1 << 16)])
+    return per_process("alnum", lambda: np.array([chr(i).isalnum() for i in range(1 << 16)]))
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
