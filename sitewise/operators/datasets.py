@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.features import with_derived
+from ..schema import ALL_FEATURES, LOCATION_COLUMNS, TRACE_COLUMNS, add_missing, canonical_order
 from . import ranking
 
 # ---- fixed values: dataset versions, trace texts, district rule -------------
@@ -21,6 +23,17 @@ ORIGIN_LEGACY_OTHER = "legacy_unobserved_cell_or_negative"
 ORIGIN_SIMULATED = "simulated_candidate_cell"
 GEOMETRY_OK = "centroid_legacy_available"
 GEOMETRY_MISSING = "centroid_missing_review_required"
+REAL_EVIDENCE = "Fila real heredada del dataset ML v1; conserva features como evidencia tecnica provisional."
+REAL_REASON = "La etiqueta heredada no se adopta como is_suitable; requiere contrato probado y evidencia independiente."
+REAL_NOTES = "No usar como dataset supervisado final de tesis; sirve para endpoints y auditoria tecnica provisional."
+SIMULATED_EVIDENCE = "Registro simulado para desarrollo tecnico de entrenamiento y endpoints."
+SIMULATED_REASON = "Etiqueta simulada derivada de suitability_score y tasa positiva controlada; no es evidencia real de tesis."
+SIMULATED_NOTES = "Usar para desarrollo, pruebas y contratos de API; no reportar como resultado real."
+SIMULATED_ORDER = [
+    "candidate_id", "dataset_version", "label_version", "label_status", "is_suitable", "candidate_origin",
+    "source_dataset", "district_id", "district_name", "zone_id",
+]
+SIMULATED_TAIL = ["is_optimal", "suitability_score", "evidence_summary", "label_reason", "review_notes"]
 DISTRICT_SPLIT_LON = -77.055
 DISTRICT_WEST = "Magdalena del Mar"
 DISTRICT_EAST = "Miraflores"
@@ -86,13 +99,18 @@ def real_candidates(balanced: DataFrame, legacy: str = "is_optimal", source: str
 
     The legacy label is kept as ``is_optimal_legacy`` and never adopted as
     ``is_suitable`` (trap 23); ids are consecutive in input order (positives
-    first, then negatives, each by key).
+    first, then negatives, each by key).  Features that can be derived are filled
+    in (F1), the district comes from the first of two columns that exists (P15),
+    contract features that are absent become typed nulls (P4), and columns stand
+    in contract order with the rest behind (P5).
     """
-    df = balanced.withColumn("_ord", F.lit(1) - F.coalesce(F.col(legacy), F.lit(0)))
+    named = next((c for c in ("Distrito", "district_name") if c in balanced.columns), None)
+    df = with_derived(balanced, refresh=False).withColumn("district", F.col(named) if named else F.lit(""))
+    df = df.withColumn("_ord", F.lit(1) - F.coalesce(F.col(legacy), F.lit(0)))
     df = ranking.row_numbers(df, ["_ord", "zone_key"], "_seq").drop("_ord")
     df = df.withColumns({"centroid_lat": F.coalesce("centroid_lat", "latitude"),
                          "centroid_lon": F.coalesce("centroid_lon", "longitude")})
-    return df.withColumns(
+    df = df.withColumns(
         {
             "candidate_id": F.format_string(REAL_ID_FORMAT, F.col("_seq")),
             "dataset_version": F.lit(REAL_DATASET_VERSION),
@@ -105,12 +123,33 @@ def real_candidates(balanced: DataFrame, legacy: str = "is_optimal", source: str
             "source_dataset": F.lit(source),
             "geometry_quality": F.when(F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull(),
                                        F.lit(GEOMETRY_OK)).otherwise(F.lit(GEOMETRY_MISSING)),
+            "evidence_summary": F.lit(REAL_EVIDENCE),
+            "label_reason": F.lit(REAL_REASON),
+            "review_notes": F.lit(REAL_NOTES),
         }
     ).drop(legacy, "_seq")
+    return canonical_order(add_missing(df), TRACE_COLUMNS + LOCATION_COLUMNS + ALL_FEATURES)
 
 
-def simulated_dataset(scored: DataFrame, rate: float, key: str) -> tuple[DataFrame, float | None]:
-    """Quantile-labelled training set with trace columns and sequential ids."""
+def real_summary(real: DataFrame) -> DataFrame:
+    """Counts, versions and flags of :func:`real_candidates`, one row."""
+    return real.agg(
+        F.max("dataset_version").alias("dataset_version"), F.count(F.lit(1)).alias("rows"),
+        F.lit(len(real.columns)).cast("long").alias("columns"),
+        F.count(F.when(F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull(), 1)).alias("with_centroid"),
+        F.lit(False).alias("training_allowed"))
+
+
+def count_text(df: DataFrame, col: str) -> DataFrame:
+    """Value counts of a low-cardinality column as one text ``value:count`` list, nulls first."""
+    counts = df.groupBy(F.col(col).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("v", "n"))), lambda x: F.concat(F.coalesce(x["v"], F.lit("null")), F.lit(":"), x["n"].cast("string")))
+    return counts.agg(F.array_join(listed, ",").alias(f"{col}_counts"))
+
+
+def simulated_dataset(scored: DataFrame, rate: float, key: str, source: str = "scored_zones") -> tuple[DataFrame, float | None]:
+    """Quantile-labelled training set with trace columns and sequential ids,
+    in contract order with the rest behind."""
     lab, cutoff = quantile_label(scored, "suitability_score", rate)
     lab = ranking.row_numbers(lab, [key], "_seq")
     lab = lab.withColumns(
@@ -122,6 +161,10 @@ def simulated_dataset(scored: DataFrame, rate: float, key: str) -> tuple[DataFra
             "label_version": F.lit(SIMULATED_LABEL_VERSION),
             "label_status": F.lit(STATUS_SIMULATED),
             "candidate_origin": F.lit(ORIGIN_SIMULATED),
+            "source_dataset": F.lit(source),
+            "evidence_summary": F.lit(SIMULATED_EVIDENCE),
+            "label_reason": F.lit(SIMULATED_REASON),
+            "review_notes": F.lit(SIMULATED_NOTES),
         }
     ).drop("_seq")
-    return lab, cutoff
+    return canonical_order(lab, SIMULATED_ORDER + ALL_FEATURES + SIMULATED_TAIL), cutoff

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import datasets as ds
 from ..operators import spatial
 from ..operators.joins import bounded_broadcast
+from ..schema import _INT_FEATURES, ALL_FEATURES, LOCATION_COLUMNS, TRACE_COLUMNS
+from ..session import cached, ensure_checkpoint_dir
+from ..sources import files
 from ..sources.tables import DISTRICTS_SQL, POINTS_SQL, ZONES_SQL, districts, points, with_views, zones
 from .registry import dist_sql, query
 from .zones_q import ZONE_FEATURES_SQL, scored_zones
 
+#: contract features of the real dataset that the given tables have or that follow from them
+REAL_GIVEN = {"population_density", "nse_ab_pct", "dist_nearest_road_m", "walkability_score", "waste_per_capita_kg", "land_use_encoded",
+              "accessibility_composite", "nse_high_ratio"}
+
 
 @query(
     "district_lookup",
@@ -81,24 +91,55 @@ def balanced_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "real_candidates",
-    "P8 P9 P10 P13 P14 P15 P16",
-    LABELLED_SQL + """
-SELECT printf('ECO-REAL-V03-%04d', row_number() OVER (ORDER BY 1 - is_suitable, candidate_id)) AS candidate_id,
-       candidate_id AS zone_key, 'real-candidates-v0.3' AS dataset_version, 'desconocido' AS label_status,
-       '' AS is_suitable, is_suitable AS is_optimal_legacy,
-       CASE WHEN coalesce(is_suitable, 0) = 1 THEN 'legacy_positive_existing_point'
-            ELSE 'legacy_unobserved_cell_or_negative' END AS candidate_origin,
-       coalesce(centroid_lat, lat) AS centroid_lat,
-       CASE WHEN coalesce(centroid_lat, lat) IS NOT NULL AND coalesce(centroid_lon, lon) IS NOT NULL
-            THEN 'centroid_legacy_available' ELSE 'centroid_missing_review_required' END AS geometry_quality
-FROM bal""",
+    "F1 P4 P5 P8 P9 P10 P13 P14 P15 P16",
+    LABELLED_SQL + f""",
+r AS (SELECT *, row_number() OVER (ORDER BY 1 - is_suitable, candidate_id) AS i, coalesce(centroid_lat, lat) AS c_lat,
+             coalesce(centroid_lon, lon) AS c_lon FROM bal)
+SELECT printf('{ds.REAL_ID_FORMAT}', i) AS candidate_id, '{ds.REAL_DATASET_VERSION}' AS dataset_version, '{ds.LABEL_VERSION}' AS label_version,
+       '{ds.STATUS_UNKNOWN}' AS label_status, '' AS is_suitable,
+       CASE WHEN coalesce(r.is_suitable, 0) = 1 THEN '{ds.ORIGIN_LEGACY_POSITIVE}' ELSE '{ds.ORIGIN_LEGACY_OTHER}' END AS candidate_origin,
+       'balanced_training_set' AS source_dataset, '{ds.REAL_EVIDENCE}' AS evidence_summary, '{ds.REAL_REASON}' AS label_reason,
+       '{ds.REAL_NOTES}' AS review_notes, z.district_id, n.n_name AS district, r.lat AS latitude, r.lon AS longitude,
+       c_lat AS centroid_lat, c_lon AS centroid_lon,
+       CASE WHEN c_lat IS NOT NULL AND c_lon IS NOT NULL THEN '{ds.GEOMETRY_OK}' ELSE '{ds.GEOMETRY_MISSING}' END AS geometry_quality,
+       z.population_density, z.nse_ab_pct, z.dist_nearest_road_m, z.walkability_score, z.waste_per_capita_kg, z.land_use_encoded,
+       {", ".join(f"CAST(NULL AS {'BIGINT' if f in _INT_FEATURES else 'DOUBLE'}) AS {f}" for f in ALL_FEATURES if f not in REAL_GIVEN)},
+       round(0.6 * z.walkability_score + 0.4 * (1 - least(greatest(z.dist_nearest_road_m / 300, 0.0), 1.0)), 9) AS accessibility_composite,
+       z.nse_ab_pct AS nse_high_ratio, r.candidate_id AS zone_key, n.n_name AS district_name, r.is_suitable AS is_optimal_legacy
+FROM r JOIN zones z ON z.candidate_id = r.candidate_id LEFT JOIN nation n ON n.n_nationkey = z.district_id""",
 )
 def real_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole auditable dataset: trace, location and contract columns."""
+    rc = _real(spark, sf_dir)
+    return rc.withColumn("accessibility_composite", F.round("accessibility_composite", 9))
+
+
+def _real(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = balanced(spark, sf_dir).withColumnsRenamed(
-        {"candidate_id": "zone_key", "is_suitable": "is_optimal", "lat": "latitude", "lon": "longitude"})
-    rc = ds.real_candidates(b)
-    return rc.select("candidate_id", "zone_key", "dataset_version", "label_status", "is_suitable",
-                     "is_optimal_legacy", "candidate_origin", "centroid_lat", "geometry_quality")
+        {"candidate_id": "zone_key", "is_suitable": "is_optimal", "lat": "latitude", "lon": "longitude"}).drop("district_id")
+    given = zones(spark, sf_dir).select(F.col("candidate_id").alias("zone_key"), "district_id", "population_density", "nse_ab_pct",
+                                        "dist_nearest_road_m", "walkability_score", "waste_per_capita_kg", "land_use_encoded")
+    names = bounded_broadcast(districts(spark, sf_dir).select("district_id", "district_name"))
+    return ds.real_candidates(b.join(given, "zone_key").join(names, "district_id", "left"))
+
+
+@query(
+    "real_summary",
+    "S5 A1 A2",
+    LABELLED_SQL + f"""
+SELECT '{ds.REAL_DATASET_VERSION}' AS dataset_version, CAST(count(*) AS BIGINT) AS rows, CAST({len(TRACE_COLUMNS + LOCATION_COLUMNS + ALL_FEATURES) + 3} AS BIGINT) AS columns,
+       CAST(count(*) FILTER (WHERE coalesce(centroid_lat, lat) IS NOT NULL AND coalesce(centroid_lon, lon) IS NOT NULL) AS BIGINT) AS with_centroid,
+       false AS training_allowed, '{ds.STATUS_UNKNOWN}:' || count(*) AS label_status_counts,
+       (SELECT string_agg(is_suitable || ':' || n, ',' ORDER BY CAST(is_suitable AS VARCHAR)) FROM (SELECT is_suitable, count(*) AS n FROM bal GROUP BY 1)) AS is_optimal_legacy_counts
+FROM bal""",
+)
+def real_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of the real dataset, written as its sidecar and read back."""
+    real = cached(_real(spark, sf_dir))
+    row = ds.real_summary(real).withColumns({f"{c}_counts": ds.count_text(real, c).scalar() for c in ("label_status", "is_optimal_legacy")})
+    path = os.path.join(ensure_checkpoint_dir(spark), "io", f"summary-{uuid.uuid4().hex}")
+    files.write_summary(spark, row, path)
+    return spark.read.schema(row.schema).json(path)
 
 
 SCORE_RATE = 0.35
@@ -136,21 +177,21 @@ def bernoulli_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     "labelled_dataset",
     "P5 P9 P13 P17",
     with_views(ZONE_FEATURES_SQL)
-    + """,
+    + f""",
 s AS (SELECT candidate_id AS zone_key, district_id, round(prob_optimal, 4) AS suitability_score FROM scored),
 c AS (SELECT round(quantile_cont(suitability_score, 0.65), 9) AS cutoff FROM s)
-SELECT printf('ECO-SIM-V03-%04d', row_number() OVER (ORDER BY zone_key)) AS candidate_id,
-       row_number() OVER (ORDER BY zone_key) - 1 AS zone_id, zone_key, district_id, suitability_score,
-       CAST(coalesce(suitability_score >= cutoff, false) AS INTEGER) AS is_optimal,
-       CAST(coalesce(suitability_score >= cutoff, false) AS INTEGER) AS is_suitable,
-       'simulated-training-v0.3' AS dataset_version, 'etiquetado_simulado' AS label_status
+SELECT printf('{ds.SIM_ID_FORMAT}', row_number() OVER (ORDER BY zone_key)) AS candidate_id, '{ds.SIMULATED_DATASET_VERSION}' AS dataset_version,
+       '{ds.SIMULATED_LABEL_VERSION}' AS label_version, '{ds.STATUS_SIMULATED}' AS label_status,
+       CAST(coalesce(suitability_score >= cutoff, false) AS INTEGER) AS is_suitable, '{ds.ORIGIN_SIMULATED}' AS candidate_origin,
+       'scored_zones' AS source_dataset, district_id, row_number() OVER (ORDER BY zone_key) - 1 AS zone_id,
+       CAST(coalesce(suitability_score >= cutoff, false) AS INTEGER) AS is_optimal, suitability_score, '{ds.SIMULATED_EVIDENCE}' AS evidence_summary,
+       '{ds.SIMULATED_REASON}' AS label_reason, '{ds.SIMULATED_NOTES}' AS review_notes, zone_key
 FROM s, c""",
 )
 def labelled_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_zones(spark, sf_dir, stored=True).select(F.col("candidate_id").alias("zone_key"), "district_id", "suitability_score")
     d, _ = ds.simulated_dataset(s, SCORE_RATE, "zone_key")
-    return d.select("candidate_id", "zone_id", "zone_key", "district_id", "suitability_score", "is_optimal",
-                    "is_suitable", "dataset_version", "label_status")
+    return d
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as ev
 from ..operators import prep
 from ..sources.tables import districts
-from .profile_q import EDA_SQL, eda_table
+from .profile_q import EDA_SQL, NUMERIC_EDA, eda_table
 from .registry import query
 
 THRESHOLD = 0.74
@@ -49,29 +49,32 @@ def spatial_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     "median_impute",
     "D1",
     EDA_SQL + f""",
-m AS (SELECT median(walkability_score) AS med FROM eda WHERE district_id NOT IN {_test_districts_sql()})
-SELECT candidate_id, round(coalesce(walkability_score, med), 6) AS walkability_score FROM eda, m""",
+m AS (SELECT {", ".join(f"median({c}) AS {c}_m" for c in NUMERIC_EDA)} FROM eda WHERE district_id NOT IN {_test_districts_sql()})
+SELECT candidate_id, {", ".join(f"round(coalesce({c}, {c}_m), 6) AS {c}" for c in NUMERIC_EDA)} FROM eda, m""",
 )
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = prep.spatial_split(eda_table(spark, sf_dir), "district_id", 2)
-    med = prep.fit_medians(e.where(F.col("split") == "train"), ["walkability_score"])
-    out = prep.apply_fill(e, med)
-    return out.select("candidate_id", F.round("walkability_score", 6).alias("walkability_score"))
+    """Every numeric column, medians of the train districts."""
+    e = prep.spatial_split(eda_table(spark, sf_dir), "district_id", 2).withColumns({c: F.col(c).cast("double") for c in NUMERIC_EDA})
+    out = prep.apply_fill(e, prep.fit_medians(e.where(F.col("split") == "train"), NUMERIC_EDA))
+    return out.select("candidate_id", *[F.round(c, 6).alias(c) for c in NUMERIC_EDA])
 
 
 @query(
     "mode_impute",
     "D2",
     EDA_SQL + f""",
-m AS (SELECT walkability_score AS mode_value FROM eda WHERE district_id NOT IN {_test_districts_sql()}
-        AND walkability_score IS NOT NULL
-      GROUP BY walkability_score ORDER BY count(*) DESC, walkability_score ASC LIMIT 1)
-SELECT candidate_id, coalesce(walkability_score, mode_value) AS walkability_score FROM eda, m""",
+gappy AS (SELECT candidate_id, district_id, walkability_score, CASE WHEN candidate_id % 13 <> 0 THEN land_use_encoded END AS land_use_encoded FROM eda),
+m AS (SELECT {", ".join(f"(SELECT {c} FROM gappy WHERE district_id NOT IN {_test_districts_sql()} AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}_m" for c in ("walkability_score", "land_use_encoded"))})
+SELECT candidate_id, coalesce(walkability_score, walkability_score_m) AS walkability_score,
+       coalesce(land_use_encoded, land_use_encoded_m) AS land_use_encoded FROM gappy, m""",
 )
 def mode_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categorical feature (here with gaps) and one numeric column."""
     e = prep.spatial_split(eda_table(spark, sf_dir), "district_id", 2)
-    mode = prep.fit_mode(e.where(F.col("split") == "train"), "walkability_score")
-    return prep.apply_fill(e, {"walkability_score": mode}).select("candidate_id", "walkability_score")
+    e = e.withColumn("land_use_encoded", F.when(F.col("candidate_id") % 13 != 0, F.col("land_use_encoded")))
+    train = e.where(F.col("split") == "train")
+    cols = ("walkability_score", "land_use_encoded")
+    return prep.apply_fill(e, {c: prep.fit_mode(train, c) for c in cols}).select("candidate_id", *cols)
 
 
 @query(

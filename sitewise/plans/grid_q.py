@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import to_utm, to_utm_sql
+from ..functions.geo import from_utm, to_utm, to_utm_sql
 from ..operators import polygon as pg
 from ..sources.tables import POINTS_SQL, ZONES_SQL, points, with_views, zones
 from ..session import cached
@@ -102,6 +102,20 @@ def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("candidate_id", F.round(x, 2).alias("utm_x"), F.round(y, 2).alias("utm_y"))
 
 
+@query(
+    "utm_inverse",
+    "F12",
+    with_views(ZONES_SQL) + """
+SELECT candidate_id, round(lat, 7) AS lat, round(lon, 7) AS lon FROM zones""",
+)
+def utm_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees → UTM 18S metres → degrees, which must give the degrees again."""
+    x, y = to_utm("lat", "lon")
+    z = zones(spark, sf_dir).select("candidate_id", x.alias("x"), y.alias("y"))
+    lat, lon = from_utm("x", "y")
+    return z.select("candidate_id", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
+
+
 @query("boundary_clip", "J7 F13")
 def boundary_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact clipped area and centroid (back in degrees) of the cells that

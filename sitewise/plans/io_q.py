@@ -17,6 +17,7 @@ from ..schema import ZONE
 from ..session import cached, ensure_checkpoint_dir
 from ..sources import files
 from ..sources.tables import POINTS_SQL, ZONES_SQL, districts, points, with_views, zones
+from .eval_q import AUC_SQL, SCORED_SQL, scored
 from .registry import query
 
 # F19 in SQL: same accent folding, trim, lower case, blank squeezing
@@ -101,13 +102,13 @@ def _scratch(spark: SparkSession, name: str) -> str:
     "csv_roundtrip",
     "S1 S2 S4",
     with_views(ZONES_SQL) + """
-SELECT candidate_id, district_id, address, lat, lon, walkability_score FROM zones""",
+SELECT candidate_id, district_id, address || ' Ñandú é' AS address, lat, lon, walkability_score FROM zones""",
 )
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones written as Latin-1 CSV and read back with an explicit schema."""
-    z = zones(spark, sf_dir).select("candidate_id", "district_id", "address", "lat", "lon", "walkability_score")
+    """Zones with accented text written as Latin-1 CSV and read back with an explicit schema."""
+    z = zones(spark, sf_dir).select("candidate_id", "district_id", F.concat("address", F.lit(" Ñandú é")).alias("address"), "lat", "lon", "walkability_score")
     path = _scratch(spark, "csv")
-    z.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    files.write_csv(z, path, encoding="ISO-8859-1")
     return files.read_csv(spark, path, z.schema, encoding="ISO-8859-1")
 
 
@@ -123,20 +124,49 @@ def resolve_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-@query("run_log", "S6 M7")
+@query(
+    "run_log",
+    "S6 M7",
+    SCORED_SQL.replace("prob_optimal AS prob,", "round(prob_optimal, 4) AS prob,") + f"""
+SELECT 'rounded' AS split, auc_roc, 0.74::DOUBLE AS threshold FROM ({AUC_SQL}) a""",
+)
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two run records over the whole scored table (AUC of the raw and of the
     4-digit score) appended to a runs table, and the latest one read back."""
-    from .eval_q import scored
-
     s = cached(scored(spark, sf_dir))
     path = _scratch(spark, "runs")
     for name, col in (("raw", F.col("prob")), ("rounded", F.round("prob", 4))):
         a = ev.auc(s.withColumn("prob", col)).first()
         files.append_run(spark, path, {"split": name, "auc_roc": a["auc_roc"], "threshold": 0.74})
     latest = files.latest_run(spark, path)
-    return latest.select("run_at", F.get_json_object("record", "$.split").alias("split"),
-                         F.get_json_object("record", "$.auc_roc").cast("double").alias("auc_roc"))
+    return latest.select(F.get_json_object("record", "$.split").alias("split"),
+                         F.round(F.get_json_object("record", "$.auc_roc").cast("double"), 6).alias("auc_roc"),
+                         F.get_json_object("record", "$.threshold").cast("double").alias("threshold"))
+
+
+@query(
+    "boundary_source",
+    "S10",
+    with_views(ZONES_SQL) + """,
+b AS (SELECT district_id, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM zones GROUP BY district_id)
+SELECT CAST(district_id AS VARCHAR) AS name, 0 AS ring, k AS seq,
+       round(CASE WHEN k IN (0, 3) THEN w ELSE e END, 9) AS x1, round(CASE WHEN k < 2 THEN s ELSE n END, 9) AS y1,
+       round(CASE WHEN k IN (2, 3) THEN w ELSE e END, 9) AS x2, round(CASE WHEN k IN (0, 3) THEN s ELSE n END, 9) AS y2
+FROM b, (SELECT CAST(unnest(range(4)) AS INTEGER) AS k) t""",
+)
+def boundary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each district's bounding box written as a GeoJSON place and read as edges; places that are points are skipped."""
+    b = zones(spark, sf_dir).groupBy("district_id").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.to_json(F.array(F.array(corner("w", "s"), corner("e", "s"), corner("e", "n"), corner("w", "n"), corner("w", "s"))))
+    name = F.col("district_id").cast("string")
+    place = F.concat(F.lit('{"name":"'), name, F.lit('","geojson":{"type":"Polygon","coordinates":'), ring, F.lit("}}"))
+    point = F.concat(F.lit('{"name":"'), name, F.lit('","geojson":{"type":"Point","coordinates":'), F.to_json(corner("w", "s")), F.lit("}}"))
+    path = _scratch(spark, "boundary")
+    places = b.select(F.explode(F.array(place, point)).alias("p")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("p"), ","), F.lit("]")).alias("value"))
+    places.write.text(path)  # two places a district
+    e = files.boundary_edges(spark, path)
+    return e.select("name", "ring", "seq", *[F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query(

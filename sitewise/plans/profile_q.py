@@ -200,6 +200,19 @@ def corr_matrix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.redundant_pairs(pairs).select("feature_a", "feature_b", F.round("r", 6).alias("r"))
 
 
+@query(
+    "corr_matrix",
+    "A12",
+    EDA_SQL + f""",
+fpairs AS ({_pairs_sql(EDA_FEATURES)})
+SELECT feature_a, feature_b, CAST(n AS BIGINT) AS n, round(CASE WHEN vx * vy > 0 THEN c / sqrt(vx * vy) END, 6) AS r FROM fpairs""",
+)
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of features, not only the redundant ones."""
+    pairs = profile.corr_pairs(eda_table(spark, sf_dir), EDA_FEATURES)
+    return pairs.select("feature_a", "feature_b", "n", F.round("r", 6).alias("r"))
+
+
 @query(
     "weak_features",
     "A14 F20",

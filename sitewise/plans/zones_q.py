@@ -280,7 +280,7 @@ def conform_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "derive_features",
-    "F1 F2 F3 F4 F5 F6 F7 F16",
+    "F2 F3 F4 F5 F6 F7 F16",
     with_views(ZONE_FEATURES_SQL)
     + """
 SELECT candidate_id, round(accessibility_composite, 6) AS accessibility_composite, nse_high_ratio,
@@ -292,9 +292,27 @@ FROM (SELECT *, 0.6 * walkability_score + 0.4 * (1 - least(greatest(dist_nearest
       FROM zf) t""",
 )
 def derive_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derive-if-missing after a recompute; ``has_park_300m`` stands in for parks."""
+    """Derived features refreshed; ``has_park_300m`` stands in for parks."""
     z = zone_table(spark, sf_dir).withColumn("has_park_300m", F.col("land_use_encoded"))
-    d = fx.ensure_engineered(fx.recompute_engineered(z))
+    d = fx.recompute_engineered(z)
+    return d.select("candidate_id", F.round("accessibility_composite", 6).alias("accessibility_composite"),
+                    "nse_high_ratio", "recycling_deficit", "coverage_gap_index", "poi_parks_500m")
+
+
+@query(
+    "derive_missing",
+    "F1 F3 F5 F6 F7",
+    with_views(ZONE_FEATURES_SQL)
+    + """
+SELECT candidate_id, round(0.6 * walkability_score + 0.4 * (1 - least(greatest(dist_nearest_road_m / 300, 0.0), 1.0)), 6) AS accessibility_composite,
+       CAST(0.5 AS DOUBLE) AS nse_high_ratio, CAST(coalesce(dist_nearest_recycling_m >= 500, false) AS INTEGER) AS recycling_deficit,
+       CAST(coalesce(dist_nearest_recycling_m >= 500, false) AS INTEGER)::DOUBLE AS coverage_gap_index, CAST(land_use_encoded AS DOUBLE) AS poi_parks_500m
+FROM zf""",
+)
+def derive_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that lacks four derived features and has a fifth, which stays."""
+    z = zone_table_stored(spark, sf_dir).withColumns({"has_park_300m": F.col("land_use_encoded"), "nse_high_ratio": F.lit(0.5)})
+    d = fx.ensure_engineered(z)
     return d.select("candidate_id", F.round("accessibility_composite", 6).alias("accessibility_composite"),
                     "nse_high_ratio", "recycling_deficit", "coverage_gap_index", "poi_parks_500m")
 

@@ -91,6 +91,7 @@ PREDICTION = T.StructType(
     ]
 )
 
+# ---- fixed values: trace and location columns of the datasets ----------------
 TRACE_COLUMNS = [
     "candidate_id",
     "dataset_version",
@@ -112,6 +113,7 @@ LOCATION_COLUMNS = [
     "centroid_lon",
     "geometry_quality",
 ]
+# -------------------------------------------------------------------------
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

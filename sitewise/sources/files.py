@@ -19,9 +19,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """CSV sink (one folder of part files, header)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -72,3 +72,23 @@ def test_derived_features_fill_or_refresh(spark):
     filled, refreshed = with_derived(df, refresh=False).first(), with_derived(df, refresh=True).first()
     assert (filled.nse_high_ratio, refreshed.nse_high_ratio) == (9.0, 0.5)
     assert filled.recycling_deficit == 1 and filled.coverage_gap_index == 1.0
+
+
+def test_utm_control_points_on_the_central_meridian(spark):
+    """Northings on the central meridian are meridian arcs, integrated here from the ellipsoid."""
+    import math
+
+    from sitewise.functions.geo import to_utm
+
+    a, f = 6378137.0, 1 / 298.257223563  # fixed values: the WGS84 ellipsoid
+    e2 = f * (2 - f)
+
+    def arc(lat, n=20_000):
+        step = math.radians(lat) / n
+        return sum(a * (1 - e2) / (1 - e2 * math.sin((i + 0.5) * step) ** 2) ** 1.5 * step for i in range(n))
+
+    df = spark.createDataFrame([(lat, -75.0) for lat in (0.0, -5.5, -12.0464, -18.35)], "lat double, lon double")
+    x, y = to_utm("lat", "lon")
+    for r in df.select("lat", x.alias("x"), y.alias("y")).collect():
+        assert r.x == pytest.approx(500_000, abs=1e-6)
+        assert r.y == pytest.approx(10_000_000 - 0.9996 * arc(-r.lat), abs=1e-3)
