@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import with_derived
-from ..schema import ALL_FEATURES, LOCATION_COLUMNS, TRACE_COLUMNS, add_missing, canonical_order
+from ..schema import ALL_FEATURES, LOCATION_COLUMNS, RANDOM_STATE, TRACE_COLUMNS, add_missing, canonical_order
 from . import ranking
 
 # ---- fixed values: dataset versions, trace texts, district rule -------------
@@ -42,18 +42,23 @@ POSITIVE_RATE_RANGE = (0.05, 0.80)
 # ------------------------------------------------------------------------------
 
 
-def hash_order(key: str) -> list[Column]:
-    """Repeatable pseudo-random order shared with the SQL oracle."""
-    return [(F.col(key) * 7919) % 10007, F.col(key)]
+def hash_order(key: str, seed: int = RANDOM_STATE) -> list[Column]:
+    """Repeatable pseudo-random order for keys of any type: the digest of seed and key."""
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key)]
 
 
-def sample_exact(df: DataFrame, n: int, key: str) -> DataFrame:
+def hash_order_sql(key: str, seed: int = RANDOM_STATE) -> str:
+    """SQL text of :func:`hash_order`."""
+    return f"md5('{seed}:' || CAST({key} AS VARCHAR)), {key}"
+
+
+def sample_exact(df: DataFrame, n: int, key: str, seed: int = RANDOM_STATE) -> DataFrame:
     """Exactly min(n, available) rows in a seeded, repeatable order.
 
     ``orderBy + limit`` plans as TakeOrderedAndProject: each partition keeps
     its n best, so only n·partitions rows move.
     """
-    return df.orderBy(*hash_order(key)).limit(n)
+    return df.orderBy(*hash_order(key, seed)).limit(n)
 
 
 def balanced_set(labelled: DataFrame, label: str, key: str, n_neg: int = NEGATIVE_SAMPLE) -> DataFrame:
@@ -63,12 +68,6 @@ def balanced_set(labelled: DataFrame, label: str, key: str, n_neg: int = NEGATIV
     return pos.unionByName(neg, allowMissingColumns=True)
 
 
-def stratified_cap(df: DataFrame, label: str, key: str, cap: int) -> DataFrame:
-    """U4 stratified: the first ``cap`` rows of every class in the hash order."""
-    ranked = ranking.row_numbers(df.withColumn("_h", (F.col(key) * 7919) % 10007), ["_h", key], "_rn", groups=[label])
-    return ranked.where(F.col("_rn") <= cap).drop("_h", "_rn")
-
-
 def assign_district(lon: str = "lon") -> Column:
     """Rule-based zone → district."""
     return F.when(F.col(lon) < F.lit(DISTRICT_SPLIT_LON), F.lit(DISTRICT_WEST)).otherwise(F.lit(DISTRICT_EAST))

@@ -125,12 +125,12 @@ def threshold_sweep(scored: DataFrame, metric: str = "f1", prob: str = "prob", l
                                        F.count(F.lit(1)).alias("cnt"))
     # 51 thresholds × ≤ 52 histogram rows: a bounded product of two tiny tables
     th = sweep_thresholds(scored.sparkSession)
-    total_pos = hist.agg(F.sum("pos")).scalar()
-    m = th.join(F.broadcast(hist), F.col("k") > F.col("i"), "left").groupBy("i", "threshold").agg(
-        F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.col("cnt") - F.col("pos")), F.lit(0)).alias("fp"))
+    over = F.col("k") > F.col("i")
+    m = th.join(F.broadcast(hist), F.lit(True), "left").groupBy("i", "threshold").agg(
+        F.coalesce(F.sum(F.when(over, F.col("pos"))), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum(F.when(over, F.col("cnt") - F.col("pos"))), F.lit(0)).alias("fp"), F.sum("pos").alias("_all"))
     m = m.withColumns({"precision": _safe_div(F.col("tp"), F.col("tp") + F.col("fp")),
-                       "recall": _safe_div(F.col("tp"), total_pos)})
+                       "recall": _safe_div(F.col("tp"), F.col("_all"))})
     m = m.withColumn("f1", _safe_div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     w = Window.orderBy(F.col(metric).desc(), F.col("i").asc())  # 51 rows
     m = m.withColumn("_r", F.row_number().over(w))
@@ -154,6 +154,5 @@ def acceptance_gate(f1: Column, auc_col: Column, precision: Column) -> Column:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """M18: 'balanced' class weights n / (k · n_c) as a small per-class table."""
     vc = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    n = df.where(F.col(label).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    k = vc.agg(F.count(F.lit(1))).scalar()
-    return vc.withColumn("weight", n / (k * F.col("n_class")))
+    every = Window.partitionBy()  # one row per class
+    return vc.withColumn("weight", F.sum("n_class").over(every) / (F.count(F.lit(1)).over(every) * F.col("n_class")))

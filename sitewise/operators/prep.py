@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import RANDOM_STATE
 from . import ranking
+from .datasets import hash_order
 from .joins import bounded_broadcast
 
 
@@ -109,13 +111,21 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     return found.select(group, turn.alias("fold"))
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = RANDOM_STATE) -> DataFrame:
     """Per class, rows in the seeded hash order dealt round-robin to k folds."""
-    h = df.withColumn("_h", (F.col(key) * 7919) % 10007)
-    r = ranking.row_numbers(h, ["_h", key], "_rn", groups=[label])
+    order = hash_order(key, seed)
+    r = ranking.row_numbers(df.withColumn("_h", order[0]), ["_h", key], "_rn", groups=[label])
     return r.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn")
 
 
 def n_folds(n_groups: int, k: int = 5) -> tuple[str, int]:
     """Grouped CV when there are at least k groups, else stratified with max(2, groups) folds."""
     return ("group", k) if n_groups >= k else ("stratified", max(2, n_groups))
+
+
+def with_cv_folds(df: DataFrame, group: str, label: str, key: str, k: int = 5) -> DataFrame:
+    """D6 or D7: add ``fold``; groups stay whole where there are enough of them."""
+    kind, folds = n_folds(df.select(group).distinct().count(), k)
+    if kind == "stratified":
+        return stratified_folds(df, label, key, folds)
+    return df.join(group_folds(df, group, folds), group, "left")

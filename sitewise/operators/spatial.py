@@ -219,26 +219,6 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
     return out.withColumns(cols).drop("best")
 
 
-def pairs_within(left: DataFrame, points: DataFrame, r_km: float, zlat: str = "lat", zlon: str = "lon",
-                 inclusive: bool = False, skew_rows: int | None = DEFAULT_SKEW_ROWS) -> DataFrame:
-    """Bucketed range join returning ``(left columns…, point columns…, dist_km)`` pairs.
-
-    Used where individual partners matter (by-kind pivots, district checks);
-    counting should use :func:`count_within`, which never leaves the
-    aggregated form.
-    """
-    pl = points.withColumnsRenamed({"lat": "plat", "lon": "plon"})
-    zb, pb = _bucketed(left, pl, r_km, zlat, zlon, skew_rows)
-    zb, pb = zb.alias("z"), pb.alias("p")
-    z, p = (lambda c: F.col(f"z.`{c}`")), (lambda c: F.col(f"p.`{c}`"))
-    dist = flat_km(z(zlat), z(zlon), p("plat"), p("plon"))
-    within = dist <= F.lit(r_km) if inclusive else dist < F.lit(r_km)
-    cond = (z("bx") == p("bx")) & (z("by") == p("by")) & (z("salt") == p("salt")) & within
-    pcols = [c for c in pb.columns if c not in ("bx", "by", "salt") and c not in left.columns]
-    return zb.join(pb, cond, "inner").select(*[z(c).alias(c) for c in left.columns], *[p(c).alias(c) for c in pcols],
-                                               dist.alias("dist_km"))
-
-
 def count_by_kind(zones: DataFrame, points: DataFrame, r_km: float, kinds: list[str],
                   kind_col: str = "kind", prefix: str = "poi_", suffix: str = "_500m",
                   skew_rows: int | None = DEFAULT_SKEW_ROWS) -> DataFrame:

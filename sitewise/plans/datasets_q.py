@@ -60,7 +60,7 @@ def assign_district(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELLED_SQL = with_views(ZONES_SQL, POINTS_SQL) + f""",
 lab AS (SELECT z.*, CAST(EXISTS (SELECT 1 FROM points p WHERE {dist_sql('z', 'p')} <= CAST(0.3 AS DOUBLE)) AS INTEGER)
                AS is_suitable FROM zones z),
-neg AS (SELECT * FROM lab WHERE is_suitable = 0 ORDER BY (candidate_id * 7919) % 10007, candidate_id LIMIT 40),
+neg AS (SELECT * FROM lab WHERE is_suitable = 0 ORDER BY {ds.hash_order_sql('candidate_id')} LIMIT 40),
 bal AS (SELECT candidate_id, is_suitable, lat, lon, lat AS centroid_lat, lon AS centroid_lon FROM lab WHERE is_suitable = 1
         UNION ALL
         SELECT candidate_id, is_suitable, lat, lon, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM neg)"""

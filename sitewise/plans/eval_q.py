@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import prep
+from ..operators.datasets import hash_order_sql
 from ..sources.tables import districts
 from .profile_q import EDA_SQL, NUMERIC_EDA, eda_table
 from .registry import query
@@ -120,7 +121,7 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stratified_folds",
     "D7",
     SCORED_SQL + """
-SELECT label, CAST((row_number() OVER (PARTITION BY label ORDER BY (candidate_id * 7919) % 10007, candidate_id) - 1) % 5
+SELECT label, CAST((row_number() OVER (PARTITION BY label ORDER BY """ + hash_order_sql("candidate_id") + """) - 1) % 5
                    AS INTEGER) AS fold, CAST(count(*) OVER () AS BIGINT) AS total, candidate_id
 FROM ev""",
 )
@@ -252,7 +253,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     "fold_auc_stats",
     "M4 A25",
     SCORED_SQL + """,
-f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY (candidate_id * 7919) % 10007, candidate_id) - 1) % 5
+f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY """ + hash_order_sql("candidate_id") + """) - 1) % 5
               AS fold FROM ev),
 r AS (SELECT fold, label, rank() OVER (PARTITION BY fold ORDER BY prob)
                             + (count(*) OVER (PARTITION BY fold, prob) - 1) / 2.0 AS rk FROM f),

@@ -122,8 +122,7 @@ def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random search over GBT parameters, CV over the whole Pipeline with group folds."""
     data = training_frame(spark, sf_dir).where(F.col("split") == "train")
-    folds = prep.group_folds(data, "district_id", 5)
-    data = data.join(folds, "district_id", "left")
+    data = prep.with_cv_folds(data, "district_id", "label", "candidate_id")
     best, res = mdl.cross_validate(data, MODEL_FEATURES, "fold", trials=QUERY_TRIALS, params=QUERY_TRIAL_PARAMS, early_stopping=True)
     rows = [(i, json.dumps(p, sort_keys=True), m, s, p == best) for i, (p, m, s) in enumerate(res)]
     return spark.createDataFrame(rows, "trial int, params string, cv_auc_mean double, cv_auc_std double, best boolean")
@@ -134,8 +133,7 @@ def cv_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated AUC of the base parameters (no search), 5 group folds,
     Pipeline refitted per fold; mean and population std of the fold AUCs."""
     data = training_frame(spark, sf_dir).where(F.col("split") == "train")
-    folds = prep.group_folds(data, "district_id", 5)
-    data = data.join(folds, "district_id", "left")
+    data = prep.with_cv_folds(data, "district_id", "label", "candidate_id")
     _, res = mdl.cross_validate(data, MODEL_FEATURES, "fold", draws=[{}], params=QUERY_PARAMS)
     _, mean, std = res[0]
     return spark.createDataFrame([(5, mean, std)], "n_folds int, cv_auc_mean double, cv_auc_std double")
@@ -223,8 +221,7 @@ def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = cached(prep.spatial_split(lab, "district_id", 2).withColumn("label", F.col("is_optimal").cast("double")))
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     model = mdl.build_pipeline(MODEL_FEATURES, QUERY_PARAMS).fit(train)
-    folds = prep.group_folds(train, "district_id", 5)
-    _, cv = mdl.cross_validate(train.join(folds, "district_id", "left"), MODEL_FEATURES, "fold", draws=[{}], params=QUERY_PARAMS)
+    _, cv = mdl.cross_validate(prep.with_cv_folds(train, "district_id", "label", "candidate_id"), MODEL_FEATURES, "fold", draws=[{}], params=QUERY_PARAMS)
     scored = cached(model.transform(test).withColumn("prob", mdl.prob_col()))
     thr = float(ev.threshold_sweep(scored, "f1").where("is_best").first()["threshold"])
     a = ev.auc(scored).first()["auc_roc"]

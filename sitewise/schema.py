@@ -71,26 +71,6 @@ ZONE = T.StructType(
     ]
 )
 
-PREDICTION = T.StructType(
-    [
-        T.StructField("zone_id", T.StringType()),
-        T.StructField("suitability_score", T.DoubleType()),
-        T.StructField("is_recommended", T.BooleanType()),
-        T.StructField(
-            "top_features",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("feature", T.StringType()),
-                        T.StructField("shap_value", T.DoubleType()),
-                        T.StructField("direction", T.StringType()),
-                    ]
-                )
-            ),
-        ),
-    ]
-)
-
 # ---- fixed values: trace and location columns of the datasets ----------------
 TRACE_COLUMNS = [
     "candidate_id",
@@ -150,9 +130,3 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """Normalise NaN to NULL in double columns (pandas missing marker)."""
     dbl = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in dbl}) if dbl else df
-
-
-def conform(df: DataFrame, extra_order: list[str] | None = None) -> DataFrame:
-    """Cast, add missing contract columns, order: trace, location, features, rest."""
-    df = add_missing(cast_contract(nan_to_null(df)))
-    return canonical_order(df, (extra_order or []) + TRACE_COLUMNS + LOCATION_COLUMNS + ALL_FEATURES)

@@ -24,13 +24,6 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm  # Hadoop FileSystem lookup, works for any cluster file system
     p = jvm.org.apache.hadoop.fs.Path(path)

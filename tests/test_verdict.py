@@ -92,3 +92,18 @@ def test_utm_control_points_on_the_central_meridian(spark):
     for r in df.select("lat", x.alias("x"), y.alias("y")).collect():
         assert r.x == pytest.approx(500_000, abs=1e-6)
         assert r.y == pytest.approx(10_000_000 - 0.9996 * arc(-r.lat), abs=1e-3)
+
+
+def test_cv_folds_fall_back_to_stratified(spark):
+    df = spark.createDataFrame([(i, i % 3, i % 2) for i in range(60)], "k long, g long, y long")
+    few, enough = prep.with_cv_folds(df, "g", "y", "k"), prep.with_cv_folds(df, "k", "y", "k")
+    assert {(r.fold, r.y): r["count"] for r in few.groupBy("fold", "y").count().collect()} == {(f, y): 10 for f in range(3) for y in (0, 1)}
+    assert enough.select("fold").distinct().count() == 5 and enough.count() == 60
+
+
+def test_samples_follow_the_seed(spark):
+    from sitewise.operators.datasets import sample_exact
+
+    df = spark.createDataFrame([(f"key{i}",) for i in range(50)], "k string")
+    pick = lambda seed: {r.k for r in sample_exact(df, 10, "k", seed).collect()}
+    assert pick(1) == pick(1) != pick(2) and len(pick(1)) == 10
