@@ -126,10 +126,22 @@ def count_within(zones: DataFrame, points: DataFrame, r_km: float, out: str = "n
 def exists_within(zones: DataFrame, points: DataFrame, r_km: float, out: str = "has_point",
                   zlat: str = "lat", zlon: str = "lon", inclusive: bool = True,
                   skew_rows: int | None = DEFAULT_SKEW_ROWS) -> DataFrame:
-    """1 if any point is within ``r_km`` (inclusive by default), else 0."""
+    """1 if any point is within ``r_km`` (inclusive by default), else 0.
+
+    Zones that share a cell of 0.7 radii with a point are settled by the list of
+    occupied cells (its diagonal is under the radius); only the others meet
+    points.  So the pairs don't grow with the number of points near a zone.
+    """
     locs = point_locations(points)
-    return radius_aggregate(zones, locs, r_km, [F.max(F.col("pid").isNotNull()).cast("int").alias(out)],
-                            zlat, zlon, inclusive, skew_rows)
+    side = r_km * 0.7
+    cells = {"_cx": bucket(zlat, KM_PER_DEG_LAT, side), "_cy": bucket(zlon, KM_PER_DEG_LON, side)}
+    occupied = locs.select(bucket("plat", KM_PER_DEG_LAT, side).alias("_cx"), bucket("plon", KM_PER_DEG_LON, side).alias("_cy")).distinct()
+    marked = zones.withColumns(cells).join(occupied.withColumn("_near", F.lit(1)), ["_cx", "_cy"], "left")
+    settled = marked.where(F.col("_near").isNotNull()).select(*zones.columns, F.lit(1).alias(out))
+    undecided = marked.where(F.col("_near").isNull()).select(*zones.columns)
+    rest = radius_aggregate(undecided, locs, r_km, [F.max(F.col("pid").isNotNull()).cast("int").alias(out)],
+                            zlat, zlon, inclusive, skew_rows, prune_points=True)
+    return settled.unionByName(rest)
 
 
 def _extent(zones: DataFrame, locs: DataFrame, zlat: str, zlon: str) -> tuple[float, int, float, int]:

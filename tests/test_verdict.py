@@ -107,3 +107,17 @@ def test_samples_follow_the_seed(spark):
     df = spark.createDataFrame([(f"key{i}",) for i in range(50)], "k string")
     pick = lambda seed: {r.k for r in sample_exact(df, 10, "k", seed).collect()}
     assert pick(1) == pick(1) != pick(2) and len(pick(1)) == 10
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_exists_within_equals_brute_force_in_dense_places(spark, inclusive):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    zones = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-12.1, -12.0, 120), rng.uniform(-77.1, -77.0, 120)))] + [(900, None, -77.0), (901, -12.05, -77.05)]
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.normal(-12.05, 0.01, 400), rng.normal(-77.05, 0.01, 400)))] + [(990, -12.05, -77.05)]
+    z = spark.createDataFrame(zones, "candidate_id int, lat double, lon double")
+    got = {r.candidate_id: r.has_point for r in spatial.exists_within(z, spark.createDataFrame(points, "point_id int, lat double, lon double"), 0.3, inclusive=inclusive).collect()}
+    near = lambda d: d <= 0.3 if inclusive else d < 0.3
+    want = {i: int(a is not None and any(near(((a - p) * 111) ** 2 + ((b - q) * 88) ** 2 and (((a - p) * 111) ** 2 + ((b - q) * 88) ** 2) ** 0.5) for _, p, q in points)) for i, a, b in zones}
+    assert got == want and 0 < sum(want.values()) < len(want)
