@@ -7,9 +7,9 @@ tables, so its work grows with them.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,24 +58,19 @@ def fitted(spark: SparkSession, sf_dir: str) -> dict:
     sweep = ev.threshold_sweep(test, "f1").where("is_best").first()  # trap 18: tuned on held-out rows
     meta = {"model_name": MODEL_NAME, "target": "is_optimal", "serving_threshold": float(sweep["threshold"]),
             "feature_names": MODEL_FEATURES.names, "params": {**mdl.BASE_PARAMS, **QUERY_PARAMS}}
-    out = {"model": model, "meta": meta, "data": data, "every": every}
+    out = {"model": model, "meta": meta, "data": data, "every": every,
+           "root": os.path.join(ensure_checkpoint_dir(spark), "models", f"{MODEL_NAME}-{uuid.uuid4().hex}")}  # a folder of its own for each fit
     _MEMO[key] = out
     return out
 
 
-def _model_path(spark: SparkSession, sf_dir: str) -> str:
-    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-    return os.path.join(ensure_checkpoint_dir(spark), "models", MODEL_NAME, tag)
-
-
 def persisted(spark: SparkSession, sf_dir: str) -> dict:
     """The fitted Pipeline saved once (on first need) into the shared
     checkpoint folder."""
     f = fitted(spark, sf_dir)
     if "path" not in f:
-        path = _model_path(spark, sf_dir)
-        mdl.save(f["model"], path, f["meta"])
-        f["path"] = path
+        mdl.save(f["model"], f["root"], f["meta"])
+        f["path"] = f["root"]
     return f
 
 
@@ -85,7 +80,7 @@ def tree_table(spark: SparkSession, sf_dir: str) -> xp.Trees:
     f = fitted(spark, sf_dir)
     if "trees" not in f:
         gbt = f["model"].stages[-1]
-        path = os.path.join(_model_path(spark, sf_dir), "gbt")
+        path = os.path.join(f["root"], "gbt")
         gbt.write().overwrite().save(path)
         f["trees"] = xp.Trees.from_saved(spark, path)
     return f["trees"]
@@ -183,6 +178,51 @@ def explain_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("zone_id", "suitability_score", "is_recommended", "top_features")
 
 
+@query(
+    "score_all",
+    "M5 M6 M19",
+    "SELECT CAST(c_custkey AS VARCHAR) AS zone_id, true AS in_range, true AS flag_follows FROM customer",
+)
+def score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for every zone's score, also where inputs are missing."""
+    thr = mdl.serving_threshold(fitted(spark, sf_dir)["meta"])
+    s = recommend.batch_ids(_scored(spark, sf_dir, None), order="candidate_id")
+    flag = F.col("prob") >= thr
+    return s.select("zone_id", F.coalesce(F.col("prob").between(0, 1), F.lit(False)).alias("in_range"),
+                    F.coalesce(flag == (F.col("prob") - thr >= 0), F.lit(False)).alias("flag_follows"))
+
+
+@query(
+    "explain_additive",
+    "M14",
+    f"SELECT CAST(c_custkey AS VARCHAR) AS zone_id, {len(MODEL_FEATURES.names)} AS n_values, true AS additive FROM customer",
+)
+def explain_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and SHAP values of every zone sum to the log-odds of its probability."""
+    s = _scored(spark, sf_dir, None).withColumn("zone_id", F.col("candidate_id").cast("string"))
+    e = xp.explain(s, tree_table(spark, sf_dir), MODEL_FEATURES.names, ["zone_id", "prob"])
+    total = F.aggregate("shap", F.col("base"), lambda a, x: a + x)
+    log_odds = F.log(F.col("prob") / (1 - F.col("prob")))
+    return e.select("zone_id", F.size("shap").alias("n_values"), (F.abs(total - log_odds) < 1e-6).alias("additive"))
+
+
+@query(
+    "model_roundtrip",
+    "S7 M22",
+    f"SELECT '{MODEL_NAME}' AS model_name, 'is_optimal' AS target, {len(MODEL_FEATURES.names)} AS n_features, "
+    f"{QUERY_PARAMS['maxIter']} AS n_trees, count(*) AS zones, 0.0::DOUBLE AS max_diff, true AS threshold_in_sweep FROM customer",
+)
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reloaded model's metadata, and its scores of every zone against those of the fitted one."""
+    f = persisted(spark, sf_dir)
+    model, meta = mdl.load(f["path"])
+    one, other = (m.transform(f["every"]).select("candidate_id", mdl.prob_col().alias(n)) for m, n in ((model, "p1"), (f["model"], "p2")))
+    thr = mdl.serving_threshold(meta)
+    return one.join(other, "candidate_id").agg(F.count(F.lit(1)).alias("zones"), F.round(F.max(F.abs(F.col("p1") - F.col("p2"))), 12).alias("max_diff")).select(
+        F.lit(meta["model_name"]).alias("model_name"), F.lit(meta["target"]).alias("target"), F.lit(len(meta["feature_names"])).alias("n_features"),
+        F.lit(model.stages[-1].getNumTrees).alias("n_trees"), "zones", "max_diff", F.lit(ev.SWEEP_START <= thr <= ev.SWEEP_STOP).alias("threshold_in_sweep"))
+
+
 @query("stream_score", "§2.12 M5 M6")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scoring of ``batch_score`` as an ``availableNow`` file stream.
@@ -190,8 +230,6 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     All zone rows (derived from the given tables) are written as
     files into the shared checkpoint folder and consumed as a stream.
     """
-    import uuid
-
     from ..streaming.score_stream import read_sink, score_stream
 
     f = fitted(spark, sf_dir)
