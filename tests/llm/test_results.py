@@ -175,6 +175,20 @@ def test_blocks_of_odd_markup():
     assert html_text.blocks("1 < 2 &lt; 3 <!-- x --> <a title='>'>t</a>") == [("plain", "1 < 2 < 3 t")]
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>", "<div class='no-sidebar'>", "<body class='page-with-nav'><div id=page-with-nav>", "<form action=/>", "<div class=widget>", "<div role=form>"])
+def test_wrappers_of_an_article_are_no_chrome(wrapper):
+    page = f"{wrapper}<div class=ad>buy it</div><nav>menu</nav><article><p>real text</p><p class=notice>more of it</p><div class='related share widget'>and more</div><div class=ad>no</div></article>"
+    assert [t for r, t in html_text.blocks(page) if r == "main"] == ["real text", "more of it", "and more"]
+    assert {t: r for r, t in html_text.blocks(page)}["buy it"] == {t: r for r, t in html_text.blocks(page)}["menu"] == "marked"
+    page = f"{wrapper}<nav>menu</nav><div class=ad>buy</div><p>text of a page without an article</p><div class=comments>said</div>"
+    assert html_text.blocks(page) == [("marked", "menu"), ("marked", "buy"), ("plain", "text of a page without an article"), ("marked", "said")]
+
+
+@pytest.mark.parametrize("bar", ["nav", "aside", "footer", "div class=comments", "div class='nav-primary'", "div role=navigation"])
+def test_articles_in_chrome_are_none(bar):
+    assert html_text.blocks(f"<main>yes</main><{bar}><article>no</article></{bar.split()[0]}>") == [("main", "yes"), ("marked", "no")]
+
+
 def test_shared_runs():
     streams = [["s"] * 3 + list("abcdefgh"), list("zabcdefg"), list("qrstuvwx")]
     assert [x.tolist() for x in html_text.shared_by(streams, 6)] == [[1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 1], [1, 2, 2, 2, 2, 2, 2, 2], [1] * 8]
