@@ -194,6 +194,34 @@ def test_shared_runs():
     assert [x.tolist() for x in html_text.shared_by(streams, 6)] == [[1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 1], [1, 2, 2, 2, 2, 2, 2, 2], [1] * 8]
 
 
+def unique(page, n=60):
+    return " ".join(f"u{page}x{k}" for k in range(n))
+
+
+def test_short_phrases_of_plain_pages_stay():
+    pages = [[("plain", f"{unique(i)} as the old saying has it here {unique(-i - 1)}" if i in (3, 5) else unique(i))] for i in range(12)]
+    assert html_text.main_texts(pages) == [p[0][1] for p in pages]
+
+
+def test_copies_are_one_page():
+    text = unique("copied", 200)
+    near = text.replace("ucopiedx100 ", "another ")
+    copies = [[("plain", f"advert of page {i} with eight tokens"), ("plain", near if i % 2 else text)] for i in range(10)]
+    assert html_text.main_texts(copies) == [" ".join(t for _, t in p) for p in copies]  # a host without articles that mirrors one text
+    for region in ("plain", "main"):
+        mirror = [[("marked", f"advert {i}"), (region, text)] for i in range(30)] + [[(region, unique(i))] for i in range(3)]
+        assert html_text.main_texts(mirror) == [p[-1][1] for p in mirror]
+        assert html_text.main_texts([[(region, text)], [(region, near)]]) == [text, near]
+
+
+def test_unclassed_notices_go():
+    notice, terms = "sign up here for our weekly letter", "all rights reserved " + unique("terms", 40)
+    pages = [[("main", unique(i)), ("main", notice if i % 2 else unique(f"{i}b")), ("main", unique(f"{i}c")), ("plain", terms if i % 4 == 0 else unique(f"{i}d"))] for i in range(40)]
+    assert html_text.main_texts(pages) == [" ".join(t for _, t in p if t not in (notice, terms)) for p in pages]
+    inside = [[("plain", f"{unique(i)} {terms} {unique(f'{i}e')}")] for i in range(8)]  # a long run within blocks
+    assert html_text.main_texts(inside) == [f"{unique(i)} {unique(f'{i}e')}" for i in range(8)]
+
+
 def test_pipeline(spark, docs):
     """Each stage against its plain version, on what the stage before kept."""
     from sitewise.llm.store import saved
