@@ -6,6 +6,11 @@ share it travel as one packed string to the minimiser's bucket.  Equal windows h
 equal minimisers, so each bucket sees all copies of its windows and counts them
 exactly: it sorts window hashes and compares the bytes of those that agree.
 
+A short line that is frequent in ever new surroundings would draw all windows around it
+to one bucket.  So strings are counted by minimiser first, and windows with a hot one
+go by the least hash of their longer grams, in the end by the hash of the window; which
+minimisers are hot changes where windows meet, not what is found.
+
 Tasks drop repeats of a string before the shuffle: of one passage a bucket gets one
 string from each chunk of input, however many documents share it.
 """
@@ -28,6 +33,7 @@ GRAM = 8                 # words of a minimiser
 CHUNK_BYTES = 12 << 20   # text whose strings are packed together
 SLICE_BYTES = 1 << 20    # text hashed at a time
 RUN = 4096               # windows in a string at most; longer runs go on in the next one
+HOT_BYTES = 4 << 20      # text that a minimiser's strings have at most
 PARTITION_BYTES = 64 << 20
 BUCKETS = 8              # buckets per shuffle partition, worked off one by one
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
@@ -84,22 +90,46 @@ class Words:
         return self.data[self.starts[word] : self.ends[word + n - 1]]
 
 
-def super_kmers(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of windows and minimiser of each super-k-mer."""
-    m = min(GRAM, k)
+def gram_sizes(k: int) -> list[int]:
+    """Words of the grams of each level: a window has a third as many on the next one, and one on the last."""
+    grams = [k - min(GRAM, k) + 1]
+    while grams[-1] > 1:
+        grams.append(max(1, grams[-1] // 3))
+    return [k - n + 1 for n in grams]
+
+
+def _least_grams(words: Words, k: int, m: int) -> np.ndarray:
+    """Least hash of the grams of m words in the k words from each word on."""
     least, width = words.grams(m), 1
     while width < k - m + 1:
         step = min(width, k - m + 1 - width)
         least = np.minimum(least[: len(least) - step], least[step:])
         width += step
+    return least
+
+
+def minimisers(words: Words, k: int, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, minimiser and its level of each window; hot: of each level, the minimisers to go on from."""
     begins = np.flatnonzero(words.windows(k))
-    least = least[begins]
+    least, level = np.zeros(len(begins), np.uint64), np.zeros(len(begins), np.int64)
+    rest = np.arange(len(begins))
+    for i, m in enumerate(gram_sizes(k)):
+        if not len(rest):
+            break
+        least[rest], level[rest] = _least_grams(words, k, m)[begins[rest]], i
+        rest = rest[np.isin(least[rest], hot[i])] if i < len(hot) else rest[:0]
+    return begins, least, level
+
+
+def super_kmers(words: Words, k: int, hot: list[np.ndarray] = []) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:  # noqa: B006
+    """First word, number of windows, minimiser and its level of each super-k-mer."""
+    begins, least, level = minimisers(words, k, hot)
     new = np.ones(len(begins), bool)
-    new[1:] = (least[1:] != least[:-1]) | (begins[1:] != begins[:-1] + 1)
+    new[1:] = (least[1:] != least[:-1]) | (level[1:] != level[:-1]) | (begins[1:] != begins[:-1] + 1)
     head = np.flatnonzero(new)
     run = np.arange(len(begins)) - np.repeat(head, np.diff(np.concatenate([head, [len(begins)]])))
     head = np.flatnonzero(run % RUN == 0)
-    return begins[head], np.diff(np.concatenate([head, [len(begins)]])), least[head]
+    return begins[head], np.diff(np.concatenate([head, [len(begins)]])), least[head], level[head]
 
 
 Span = tuple[int, int, int, int]  # doc, text hash, first word, word after the last
@@ -123,18 +153,41 @@ def _unpack(blob: bytes) -> tuple[list[tuple[bytes, int]], np.ndarray, np.ndarra
     return strings, numbers[2 * n : 2 * n + 4 * p].reshape(-1, 4), numbers[2 * n + 4 * p :].reshape(-1, 4)
 
 
-def _chunk(rows: list[tuple[int, int, bytes]], k: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Packed strings by bucket of (doc, text hash, words joined by a space) rows."""
-    seen: dict[bytes, tuple[int, int, list[tuple[int, int, int]]]] = {}
-    known: dict[int, list[Span]] = {}
+def _slices(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, Words]]:
+    """Number of the first row, and the words, of some rows at a time."""
     i = 0
     while i < len(rows):
         j, size = i, 0
         while j < len(rows) and size < SLICE_BYTES:
             size += len(rows[j][2])
             j += 1
-        words = Words([x[2] for x in rows[i:j]])
-        heads, counts, least = super_kmers(words, k)
+        yield i, Words([x[2] for x in rows[i:j]])
+        i = j
+
+
+def _weights(rows: list[tuple[int, int, bytes]], k: int, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Minimisers of the level after the hot ones, with the bytes of their different strings; those with one are left out."""
+    found = []
+    for _, words in _slices(rows):
+        heads, counts, least, level = super_kmers(words, k, hot)
+        here = level == len(hot)
+        heads, last, least = heads[here], (heads + counts + k - 1)[here], least[here]
+        found.append(np.column_stack([least, _sums(words.hash, heads, last), (words.ends[last - 1] - words.starts[heads]).astype(np.uint64)]))
+    strings = np.concatenate([np.zeros((0, 3), np.uint64), *found])
+    strings = strings[np.lexsort((strings[:, 1], strings[:, 0]))]
+    other = np.ones(len(strings), bool)
+    other[1:] = (strings[1:, :2] != strings[:-1, :2]).any(axis=1)
+    keys, at, n = np.unique(strings[other, 0], return_index=True, return_counts=True)
+    sizes = np.add.reduceat(strings[other, 2], at) if len(at) else np.zeros(0, np.uint64)
+    return keys[n > 1], sizes[n > 1]
+
+
+def _chunk(rows: list[tuple[int, int, bytes]], k: int, buckets: int, hot: list[np.ndarray] = []) -> Iterator[tuple[int, bytes]]:  # noqa: B006
+    """Packed strings by bucket of (doc, text hash, words joined by a space) rows."""
+    seen: dict[bytes, tuple[int, int, list[tuple[int, int, int]]]] = {}
+    known: dict[int, list[Span]] = {}
+    for i, words in _slices(rows):
+        heads, counts, least, _ = super_kmers(words, k, hot)
         text = words.text_of[heads]
         cuts = zip(words.starts[heads].tolist(), words.ends[heads + counts + k - 2].tolist(), counts.tolist(), (least % np.uint64(buckets)).tolist(), text.tolist(), (heads - words.first[text]).tolist(), strict=True)
         for a, b, n, bucket, t, at in cuts:
@@ -149,7 +202,6 @@ def _chunk(rows: list[tuple[int, int, bytes]], k: int, buckets: int) -> Iterator
                 had[2].append((doc, mark, at))
             else:
                 known.setdefault(bucket, []).append((doc, mark, at, at + n + k - 1))
-        i = j
     by: dict[int, list] = {}
     for string, (n, bucket, places) in seen.items():
         by.setdefault(bucket, []).append((string, n, places))
@@ -235,6 +287,40 @@ def _estimated_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0  # Spark's "unknown" is 8 EiB
 
 
+def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(doc, mark, words joined by a space) of texts with a window, a chunk at a time."""
+    rows, size = [], 0
+    for batch in batches:
+        for doc, mark, text in zip(*batch.columns, strict=True):
+            words = (text.as_py() or "").encode().split()
+            if len(words) >= k:
+                rows.append((doc.as_py(), mark.as_py(), b" ".join(words)))
+                size += len(rows[-1][2])
+            if size >= CHUNK_BYTES:
+                yield rows
+                rows, size = [], 0
+    yield rows
+
+
+def hot_minimisers(docs: DataFrame, k: int) -> list[np.ndarray]:
+    """Of each level, the minimisers whose strings are too much for one bucket; the last level has none."""
+    hot: list[np.ndarray] = []
+    while len(hot) < len(gram_sizes(k)) - 1:
+        known = list(hot)
+
+        def weigh(batches: Iterator[pa.RecordBatch], known: list[np.ndarray] = known) -> Iterator[pa.RecordBatch]:
+            for rows in _texts(batches, k):
+                keys, sizes = _weights(rows, k, known)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int64))], ["least", "size"])
+
+        sizes = docs.select("doc", "mark", "text").mapInArrow(weigh, "least long, size long").groupBy("least").agg(F.sum("size").alias("size"))
+        found = sizes.filter(F.col("size") > HOT_BYTES).select("least").collect()  # at most one for each HOT_BYTES of strings
+        if not found:
+            break
+        hot.append(np.sort(np.array([r.least for r in found], np.int64).view(np.uint64)))
+    return hot
+
+
 def repeated_spans(docs: DataFrame, k: int = 50) -> DataFrame:
     """(doc, mark, first, last): word spans [first, last) covered by earlier documents' windows.
 
@@ -244,23 +330,12 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark, 10 * _estimated_bytes(docs), PARTITION_BYTES)  # strings overlap: thrice the text, compressed here
     buckets = parts * BUCKETS
+    hot = hot_minimisers(docs, k)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list) -> pa.RecordBatch:
-            found = list(_chunk(rows, k, buckets))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["bucket", "packed"])
-
-        rows, size = [], 0
-        for batch in batches:
-            for doc, mark, text in zip(*batch.columns, strict=True):
-                words = (text.as_py() or "").encode().split()
-                if len(words) >= k:
-                    rows.append((doc.as_py(), mark.as_py(), b" ".join(words)))
-                    size += len(rows[-1][2])
-                if size >= CHUNK_BYTES:
-                    yield out(rows)
-                    rows, size = [], 0
-        yield out(rows)
+        for rows in _texts(batches, k):
+            found = list(_chunk(rows, k, buckets, hot))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["bucket", "packed"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}

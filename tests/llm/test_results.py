@@ -194,6 +194,28 @@ def test_shared_runs():
     assert [x.tolist() for x in html_text.shared_by(streams, 6)] == [[1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 1], [1, 2, 2, 2, 2, 2, 2, 2], [1] * 8]
 
 
+@pytest.mark.parametrize("length", [9, 30, 45, 49])
+def test_hot_minimisers_are_split(spark, monkeypatch, length):
+    monkeypatch.setattr(substring, "HOT_BYTES", 8000)
+    line = " ".join(f"line{i}" for i in range(length))
+    docs = [(d, " ".join([*(f"a{d}x{i}" for i in range(60)), line, *(f"b{d}x{i}" for i in range(60))])) for d in range(80)]
+    docs += [(100 + d, docs[d][1]) for d in (0, 7)] + [(200, docs[3][1][200:] + " tail")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hot = substring.hot_minimisers(df.selectExpr("doc_id as doc", "0L as mark", "text"), 50)
+    words = substring.Words([t.encode() for _, t in docs])
+
+    def most(hot):
+        heads, counts, least, level = substring.super_kmers(words, 50, hot)
+        size = {}
+        for h, n, key in zip(heads.tolist(), counts.tolist(), zip(least.tolist(), level.tolist(), strict=True), strict=True):
+            size.setdefault(key, set()).add(words.slice(h, n + 49))
+        return max(sum(map(len, x)) for x in size.values())
+
+    assert most([]) > 8000 >= most(hot)
+    got = {r.doc_id: r.kept.split() for r in substring.remove_repeats(df).collect()}
+    assert got == {d: kept for d, (_, kept) in brute.substring(docs).items()}
+
+
 def unique(page, n=60):
     return " ".join(f"u{page}x{k}" for k in range(n))
 
