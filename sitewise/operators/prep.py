@@ -128,4 +128,5 @@ def with_cv_folds(df: DataFrame, group: str, label: str, key: str, k: int = 5) -
     kind, folds = n_folds(df.select(group).distinct().count(), k)
     if kind == "stratified":
         return stratified_folds(df, label, key, folds)
-    return df.join(group_folds(df, group, folds), group, "left")
+    dealt = group_folds(df, group, folds).withColumnRenamed(group, "_group")
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")  # null is a group too

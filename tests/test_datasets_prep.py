@@ -50,6 +50,13 @@ def test_stratified_folds_balanced(spark):
         assert max(counts) - min(counts) <= 1
 
 
+def test_rows_of_the_null_group_get_a_fold(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 7, i % 2) for i in range(70)], "k long, g long, y int")
+    got = prep.with_cv_folds(df, "g", "y", "k").collect()
+    assert sorted(r.k for r in got) == list(range(70)) and {r.fold for r in got} == set(range(5))
+    assert len({r.fold for r in got if r.g is None}) == 1
+
+
 def test_imputation_fitted_on_train_only(spark):
     df = spark.createDataFrame([(1, 1.0, "train"), (2, 3.0, "train"), (3, None, "test"), (4, 100.0, "test")],
                                "k long, v double, split string")
