@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_codec, exact, html_text, lines, nearest, packing, preference, simhash, substring, toxicity
+from . import audit, bpe_codec, exact, html_text, importance, lines, nearest, packing, preference, sharding, simhash, substring, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 SEQUENCE = 2048
+SHARDS = 24
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=[])
+    return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), SHARDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
@@ -74,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_importance": op12_importance,
+    "op13_sharding": op13_sharding,
 }
 ORACLES: dict[str, str] = {
     "op5_preference": preference.ORACLE,
@@ -82,4 +99,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)""",
+    "op11_filter_audit": audit.ORACLE,
+    "op12_importance": importance.ORACLE,
+    "op13_sharding": sharding.ORACLE,
 }
