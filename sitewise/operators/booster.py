@@ -35,16 +35,19 @@ from pyspark.sql import functions as F
 from ..functions.features import with_derived
 from ..schema import RANDOM_STATE
 from ..session import written
-from . import prep, ranking, trees
+from . import ranking, selection, trees
+from .evaluate import class_weights
 from .joins import bounded_broadcast
 
 # ---- fixed values: base parameters, search ranges and budget ---------------
 BASE_PARAMS = {"n_estimators": 500, "learning_rate": 0.05, "num_leaves": 31, "min_child_samples": 20, "subsample": 0.8,
-               "subsample_freq": 0, "colsample_bytree": 0.8, "reg_alpha": 0.1, "reg_lambda": 0.1, "random_state": RANDOM_STATE}
+               "subsample_freq": 0, "colsample_bytree": 0.8, "reg_alpha": 0.1, "reg_lambda": 0.1, "random_state": RANDOM_STATE,
+               "class_weight": (1.0, 1.0)}
 SEARCH_SPACE = {"num_leaves": (15, 127, "int"), "learning_rate": (0.01, 0.15, "log"), "n_estimators": (200, 1000, "int"),
                 "min_child_samples": (10, 60, "int"), "subsample": (0.6, 1.0, "lin"), "colsample_bytree": (0.6, 1.0, "lin"),
                 "reg_alpha": (1e-3, 1.0, "log"), "reg_lambda": (1e-3, 1.0, "log")}
 TRIALS, SECONDS, PATIENCE = 50, 600, 50
+DEFAULT_THRESHOLD = 0.5
 # -----------------------------------------------------------------------------
 BLOCK_ROWS = 250_000
 #: trials trained together before the search looks at the clock
@@ -54,6 +57,12 @@ TREES = "model int, tree int, area double, feature array<int>, bin array<int>, l
 BLOCK = "block int, n int, codes binary, label binary, fold binary, seen binary, keys binary"
 
 
+def balanced(train: DataFrame, label: str = "label") -> dict:
+    """A parameter that weighs the classes by n / (2 n_class)."""
+    weights = {int(r[label]): r["weight"] for r in class_weights(train, label).collect()}  # a row a class
+    return {"class_weight": (weights.get(0, 1.0), weights.get(1, 1.0))}
+
+
 class Model(dict):
     """What to train: id, params, fold (held out; -1: none) and patience (None: all trees)."""
 
@@ -90,18 +99,6 @@ def _sets(counts: DataFrame, folds: list[int]) -> DataFrame:
     return counts.withColumn("set", F.explode(others)).groupBy("set", *keep).agg(F.sum("cnt").alias("cnt"))
 
 
-def _medians(base: DataFrame, numeric: list[str], folds: list[int]) -> dict[int, dict[str, float]]:
-    """Exact medians of each training set, from one set of value counts."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in numeric]))
-    long = base.select("_fold", pairs.alias("e")).select("_fold", "e.*").where("value is not null")
-    counts = _sets(long.groupBy("_fold", "feature", "value").agg(F.count("*").alias("cnt")), folds)
-    at = ranking.positions(counts, ["set", "feature"], "value")
-    out: dict[int, dict[str, float]] = {f: {} for f in [-1, *folds]}
-    for r in at.groupBy("set", "feature").agg(*ranking.quantile_aggs([0.5], names=["median"])).collect():  # sets x features rows
-        out[r["set"]][r["feature"]] = r["median"]
-    return out
-
-
 def _modes(base: DataFrame, col: str, folds: list[int]) -> dict[int, float]:
     """The most frequent category code of each training set, the least one on ties."""
     counts = _sets(base.where(F.col(col).isNotNull()).groupBy("_fold", col).agg(F.count("*").alias("cnt")), folds)
@@ -134,32 +131,34 @@ def prepare(train: DataFrame, numeric: list[str], categorical: list[str], key: s
     key: a column that identifies a row; fold: its fold, below 63 (None: no folds).
     """
     ready = with_derived(train, refresh=True)
-    folded = F.col(fold).cast("int") if fold else F.lit(-1)
+    folded = F.col(fold).cast("int") if fold else F.lit(-2)  # a row of no fold is held out by no model
     base = ready.select(F.xxhash64(key).alias("_key"), F.col(label).cast("int").alias("_label"), folded.alias("_fold"), *[known(c).alias(c) for c in numeric + categorical])
-    tables = {}
+    base = written(base, "training-rows")
+    raw, tables = base, {}
     for c in categorical:
         # D3: sorted categories as a table, with a bit for each fold that has one
-        codes = prep.fit_ordinal(base, c)
-        bits = base.where(F.col(c).isNotNull()).groupBy(c).agg(F.bit_or(F.expr("shiftleft(1L, greatest(_fold, 0))")).alias("seen"))
-        tables[c] = written(codes.join(bits, c).select(c, F.col("code").cast("double").alias("code"), "seen"), "categories")
+        bits = raw.where(F.col(c).isNotNull()).groupBy(c).agg(F.bit_or(F.expr("shiftleft(1L, greatest(_fold, 0))")).alias("seen"), F.lit(1).cast("long").alias("cnt"))
+        coded = ranking.positions(bits, [], c).select(c, F.col("before").cast("double").alias("code"), "seen")
+        tables[c] = written(coded, "categories")
         named = bounded_broadcast(tables[c].withColumnsRenamed({"code": f"{c}__code", "seen": f"{c}__seen"}))
         base = base.join(named, c, "left").drop(c).withColumnRenamed(f"{c}__code", c)
-    base = written(base, "training-rows")
-    n = base.count()
-    if not n:
-        raise ValueError("no labelled rows to train on")
-    folds = sorted(r[0] for r in base.select("_fold").distinct().collect()) if fold else []  # as many as there are folds
     names = numeric + categorical
     steps = [i / (trees.BINS - 1) for i in range(1, trees.BINS - 1)]
-    found = base.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in names]).first()
+    found = base.agg(F.count("*").alias("_n"), F.collect_set("_fold").alias("_folds"), *[F.percentile_approx(c, steps, 10_000).alias(c) for c in names]).first()
+    n = found["_n"]
+    if not n:
+        raise ValueError("no labelled rows to train on")
+    folds = sorted(found["_folds"]) if fold else []  # below 63 of them
     cuts = [np.unique(np.array(found[c] or [], float)) for c in numeric]
     # a code's bin is above the one of categories that training didn't see
     cuts += [np.unique(np.concatenate([[-0.5], np.array(found[c] or [], float)])) for c in categorical]
 
     fills: dict[int, list[float]] = {}
-    middles, modes = _medians(base, numeric, folds), {c: _modes(base, c, folds) for c in categorical}
+    # Exact medians of all rows and of those outside each fold
+    middles = selection.quantiles(raw, numeric, [0.5], "_fold", {-1: None, **{f: [g for g in folds if g != f] for f in folds}})
+    modes = {c: _modes(base, c, folds) for c in categorical}
     for s in [-1, *folds]:
-        got = {**middles[s], **{c: modes[c].get(s) for c in categorical}}
+        got = {**{c: middles[s, c].quantile(0.5) for c in numeric}, **{c: modes[c].get(s) for c in categorical}}
         empty = [c for c in names if got.get(c) is None]
         if empty:
             raise ValueError(f"cannot impute all-null column(s): {empty}")
@@ -272,7 +271,7 @@ def _best_of(by_id: dict[int, dict], used: dict[int, np.ndarray]):  # noqa: ANN2
         hist = np.zeros((3, len(used[i]) * trees.BINS))
         hist[:, cells["cell"]] = cells[["g", "h", "n"]].to_numpy(float).T
         hist = hist.reshape(3, len(used[i]), trees.BINS)
-        found = trees.best_split(hist, used[i], by_id[i]["params"])
+        found = trees.best_splits(hist[None], used[i], by_id[i]["params"])[0]
         numbers = [*hist[:, 0].sum(axis=1), *(x for s in found[3:] for x in s)] if found else list(hist[:, 0].sum(axis=1))
         gain, feature, cut = found[:3] if found else (None, -1, 0)
         return pd.DataFrame({"model": [i], "node": [node], "gain": [gain], "feature": [feature], "bin": [cut], "sums": [numbers]})
@@ -296,7 +295,7 @@ def _fit_in_rounds(p: Prepared, models: list[dict]) -> DataFrame:
         for f, sums in positive.items():
             if r["fold"] != f or f < 0:
                 sums[0], sums[1] = sums[0] + r["yes"], sums[1] + r["n"]
-    starts = {i: trees.start_margin(*positive[m["fold"]]) for i, m in by_id.items()}
+    starts = {i: trees.start_margin(*positive[m["fold"]], m["params"]) for i, m in by_id.items()}
     leaf = lambda v, n: {"feature": np.array([-1]), "bin": np.array([0]), "left": np.array([-1]), "right": np.array([-1]), "value": np.array([v]), "cover": np.array([n])}
     out = [spark.createDataFrame([_tree_row(i, -1, None, leaf(starts[i], positive[m["fold"]][1])) for i, m in by_id.items()], TREES)]
 
@@ -330,7 +329,7 @@ def _fit_in_rounds(p: Prepared, models: list[dict]) -> DataFrame:
                             take = ~v.held
                             bag = trees.in_bag(by_id[i]["params"], t, v.keys)
                             take = take if bag is None else take & bag
-                            g, h = trees.gradients(margins[order[i]][take], v.label[take].astype(float))
+                            g, h = trees.gradients(margins[order[i]][take], v.label[take].astype(float), by_id[i]["params"])
                             at = trees.routed(shapes[i], v.codes[take])
                             for node in nodes:
                                 own = at == node
@@ -398,7 +397,8 @@ def fit(p: Prepared, models: list[dict]) -> DataFrame:
 
 def best_rounds(fitted: DataFrame, models: list[dict]) -> dict[int, tuple[int, float | None]]:
     """Per model the last tree to keep and its AUC: the best round where there is patience (the first of equal ones), else the last."""
-    ends = fitted.groupBy("model").agg(F.max("tree").alias("last"), F.max(F.struct("area", (-F.col("tree")).alias("back"))).alias("top"),
+    wanted = fitted.where(F.col("model").isin([m["id"] for m in models]))
+    ends = wanted.groupBy("model").agg(F.max("tree").alias("last"), F.max(F.struct("area", (-F.col("tree")).alias("back"))).alias("top"),
                                        F.max(F.struct("tree", "area")).alias("end"))
     patient = {m["id"]: bool(m["patience"]) for m in models}
     out = {}
@@ -408,10 +408,14 @@ def best_rounds(fitted: DataFrame, models: list[dict]) -> dict[int, tuple[int, f
     return out
 
 
-def nodes_of(fitted: DataFrame, model: int, last: int | None = None) -> list[dict]:
-    """The trees of one model as arrays, in order; bounded by the model's size."""
-    rows = fitted.where((F.col("model") == model) & (F.col("tree") <= (F.lit(last) if last is not None else F.col("tree")))).collect()
-    return [{k: np.array(r[k]) for k in ("feature", "bin", "left", "right", "value", "cover")} for r in sorted(rows, key=lambda r: r["tree"])]
+def forests(fitted: DataFrame, lasts: dict[int, int | None]) -> dict[int, list[dict]]:
+    """Some models' trees as arrays, in order, each up to its last one (None: all); bounded by the models' size."""
+    out: dict[int, list[tuple[int, dict]]] = {i: [] for i in lasts}
+    for r in fitted.where(F.col("model").isin(list(lasts))).collect():
+        last = lasts[r["model"]]
+        if last is None or r["tree"] <= last:
+            out[r["model"]].append((r["tree"], {k: np.array(r[k]) for k in ("feature", "bin", "left", "right", "value", "cover")}))
+    return {i: [tree for _, tree in sorted(found, key=lambda x: x[0])] for i, found in out.items()}
 
 
 def binned(cuts: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -430,14 +434,14 @@ def held_out_scores(p: Prepared, fitted: DataFrame, models: list[dict]) -> DataF
     """(model, key, label, prob) of the rows of each model's held-out fold; key is the hash of the row's key."""
     by_id, fills, places, features = _plan(p, models)
     ends = best_rounds(fitted, models)
-    forests = {i: nodes_of(fitted, i, ends[i][0]) for i in by_id}
+    kept = forests(fitted, {i: ends[i][0] for i in by_id})
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
                 m = by_id[row["model"]]
                 v = View(Block(row, features), m, fills[m["fold"]], places)
-                prob = trees.probability(margin_of(forests[m["id"]], v.codes[v.held]))
+                prob = trees.probability(margin_of(kept[m["id"]], v.codes[v.held]))
                 yield pd.DataFrame({"model": m["id"], "key": v.keys[v.held], "label": v.label[v.held].astype(np.int32), "prob": prob})
 
     jobs = p.blocks.withColumn("model", F.explode(F.array(*[F.lit(i) for i in by_id])))
@@ -519,7 +523,7 @@ class BoostedModel:
 
 
 def trained(p: Prepared, fitted: DataFrame, model: dict, last: int | None = None) -> BoostedModel:
-    return BoostedModel(p.names, p.categorical, p.cuts, p.fills[model["fold"]], p.categories, nodes_of(fitted, model["id"], last), model["params"])
+    return BoostedModel(p.names, p.categorical, p.cuts, p.fills[model["fold"]], p.categories, forests(fitted, {model["id"]: last})[model["id"]], model["params"])
 
 
 def save(spark: SparkSession, model: BoostedModel, path: str, metadata: dict) -> None:
@@ -558,9 +562,14 @@ def load(spark: SparkSession, path: str) -> tuple[BoostedModel, dict]:
     try:
         state = json.loads(spark.read.text(f"{path}/state").first()[0])
         fitted = spark.read.schema(TREES).parquet(f"{path}/trees")
-        forest = nodes_of(fitted, 0)
+        forest = forests(fitted, {0: None})[0]
     except Exception as e:  # noqa: BLE001
         raise FileNotFoundError(f"model not found: {path}") from e
     categories = {c: spark.read.parquet(f"{path}/categories/{c}") for c in state["categorical"]}
     model = BoostedModel(state["names"], state["categorical"], [np.array(c) for c in state["cuts"]], state["fills"], categories, forest, state["params"])
     return model, load_metadata(spark, path)
+
+
+def serving_threshold(meta: dict) -> float:
+    """M6: ``serving_threshold`` wins over ``threshold``; default 0.5."""
+    return float(meta.get("serving_threshold", meta.get("threshold", DEFAULT_THRESHOLD)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import with_derived
 from ..schema import ALL_FEATURES, LOCATION_COLUMNS, RANDOM_STATE, TRACE_COLUMNS, add_missing, canonical_order
-from . import ranking
+from . import ranking, selection
 
 # ---- fixed values: dataset versions, trace texts, district rule -------------
 REAL_DATASET_VERSION = "real-candidates-v0.3"
@@ -76,13 +76,13 @@ def assign_district(lon: str = "lon") -> Column:
 def quantile_label(df: DataFrame, score: str, rate: float, out: str = "is_optimal") -> tuple[DataFrame, float | None]:
     """1 when score ≥ quantile(1 - rate) (linear interpolation).
 
-    The cut-off is a scalar read (one small job over value counts), rounded to
+    The cut-off is a scalar read (a few small jobs over counts), rounded to
     nine digits so that interpolation leaves equal scores on one side.
     """
     lo, hi = POSITIVE_RATE_RANGE
     if not lo <= rate <= hi:
         raise ValueError(f"positive_rate must be between {lo} and {hi}")
-    found = ranking.quantile_value(df, score, 1.0 - rate)
+    found = selection.quantiles(df, [score], [1.0 - rate])[None, score].quantile(1.0 - rate)
     cutoff = None if found is None else round(found, 9)
     lab = F.coalesce(F.col(score) >= F.lit(cutoff), F.lit(False)).cast("int") if cutoff is not None else F.lit(0)
     return df.withColumn(out, lab), cutoff

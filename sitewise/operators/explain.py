@@ -1,182 +1,133 @@
-"""Per-row explanations (M14, M21): path-dependent tree SHAP over a GBT.
-
-The fitted trees are a small node table (trees × nodes, bounded by maxIter
-and maxDepth) read from Spark ML's own persisted format; it is shipped to
-the tasks inside the ``mapInPandas`` closure.  Each task explains its
-Arrow batches with the path-dependent algorithm of Lundberg, Erion and Lee
-(2018), vectorised over the rows of a batch: the path weights are arrays,
-the "one fractions" are per-row 0/1 indicators of the branch a row takes.
-The top-N ranking by |value| then runs JVM-side (``array_sort`` +
-``slice``).
-
-Spark's GBT margin m gives p = 1 / (1 + exp(-2m)); values are reported in
-log-odds units (×2), so base + Σ values = log-odds of the probability.
+"""Per-row explanations (M14, M21): path-dependent tree SHAP over a boosted model.
+
+A leaf's path is merged first: per feature on it one interval of bins and one cover
+ratio z, the share of rows that would go on to the leaf if the feature were unknown.  With
+o = 1 where a row's bin lies in the interval and else 0, the Shapley value of feature i for
+the leaf's value v is
+
+    v (o_i - z_i) * integral over t in [0, 1] of the product over j != i of (z_j (1 - t) + o_j t)
+
+since the integral of t^k (1 - t)^(d-1-k) is the Shapley weight of a subset of k of the other
+d - 1 features (Lundberg, Erion and Lee, 2018, define the values).  The integrand is a
+polynomial of degree d - 1, so Gauss-Legendre points give it exactly.  It depends on the
+row through the bits o alone: a leaf's values are computed once per bit pattern, and a row
+only looks its patterns up, made for all leaves at once by adding a small table per feature.
+
+Values are log-odds: base + sum of values = log-odds of the probability.  The ranking by
+absolute value runs JVM-side (``array_sort`` and ``slice``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.functions import vector_to_array
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
+from .booster import BoostedModel, binned
+from .trees import BINS
+
+
+class Leaf:
+    """The merged path to a leaf: features, their intervals of bins (low, high] and their cover ratios."""
+
+    def __init__(self, value: float):
+        self.value, self.low, self.high, self.ratio = value, {}, {}, {}
+
+
+def leaves(tree: dict[str, np.ndarray]) -> list[Leaf]:
+    """All leaves of a tree."""
+    out = []
+    todo = [(0, {})]  # node, feature -> (low, high, ratio)
+    while todo:
+        node, path = todo.pop()
+        f = int(tree["feature"][node])
+        if f < 0:
+            leaf = Leaf(float(tree["value"][node]))
+            for g, (low, high, ratio) in path.items():
+                leaf.low[g], leaf.high[g], leaf.ratio[g] = low, high, ratio
+            out.append(leaf)
+            continue
+        low, high, ratio = path.get(f, (-1, BINS, 1.0))
+        cut, cover = int(tree["bin"][node]), tree["cover"]
+        for child, interval in ((int(tree["left"][node]), (low, min(high, cut))), (int(tree["right"][node]), (max(low, cut), high))):
+            todo.append((child, {**path, f: (*interval, ratio * cover[child] / cover[node])}))
+    return out
+
+
+def _shares(ratio: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """(patterns, features): the Shapley share of each feature of a leaf for each bit pattern."""
+    d = len(ratio)
+    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    t, w = (points + 1) / 2, weights / 2
+    factor = ratio[None, :, None] * (1 - t) + bits[:, :, None] * t
+    return (bits - ratio) * ((factor.prod(axis=1)[:, None, :] / factor) @ w)
+
+
+def shap_values(forest: list[dict], codes: np.ndarray, features: int) -> np.ndarray:
+    """SHAP values (rows, features) of binned rows, in log-odds."""
+    phi = np.zeros((len(codes), features))
+    for tree in forest:
+        paths = [p for p in leaves(tree) if p.ratio]
+        if not paths:
+            continue
+        pattern = np.zeros((len(codes), len(paths)), np.int32)
+        place = [{f: i for i, f in enumerate(p.ratio)} for p in paths]
+        for f in {f for p in paths for f in p.ratio}:
+            table = np.zeros((BINS, len(paths)), np.int32)
+            for k, p in enumerate(paths):
+                if f in p.ratio:
+                    table[p.low[f] + 1 : p.high[f] + 1, k] = 1 << place[k][f]
+            pattern += table[codes[:, f]]
+        for k, p in enumerate(paths):
+            names, ratio = list(p.ratio), np.array(list(p.ratio.values()))
+            if 1 << len(names) <= 4 * len(codes):
+                kinds, at = np.arange(1 << len(names)), pattern[:, k]
+            else:
+                kinds, at = np.unique(pattern[:, k], return_inverse=True)
+            share = p.value * _shares(ratio, (kinds[:, None] >> np.arange(len(names)) & 1).astype(float))
+            phi[:, names] += share[at]
+    return phi
+
+
+def expected(forest: list[dict]) -> float:
+    """The mean margin of the training rows' leaves by cover: what an explanation starts from."""
+    total = 0.0
+    for tree in forest:
+        ends = tree["feature"] < 0
+        total += float((tree["value"][ends] * tree["cover"][ends]).sum() / tree["cover"][0])
+    return total
 
 
-class Trees:
-    """Flat arrays per tree: left, right (-1 at leaves), feature, threshold, value, cover."""
-
-    def __init__(self, trees: list[dict], weights: list[float]):
-        self.trees = trees
-        self.weights = weights
-
-    @classmethod
-    def from_saved(cls, spark, gbt_path: str) -> "Trees":  # noqa: ANN001
-        nodes = spark.read.parquet(f"{gbt_path}/data").select(
-            "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
-            "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-        ).toPandas()  # trees × nodes rows: bounded by the model size
-        # tree weights: columns (treeID, metadata json, weight) stored positionally
-        meta = spark.read.parquet(f"{gbt_path}/treesMetadata").selectExpr("_1 AS treeID", "_3 AS weight").toPandas()
-        weights = dict(zip(meta.treeID, meta.weight))
-        trees, ws = [], []
-        for tid, g in nodes.groupby("treeID"):
-            g = g.sort_values("id")
-            n = int(g.id.max()) + 1
-            left = np.full(n, -1, np.int64)
-            right = np.full(n, -1, np.int64)
-            feat = np.full(n, -1, np.int64)
-            thr = np.zeros(n)
-            val = np.zeros(n)
-            cover = np.zeros(n)
-            for r in g.itertuples(index=False):
-                i = int(r.id)
-                left[i], right[i] = int(r.leftChild), int(r.rightChild)
-                val[i], cover[i] = float(r.prediction), float(r.rawCount)
-                if left[i] >= 0:
-                    feat[i] = int(r.featureIndex)
-                    thr[i] = float(r.leftCategoriesOrThreshold[0])
-            root = int(g.id[g.id.isin(set(g.id) - set(g.leftChild) - set(g.rightChild))].iloc[0])
-            trees.append({"left": left, "right": right, "feat": feat, "thr": thr, "val": val, "cover": cover,
-                          "root": root})
-            ws.append(float(weights[tid]))
-        return cls(trees, ws)
-
-    def expected_margin(self) -> float:
-        total = 0.0
-        for t, w in zip(self.trees, self.weights):
-            leaves = t["left"] < 0
-            total += w * float(np.sum(t["val"][leaves] * t["cover"][leaves]) / t["cover"][t["root"]])
-        return total
-
-
-def _extend(pf, pz, po, pw, d, zf, of, fi):  # noqa: ANN001, ANN202
-    pf[d], pz[d], po[d] = fi, zf, of
-    pw[d] = np.ones_like(of) if d == 0 else np.zeros_like(of)
-    for i in range(d - 1, -1, -1):
-        pw[i + 1] = pw[i + 1] + of * pw[i] * (i + 1.0) / (d + 1.0)
-        pw[i] = zf * pw[i] * (d - i) / (d + 1.0)
-
-
-def _unwind(pf, pz, po, pw, d, k):  # noqa: ANN001, ANN202
-    of, zf = po[k], pz[k]
-    nz = of != 0
-    safe = np.where(nz, of, 1.0)
-    nxt = pw[d].copy()
-    for i in range(d - 1, -1, -1):
-        tmp = pw[i].copy()
-        on = nxt * (d + 1.0) / ((i + 1.0) * safe)
-        off = pw[i] * (d + 1.0) / (zf * (d - i)) if zf != 0 else np.zeros_like(pw[i])
-        pw[i] = np.where(nz, on, off)
-        nxt = np.where(nz, tmp - pw[i] * zf * (d - i) / (d + 1.0), nxt)
-    for i in range(k, d):
-        pf[i], pz[i], po[i] = pf[i + 1], pz[i + 1], po[i + 1]
-
-
-def _unwound_sum(pz, po, pw, d, k):  # noqa: ANN001, ANN202
-    of, zf = po[k], pz[k]
-    nz = of != 0
-    safe = np.where(nz, of, 1.0)
-    nxt = pw[d].copy()
-    total = np.zeros_like(nxt)
-    for i in range(d - 1, -1, -1):
-        on = nxt * (d + 1.0) / ((i + 1.0) * safe)
-        off = (pw[i] / zf) / ((d - i) / (d + 1.0)) if zf != 0 else np.zeros_like(pw[i])
-        total = total + np.where(nz, on, off)
-        nxt = np.where(nz, pw[i] - on * zf * ((d - i) / (d + 1.0)), nxt)
-    return total
+def explain(scored: DataFrame, model: BoostedModel, keep: list[str], top_n: int = 5) -> DataFrame:
+    """``top_features`` = the ``top_n`` largest |SHAP| with value (4 digits) and direction, besides ``shap`` and ``base``.
+
+    scored: rows with the array ``features`` of :meth:`BoostedModel.transform`.
+    """
+    names, cuts, forest = model.names, model.cuts, model.forest
+    src = scored.select(*keep, F.col("features").alias("_x"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep] + ["shap array<double>", "base double"])
+    base = expected(forest)
 
+    def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x = np.array(rows["_x"].tolist(), float).reshape(len(rows), len(names))
+            out = rows[keep].copy()
+            out["shap"] = list(shap_values(forest, binned(cuts, x), len(names)))
+            out["base"] = base
+            yield out
 
-def tree_shap(t: dict, x: np.ndarray, phi: np.ndarray) -> None:
-    """Add one tree's SHAP values for all rows of ``x`` into ``phi`` (n × F)."""
-    n = x.shape[0]
-    depth_cap = 64
-    left, right, feat, thr, val, cover = t["left"], t["right"], t["feat"], t["thr"], t["val"], t["cover"]
-
-    def rec(node, d, pf, pz, po, pw, zf, of, fi):  # noqa: ANN001, ANN202
-        pf, pz = list(pf), list(pz)
-        po, pw = list(po), list(pw)
-        _extend(pf, pz, po, pw, d, zf, of, fi)
-        if left[node] < 0:
-            for i in range(1, d + 1):
-                w = _unwound_sum(pz, po, pw, d, i)
-                phi[:, pf[i]] += w * (po[i] - pz[i]) * val[node]
-            return
-        f = feat[node]
-        goes_left = (x[:, f] <= thr[node]).astype(float)
-        iz, io = 1.0, np.ones(n)
-        k = next((j for j in range(d + 1) if pf[j] == f), None)
-        if k is not None:
-            iz, io = pz[k], po[k]
-            _unwind(pf, pz, po, pw, d, k)
-            d -= 1
-        c = cover[node]
-        rec(left[node], d + 1, pf, pz, po, pw, cover[left[node]] / c * iz, io * goes_left, f)
-        rec(right[node], d + 1, pf, pz, po, pw, cover[right[node]] / c * iz, io * (1.0 - goes_left), f)
-
-    size = depth_cap + 2
-    pf0 = [-1] * size
-    pz0 = [0.0] * size
-    po0 = [np.zeros(n)] * size
-    pw0 = [np.zeros(n)] * size
-    rec(t["root"], 0, pf0, pz0, po0, pw0, 1.0, np.ones(n), -1)
-
-
-def shap_matrix(trees: Trees, x: np.ndarray) -> np.ndarray:
-    """SHAP values of the margin in log-odds units (×2), shape n × F."""
-    phi = np.zeros_like(x, dtype=float)
-    for t, w in zip(trees.trees, trees.weights):
-        part = np.zeros_like(phi)
-        tree_shap(t, x, part)
-        phi += w * part
-    return 2.0 * phi
-
-
-def explain(scored: DataFrame, trees: Trees, feature_names: list[str], keep: list[str], top_n: int = 5,
-            features_col: str = "features") -> DataFrame:
-    """``top_features`` = the ``top_n`` largest |SHAP| with value (4 digits) and direction."""
-    nf = len(feature_names)
-    src = scored.select(*keep, vector_to_array(F.col(features_col)).alias("_x"))
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep]
-                           + ["shap array<double>", "base double"])
-    base = trees.expected_margin() * 2.0
-
-    def fn(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            x = np.array(pdf["_x"].tolist(), dtype=float).reshape(len(pdf), nf)
-            phi = shap_matrix(trees, x)
-            res = pdf[keep].copy()
-            res["shap"] = list(phi)
-            res["base"] = base
-            yield res
-
-    vals = src.mapInPandas(fn, out_schema)
-    names = F.array(*[F.lit(n) for n in feature_names])
-    items = F.transform(F.arrays_zip(names.alias("f"), F.col("shap").alias("v")), lambda e: F.struct(
-        e["f"].alias("feature"), F.round(e["v"], 4).alias("shap_value"), fx.direction(e["v"]).alias("direction"),
-        F.abs(e["v"]).alias("_a")))
+    values = src.mapInPandas(explained, schema)
+    items = F.transform(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("f"), F.col("shap").alias("v")), lambda e: F.struct(
+        e["f"].alias("feature"), F.round(e["v"], 4).alias("shap_value"), fx.direction(e["v"]).alias("direction"), F.abs(e["v"]).alias("_a")))
     ranked = F.array_sort(items, lambda a, b: F.when(a["_a"] > b["_a"], -1).when(a["_a"] < b["_a"], 1).otherwise(0))
-    top = F.transform(F.slice(ranked, 1, top_n), lambda e: F.struct(e["feature"].alias("feature"),
-                                                                      e["shap_value"].alias("shap_value"),
-                                                                      e["direction"].alias("direction")))
-    return vals.withColumn("top_features", top)
+    top = F.transform(F.slice(ranked, 1, top_n), lambda e: F.struct(e["feature"], e["shap_value"], e["direction"]))
+    return values.withColumn("top_features", top)
+
+
+def scored_records(scored: DataFrame, model: BoostedModel, keep: list[str], with_explanation: bool, top_n: int = 5) -> DataFrame:
+    """The records as they are or, on request, with ``top_features``."""
+    return explain(scored, model, keep, top_n).drop("shap", "base") if with_explanation else scored.select(*keep)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RANDOM_STATE
-from . import ranking
+from . import ranking, selection
 from .datasets import hash_order
 from .joins import bounded_broadcast
 
@@ -17,10 +17,8 @@ def fit_medians(train: DataFrame, cols: list[str]) -> dict[str, float | None]:
 
     An all-null column is an error naming the column (trap 26).
     """
-    from .profile import long_form
-
-    med = ranking.quantiles(long_form(train, cols), ["feature"], "value", [0.5], ["median"]).collect()
-    got = {r["feature"]: r["median"] for r in med}  # one row per column: bounded
+    found = selection.quantiles(train, cols, [0.5])
+    got = {c: found[None, c].quantile(0.5) for c in cols}
     empty = [c for c in cols if got.get(c) is None]
     if empty:
         raise ValueError(f"cannot impute all-null column(s): {empty}")
@@ -102,11 +100,11 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     there are.  A group finds its fold by its rank, in order of its id, among
     the groups of its size.
     """
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    sizes = [(r["n"], r["m"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()]
-    dealt = df.sparkSession.createDataFrame(_deal(sizes, k), "n long, first long, after long, turn array<int>")
-    ranked = ranking.row_numbers(counts, [group], "_r", groups=["n"]).withColumn("_r", F.col("_r") - 1)
-    found = ranked.join(dealt, "n").where((F.col("_r") >= F.col("first")) & (F.col("_r") < F.col("after")))
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"), F.lit(1).cast("long").alias("cnt"))
+    ranked = ranking.positions(counts, ["_size"], group).withColumnRenamed("before", "_r")
+    sizes = [(r["_size"], r["m"]) for r in ranked.groupBy("_size").agg(F.max("n").alias("m")).collect()]
+    dealt = df.sparkSession.createDataFrame(_deal(sizes, k), "_size long, first long, after long, turn array<int>")
+    found = ranked.join(dealt, "_size").where((F.col("_r") >= F.col("first")) & (F.col("_r") < F.col("after")))
     turn = F.element_at("turn", ((F.col("_r") - F.col("first")) % F.size("turn") + 1).cast("int"))
     return found.select(group, turn.alias("fold"))
 

@@ -3,16 +3,20 @@
 Column-wise statistics go through one ``unpivot`` to ``(feature, value)`` and
 a single ``groupBy("feature")``: one shuffle for all columns, partial
 aggregation on the map side.  Quantiles are exact and distributed
-(``ranking``), never a single-task sort.  Correlations use raw moments with
+(``selection``), never a sort of all values.  Correlations use raw moments with
 explicit guards instead of ``corr`` (traps 5, 25).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ranking
+from . import ranking, selection
 
 # fixed values: thresholds of the profiling report
 REDUNDANT_ABS_R = 0.70
@@ -39,8 +43,10 @@ def describe(df: DataFrame, features: list[str]) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    q = ranking.quantiles(lf, ["feature"], "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    return basic.join(q, "feature", "left")
+    found = selection.quantiles(df, features, [0.25, 0.5, 0.75])
+    rows = [(c, *[found[None, c].quantile(p) for p in (0.25, 0.5, 0.75)]) for c in features]
+    q = df.sparkSession.createDataFrame(rows, "feature string, p25 double, p50 double, p75 double")
+    return basic.join(F.broadcast(q), "feature", "left")  # a row a feature
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -139,28 +145,49 @@ def pearson(cov: str, vx: str, vy: str) -> Column:
     return F.when(den > 0, F.try_divide(F.col(cov), den))
 
 
+#: rows whose products are summed at once
+GRAM_ROWS = 4096
+
+
 def corr_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     """Every feature pair i<j, Pearson over the rows where both are present.
 
-    Each row is expanded on the fly into its k(k-1)/2 (i, j) value pairs and
-    aggregated by pair with map-side partial aggregation, so at most
-    k(k-1)/2 rows per task reach the shuffle (no n·k² self-join, and no
-    single aggregate with hundreds of expressions to plan and compile).
-    NULL for a constant column within the pair.
+    One pass of masked Gram matrices: with X the values less a common centre (0 where
+    missing) and M 1 where present, a block's X'X, X'M, (X*X)'M and M'M hold all sums
+    that any pair needs over its own rows.  Blocks are added up in their task, so a task hands
+    on k x k rows whatever its input; nothing is expanded by row.  The centre (a
+    column's mean) keeps the sums small, as they are subtracted in the end.  NULL for a column
+    constant within the pair.
     """
-    k = len(features)
-    names = F.array(*[F.lit(f) for f in features])
-    vals = F.array(*[F.col(f).cast("double") for f in features])
-    p = df.select(vals.alias("v")).select("v", F.explode(F.sequence(F.lit(0), F.lit(k - 2))).alias("i"))
-    p = p.select("v", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(k - 1))).alias("j"))
-    x, y = F.element_at("v", F.col("i") + 1), F.element_at("v", F.col("j") + 1)
-    both = x.isNotNull() & y.isNotNull()
-    xm, ym = F.when(both, x), F.when(both, y)
-    agg = p.groupBy("i", "j").agg(F.count(xm).alias("n"), F.covar_pop(xm, ym).alias("_c"),
-                                  F.var_pop(xm).alias("_va"), F.var_pop(ym).alias("_vb"))
-    return agg.select(F.element_at(names, F.col("i") + 1).alias("feature_a"),
-                      F.element_at(names, F.col("j") + 1).alias("feature_b"), "n",
-                      pearson("_c", "_va", "_vb").alias("r"))
+    names = list(features)
+    means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(str(i)) for i, c in enumerate(names)]).first()
+    centre = np.array([0.0 if m is None or not np.isfinite(m) else m for m in means])
+    k = len(names)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, k, k))
+        for batch in batches:
+            for at in range(0, batch.num_rows, GRAM_ROWS):
+                part = batch.slice(at, GRAM_ROWS)
+                x = np.stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in part.columns], axis=1) - centre
+                there = ~np.isnan(x)
+                x, m = np.where(there, x, 0.0), there.astype(float)
+                sums += np.stack((x.T @ x, x.T @ m, (x * x).T @ m, m.T @ m))
+        i, j = np.triu_indices(k, 1)
+        cells = (sums[3][i, j], sums[1][i, j], sums[1][j, i], sums[2][i, j], sums[2][j, i], sums[0][i, j])
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *map(pa.array, cells)], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    parts = values.mapInArrow(grams, "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    agg = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    mean_of = lambda total, a, b: F.try_divide(F.col(total), F.col("n")) - F.try_divide(F.col(a) * F.col(b), F.col("n") * F.col("n"))
+    agg = agg.withColumns({"_c": mean_of("xy", "x", "y"), "_va": mean_of("xx", "x", "x"), "_vb": mean_of("yy", "y", "y")})
+    # what is left of a constant column by rounding is no variance
+    for v, square in (("_va", "xx"), ("_vb", "yy")):
+        agg = agg.withColumn(v, F.when(F.col(v) > 1e-13 * F.try_divide(F.col(square), F.col("n")), F.col(v)).otherwise(F.lit(0.0)))
+    label = F.array(*[F.lit(f) for f in names])
+    return agg.select(F.element_at(label, (F.col("i") + 1).cast("int")).alias("feature_a"), F.element_at(label, (F.col("j") + 1).cast("int")).alias("feature_b"),
+                      F.col("n").cast("long").alias("n"), pearson("_c", "_va", "_vb").alias("r"))
 
 
 def redundant_pairs(pairs: DataFrame, threshold: float = REDUNDANT_ABS_R) -> DataFrame:
@@ -171,7 +198,9 @@ def redundant_pairs(pairs: DataFrame, threshold: float = REDUNDANT_ABS_R) -> Dat
 def iqr_outliers(df: DataFrame, features: list[str], k: float = IQR_K) -> DataFrame:
     """Per feature, strict fences q1 - k·IQR / q3 + k·IQR; count and % outside."""
     lf = long_form(df, features)
-    q = ranking.quantiles(lf, ["feature"], "value", [0.25, 0.75], ["q1", "q3"])
+    found = selection.quantiles(df, features, [0.25, 0.75])
+    rows = [(c, found[None, c].quantile(0.25), found[None, c].quantile(0.75)) for c in features]
+    q = df.sparkSession.createDataFrame(rows, "feature string, q1 double, q3 double")
     q = q.withColumns({c: F.round(c, 9) for c in ("q1", "q3")}).withColumns({"lower_fence": F.col("q1") - k * (F.col("q3") - F.col("q1")),
                        "upper_fence": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
     j = lf.join(F.broadcast(q), "feature")  # one row per feature: bounded by the feature list
@@ -205,7 +234,11 @@ def class_histogram(df: DataFrame, features: list[str], target: str, bins: int =
 def box_stats(df: DataFrame, features: list[str], target: str, k: float = IQR_K) -> DataFrame:
     """Per (feature, class): quartiles, whiskers (furthest value inside the fences), fliers."""
     lf = long_form(df, features, [target]).where(F.col(target).isNotNull())
-    q = ranking.quantiles(lf, ["feature", target], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    classes = [r[0] for r in df.where(F.col(target).isNotNull()).select(target).distinct().collect()]  # a row a class
+    found = selection.quantiles(df, features, [0.25, 0.5, 0.75], target, {c: [c] for c in classes})
+    rows = [(c, k, *[found[k, c].quantile(p) for p in (0.25, 0.5, 0.75)]) for c in features for k in classes]
+    kind = df.schema[target].dataType.simpleString()
+    q = df.sparkSession.createDataFrame(rows, f"feature string, {target} {kind}, q1 double, median double, q3 double")
     q = q.withColumns({c: F.round(c, 9) for c in ("q1", "median", "q3")}).withColumns({"_lo": F.col("q1") - k * (F.col("q3") - F.col("q1")),
                        "_hi": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
     j = lf.join(F.broadcast(q), ["feature", target])

@@ -45,19 +45,24 @@ def probability(margin: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-margin))
 
 
-def gradients(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gradients(margin: np.ndarray, label: np.ndarray, params: dict) -> tuple[np.ndarray, np.ndarray]:
     p = probability(margin)
-    return np.rint((p - label) * SCALE), np.rint(p * (1.0 - p) * SCALE)
+    no, yes = params["class_weight"]
+    weight = SCALE * np.where(label > 0, yes, no)
+    return np.rint((p - label) * weight), np.rint(p * (1.0 - p) * weight)
 
 
-def start_margin(positive: int, rows: int) -> float:
-    share = min(max(positive / rows if rows else 0.5, 1e-15), 1 - 1e-15)
+def start_margin(positive: int, rows: int, params: dict) -> float:
+    no, yes = params["class_weight"]
+    total = positive * yes + (rows - positive) * no
+    share = min(max(positive * yes / total if total else 0.5, 1e-15), 1 - 1e-15)
     return math.log(share / (1 - share))
 
 
 def _worth(g: np.ndarray, h: np.ndarray, params: dict) -> np.ndarray:
-    t = np.maximum(np.abs(g) / SCALE - params["reg_alpha"], 0.0)
-    return t * t / (h / SCALE + params["reg_lambda"])
+    """What sums of gradients and hessians are worth, times SCALE."""
+    t = np.maximum(np.abs(g) - params["reg_alpha"] * SCALE, 0.0)
+    return t * t / (h + params["reg_lambda"] * SCALE)
 
 
 def leaf_value(sums: np.ndarray, params: dict) -> float:
@@ -65,20 +70,22 @@ def leaf_value(sums: np.ndarray, params: dict) -> float:
     return float(-np.sign(g) * max(abs(g) - params["reg_alpha"], 0.0) / (h + params["reg_lambda"]) * params["learning_rate"])
 
 
-def best_split(hist: np.ndarray, used: np.ndarray, params: dict) -> Split | None:
-    """hist: (3, used features, bins).  Of equal gains the first feature, then the least bin."""
-    total = hist[:, 0].sum(axis=1)
-    left = hist.cumsum(axis=2)[:, :, :-1]
-    right = total[:, None, None] - left
-    least = params["min_child_samples"]
-    fits = (np.minimum(left[2], right[2]) >= least) & (np.minimum(left[1], right[1]) >= LEAST_HESSIAN)
-    if not fits.any():
-        return None
-    gain = np.where(fits, _worth(left[0], left[1], params) + _worth(right[0], right[1], params), -np.inf)
-    at = int(gain.argmax())
-    f, b = divmod(at, gain.shape[1])
-    won = float(gain[f, b] - _worth(total[0], total[1], params))
-    return (won, int(used[f]), b, left[:, f, b].copy(), right[:, f, b].copy()) if won > 0 else None
+def best_splits(hists: np.ndarray, used: np.ndarray, params: dict) -> list[Split | None]:
+    """The best split of each node; hists: (nodes, 3, used features, bins).  Of equal gains the first feature, then the least bin."""
+    total = hists[:, :, 0].sum(axis=2)
+    left = hists.cumsum(axis=3)[..., :-1]
+    right = total[:, :, None, None] - left
+    fewer, lighter = np.minimum(left[:, 2], right[:, 2]), np.minimum(left[:, 1], right[:, 1])
+    fits = (fewer >= params["min_child_samples"]) & (lighter >= LEAST_HESSIAN)
+    gain = np.where(fits, _worth(left[:, 0], left[:, 1], params) + _worth(right[:, 0], right[:, 1], params), -np.inf)
+    best = gain.reshape(len(hists), -1).argmax(axis=1)
+    whole = _worth(total[:, 0], total[:, 1], params)
+    out: list[Split | None] = []
+    for i, at in enumerate(best):
+        f, b = divmod(int(at), gain.shape[2])
+        won = float(gain[i, f, b] - whole[i]) / SCALE
+        out.append((won, int(used[f]), b, left[i, :, f, b].copy(), right[i, :, f, b].copy()) if won > 0 else None)
+    return out
 
 
 class Tree:
@@ -125,37 +132,36 @@ def _histogram(flat: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.stack(sums).reshape(3, width, BINS)
 
 
-def grown(flat: np.ndarray, g: np.ndarray, h: np.ndarray, used: np.ndarray, params: dict) -> Tree:
-    """One tree, the leaf of the largest gain first (of equal ones the oldest)."""
+def grown(flat: np.ndarray, g: np.ndarray, h: np.ndarray, used: np.ndarray, params: dict) -> tuple[Tree, dict[int, np.ndarray]]:
+    """One tree, the leaf of the largest gain first (of equal ones the oldest), and the rows of each leaf."""
     hist = _histogram(flat, g, h)
     tree = Tree(hist[:, 0].sum(axis=1))
+    rows_of = {0: np.arange(len(flat))}
     queue: list = []
 
-    def offered(node: int, rows: np.ndarray | None, hist: np.ndarray) -> None:
-        found = best_split(hist, used, params)
-        if found:
-            heapq.heappush(queue, (-found[0], node, found, rows, hist))
+    def offered(nodes: list[int], hists: np.ndarray) -> None:
+        for node, hist, found in zip(nodes, hists, best_splits(hists, used, params), strict=True):
+            if found:
+                heapq.heappush(queue, (-found[0], node, found, hist))
 
-    offered(0, None, hist)
+    offered([0], hist[None])
     column = {int(f): i for i, f in enumerate(used)}
     leaves = 1
     while queue and leaves < params["num_leaves"]:
-        _, node, found, rows, hist = heapq.heappop(queue)
-        a, b = tree.split(node, found)
+        _, node, found, hist = heapq.heappop(queue)
+        children = tree.split(node, found)
         leaves += 1
+        f, rows = column[found[1]], rows_of.pop(node)
+        goes_left = flat[rows, f] <= found[2] + f * BINS
+        sides = rows[goes_left], rows[~goes_left]
+        rows_of.update(zip(children, sides, strict=True))
         if leaves == params["num_leaves"]:
             break
-        f = column[found[1]]
-        codes = flat[:, f] if rows is None else flat[rows, f]
-        goes_left = codes <= found[2] + f * BINS
-        rows = np.arange(len(flat)) if rows is None else rows
-        sides = rows[goes_left], rows[~goes_left]
         small = 0 if len(sides[0]) <= len(sides[1]) else 1
         part = _histogram(flat[sides[small]], g[sides[small]], h[sides[small]])
-        hists = (part, hist - part) if small == 0 else (hist - part, part)
-        for child, own, own_hist in zip((a, b), sides, hists, strict=True):
-            offered(child, own, own_hist)
-    return tree
+        hists = np.stack((part, hist - part) if small == 0 else (hist - part, part))
+        offered(list(children), hists)
+    return tree, rows_of
 
 
 def auc_counts(margin: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -206,7 +212,7 @@ def boosted(codes: np.ndarray, label: np.ndarray, held: np.ndarray, keys: np.nda
     """A whole model over one block: (area on the held-out rows, tree) round by round; the first is the start."""
     x, y = codes[~held], label[~held].astype(float)
     other, other_y, own_keys = codes[held], label[held], keys[~held]
-    start = start_margin(int(y.sum()), len(y))
+    start = start_margin(int(y.sum()), len(y), params)
     margin, other_margin = np.full(len(y), start), np.full(len(other), start)
     yield None, {"feature": np.array([-1]), "bin": np.array([0]), "left": np.array([-1]), "right": np.array([-1]), "value": np.array([start]), "cover": np.array([len(y)])}
     stop = Patience(patience)
@@ -214,10 +220,16 @@ def boosted(codes: np.ndarray, label: np.ndarray, held: np.ndarray, keys: np.nda
     for t in range(params["n_estimators"]):
         used = sampled(params, t, codes.shape[1])
         flat = wide[:, used] + np.arange(len(used)) * BINS
-        g, h = gradients(margin, y)
+        g, h = gradients(margin, y, params)
         bag = in_bag(params, t, own_keys)
-        tree = (grown(flat, g, h, used, params) if bag is None else grown(flat[bag], g[bag], h[bag], used, params)).arrays(params)
-        margin += tree["value"][routed(tree, x)]
+        if bag is None:
+            tree, rows_of = grown(flat, g, h, used, params)
+            tree = tree.arrays(params)
+            for leaf, rows in rows_of.items():
+                margin[rows] += tree["value"][leaf]
+        else:
+            tree = grown(flat[bag], g[bag], h[bag], used, params)[0].arrays(params)
+            margin += tree["value"][routed(tree, x)]
         other_margin += tree["value"][routed(tree, other)]
         area = auc_of(auc_counts(other_margin, other_y)) if len(other) else None
         yield area, tree

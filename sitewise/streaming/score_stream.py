@@ -9,18 +9,17 @@ testable and lets a scheduler run it as an incremental batch.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import model as mdl
+from ..operators.booster import BoostedModel
 
 
-def score_stream(spark: SparkSession, source_dir: str, schema, model: PipelineModel, threshold: float,  # noqa: ANN001
+def score_stream(spark: SparkSession, source_dir: str, schema, model: BoostedModel, threshold: float,  # noqa: ANN001
                  sink_dir: str, checkpoint_dir: str, fmt: str = "parquet") -> None:
     """Read new files of zone rows, score them, append (zone_id, score, flag)."""
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
-    scored = model.transform(stream).withColumn("prob", mdl.prob_col())
+    scored = model.transform(stream)
     out = scored.select(F.col("candidate_id").cast("string").alias("zone_id"),
                         F.round("prob", 4).alias("suitability_score"),
                         (F.col("prob") >= F.lit(threshold)).alias("is_recommended"))

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from sitewise.operators import model as mdl
+from sitewise.operators import booster as bo
 from sitewise.operators.joins import bounded_broadcast
 from sitewise.sources import materialize
 from sitewise.streaming.score_stream import read_sink, score_stream
@@ -42,8 +42,8 @@ def test_stream_scoring_equals_batch(spark, tmpdir_path):
     df = spark.createDataFrame(rows, "candidate_id long, population_density double, nse_ab_pct double, "
                                      "dist_nearest_road_m double, walkability_score double, "
                                      "dist_nearest_recycling_m double, land_use_encoded int, label double")
-    fs = mdl.FeatureSet(["population_density", "nse_ab_pct", "walkability_score"])
-    model = mdl.build_pipeline(fs, {"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5}).fit(df)
+    p, spec = bo.prepare(df, ["population_density", "nse_ab_pct", "walkability_score"], ["land_use_encoded"], "candidate_id"), bo.Model(0, {"n_estimators": 3, "num_leaves": 8, "min_child_samples": 5})
+    model = bo.trained(p, bo.fit(p, [spec]), spec)
     src = os.path.join(tmpdir_path, "in")
     feats = df.drop("label")
     feats.write.parquet(src)
@@ -52,6 +52,6 @@ def test_stream_scoring_equals_batch(spark, tmpdir_path):
     streamed = {(r.zone_id, r.suitability_score, r.is_recommended)
                 for r in read_sink(spark, os.path.join(tmpdir_path, "out")).collect()}
     batch = model.transform(feats).select(
-        F.col("candidate_id").cast("string").alias("zone_id"), F.round(mdl.prob_col(), 4).alias("s"),
-        (mdl.prob_col() >= 0.5).alias("f")).collect()
+        F.col("candidate_id").cast("string").alias("zone_id"), F.round("prob", 4).alias("s"),
+        (F.col("prob") >= 0.5).alias("f")).collect()
     assert streamed == {(r.zone_id, r.s, r.f) for r in batch}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewise.operators import explain as xp
-from sitewise.operators import model as mdl
+from sitewise.operators import booster as bo
 from sitewise.operators import polygon as pg
 from sitewise.sources import files
 
@@ -25,27 +25,63 @@ def test_shap_adds_up_to_margin(spark, tmpdir_path):
     df = spark.createDataFrame(rows, "candidate_id long, population_density double, nse_ab_pct double, "
                                      "dist_nearest_road_m double, walkability_score double, "
                                      "dist_nearest_recycling_m double, land_use_encoded int, label int").withColumn("label", F.col("label").cast("double"))
-    fs = mdl.FeatureSet(["population_density", "nse_ab_pct", "dist_nearest_road_m", "walkability_score"])
-    model = mdl.build_pipeline(fs, {"maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 5}).fit(df)
+    names = ["population_density", "nse_ab_pct", "dist_nearest_road_m", "walkability_score"]
+    spec = bo.Model(0, {"n_estimators": 5, "num_leaves": 8, "min_child_samples": 5})
+    p = bo.prepare(df, names, ["land_use_encoded"], "candidate_id")
+    model = bo.trained(p, bo.fit(p, [spec]), spec)
     path = os.path.join(tmpdir_path, "m")
-    mdl.save(model, path, {"threshold": 0.4, "serving_threshold": 0.6})
-    loaded, meta = mdl.load(path)
-    assert mdl.serving_threshold(meta) == 0.6
-    gbt_path = f"{path}/model/stages/{len(loaded.stages) - 1}_{loaded.stages[-1].uid}"
-    trees = xp.Trees.from_saved(spark, gbt_path)
-    scored = loaded.transform(df).withColumn("prob", mdl.prob_col())
-    out = xp.explain(scored, trees, fs.names, ["candidate_id", "prob"]).collect()
+    bo.save(spark, model, path, {"threshold": 0.4, "serving_threshold": 0.6})
+    loaded, meta = bo.load(spark, path)
+    assert bo.serving_threshold(meta) == 0.6
+    scored = loaded.transform(df)
+    out = xp.explain(scored, loaded, ["candidate_id", "prob"]).collect()
     for r in out[:50]:
         logit = math.log(r.prob / (1 - r.prob))
         assert r.base + sum(r.shap) == pytest.approx(logit, abs=1e-9)
         assert len(r.top_features) == 5
         mags = [abs(t.shap_value) for t in r.top_features]
         assert mags == sorted(mags, reverse=True)
+    plain = xp.scored_records(scored, loaded, ["candidate_id", "prob"], with_explanation=False)
+    assert plain.columns == ["candidate_id", "prob"] and plain.count() == len(out)
+    assert xp.scored_records(scored, loaded, ["candidate_id"], with_explanation=True).columns == ["candidate_id", "top_features"]
+
+
+def _conditional(tree, codes, known, node=0):
+    """The tree's value when only some features are known: unknown splits go both ways by cover."""
+    f = tree["feature"][node]
+    if f < 0:
+        return tree["value"][node]
+    a, b = tree["left"][node], tree["right"][node]
+    if f in known:
+        return _conditional(tree, codes, known, a if codes[f] <= tree["bin"][node] else b)
+    return sum(_conditional(tree, codes, known, c) * tree["cover"][c] for c in (a, b)) / tree["cover"][node]
+
+
+def test_shap_values_by_their_definition():
+    from itertools import combinations
+
+    from sitewise.operators import trees as T
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 20, (400, 5)).astype(np.uint8)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 10) + rng.normal(0, 4, 400) > 14).astype(np.uint8)
+    params = {**bo.BASE_PARAMS, "n_estimators": 3, "num_leaves": 12, "min_child_samples": 5, "colsample_bytree": 1.0}
+    forest = [t for _, t in T.boosted(x, y, np.zeros(400, bool), np.arange(400), params, None)]
+    for rows in (x[:7], x):  # looked up for the patterns that occur, and for all
+        got = xp.shap_values(forest, rows, 5)
+        for r in range(7):
+            for i in range(5):
+                others, want = [f for f in range(5) if f != i], 0.0
+                for size in range(5):
+                    weight = math.factorial(size) * math.factorial(4 - size) / math.factorial(5)
+                    for s in combinations(others, size):
+                        want += weight * sum(_conditional(t, rows[r], {*s, i}) - _conditional(t, rows[r], set(s)) for t in forest)
+                assert got[r, i] == pytest.approx(want, abs=1e-9)
 
 
 def test_load_missing_model_raises(spark, tmpdir_path):
     with pytest.raises(FileNotFoundError):
-        mdl.load(os.path.join(tmpdir_path, "absent"))
+        bo.load(spark, os.path.join(tmpdir_path, "absent"))
 
 
 def test_csv_roundtrip_latin1(spark, tmpdir_path):
@@ -125,28 +161,25 @@ def test_cross_validate_paths(spark):
     df = spark.createDataFrame(rows, "candidate_id long, population_density double, nse_ab_pct double, "
                                      "dist_nearest_road_m double, walkability_score double, "
                                      "dist_nearest_recycling_m double, land_use_encoded int, label double, fold int")
-    fs = mdl.FeatureSet(["population_density", "nse_ab_pct", "walkability_score"])
-    small = {"maxIter": 4, "maxDepth": 3, "minInstancesPerNode": 5}
-    _, res = mdl.cross_validate(df, fs, "fold", draws=[{}], params=small)
-    assert len(res) == 1 and 0.5 < res[0][1] <= 1.0
-    best, res = mdl.cross_validate(df, fs, "fold", draws=[{"stepSize": 0.1}, {"stepSize": 0.3}], params=small,
-                                   early_stopping=True, max_seconds=600)
-    assert len(res) == 2 and best in ({"stepSize": 0.1}, {"stepSize": 0.3})
-
-
-def test_ordinal_encoder_stage_roundtrip(spark, tmpdir_path):
-    from pyspark.ml import Pipeline, PipelineModel
-
-    from sitewise.operators.encoders import OrdinalEncoder
-
-    train = spark.createDataFrame([(3.0,), (1.0,), (10.0,), (None,)], "c double")
-    m = Pipeline(stages=[OrdinalEncoder(inputCol="c", outputCol="e")]).fit(train)
-    p = os.path.join(tmpdir_path, "enc")
-    m.write().overwrite().save(p)
-    back = PipelineModel.load(p)
-    df = spark.createDataFrame([(1.0,), (3.0,), (10.0,), (2.0,), (None,)], "c double")
-    got = {r.c: r.e for r in back.transform(df).collect()}
-    assert got == {1.0: 0.0, 3.0: 1.0, 10.0: 2.0, 2.0: -1.0, None: -1.0}
+    p = bo.prepare(df, ["population_density", "nse_ab_pct", "walkability_score"], ["land_use_encoded"], "candidate_id", fold="fold")
+    small = {"n_estimators": 4, "num_leaves": 8, "min_child_samples": 5}
+    res = bo.search(p, [small], patience=None)
+    assert len(res) == 1 and 0.5 < res[0]["mean"] <= 1.0 and res[0]["trees"] == [4, 4, 4]
+    draws = [{**small, "learning_rate": 0.1}, {**small, "learning_rate": 0.3}]
+    res = bo.search(p, draws, patience=2, seconds=600)
+    assert len(res) == 2 and [r["params"] for r in res if r["best"]][0] in draws
+
+
+def test_ordinal_codes_roundtrip(spark, tmpdir_path):
+    train = spark.createDataFrame([(i, float(i % 5), c, float(i % 2)) for i, c in enumerate([3.0, 1.0, 10.0, None] * 10)], "candidate_id long, x double, c double, label double")
+    p = bo.prepare(train, ["x"], ["c"], "candidate_id")
+    spec = bo.Model(0, {"n_estimators": 2, "num_leaves": 3, "min_child_samples": 2})
+    path = os.path.join(tmpdir_path, "enc")
+    bo.save(spark, bo.trained(p, bo.fit(p, [spec]), spec), path, {})
+    back, meta = bo.load(spark, path)
+    df = spark.createDataFrame([(1.0,), (3.0,), (10.0,), (2.0,), (None,)], "c double").withColumn("x", F.lit(1.0))
+    got = {r.c: r.features[1] for r in back.transform(df).collect()}
+    assert meta == {} and got == {1.0: 0.0, 3.0: 1.0, 10.0: 2.0, 2.0: -1.0, None: 0.0}  # null takes the most frequent one, the least on ties
 
 
 def test_class_weighted_fit(spark):
@@ -154,10 +187,11 @@ def test_class_weighted_fit(spark):
     df = spark.createDataFrame(rows, "candidate_id long, population_density double, label double")
     df = df.withColumns({"nse_ab_pct": F.lit(0.5), "dist_nearest_road_m": F.lit(10.0), "walkability_score": F.lit(0.5),
                          "dist_nearest_recycling_m": F.lit(100.0), "land_use_encoded": F.lit(1)})
-    w = mdl.with_class_weights(df)
-    ws = {r.label: r.class_weight for r in w.select("label", "class_weight").distinct().collect()}
     n1 = sum(1 for r in rows if r[2] == 1.0)
-    assert ws[1.0] == pytest.approx(200 / (2 * n1)) and ws[0.0] == pytest.approx(200 / (2 * (200 - n1)))
-    fs = mdl.FeatureSet(["population_density"])
-    m = mdl.build_pipeline(fs, {"maxIter": 3, "maxDepth": 2, "minInstancesPerNode": 1}, weight_col="class_weight").fit(w)
-    assert m.stages[-1].getWeightCol() == "class_weight"
+    no, yes = bo.balanced(df)["class_weight"]
+    assert yes == pytest.approx(200 / (2 * n1)) and no == pytest.approx(200 / (2 * (200 - n1)))
+    p = bo.prepare(df, ["population_density"], ["land_use_encoded"], "candidate_id")
+    spec = bo.Model(0, {"n_estimators": 3, "num_leaves": 4, "min_child_samples": 1, **bo.balanced(df)})
+    m = bo.trained(p, bo.fit(p, [spec]), spec)
+    # balanced classes start at even odds
+    assert m.forest[0]["value"][0] == pytest.approx(0.0, abs=1e-12)

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewise.functions.features import with_derived
+from sitewise.operators import booster as bo
 from sitewise.operators import evaluate, prep, ranking, spatial
-from sitewise.operators.encoders import MedianImputer, OrdinalEncoder
 from sitewise.session import cached, release_cached
 
 
@@ -54,16 +54,16 @@ def test_equal_zone_rows_survive(spark):
     assert spatial.exists_within(zones, points, 1.0).count() == 2
 
 
-def test_median_stage_interpolates_and_fills(spark):
+def test_medians_interpolate_and_fill(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,), (float("nan"),)], "x double")
-    model = MedianImputer(inputCols=["x"], outputCols=["y"]).fit(df)
-    assert sorted(r.y for r in model.transform(df).collect()) == [1.0, 2.0, 2.5, 2.5, 3.0, 10.0]
+    fills = prep.fit_medians(df, ["x"])
+    assert sorted(r.x for r in prep.apply_fill(df.select(bo.known("x").alias("x")), fills).collect()) == [1.0, 2.0, 2.5, 2.5, 3.0, 10.0]
 
 
-def test_ordinal_stage_has_no_category_limit(spark):
+def test_ordinal_codes_have_no_category_limit(spark):
     df = spark.range(3000).select(F.col("id").cast("double").alias("x"))
-    model = OrdinalEncoder(inputCol="x", outputCol="y").fit(df)
-    seen = model.transform(df.unionByName(spark.createDataFrame([(-5.0,), (None,)], "x double")))
+    codes = prep.fit_ordinal(df, "x")
+    seen = prep.apply_ordinal(df.unionByName(spark.createDataFrame([(-5.0,), (None,)], "x double")), "x", codes, "y")
     assert seen.where("y = x").count() == 3000 and seen.where("y = -1").count() == 2
 
 
