@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from . import spatial
+from . import pyramid, spatial
 
 # fixed values: radius of the existing-points count, label radius, flag cut
 COUNT_RADIUS_KM = 0.5
@@ -21,7 +21,15 @@ RECOMMEND_THRESHOLD = 0.74
 
 
 def zone_features(zones: DataFrame, points: DataFrame, skew_rows: int | None = spatial.DEFAULT_SKEW_ROWS) -> DataFrame:
-    """Nearest-point distance (m) and strict 500 m point count per zone."""
+    """Nearest-point distance (m) and strict 500 m point count per zone.
+
+    Both come from one join, unless locations crowd: then the counts come from sums of
+    cells, and the nearest point is looked for within a radius of its own.
+    """
+    if pyramid.crowded(spatial.point_locations(points), COUNT_RADIUS_KM):
+        counted = spatial.count_within(zones, points, COUNT_RADIUS_KM, out="recycling_density_1km")
+        z = spatial.nearest(counted, points, dist_col="nearest_km", id_col=None, skew_rows=skew_rows)
+        return z.withColumn("dist_nearest_recycling_m", F.col("nearest_km") * F.lit(1000.0)).drop("nearest_km")
     n500 = F.coalesce(F.sum(F.when(F.col("dist_km") < F.lit(COUNT_RADIUS_KM), F.col("weight"))), F.lit(0))
     z = spatial.nearest(zones, points, dist_col="nearest_km", id_col=None, skew_rows=skew_rows,
                         extra_aggs=[n500.alias("recycling_density_1km")], min_r0_km=COUNT_RADIUS_KM)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON, bucket, flat_km
 from ..session import cached
+from . import pyramid
 
 # grid cells are a hair larger than the radius so that a point at exactly
 # distance r cannot fall two buckets away through floating-point rounding
@@ -113,11 +114,15 @@ def count_within(zones: DataFrame, points: DataFrame, r_km: float, out: str = "n
     """Number of points within ``r_km`` (strict by default); zero kept.
 
     With ``self_id`` the zones are the points themselves and each row's own
-    point (always at distance 0) is not counted.
+    point (always at distance 0) is not counted.  Where locations crowd, zones meet
+    sums of cells instead (:mod:`pyramid`); the rows are the same.
     """
-    locs = point_locations(points)
-    res = radius_aggregate(zones, locs, r_km, [F.coalesce(F.sum("weight"), F.lit(0)).alias(out)],
-                           zlat, zlon, inclusive, skew_rows)
+    locs = cached(point_locations(points))
+    if pyramid.crowded(locs, r_km):
+        res = pyramid.radius_sums(zones, locs.withColumnRenamed("weight", out), r_km, [out], zlat, zlon, inclusive)
+    else:
+        res = radius_aggregate(zones, locs, r_km, [F.coalesce(F.sum("weight"), F.lit(0)).alias(out)],
+                               zlat, zlon, inclusive, skew_rows)
     if self_id:
         res = res.withColumn(out, F.col(out) - 1)
     return res
@@ -239,7 +244,11 @@ def count_by_kind(zones: DataFrame, points: DataFrame, r_km: float, kinds: list[
     Locations are pre-aggregated per (location, kind); the pivot is a set of
     conditional sums over a fixed kind list, so no extra pass discovers kinds.
     """
-    locs = point_locations(points, extra_keys=(kind_col,))
+    locs = cached(point_locations(points, extra_keys=(kind_col,)))
+    if pyramid.crowded(locs, r_km):
+        names = [f"{prefix}{k}{suffix}" for k in kinds]
+        by_kind = locs.groupBy("plat", "plon").agg(*[F.coalesce(F.sum(F.when(F.col(kind_col) == k, F.col("weight"))), F.lit(0)).alias(n) for k, n in zip(kinds, names, strict=True)])
+        return pyramid.radius_sums(zones, by_kind, r_km, names)
     aggs = [
         F.coalesce(F.sum(F.when(F.col(kind_col) == F.lit(k), F.col("weight"))), F.lit(0)).alias(f"{prefix}{k}{suffix}")
         for k in kinds
