@@ -143,12 +143,3 @@ def with_derived(df: DataFrame, refresh: bool) -> DataFrame:
             df = df.withColumn(d.output, d.value())
     return df
 
-
-def ensure_engineered(df: DataFrame) -> DataFrame:
-    """derived features only where absent."""
-    return with_derived(df, refresh=False)
-
-
-def recompute_engineered(df: DataFrame) -> DataFrame:
-    """derived features refreshed."""
-    return with_derived(df, refresh=True)

@@ -115,92 +115,81 @@ def shoelace(vertices: DataFrame, group: str) -> DataFrame:
              (F.col("_sy") / (6 * F.col("_a"))).alias("cy"))
 
 
-def edge_cells(edge_tbl: DataFrame, bbox: DataFrame, group: str, size: float = CELL_KM) -> DataFrame:
-    """Cells whose square touches a polygon edge (exact supercover, per edge).
+def oriented(edge_tbl: DataFrame, group: str, part: str | None = None, ring: str | None = None) -> DataFrame:
+    """The edges with outer rings counter-clockwise and holes clockwise.
 
-    For every grid column an edge spans, the y-range of the segment inside
-    that column gives the rows it touches; both ranges become ``sequence``
-    explodes, so the work is proportional to the boundary length.
+    A ring above 0 is a hole; without ``ring`` all edges of a group are one outer ring.
     """
-    e = edge_tbl.join(bbox.select(group, "xmin", "ymin"), group)
-    lo_x, hi_x = F.least("x1", "x2"), F.greatest("x1", "x2")
-    ix0 = F.floor((lo_x - F.col("xmin")) / size).cast("int")
-    ix1 = F.floor((hi_x - F.col("xmin")) / size).cast("int")
-    e = e.withColumn("ix", F.explode(F.sequence(ix0, ix1)))
-    cx0 = F.greatest(lo_x, F.col("xmin") + F.col("ix") * size)
-    cx1 = F.least(hi_x, F.col("xmin") + (F.col("ix") + 1) * size)
-    dx = F.col("x2") - F.col("x1")
-    y_at = lambda x: F.when(dx == 0, None).otherwise(
-        F.col("y1") + F.try_divide((x - F.col("x1")) * (F.col("y2") - F.col("y1")), dx))
-    ya = F.when(dx == 0, F.least("y1", "y2")).otherwise(F.least(y_at(cx0), y_at(cx1)))
-    yb = F.when(dx == 0, F.greatest("y1", "y2")).otherwise(F.greatest(y_at(cx0), y_at(cx1)))
-    iy0 = F.floor((ya - F.col("ymin")) / size).cast("int")
-    iy1 = F.floor((yb - F.col("ymin")) / size).cast("int")
-    e = e.withColumn("iy", F.explode(F.sequence(iy0, iy1)))
-    return e.select(group, "ix", "iy").distinct()
-
-
-def clip_centroids(cells: DataFrame, vertices: DataFrame, group: str, size: float = CELL_KM) -> DataFrame:
-    """Exact clipped area and centroid of cells (Sutherland–Hodgman).
-
-    Each polygon's ring becomes one sorted array (bounded by its vertex
-    count) joined to its cells; the clipping then runs in ``mapInPandas``
-    over cell rows, so a polygon with many cells spreads over many tasks.
-    Pass only the cells that touch an edge (:func:`edge_cells`): the others
-    are wholly inside or outside.
+    keys = [group, *[c for c in (part, ring) if c]]
+    turn = edge_tbl.groupBy(*keys).agg(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("_turn"))
+    outer = (F.col(ring) == 0) if ring else F.lit(True)
+    flip = (F.col("_turn") > 0) != outer
+    there = {f"_{a}{i}": F.when(flip, F.col(f"{a}{3 - i}")).otherwise(F.col(f"{a}{i}")) for a in "xy" for i in (1, 2)}
+    return edge_tbl.join(turn, keys).select(*keys, *[v.alias(k[1:]) for k, v in there.items()])
+
+
+def ring_area(edge_tbl: DataFrame, group: str) -> DataFrame:
+    """Area (km²) per group from oriented edges: outer rings less holes."""
+    return edge_tbl.groupBy(group).agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area_km2"))
+
+
+def _pieces(edge_tbl: DataFrame, bbox: DataFrame, group: str, size: float) -> DataFrame:
+    """Oriented edges cut at all grid lines: (group, ix, iy, u1, v1, u2, v2) in the cell's own frame.
+
+    Vertical edges are left out: nothing lies under them.
+    """
+    e = edge_tbl.where(F.col("x1") != F.col("x2")).join(bbox.select(group, "xmin", "ymin"), group)
+    e = e.select(group, *[(F.col(c) - F.col("xmin")).alias(c) for c in ("x1", "x2")], *[(F.col(c) - F.col("ymin")).alias(c) for c in ("y1", "y2")])
+    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
+    # an end on a grid line belongs to the piece before it: a stretch of no width adds nothing
+    last = F.greatest(F.ceil(hi / size) - 1, F.floor(lo / size))
+    e = e.withColumn("ix", F.explode(F.sequence(F.floor(lo / size).cast("int"), last.cast("int"))))
+    slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
+    y_at = lambda x: F.when(x == F.col("x1"), F.col("y1")).when(x == F.col("x2"), F.col("y2")).otherwise(F.col("y1") + (x - F.col("x1")) * F.col("slope"))
+    e = e.withColumns({"slope": slope, "a": F.greatest(lo, F.col("ix") * F.lit(size)), "b": F.least(hi, (F.col("ix") + 1) * F.lit(size))})
+    e = e.withColumns({"ya": y_at(F.col("a")), "yb": y_at(F.col("b"))})
+    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
+    # a flat piece on a grid line lies on top of the row below
+    last = (F.ceil(high / size) - 1).cast("int")
+    e = e.withColumn("iy", F.explode(F.sequence(F.least(F.floor(low / size).cast("int"), last), last)))
+    # x where the edge meets a row's lower and upper line, kept within the stretch
+    rise = F.col("yb") - F.col("ya")
+    x_at = lambda y: F.col("a") + F.least(F.greatest((y - F.col("ya")) / rise, F.lit(0.0)), F.lit(1.0)) * (F.col("b") - F.col("a"))
+    bottom, top = F.col("iy") * F.lit(size), (F.col("iy") + 1) * F.lit(size)
+    left = F.when(rise > 0, x_at(bottom)).when(rise < 0, x_at(top)).otherwise(F.col("a"))
+    right = F.when(rise > 0, x_at(top)).when(rise < 0, x_at(bottom)).otherwise(F.col("b"))
+    e = e.withColumns({"l": left, "r": right})
+    in_cell = lambda y: F.least(F.greatest(y - F.col("iy") * F.lit(size), F.lit(0.0)), F.lit(size))
+    ends = e.withColumns({"vl": in_cell(y_at(F.col("l"))), "vr": in_cell(y_at(F.col("r")))})
+    ends = ends.withColumns({"ul": F.col("l") - F.col("ix") * F.lit(size), "ur": F.col("r") - F.col("ix") * F.lit(size)})
+    ahead = F.col("x2") > F.col("x1")
+    return ends.select(group, "ix", "iy", *[F.when(ahead, F.col(f"{c}{'l' if i == 1 else 'r'}")).otherwise(F.col(f"{c}{'r' if i == 1 else 'l'}")).alias(f"{c}{i}") for c in "uv" for i in (1, 2)])
+
+
+def clipped_cells(cells: DataFrame, edge_tbl: DataFrame, bbox: DataFrame, group: str, size: float = CELL_KM) -> DataFrame:
+    """Exact area and centroid of every cell's part inside its polygon; cells outside are left out.
+
+    Green's theorem as grouped sums.  What lies inside a cell is what lies under the edges,
+    with the sign of their direction, cut off at the cell's top: an edge's piece within
+    the cell adds the trapezium under it, one in a cell above adds the full height over
+    its width.  The first is a sum per cell, the second a running sum down a column of cells.
+    So a polygon may have any number of vertices, parts and holes (``oriented``), and no
+    ring is ever put together.
+
+    Output (group, ix, iy, clip_area_km2, clip_cx, clip_cy, whole), whole: not cut by an edge.
     """
-    ring = vertices.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ring"))
-    j = cells.select(group, "ix", "iy", "x0", "y0").join(ring, group)
-    gtype = cells.schema[group].dataType.simpleString()
-
-    def clip(batches):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                # clip in the cell's own frame: no cancellation on large coordinates
-                pts = [(float(v["x"]) - r.x0, float(v["y"]) - r.y0) for v in r.ring]
-                a, cx, cy = _area_centroid(_clip_square(pts, 0.0, 0.0, size))
-                out.append((getattr(r, group), int(r.ix), int(r.iy), a, cx + r.x0, cy + r.y0))
-            yield pd.DataFrame(out, columns=[group, "ix", "iy", "clip_area_km2", "clip_cx", "clip_cy"])
-
-    return j.mapInPandas(clip, f"`{group}` {gtype}, ix int, iy int, clip_area_km2 double, clip_cx double, "
-                               "clip_cy double")
-
-
-def _clip_square(ring, x0, y0, size):  # noqa: ANN001, ANN202
-    """Sutherland–Hodgman: polygon ``ring`` clipped to the square cell."""
-    poly = [tuple(p) for p in ring]
-    for axis, bound, keep_ge in ((0, x0, True), (0, x0 + size, False), (1, y0, True), (1, y0 + size, False)):
-        if not poly:
-            break
-        res = []
-        for i in range(len(poly)):
-            cur, prev = poly[i], poly[i - 1]
-            cin = cur[axis] >= bound if keep_ge else cur[axis] <= bound
-            pin = prev[axis] >= bound if keep_ge else prev[axis] <= bound
-            if cin != pin:
-                t = (bound - prev[axis]) / (cur[axis] - prev[axis])
-                res.append((prev[0] + t * (cur[0] - prev[0]), prev[1] + t * (cur[1] - prev[1])))
-            if cin:
-                res.append(cur)
-        poly = res
-    return poly
-
-
-def _area_centroid(poly):  # noqa: ANN001, ANN202
-    if len(poly) < 3:
-        return 0.0, math.nan, math.nan
-    a = sx = sy = 0.0
-    for i in range(len(poly)):
-        x1, y1 = poly[i - 1]
-        x2, y2 = poly[i]
-        cr = x1 * y2 - x2 * y1
-        a += cr
-        sx += (x1 + x2) * cr
-        sy += (y1 + y2) * cr
-    a /= 2.0
-    if a == 0:
-        return 0.0, math.nan, math.nan
-    return abs(a), sx / (6 * a), sy / (6 * a)
+    u1, v1, u2, v2 = (F.col(c) for c in ("u1", "v1", "u2", "v2"))
+    du = u2 - u1
+    own = _pieces(edge_tbl, bbox, group, size).groupBy(group, "ix", "iy").agg(
+        F.sum(du * (v1 + v2) / 2).alias("a"), F.sum(du * (2 * u1 * v1 + u1 * v2 + u2 * v1 + 2 * u2 * v2) / 6).alias("mx"),
+        F.sum(du * (v1 * v1 + v1 * v2 + v2 * v2) / 6).alias("my"), F.sum(du).alias("w"), F.sum((u2 * u2 - u1 * u1) / 2).alias("wx"))
+    every = cells.select(group, "ix", "iy", "x0", "y0").join(own, [group, "ix", "iy"], "left")
+    above = Window.partitionBy(group, "ix").orderBy(F.desc("iy")).rowsBetween(Window.unboundedPreceding, -1)  # a column of a polygon's cells
+    every = every.withColumns({"over": F.coalesce(F.sum("w").over(above), F.lit(0.0)), "overx": F.coalesce(F.sum("wx").over(above), F.lit(0.0))})
+    # the upper side of a counter-clockwise ring runs to the left: inside is minus what lies under
+    total = lambda c, full: -(F.coalesce(F.col(c), F.lit(0.0)) + full)
+    s = F.lit(size)
+    every = every.withColumns({"area": total("a", s * F.col("over")), "sx": total("mx", s * F.col("overx")), "sy": total("my", s * s / 2 * F.col("over"))})
+    found = every.where(F.col("area") > 1e-12)
+    return found.select(group, "ix", "iy", F.col("area").alias("clip_area_km2"), (F.col("x0") + F.col("sx") / F.col("area")).alias("clip_cx"),
+                        (F.col("y0") + F.col("sy") / F.col("area")).alias("clip_cy"), (F.col("area") >= size * size - 1e-12).alias("whole"))

@@ -1,4 +1,4 @@
-"""Radius sums over a pyramid of pre-summed cells.
+"""Radius sums (J5, J9, A23) and nearest locations (J3, J4) over a pyramid of pre-summed cells.
 
 Locations are counted in square cells of half the radius; a cell of more than ``FULL``
 locations is divided into four, and so on.  A zone meets the occupied cells around it.  Cells
@@ -19,7 +19,7 @@ are independent of one another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON, flat_km
@@ -44,9 +44,8 @@ def _axis(z: Column, i: Column, side: float) -> tuple[Column, Column]:
     return F.greatest(-low, -high, F.lit(0.0)), F.greatest(low, high)
 
 
-def crowded(locs: DataFrame, r_km: float) -> bool:
-    """Whether some cell at the top holds more locations than a zone should meet one by one."""
-    side = r_km / REACH
+def crowded(locs: DataFrame, side: float) -> bool:
+    """Whether some cell holds more locations than a zone should meet one by one."""
     cells = locs.groupBy(_cell(F.col("plat") * KM_PER_DEG_LAT, side).alias("ix"), _cell(F.col("plon") * KM_PER_DEG_LON, side).alias("iy")).count()
     return not cells.where(F.col("count") > FULL).isEmpty()
 
@@ -96,3 +95,78 @@ def radius_sums(zones: DataFrame, locs: DataFrame, r_km: float, measures: list[s
     sums = parts.groupBy("zlat", "zlon").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
     out = zones.alias("z").join(sums.alias("s"), (F.col(f"z.`{zlat}`") == F.col("s.zlat")) & (F.col(f"z.`{zlon}`") == F.col("s.zlon")), "left")
     return out.select(*[F.col(f"z.`{c}`") for c in own], *[F.coalesce(F.col(f"s._{m}"), F.lit(0)).alias(m) for m in measures])
+
+
+def _occupied(locs: DataFrame, side: float) -> DataFrame:
+    """(ix, iy, locations, points): the cells of a side that hold locations."""
+    at = locs.select(_cell(F.col("px"), side).alias("ix"), _cell(F.col("py"), side).alias("iy"), "weight")
+    return at.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("locations"), F.sum("weight").alias("points"))
+
+
+def _bounded(asking: DataFrame, cells: DataFrame, side: float, self_exclude: bool) -> DataFrame:
+    """Asking zones with the occupied cells they meet: ``near``, and ``bound``, the distance within which a location must lie.
+
+    Among the zones' own points a cell that holds a zone's point alone bounds nothing.
+    """
+    (near_x, far_x), (near_y, far_y) = _axis(F.col("zx"), F.col("ix"), side), _axis(F.col("zy"), F.col("iy"), side)
+    met = asking.join(cells, ["ix", "iy"]).withColumns({"near": F.sqrt(near_x * near_x + near_y * near_y), "far": F.sqrt(far_x * far_x + far_y * far_y)})
+    other = (F.col("near") > 0) | (F.col("points") > 1) if self_exclude else F.lit(True)
+    own = Window.partitionBy("zlat", "zlon")  # the cells of one zone
+    return met.withColumn("bound", F.least("bound", F.min(F.when(other, F.col("far"))).over(own))).drop("far", "points")
+
+
+def nearest_location(zones: DataFrame, locs: DataFrame, start_km: float, diameter_km: float, zlat: str = "lat", zlon: str = "lon", self_exclude: bool = False) -> DataFrame:
+    """(zlat, zlon, best struct(d, p)): the nearest location of each distinct place of a zone, the smallest id on ties.
+
+    First zones meet occupied cells, of a side that doubles until the 3 x 3 cells around a
+    zone must hold its nearest location.  Then cells are divided, level by level: a zone
+    keeps the quarters that may hold a location as near as the least distance within which
+    some quarter must hold one, and meets the locations of a cell once it holds few.  So a
+    crowded cell costs a zone a few cells a level, not its locations.
+
+    locs: one row a location with ``plat``, ``plon``, ``pid`` and ``weight``.
+    """
+    here = locs.select("plat", "plon", "pid", "weight", (F.col("plat") * KM_PER_DEG_LAT).alias("px"), (F.col("plon") * KM_PER_DEG_LON).alias("py"))
+    pending = zones.where(F.col(zlat).isNotNull() & F.col(zlon).isNotNull()).select(F.col(zlat).alias("zlat"), F.col(zlon).alias("zlon")).distinct()
+    pending = pending.withColumns({"zx": F.col("zlat") * KM_PER_DEG_LAT, "zy": F.col("zlon") * KM_PER_DEG_LON, "bound": F.lit(float("inf"))})
+    place = ["zlat", "zlon", "zx", "zy"]
+    reach, around = {}, F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    level = 0
+    while True:
+        side = start_km * 2.0**level
+        asking = pending.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+        asking = asking.select(*place, "bound", (_cell(F.col("zx"), side) + F.col("dx")).alias("ix"), (_cell(F.col("zy"), side) + F.col("dy")).alias("iy"))
+        last = side >= diameter_km
+        met = written(_bounded(asking, _occupied(here, side), side, self_exclude), "nearest-met")
+        settled = met if last else met.where(F.col("bound") <= side * (1 - MARGIN))
+        reach[level] = settled.where(F.col("near") <= F.col("bound") * (1 + MARGIN))
+        if last:
+            break
+        pending = written(pending.join(settled.select("zlat", "zlon").distinct(), ["zlat", "zlon"], "left_anti"), "nearest-pending")
+        if pending.isEmpty():
+            break
+        level += 1
+    found, active = [], None
+    distance = flat_km("zlat", "zlon", "plat", "plon")
+    while True:
+        side = start_km * 2.0**level
+        active = reach[level] if active is None else active.unionByName(reach[level]) if level in reach else active
+        few = F.lit(True) if level <= -DEEPEST else F.col("locations") <= FULL
+        meeting = active.where(few).join(here.withColumns({"ix": _cell(F.col("px"), side), "iy": _cell(F.col("py"), side)}), ["ix", "iy"])
+        if self_exclude:
+            meeting = meeting.where((F.col("plat") != F.col("zlat")) | (F.col("plon") != F.col("zlon")) | (F.col("weight") >= 2))
+        found.append(meeting.select("zlat", "zlon", F.struct(distance.alias("d"), F.col("pid").alias("p")).alias("at")))
+        crowds = active.where(~few)
+        if level <= min(reach) and (level <= -DEEPEST or crowds.isEmpty()):
+            break
+        level -= 1
+        side /= 2
+        halves = F.array(F.lit(0), F.lit(1))
+        asking = crowds.withColumn("dx", F.explode(halves)).withColumn("dy", F.explode(halves))
+        asking = asking.select(*place, "bound", (F.col("ix") * 2 + F.col("dx")).alias("ix"), (F.col("iy") * 2 + F.col("dy")).alias("iy"))
+        active = _bounded(asking, _occupied(here, side), side, self_exclude)
+        active = written(active.where(F.col("near") <= F.col("bound") * (1 + MARGIN)), "nearest-met")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("zlat", "zlon").agg(F.min("at").alias("best"))

@@ -26,7 +26,7 @@ def zone_features(zones: DataFrame, points: DataFrame, skew_rows: int | None = s
     Both come from one join, unless locations crowd: then the counts come from sums of
     cells, and the nearest point is looked for within a radius of its own.
     """
-    if pyramid.crowded(spatial.point_locations(points), COUNT_RADIUS_KM):
+    if pyramid.crowded(spatial.point_locations(points), COUNT_RADIUS_KM / pyramid.REACH):
         counted = spatial.count_within(zones, points, COUNT_RADIUS_KM, out="recycling_density_1km")
         z = spatial.nearest(counted, points, dist_col="nearest_km", id_col=None, skew_rows=skew_rows)
         return z.withColumn("dist_nearest_recycling_m", F.col("nearest_km") * F.lit(1000.0)).drop("nearest_km")

@@ -118,7 +118,7 @@ def count_within(zones: DataFrame, points: DataFrame, r_km: float, out: str = "n
     sums of cells instead (:mod:`pyramid`); the rows are the same.
     """
     locs = cached(point_locations(points))
-    if pyramid.crowded(locs, r_km):
+    if pyramid.crowded(locs, r_km / pyramid.REACH):
         res = pyramid.radius_sums(zones, locs.withColumnRenamed("weight", out), r_km, [out], zlat, zlon, inclusive)
     else:
         res = radius_aggregate(zones, locs, r_km, [F.coalesce(F.sum("weight"), F.lit(0)).alias(out)],
@@ -187,6 +187,9 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
     to ``min_r0_km`` (the first round's radius is at least that); this fuses
     e.g. the 500 m count into the same join.
 
+    Where locations crowd in a cell of the start radius, zones are led down a
+    pyramid of cells instead (:mod:`pyramid`); the rows are the same.
+
     ``self_exclude``: the zones are the points themselves; a
     row's own location is skipped unless another point shares it (then the
     distance is 0).  Zones get NULL when there are no points at all.
@@ -198,6 +201,11 @@ def nearest(zones: DataFrame, points: DataFrame, zlat: str = "lat", zlon: str =
         skew_rows = None  # no bucket can hold more zones than there are: skip the hot-bucket scans
     # no points (diam 0): the single final round leaves every zone NULL
     r = max(r0_km or 2.0 * math.sqrt(max(area, 1e-6) / max(n_locs, 1)), min_r0_km, 1e-3)
+    if not extra_aggs and n_locs and pyramid.crowded(locs, r):
+        best = pyramid.nearest_location(zones, locs, r, diam, zlat, zlon, self_exclude).alias("b")
+        out = zones.alias("z").join(best, (F.col(f"z.`{zlat}`") == F.col("b.zlat")) & (F.col(f"z.`{zlon}`") == F.col("b.zlon")), "left")
+        ids = [F.col("b.best.p").alias(id_col)] if id_col else []
+        return out.select(*[F.col(f"z.`{c}`") for c in zones.columns], F.col("b.best.d").alias(dist_col), *ids)
     candidate = F.col("pid").isNotNull()
     if self_exclude:
         candidate = candidate & ((F.col("plat") != F.col(zlat)) | (F.col("plon") != F.col(zlon)) | (F.col("weight") >= 2))
@@ -245,7 +253,7 @@ def count_by_kind(zones: DataFrame, points: DataFrame, r_km: float, kinds: list[
     conditional sums over a fixed kind list, so no extra pass discovers kinds.
     """
     locs = cached(point_locations(points, extra_keys=(kind_col,)))
-    if pyramid.crowded(locs, r_km):
+    if pyramid.crowded(locs, r_km / pyramid.REACH):
         names = [f"{prefix}{k}{suffix}" for k in kinds]
         by_kind = locs.groupBy("plat", "plon").agg(*[F.coalesce(F.sum(F.when(F.col(kind_col) == k, F.col("weight"))), F.lit(0)).alias(n) for k, n in zip(kinds, names, strict=True)])
         return pyramid.radius_sums(zones, by_kind, r_km, names)

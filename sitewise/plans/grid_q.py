@@ -122,12 +122,36 @@ def boundary_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     straddle a district boundary; the clipped areas of all cells sum to the
     polygon area."""
     v, bb = _polys(spark, sf_dir)
-    cells = pg.grid_cells(bb, "district_id")
-    touched = pg.edge_cells(pg.edges(v, "district_id"), bb, "district_id")
-    cells = cells.join(touched, ["district_id", "ix", "iy"], "left_semi")
-    clipped = pg.clip_centroids(cells, v, "district_id").where(F.col("clip_area_km2") > 0)
-    part = clipped.where(F.col("clip_area_km2") < pg.CELL_KM * pg.CELL_KM - 1e-12)
+    part = _clipped(v, bb).where("not whole")
     return part.select("district_id", "ix", "iy", F.round("clip_area_km2", 6).alias("clip_area_km2"),
                        F.round(F.col("clip_cy") / 111.0, 6).alias("centroid_lat"),
                        F.round(F.col("clip_cx") / 88.0, 6).alias("centroid_lon"))
 
+
+def _clipped(v: DataFrame, bb: DataFrame) -> DataFrame:
+    edges = pg.oriented(pg.edges(v, "district_id"), "district_id")
+    return pg.clipped_cells(pg.grid_cells(bb, "district_id"), edges, bb, "district_id")
+
+
+@query(
+    "clipped_grid",
+    "J7 F13 F11",
+    POLY_SQL + """,
+area AS (SELECT district_id, sum(x1 * y2 - x2 * y1) / 2 AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / 6 AS sx,
+                sum((y1 + y2) * (x1 * y2 - x2 * y1)) / 6 AS sy FROM e GROUP BY district_id)
+SELECT district_id, round(abs(a), 6) AS area_km2, round(sy / a / 111, 6) AS centroid_lat, round(sx / a / 88, 6) AS centroid_lon,
+       true AS whole_cells_full, true AS centroids_in_cells
+FROM area""",
+)
+def clipped_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid clipped by each district's polygon, whole and cut cells, summed up: its area and centroid are the polygon's."""
+    v, bb = _polys(spark, sf_dir)
+    parts = _clipped(v, bb).join(bb, "district_id")
+    area = F.sum("clip_area_km2")
+    x0, y0 = F.col("xmin") + F.col("ix") * pg.CELL_KM, F.col("ymin") + F.col("iy") * pg.CELL_KM
+    within = F.col("clip_cx").between(x0 - 1e-9, x0 + pg.CELL_KM + 1e-9) & F.col("clip_cy").between(y0 - 1e-9, y0 + pg.CELL_KM + 1e-9)
+    return parts.groupBy("district_id").agg(
+        F.round(area, 6).alias("area_km2"), F.round(F.sum(F.col("clip_cy") * F.col("clip_area_km2")) / area / 111.0, 6).alias("centroid_lat"),
+        F.round(F.sum(F.col("clip_cx") * F.col("clip_area_km2")) / area / 88.0, 6).alias("centroid_lon"),
+        F.bool_and(~F.col("whole") | (F.abs(F.col("clip_area_km2") - pg.CELL_KM * pg.CELL_KM) < 1e-9)).alias("whole_cells_full"),
+        F.bool_and(within).alias("centroids_in_cells"))

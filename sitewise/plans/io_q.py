@@ -15,6 +15,7 @@ from ..operators import evaluate as ev
 from ..operators.joins import bounded_broadcast
 from ..schema import ZONE
 from ..session import cached, ensure_checkpoint_dir
+from ..operators import polygon as pg
 from ..sources import files
 from ..sources.tables import POINTS_SQL, ZONES_SQL, districts, points, with_views, zones
 from .eval_q import AUC_SQL, SCORED_SQL, scored
@@ -163,12 +164,44 @@ def boundary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.concat(F.lit('{"name":"'), name, F.lit('","geojson":{"type":"Polygon","coordinates":'), ring, F.lit("}}"))
     point = F.concat(F.lit('{"name":"'), name, F.lit('","geojson":{"type":"Point","coordinates":'), F.to_json(corner("w", "s")), F.lit("}}"))
     path = _scratch(spark, "boundary")
-    places = b.select(F.explode(F.array(place, point)).alias("p")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("p"), ","), F.lit("]")).alias("value"))
-    places.write.text(path)  # two places a district
-    e = files.boundary_edges(spark, path)
+    b.select(F.explode(F.array(place, point)).alias("value")).write.text(path)  # a place a line
+    e = files.boundary_edges(spark, path, lines=True)
     return e.select("name", "ring", "seq", *[F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+@query(
+    "boundary_multipart",
+    "S10 J7",
+    with_views(ZONES_SQL) + """,
+b AS (SELECT district_id, (max(lon) - min(lon)) * 88 AS w, (max(lat) - min(lat)) * 111 AS h FROM zones GROUP BY district_id)
+SELECT CAST(district_id AS VARCHAR) AS name, 2 AS parts, 12 AS n_edges, round(w * h * (1 - 0.25 + 0.01), 6) AS area_km2,
+       round(w * h * (1 - 0.25 + 0.01), 6) AS clipped_km2
+FROM b""",
+)
+def boundary_multipart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each district as a MultiPolygon: its box with a hole of a quarter of its area in the middle, and a box of a tenth of the sides beside it.
+
+    Read from GeoJSON in any ring direction; the area of the rings, and the same from the grid clipped by them.
+    """
+    b = zones(spark, sf_dir).groupBy("district_id").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
+    x = lambda t: F.col("w") + (F.col("e") - F.col("w")) * t
+    y = lambda t: F.col("s") + (F.col("n") - F.col("s")) * t
+    box = lambda a, c: F.array(*[F.array(x(i), y(j)) for i, j in ((a, a), (c, a), (c, c), (a, c), (a, a))])
+    beside = F.array(*[F.array(x(i), y(j)) for i, j in ((1.2, 0.5), (1.2, 0.6), (1.3, 0.6), (1.3, 0.5), (1.2, 0.5))])
+    shape = F.to_json(F.array(F.array(box(0.0, 1.0), box(0.25, 0.75)), F.array(beside)))
+    name = F.col("district_id").cast("string")
+    path = _scratch(spark, "boundary")
+    b.select(F.concat(F.lit('{"name":"'), name, F.lit('","geojson":{"type":"MultiPolygon","coordinates":'), shape, F.lit("}}"))).write.text(path)
+    e = files.boundary_edges(spark, path, lines=True)
+    km = e.select("name", "part", "ring", *[(F.col(c) * k).alias(c) for k, cs in ((88.0, ("x1", "x2")), (111.0, ("y1", "y2"))) for c in cs])
+    turned = pg.oriented(km, "name", "part", "ring")
+    box_of = km.groupBy("name").agg(F.min("x1").alias("xmin"), F.min("y1").alias("ymin"), F.max("x1").alias("xmax"), F.max("y1").alias("ymax"))
+    clipped = pg.clipped_cells(pg.grid_cells(box_of, "name"), turned, box_of, "name").groupBy("name").agg(F.round(F.sum("clip_area_km2"), 6).alias("clipped_km2"))
+    counts = e.groupBy("name").agg(F.countDistinct("part").cast("int").alias("parts"), F.count("*").cast("int").alias("n_edges"))
+    area = pg.ring_area(turned, "name").select("name", F.round("area_km2", 6).alias("area_km2"))
+    return counts.join(area, "name").join(clipped, "name")
+
+
 @query(
     "records_to_zones",
     "S8 S9",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..functions.geo import flat_km
-from ..operators import recommend, scoring, spatial
+from ..operators import pyramid, recommend, scoring, spatial
 from ..operators.joins import bounded_broadcast
 from ..schema import ALL_FEATURES, add_missing, canonical_order, cast_contract, numeric_columns, unique_existing
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import DISTRICTS_SQL, POINTS_SQL, ZONES_SQL, districts, points, with_views, zones
 from .registry import dist_sql, query
 
@@ -59,7 +62,7 @@ def zone_table_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import tables as _tables
     from ..sources.materialize import materialized
 
-    code = [sys.modules[__name__], scoring, spatial, _fx, _geo, _tables]
+    code = [sys.modules[__name__], scoring, spatial, pyramid, _fx, _geo, _tables]
     return materialized(spark, "zone_features", [f"{sf_dir}/customer.parquet", f"{sf_dir}/supplier.parquet"],
                         lambda: zone_table(spark, sf_dir), code=code)
 
@@ -131,6 +134,29 @@ def points_within_500m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("candidate_id", "recycling_density_1km")
 
 
+@query(
+    "points_arriving",
+    "§2.12 J5 J4",
+    with_views(ZONES_SQL, POINTS_SQL)
+    + f"""
+SELECT z.candidate_id, CAST(count(p.point_id) AS BIGINT) AS points_500m, round(min({dist_sql('z', 'p')}), 9) AS nearest_km
+FROM zones z LEFT JOIN points p ON {dist_sql('z', 'p')} < CAST(0.5 AS DOUBLE)
+GROUP BY z.candidate_id""",
+)
+def points_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts within 500 m kept up to date by a stream of points, which come in two deliveries and several batches."""
+    from ..streaming import point_stream
+
+    z, p = zones(spark, sf_dir).select("candidate_id", "lat", "lon"), points(spark, sf_dir).select("point_id", "lat", "lon")
+    base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    for late in (False, True):
+        part = p.where((F.col("point_id") % 3 == 0) == late).repartition(3, "point_id")
+        part.write.mode("append").parquet(f"{base}/in")
+        point_stream.follow(spark, f"{base}/in", p.schema, z, 0.5, "candidate_id", f"{base}/out", f"{base}/chk", files_per_batch=2)
+    found = point_stream.counts(spark, f"{base}/out", z, "candidate_id", "points_500m")
+    return found.select("candidate_id", "points_500m", F.round("nearest_km", 9).alias("nearest_km"))
+
+
 @query(
     "points_within_1km",
     "J9 J5",
@@ -294,7 +320,7 @@ FROM (SELECT *, 0.6 * walkability_score + 0.4 * (1 - least(greatest(dist_nearest
 def derive_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived features refreshed; ``has_park_300m`` stands in for parks."""
     z = zone_table(spark, sf_dir).withColumn("has_park_300m", F.col("land_use_encoded"))
-    d = fx.recompute_engineered(z)
+    d = fx.with_derived(z, refresh=True)
     return d.select("candidate_id", F.round("accessibility_composite", 6).alias("accessibility_composite"),
                     "nse_high_ratio", "recycling_deficit", "coverage_gap_index", "poi_parks_500m")
 
@@ -312,7 +338,7 @@ FROM zf""",
 def derive_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that lacks four derived features and has a fifth, which stays."""
     z = zone_table_stored(spark, sf_dir).withColumns({"has_park_300m": F.col("land_use_encoded"), "nse_high_ratio": F.lit(0.5)})
-    d = fx.ensure_engineered(z)
+    d = fx.with_derived(z, refresh=False)
     return d.select("candidate_id", F.round("accessibility_composite", 6).alias("accessibility_composite"),
                     "nse_high_ratio", "recycling_deficit", "coverage_gap_index", "poi_parks_500m")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,19 +72,24 @@ def head_records(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n).select(F.to_json(F.struct("*")).alias("record"))
 
 
-def boundary_edges(spark: SparkSession, path: str) -> DataFrame:
-    """Geocoder-style JSON (array of places with a GeoJSON Polygon) → edge table.
+def boundary_edges(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Geocoder-style places with a GeoJSON Polygon or MultiPolygon → edge table.
 
-    Output (name, ring, seq, x1, y1, x2, y2) in degrees (x = lon, y = lat).
+    lines: one place a line, which Spark reads in splits; else an array of places a file.
+    Output (name, part, ring, seq, x1, y1, x2, y2) in degrees (x = lon, y = lat); ring 0
+    of a part is its outline, the others are holes.  Rings that aren't closed are closed;
+    other geometries (points, lines) have no edges.
     """
-    # coordinates differ by geometry type (Point vs Polygon): read them as raw
-    # JSON text and parse only the polygons with their own schema
+    # coordinates differ by geometry type: they are read as raw JSON text, and only
+    # areas are parsed, a Polygon as the one part of a MultiPolygon
     schema = "name string, geojson struct<type string, coordinates string>"
-    raw = spark.read.option("multiLine", True).schema(schema).json(path)
-    poly = raw.where(F.col("geojson.type") == "Polygon").select(
-        "name", F.posexplode(F.from_json("geojson.coordinates", "array<array<array<double>>>")).alias("ring", "coords"))
-    pts = poly.select("name", "ring", F.posexplode("coords").alias("seq", "xy")).select(
-        "name", "ring", "seq", F.col("xy")[0].cast("double").alias("x1"), F.col("xy")[1].cast("double").alias("y1"))
-    w = Window.partitionBy("name", "ring").orderBy("seq")
-    e = pts.withColumns({"x2": F.lead("x1").over(w), "y2": F.lead("y1").over(w)})
-    return e.where(F.col("x2").isNotNull())
+    raw = spark.read.option("multiLine", not lines).schema(schema).json(path)
+    kind, text = F.col("geojson.type"), F.col("geojson.coordinates")
+    parts = F.when(kind == "MultiPolygon", text).when(kind == "Polygon", F.concat(F.lit("["), text, F.lit("]")))
+    found = raw.select("name", F.posexplode(F.from_json(parts, "array<array<array<array<double>>>>")).alias("part", "rings"))
+    found = found.select("name", "part", F.posexplode("rings").alias("ring", "c"))
+    closed = F.when(F.element_at("c", 1) == F.element_at("c", -1), F.col("c")).otherwise(F.concat("c", F.slice("c", 1, 1)))
+    ends = F.zip_with(closed, F.slice(closed, 2, F.size(closed)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    found = found.select("name", "part", "ring", F.posexplode(ends).alias("seq", "e")).where("e.b is not null")
+    at = lambda end, i: F.col(f"e.{end}")[i].cast("double")
+    return found.select("name", "part", "ring", "seq", at("a", 0).alias("x1"), at("a", 1).alias("y1"), at("b", 0).alias("x2"), at("b", 1).alias("y2"))

@@ -5,8 +5,10 @@ import os
 from pyspark.sql import functions as F
 
 from sitewise.operators import booster as bo
+from sitewise.operators import spatial
 from sitewise.operators.joins import bounded_broadcast
 from sitewise.sources import materialize
+from sitewise.streaming import point_stream
 from sitewise.streaming.score_stream import read_sink, score_stream
 
 
@@ -55,3 +57,18 @@ def test_stream_scoring_equals_batch(spark, tmpdir_path):
         F.col("candidate_id").cast("string").alias("zone_id"), F.round("prob", 4).alias("s"),
         (F.col("prob") >= 0.5).alias("f")).collect()
     assert streamed == {(r.zone_id, r.s, r.f) for r in batch}
+
+
+def test_counts_of_arriving_points_in_any_order(spark, tmpdir_path):
+    z = spark.createDataFrame([(i, -12.0 - i * 1e-3, -77.0) for i in range(30)] + [(99, 10.0, 10.0), (100, None, 1.0)], "zone int, lat double, lon double")
+    spots = [(i, -12.0 - (i * 37 % 40) * 1e-3, -77.0 + (i % 5) * 1e-3) for i in range(200)] + [(500, None, -77.0)]
+    p = spark.createDataFrame(spots, "point_id int, lat double, lon double")
+    want = {r.zone: r.n for r in spatial.count_within(z, p, 0.5, out="n").collect()}
+    for name, order in (("a", F.col("point_id")), ("b", -F.col("point_id"))):
+        base = os.path.join(tmpdir_path, name)
+        for turn in range(2):
+            part = p.where(F.pmod(order, F.lit(4)) < 2) if turn == 0 else p.where(F.pmod(order, F.lit(4)) >= 2)
+            part.repartition(3).write.mode("append").parquet(f"{base}/in")
+            point_stream.follow(spark, f"{base}/in", p.schema, z, 0.5, "zone", f"{base}/out", f"{base}/chk", files_per_batch=1)
+        got = {r.zone: r.n for r in point_stream.counts(spark, f"{base}/out", z, "zone", "n").collect()}
+        assert got == want and sum(got.values()) > 500

@@ -127,28 +127,80 @@ def test_clip_areas_sum_to_polygon_area(spark):
                                (1, 5, 0.0, 3.0)], "g int, seq int, x double, y double")
     bb = pg.bbox_of(v, "g")
     cells = pg.grid_cells(bb, "g")
-    total = pg.clip_centroids(cells, v, "g").agg(F.sum("clip_area_km2")).first()[0]
+    edges = pg.oriented(pg.edges(v, "g"), "g")
+    total = pg.clipped_cells(cells, edges, bb, "g").agg(F.sum("clip_area_km2")).first()[0]
     area = pg.shoelace(v, "g").first().area_km2
     assert total == pytest.approx(area, rel=1e-9)
     inside = pg.inside_polygon(cells, pg.edges(v, "g"), bb, "g").where("inside").count()
     assert abs(inside * 0.25 - area) <= 1.5
 
 
-def test_edge_cells_cover_all_partial_cells(spark):
-    rng = np.random.default_rng(4)
-    ang = np.sort(rng.random(9) * 2 * np.pi)
-    rad = 1.0 + rng.random(9) * 3.0
-    rows = [(1, i + 1, float(-6700.0 + r * np.cos(a)), float(-1350.0 + r * np.sin(a)))
-            for i, (a, r) in enumerate(zip(ang, rad))]
-    v = spark.createDataFrame(rows, "g int, seq int, x double, y double")
+def _clip_square(ring, size):
+    """Sutherland–Hodgman: the ring clipped to [0, size] squared; its area and centroid."""
+    poly = ring
+    for axis, bound, above in ((0, 0.0, True), (0, size, False), (1, 0.0, True), (1, size, False)):
+        res = []
+        for i in range(len(poly)):
+            cur, prev = poly[i], poly[i - 1]
+            cin, pin = ((p[axis] >= bound) if above else (p[axis] <= bound) for p in (cur, prev))
+            if cin != pin:
+                t = (bound - prev[axis]) / (cur[axis] - prev[axis])
+                res.append((prev[0] + t * (cur[0] - prev[0]), prev[1] + t * (cur[1] - prev[1])))
+            if cin:
+                res.append(cur)
+        poly = res
+    a = sx = sy = 0.0
+    for i in range(len(poly)):
+        (x1, y1), (x2, y2) = poly[i - 1], poly[i]
+        cr = x1 * y2 - x2 * y1
+        a, sx, sy = a + cr / 2, sx + (x1 + x2) * cr / 6, sy + (y1 + y2) * cr / 6
+    return (abs(a), sx / a, sy / a) if a else (0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("vertices", [9, 400])
+def test_clipped_cells_equal_clipping_one_by_one(spark, vertices):
+    rng = np.random.default_rng(vertices)
+    ang = np.sort(rng.random(vertices) * 2 * np.pi)
+    rad = 1.0 + rng.random(vertices) * 3.0
+    ring = [(-6700.0 + float(r * np.cos(a)), -1350.0 + float(r * np.sin(a))) for a, r in zip(ang, rad, strict=True)]
+    ring += [(-6700.5, ring[0][1]), (-6700.5, ring[0][1] - 0.5)] if vertices == 9 else []  # a flat and an upright edge
+    v = spark.createDataFrame([(1, i + 1, x, y) for i, (x, y) in enumerate(ring)], "g int, seq int, x double, y double")
     bb = pg.bbox_of(v, "g")
-    cells = pg.grid_cells(bb, "g")
-    part = F.col("clip_area_km2").between(1e-12, 0.25 - 1e-12)
-    every = {(r.ix, r.iy) for r in pg.clip_centroids(cells, v, "g").where(part).collect()}
-    touched = pg.edge_cells(pg.edges(v, "g"), bb, "g")
-    only = {(r.ix, r.iy) for r in pg.clip_centroids(cells.join(touched, ["g", "ix", "iy"], "left_semi"), v, "g")
-            .where(part).collect()}
-    assert every == only and len(every) > 0
+    for order in (1, -1):
+        e = pg.edges(v.withColumn("seq", F.col("seq") * order), "g")
+        got = {(r.ix, r.iy): r for r in pg.clipped_cells(pg.grid_cells(bb, "g"), pg.oriented(e, "g"), bb, "g").collect()}
+        kept = 0
+        for c in pg.grid_cells(bb, "g").collect():
+            area, cx, cy = _clip_square([(x - c.x0, y - c.y0) for x, y in ring], 0.5)
+            if area < 1e-9:
+                assert (c.ix, c.iy) not in got or got[c.ix, c.iy].clip_area_km2 < 2e-9
+                continue
+            kept += 1
+            r = got[c.ix, c.iy]
+            assert r.clip_area_km2 == pytest.approx(area, abs=1e-8) and r.whole == (area > 0.25 - 1e-11)
+            assert (r.clip_cx - c.x0, r.clip_cy - c.y0) == pytest.approx((cx, cy), abs=1e-5)
+        assert kept > 40
+
+
+def test_boundary_parts_holes_and_directions(spark, tmpdir_path):
+    square = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]
+    places = [{"name": "M", "geojson": {"type": "MultiPolygon", "coordinates": [[square(0, 0, 4), square(1, 1, 2)], [square(6, 0, 1)[::-1]]]}},
+              {"name": "P", "geojson": {"type": "Polygon", "coordinates": [square(0, 0, 4)[::-1], square(1, 1, 2)[:-1]]}},  # clockwise, its hole not closed
+              {"name": "L", "geojson": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}}, {"name": "N", "geojson": None}]
+    for lines in (False, True):
+        path = os.path.join(tmpdir_path, f"b{lines}.json")
+        with open(path, "w") as f:
+            f.write("\n".join(map(json.dumps, places)) if lines else json.dumps(places))
+        e = files.boundary_edges(spark, path, lines)
+        turned = pg.oriented(e, "name", "part", "ring")
+        assert {r.name: r.area_km2 for r in pg.ring_area(turned, "name").collect()} == {"M": 13.0, "P": 12.0}
+        assert {(r["name"], r["count"]) for r in e.groupBy("name").count().collect()} == {("M", 12), ("P", 8)}
+        box = e.groupBy("name").agg(F.min("x1").alias("xmin"), F.min("y1").alias("ymin"), F.max("x1").alias("xmax"), F.max("y1").alias("ymax"))
+        cells = pg.grid_cells(box, "name")
+        parts = pg.clipped_cells(cells, turned, box, "name")
+        assert {r.name: (round(r.a, 9), r.n) for r in parts.groupBy("name").agg(F.sum("clip_area_km2").alias("a"), F.count("*").alias("n")).collect()} == {"M": (13.0, 52), "P": (12.0, 48)}
+        inside = pg.inside_polygon(cells, e, box, "name").where("inside").groupBy("name").count()
+        assert {(r["name"], r["count"]) for r in inside.collect()} == {("M", 52), ("P", 48)}
 
 
 def test_cross_validate_paths(spark):

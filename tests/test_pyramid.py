@@ -39,7 +39,7 @@ def test_counts_equal_brute_force(crowd, inclusive):
     d = distances(zones, points)
     for r in (0.5, float(np.sort(d[20])[700])):  # the second radius is the distance of a point
         want = (d <= r if inclusive else d < r).sum(axis=1)
-        assert pyramid.crowded(spatial.point_locations(p), r)
+        assert pyramid.crowded(spatial.point_locations(p), r / 2)
         got = {x.zone: x.n for x in spatial.count_within(z, p, r, out="n", inclusive=inclusive).collect()}
         assert [got[i] for i in range(len(want))] == want.tolist()
 
@@ -63,6 +63,29 @@ def test_odd_zones(spark, crowd):
     assert len(got) == 4 and got[0] == got[1] and got[0][1] >= 1000 and got[2:] == [(2, 0), (3, 0)]
 
 
+def test_nearest_equals_brute_force(spark, crowd):
+    zones, points, z, p = crowd
+    far = spark.createDataFrame([(900, -11.0, -75.0), (901, None, 0.0)], "zone int, lat double, lon double")
+    assert pyramid.crowded(spatial.point_locations(p), 0.05)
+    got = {r.zone: r for r in spatial.nearest(z.unionByName(far), p, r0_km=0.05).collect()}
+    assert len(got) == 122 and got[901].nearest_km is None
+    lat, lon = np.append(zones[0], -11.0), np.append(zones[1], -75.0)
+    d = distances((lat, lon), points)
+    for i in range(121):
+        r = got[i if i < 120 else 900]
+        assert r.nearest_km == d[i].min() and r.nearest_point_id == np.flatnonzero(d[i] == d[i].min()).min()
+
+
+def test_self_nearest_among_crowds_and_loners(spark):
+    lat, lon = places(400, 9, 0.0005)
+    lat, lon = np.append(lat, [-12.5, -12.5, -12.9, lat[0]]), np.append(lon, [-77.5, -77.5, -77.9, lon[0]])
+    _, p = frames(spark, places(1, 1), (lat, lon))
+    got = {r.point_id: r.nearest_km for r in spatial.nearest(p, p, id_col=None, self_exclude=True, r0_km=0.05).collect()}
+    d = distances((lat, lon), (lat, lon))
+    np.fill_diagonal(d, np.inf)
+    assert [got[i] for i in range(404)] == d.min(axis=1).tolist()
+
+
 def met(monkeypatch, z, p, r):
     """Rows that the zones meet: cells, and locations before their distance decides."""
     seen = []
