@@ -91,7 +91,7 @@ def _search(k: int, centre: np.ndarray, turn: np.ndarray):  # noqa: ANN202
                 least = np.partition(lower, at, axis=1)[:, at]
                 for j in range(len(q)):
                     near = np.flatnonzero((middle[j] + half[j] >= least[j]) & (ids != who[j]))
-                    score = np.array([np.dot(data[x], q[j]) for x in near]) if len(near) < 8 else (data[near] * q[j]).sum(axis=1)
+                    score = (data[near] * q[j]).sum(axis=1)  # one expression for any number of rows: equal vectors have equal scores
                     best = np.lexsort((ids[near], -score))[:k]
                     found.append((np.full(len(best), who[j]), ids[near][best], score[best]))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]

@@ -123,9 +123,12 @@ def _informative(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> tu
     return ratio, (p - q) * ratio
 
 
-def train(labelled: DataFrame) -> Classifier:
+def train(labelled: DataFrame, features_kept: int = FEATURES) -> Classifier:
     """Fit on (doc_id, text, label 0 or 1) rows; other labels and null ones are left out.
 
+    features_kept: how many n-grams the classifier may use, the most informative ones of
+    those that LEAST_ROWS sample rows have (ties go to the lower hash).
+
     Without rows of both labels the classifier gives the share of toxic rows to all.
     """
     rows = labelled.filter("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"), "text")
@@ -136,7 +139,7 @@ def train(labelled: DataFrame) -> Classifier:
         return Classifier(np.zeros(0, np.int64), np.zeros(0), float(np.log((n_toxic + 1e-3) / (n_clean + 1e-3))))
     ratio, worth = _informative(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
     counts = _counts(sample).filter(F.col("toxic") + F.col("clean") >= LEAST_ROWS)
-    kept = counts.select("feature", ratio.alias("ratio"), worth.alias("worth")).orderBy(F.desc("worth"), "feature").limit(FEATURES).collect()
+    kept = counts.select("feature", ratio.alias("ratio"), worth.alias("worth")).orderBy(F.desc("worth"), "feature").limit(features_kept).collect()
     kept.sort(key=lambda r: r["feature"])
     index, ratios = np.array([r["feature"] for r in kept], np.int64), np.array([r["ratio"] for r in kept])
     if not len(index):

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import re
 import zlib
 
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 from . import brute
 
 import corpus_pipeline
-from sitewise.llm import catalog, html_text, packing, simhash, substring
+from sitewise.llm import catalog, html_text, packing, simhash, substring, toxicity
 from sitewise.llm.bpe import Encoder
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -268,3 +269,48 @@ def test_pipeline(spark, docs):
     assert set(pieces.doc_id) == set(kept)
     check_packing(pieces)
     assert packing.pack(now, PATH).count() == len(pieces)
+
+
+def plain_ngrams(text):
+    """Hashed character n-grams by their definition: 3 to 6 letters, inside one word but for the ends."""
+    padded = " " + (text or "").lower() + " "
+    out = set()
+    for n in toxicity.SIZES:
+        for i in range(len(padded) - n + 1):
+            gram = padded[i : i + n]
+            if all(c.isalnum() for c in gram[1:-1]):
+                codes = [ord(c) + 1 if c.isalnum() else 1 for c in gram]
+                total = sum(c * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, c in enumerate(codes)) % (1 << 64)
+                mixed = (total ^ n) * 0xD6E8FEB86659FD93 % (1 << 64)
+                mixed = (mixed ^ (mixed >> 32)) * 0xD6E8FEB86659FD93 % (1 << 64)
+                out.add(mixed >> (64 - toxicity.BITS))
+    return out
+
+
+@pytest.mark.parametrize("kept", [toxicity.FEATURES, 50])
+def test_toxicity_counts_ratios_and_scores_by_their_definition(spark, docs, kept):
+    label = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{SMALL}/labels.parquet").to_pylist()}
+    rows = [(d, t[:3000], label[d]) for d, t in docs if label.get(d) in (0, 1)] + [(-1, "Ünï çödé 中文 x1", 1), (-2, None, 0), (-3, "", 0)]
+    grams = {d: plain_ngrams(t) for d, t, _ in rows}
+    sample = spark.createDataFrame([(y, t or "") for _, t, y in rows], "label int, text string")
+    counts = {r["feature"]: (r["toxic"], r["clean"]) for r in toxicity._counts(sample).collect()}
+    sizes = [sum(y == k for _, _, y in rows) for k in (0, 1)]
+    want = {}
+    for d, _, y in rows:
+        for g in grams[d]:
+            want.setdefault(g, [0, 0])[1 - y] += 1
+    assert counts == {g: tuple(c) for g, c in want.items()}
+
+    def share(n, k):
+        return (n + toxicity.SMOOTH) / (sizes[k] + 2 * toxicity.SMOOTH)
+
+    ratio = {g: math.log(share(t, 1) / share(c, 0)) for g, (t, c) in want.items() if t + c >= toxicity.LEAST_ROWS}
+    worth = {g: (share(want[g][0], 1) - share(want[g][1], 0)) * r for g, r in ratio.items()}
+    best = sorted(worth, key=lambda g: (-round(worth[g], 12), g))[:kept]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, label int"), kept)
+    assert len(model.index) == len(best) and {round(worth[g], 9) for g in model.index} == {round(worth[g], 9) for g in best}
+    weight = dict(zip(model.index.tolist(), model.weight, strict=True))
+    # scaled features: the coefficient is what is left of a weight after its ratio, and informative ones keep their sign
+    got = {r["row"]["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
+    for d in grams:
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-sum(weight.get(g, 0.0) for g in grams[d]) - model.intercept)), abs=1e-9)
