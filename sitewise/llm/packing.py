@@ -16,18 +16,22 @@ sequence can hold; a bundle without a partner is dissolved.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .store import forget, saved
+from .store import forget, saved, shared_dir
 
 ROWS_PER_TASK = 20_000  # pieces and gaps that one window or task is meant to hold
 PIECES_OUT = 20_000     # rows per Arrow batch
+COMPILE = "spark.sql.codegen.wholeStage"
+COMPILED_ROWS = 50_000  # rounds of as many pieces and gaps are worth compiling
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
@@ -108,22 +112,37 @@ def _sweep(units: DataFrame, gaps: DataFrame, tasks: int, salts: int) -> DataFra
     return levels.filter("closes = 1").select(F.col("row").alias("unit"), "size", "seq", "gap").coalesce(tasks)
 
 
+@contextmanager
+def _plain(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While a round has few rows, its plan is run as it is: compiling it takes longer and fills the driver."""
+    before = spark.conf.get(COMPILE, None)
+    if rows < COMPILED_ROWS:
+        spark.conf.set(COMPILE, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(COMPILE, before) if before else spark.conf.unset(COMPILE)
+
+
 def best_fit(spark: SparkSession, items: DataFrame, capacity: int) -> DataFrame:
     """Place items (item long unique, length long, 1 to capacity) into sequences.
 
-    Returns (item, sequence_id, offset), every item once.  No items, no rows.  Later
+    Returns (item, sequence_id, offset), every item once.  No items, no rows.  A round
+    writes its pairs and then one table of items and gaps, which the next one reads.  Later
     rounds have few rows and run in as few tasks.
     """
-    placed = items.filter(F.col("length") == capacity).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = items.filter(F.col("length") == capacity).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = items.filter(F.col("length") < capacity).select("item", "length")
     gaps = spark.range(0).select(F.col("id").alias("seq"), F.col("id").alias("gap"))
-    opened, old, most = 0, [], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    opened, rounds, most = 0, [], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
+    state = "kind int, item long, length long, seq long, offset long"
     while True:
         both = left.select("length", F.lit(0).alias("kind")).unionByName(gaps.select(F.col("gap").alias("length"), F.lit(1).alias("kind")))
         found = both.groupBy("kind", "length").agg(F.count("*").alias("n")).collect()  # twice the capacity of rows at most
         sizes = {r["length"]: r["n"] for r in found if not r["kind"]}
         if not sizes:
-            return placed
+            break
         free = {r["length"]: r["n"] for r in found if r["kind"] and r["length"] >= min(sizes)}
         volume, room, largest = sum(s * n for s, n in sizes.items()), sum(g * n for g, n in free.items()), max(free, default=0)
         misfit = sum(s * n for s, n in sizes.items() if s > largest)
@@ -131,21 +150,28 @@ def best_fit(spark: SparkSession, items: DataFrame, capacity: int) -> DataFrame:
         gaps = gaps.filter(F.col("gap") >= min(sizes)).unionByName(
             spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")))
         opened += new
-        n_items, n_gaps = sum(sizes.values()), sum(free.values()) + new
-        tasks = min(most, -(-(n_items + n_gaps) // ROWS_PER_TASK))
-        mean = (room + new * capacity) / n_gaps
-        units = _bundled(left, mean / 4, -(-n_items // ROWS_PER_TASK)).coalesce(tasks)
+        n_rows, n_gaps = sum(sizes.values()) + sum(free.values()) + new, sum(free.values()) + new
+        groups = -(-n_rows // ROWS_PER_TASK)
+        tasks = min(most, groups)
+        units = _bundled(left, (room + new * capacity) / n_gaps / 4, -(-sum(sizes.values()) // ROWS_PER_TASK)).coalesce(tasks)
         one_each = units.filter("item = unit").select("unit", "size")
-        pairs = saved(_sweep(one_each, gaps, tasks, -(-(n_items + n_gaps) // ROWS_PER_TASK)), "packing-pairs")
-        found = units.join(pairs.select("unit", "seq", "gap"), "unit", "left")
-        found = saved(found.select("item", "length", "seq", (F.lit(capacity) - F.col("gap") + F.col("inside")).alias("offset")).coalesce(tasks), "packing-found")
-        placed = placed.unionByName(found.filter("seq is not null").select("item", F.col("seq").alias("sequence_id"), "offset"))
-        left = found.filter("seq is null").select("item", "length")
-        taken = gaps.join(pairs.select("seq", "size"), "seq", "left").select("seq", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap"))
-        gaps = saved(taken.coalesce(tasks), "packing-gaps")
-        for x in old:
-            forget(x)
-        old = [pairs, gaps]
+        rounds.append(f"{folder}/{len(rounds)}")
+        with _plain(spark, n_rows):
+            pairs = saved(_sweep(one_each, gaps, tasks, groups), "packing-pairs")
+            items_now = units.join(pairs.select("unit", "seq", "gap"), "unit", "left").select(
+                F.lit(0).alias("kind"), "item", "length", "seq", (F.lit(capacity) - F.col("gap") + F.col("inside")).alias("offset"))
+            gaps_now = gaps.join(pairs.select("seq", "size"), "seq", "left").select(
+                F.lit(1).alias("kind"), F.lit(None).cast("long").alias("item"), (F.col("gap") - F.coalesce("size", F.lit(0))).alias("length"), "seq",
+                F.lit(None).cast("long").alias("offset"))
+            items_now.unionByName(gaps_now).coalesce(tasks).write.parquet(rounds[-1])
+        forget(pairs)
+        now = spark.read.schema(state).parquet(rounds[-1])
+        left = now.filter("kind = 0 and seq is null").select("item", "length")
+        gaps = now.filter("kind = 1").select("seq", F.col("length").alias("gap"))
+    if not rounds:
+        return whole
+    placed = spark.read.schema(state).parquet(*rounds).filter("kind = 0 and seq is not null")
+    return whole.unionByName(placed.select("item", F.col("seq").alias("sequence_id"), "offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
