@@ -170,3 +170,38 @@ def test_search_tries_every_draw_and_stops_early(rows):
 def test_a_feature_without_values_is_an_error(rows):
     with pytest.raises(ValueError, match="c"):
         bo.prepare(rows.withColumn("c", F.lit(None).cast("double")), ["a", "c"], ["kind"], "id")
+
+
+def test_many_blocks_take_a_stage_a_round(rows, spark, monkeypatch):
+    # one stage a round and few rounds a tree, with margins carried on past a checkpoint and sums added up by tasks
+    monkeypatch.setattr(bo, "LINEAGE_TREES", 2)
+    monkeypatch.setattr(bo, "DRIVER_BYTES", 1 << 16)
+    one, many = prepared(rows), prepared(rows, block_rows=250)
+    assert table(bo.fit(one, models())) == table(bo.fit(many, models()))
+    monkeypatch.setattr(bo, "DRIVER_BYTES", 1 << 30)
+    group = "booster-rounds"
+    spark.sparkContext.setJobGroup(group, "rounds")
+    bo.fit(many, [bo.Model(0, PARAMS)])
+    spark.sparkContext.setJobGroup("other", "other")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup(group)
+    assert len(jobs) <= 12 * PARAMS["n_estimators"]
+    assert sum(1 for j in jobs if len(tracker.getJobInfo(j).stageIds) <= 2) >= 0.8 * len(jobs)
+
+
+@pytest.mark.parametrize("n", [300, T.MANY_ROWS + 5, 16 * T.MANY_ROWS + 3])
+@pytest.mark.parametrize("width", [1, 4, 5])
+def test_histograms_by_pairs_of_features(n, width):
+    rng = np.random.default_rng(n + width)
+    codes = rng.integers(0, T.BINS, (width, n)).astype(np.uint8)
+    g, h = rng.integers(-(1 << 24), 1 << 24, n).astype(float), rng.integers(0, 1 << 22, n).astype(float)
+    columns = T.Columns(codes)
+    for rows in (np.arange(n), np.flatnonzero(codes[0] < 9), np.arange(7)):
+        want = np.zeros((3, width, T.BINS))
+        for f in range(width):
+            for k, w in enumerate((g[rows], h[rows], np.ones(len(rows)))):
+                np.add.at(want[k, f], codes[f][rows], w)
+        assert (columns.histogram(rows, g, h) == want).all()
+    nodes = np.arange(n) % 3
+    both = T.node_histograms(np.ascontiguousarray(codes.T), nodes, [2, 0], np.arange(width), g, h)
+    assert (both[0] == columns.histogram(np.flatnonzero(nodes == 2), g, h)).all() and (both[1] == columns.histogram(np.flatnonzero(nodes == 0), g, h)).all()
