@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from sitewise import session
 from sitewise.operators import spatial
 
 
@@ -99,3 +100,23 @@ def test_poi_pivot_by_kind(spark):
     for zr in z:
         want = tuple(sum(1 for pr in p if pr[3] == k and _d(zr, pr) < 0.5) for k in ("x", "y"))
         assert got[zr[0]] == want
+
+
+def test_nearest_id_without_sorting_pairs(spark):
+    """Between the join and a zone's row nothing is aggregated or sorted by zone, so a task's memory doesn't follow the pairs."""
+    z = spark.range(200).selectExpr("id AS zone", "-12.0 + (id * 37 % 101) * 1e-3 AS lat", "-77.0 + (id * 53 % 97) * 1e-3 AS lon")
+    p = spark.range(80).selectExpr("cast(if(id % 10 = 0, null, id) as bigint) AS point_id", "-12.0 + (id * 29 % 71) * 1.5e-3 AS lat", "-77.0 + (id * 31 % 73) * 1.5e-3 AS lon")
+    out = spatial.nearest(z, p)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "min(" not in plan
+    points = [r for r in p.collect() if r.point_id is not None]
+    for r in out.collect():
+        d, i = min((math.hypot((r.lat - q.lat) * 111.0, (r.lon - q.lon) * 88.0), q.point_id) for q in points)
+        assert abs(r.nearest_km - d) < 1e-9 and abs(math.hypot((r.lat - points[[q.point_id for q in points].index(r.nearest_point_id)].lat) * 111.0,
+                                                               (r.lon - points[[q.point_id for q in points].index(r.nearest_point_id)].lon) * 88.0) - d) < 1e-9
+
+
+def test_rows_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    assert session.spread(spark.range(0, 1000, 1, 1), 1000).rdd.getNumPartitions() == 10
+    assert session.spread(spark.range(0, 50, 1, 1), 50).rdd.getNumPartitions() == 1
