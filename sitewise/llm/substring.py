@@ -60,6 +60,17 @@ def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return _mix((total[ends] - total[starts]) * _powers(_INVERSE, len(values) + 1)[starts])
 
 
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each word; some words at a time, for the sums take many times the bytes."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, a + SLICE_BYTES)))
+        out[i:j] = _sums(raw[a : ends[j - 1]].astype(np.uint64) + np.uint64(1), starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 class Words:
     """Words of some texts, each given as words joined by one space, and their hashes."""
 
@@ -72,7 +83,7 @@ class Words:
         real = ends > starts  # an empty text has no word
         self.starts, self.ends, self.text_of = starts[real], ends[real], self.text_of[real]
         self.first = np.searchsorted(self.text_of, np.arange(len(texts)))
-        self.hash = _sums(raw.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+        self.hash = _word_hashes(raw, self.starts, self.ends)
 
     def windows(self, k: int) -> np.ndarray:
         """Whether a window of k words begins at each word."""
@@ -205,8 +216,9 @@ def _chunk(rows: list[tuple[int, int, bytes]], k: int, buckets: int, hot: list[n
     by: dict[int, list] = {}
     for string, (n, bucket, places) in seen.items():
         by.setdefault(bucket, []).append((string, n, places))
+    seen.clear()
     for bucket in by.keys() | known.keys():
-        yield bucket, _pack(by.get(bucket, []), known.get(bucket, []))
+        yield bucket, _pack(by.pop(bucket, []), known.pop(bucket, []))
 
 
 def _bucket(blobs: Iterable[bytes], k: int) -> Iterator[Span]:

@@ -1,6 +1,7 @@
 """Whole queries against plain versions, libraries, SQL or held-out labels."""
 
 import hashlib
+import tracemalloc
 import html
 import math
 import re
@@ -195,6 +196,18 @@ def test_shared_runs():
     assert [x.tolist() for x in html_text.shared_by(streams, 6)] == [[1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 1], [1, 2, 2, 2, 2, 2, 2, 2], [1] * 8]
 
 
+def test_word_hashes_take_little_memory(monkeypatch):
+    texts = [" ".join(f"w{(i * 7919 + t) % 5000}" for i in range(20_000)).encode() for t in range(20)] + [b"", b"one", b"x" * 3_000_000]
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    words = substring.Words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * size
+    monkeypatch.setattr(substring, "SLICE_BYTES", 1 << 30)  # all at once gives the same hashes
+    assert (substring.Words(texts[:-1]).hash == words.hash[:-1]).all()
+
+
 @pytest.mark.parametrize("length", [9, 30, 45, 49])
 def test_hot_minimisers_are_split(spark, monkeypatch, length):
     monkeypatch.setattr(substring, "HOT_BYTES", 8000)
