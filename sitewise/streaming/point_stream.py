@@ -1,12 +1,12 @@
 """Points that arrive later (§2.12): radius counts and nearest distances kept up to date by a stream.
 
-The state is a streaming aggregate keyed by zone: how many points have come within the
-radius, and the least distance among them.  Each micro-batch copies its points to the
-3 x 3 cells around them and meets the zones of those cells, a static table; the sums of
-a batch are formed before the shuffle, so a crowd of points reaches a zone's state as
-one row a task.  Counts and minima don't depend on the order of points, so any division into
-batches gives what the batch join gives.  State is kept in RocksDB and checkpointed to
-the shared folder; a retried batch overwrites its own output.
+The state is a table in the shared folder with the sums of each micro-batch by zone: how many
+of its points lie within the radius, and the least distance among them.  A batch's points
+are written once; zones then meet them like any table of points (:mod:`spatial`): copies
+in 3 x 3 cells or, where they crowd, a pyramid of pre-summed cells, so that a zone's work follows
+the rim of its circle and not the points in it.  Counts add up and minima don't depend on the
+order of points, so any division into batches gives what the batch join gives.  The
+stream's checkpoint knows which files are done; a retried batch overwrites its own output.
 """
 
 from __future__ import annotations
@@ -14,14 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON, bucket, flat_km
-
-STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-}
-#: cells are a hair larger than the radius, so that rounding moves no point out of reach
-PAD = 1.0 + 1e-9
+from ..operators import spatial
+from ..session import cached
 
 
 def follow(spark: SparkSession, points_dir: str, schema, zones: DataFrame, r_km: float, key: str, out_dir: str, checkpoint_dir: str,  # noqa: ANN001
@@ -31,34 +25,27 @@ def follow(spark: SparkSession, points_dir: str, schema, zones: DataFrame, r_km:
     Points without coordinates count nowhere.  Call it again with the same folders when there are
     new files: it goes on from the checkpointed state.
     """
-    size = r_km * PAD
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(points_dir)
-    here = stream.where("lat is not null and lon is not null").select(F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    copies = here.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    copies = copies.select("plat", "plon", (bucket("plat", KM_PER_DEG_LAT, size) + F.col("dx")).alias("bx"), (bucket("plon", KM_PER_DEG_LON, size) + F.col("dy")).alias("by"))
-    fixed = zones.select(F.col(key).alias("_key"), "lat", "lon", bucket("lat", KM_PER_DEG_LAT, size).alias("bx"), bucket("lon", KM_PER_DEG_LON, size).alias("by"))
-    near = copies.join(fixed, ["bx", "by"]).withColumn("km", flat_km("lat", "lon", "plat", "plon")).where(F.col("km") < r_km)
-    state = near.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("km").alias("km"))
+    here = stream.where("lat is not null and lon is not null").select(F.lit(0).alias("point_id"), "lat", "lon")
+    fixed = zones.select(F.col(key).alias("_key"), "lat", "lon")
 
-    def keep(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out_dir}/batch={batch}")
+    def keep(arrived: DataFrame, batch: int) -> None:
+        given = f"{out_dir}-points/batch={batch}"
+        arrived.write.mode("overwrite").parquet(given)
+        points = spark.read.schema(arrived.schema).parquet(given)
+        counted = cached(spatial.count_within(fixed, points, r_km, out="n").where("n > 0"))
+        near = spatial.nearest(counted, points, dist_col="km", id_col=None)
+        sums = near.groupBy("_key").agg(F.sum("n").alias("n"), F.min("km").alias("km"))
+        sums.write.mode("overwrite").parquet(f"{out_dir}/batch={batch}")
 
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    query = here.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def counts(spark: SparkSession, out_dir: str, zones: DataFrame, key: str, out: str = "n_within") -> DataFrame:
     """The zones with their count so far (0 if nothing came near) and the least distance (null then)."""
     kind = zones.schema[key].dataType.simpleString()
     batches = spark.read.schema(f"_key {kind}, n bigint, km double, batch int").option("basePath", out_dir).parquet(f"{out_dir}/batch=*")
-    latest = batches.groupBy("_key").agg(F.max_by(F.struct("n", "km"), "batch").alias("last"))
-    found = zones.join(latest, F.col(key) == F.col("_key"), "left")
-    return found.select(*zones.columns, F.coalesce("last.n", F.lit(0)).alias(out), F.col("last.km").alias("nearest_km"))
+    so_far = batches.groupBy("_key").agg(F.sum("n").alias("n"), F.min("km").alias("km"))
+    found = zones.alias("z").join(so_far.alias("s"), F.col(f"z.`{key}`") == F.col("s._key"), "left")
+    return found.select(*[F.col(f"z.`{c}`") for c in zones.columns], F.coalesce("s.n", F.lit(0)).alias(out), F.col("s.km").alias("nearest_km"))
