@@ -1,11 +1,12 @@
 """Write-once tables, checked broadcasts, and stream scoring equal to batch scoring."""
 
+import math
 import os
 
 from pyspark.sql import functions as F
 
 from sitewise.operators import booster as bo
-from sitewise.operators import spatial
+from sitewise.operators import pyramid, spatial
 from sitewise.operators.joins import bounded_broadcast
 from sitewise.sources import materialize
 from sitewise.streaming import point_stream
@@ -72,3 +73,20 @@ def test_counts_of_arriving_points_in_any_order(spark, tmpdir_path):
             point_stream.follow(spark, f"{base}/in", p.schema, z, 0.5, "zone", f"{base}/out", f"{base}/chk", files_per_batch=1)
         got = {r.zone: r.n for r in point_stream.counts(spark, f"{base}/out", z, "zone", "n").collect()}
         assert got == want and sum(got.values()) > 500
+
+
+def test_crowded_batches_go_by_the_pyramid(spark, tmpdir_path, monkeypatch):
+    """A crowd of arriving points meets a zone as sums of cells, not one by one; counts and distances are those of all pairs."""
+    z = spark.createDataFrame([(1, -12.0, -77.0), (1, -12.0, -77.0), (2, -12.003, -77.0), (3, 10.0, 10.0)], "zone int, lat double, lon double")
+    spots = [(i, -12.0 - (i % 40) * 1e-4, -77.0 - (i // 40) * 1e-4) for i in range(1600)]
+    p = spark.createDataFrame(spots, "point_id int, lat double, lon double")
+    p.coalesce(1).write.parquet(f"{tmpdir_path}/in")
+    calls, sums = [], pyramid.radius_sums
+    monkeypatch.setattr(pyramid, "radius_sums", lambda *a, **k: calls.append(1) or sums(*a, **k))
+    point_stream.follow(spark, f"{tmpdir_path}/in", p.schema, z, 0.3, "zone", f"{tmpdir_path}/out", f"{tmpdir_path}/chk")
+    assert calls
+    got = {r.zone: (r.n, r.nearest_km) for r in point_stream.counts(spark, f"{tmpdir_path}/out", z, "zone", "n").collect()}
+    for zone, lat, twice in ((1, -12.0, 2), (2, -12.003, 1)):
+        d = [math.hypot((lat - a) * 111.0, (-77.0 - b) * 88.0) for _, a, b in spots]
+        assert got[zone][0] == twice * sum(x < 0.3 for x in d) > 100 and abs(got[zone][1] - min(d)) < 1e-9
+    assert got[3] == (0, None)
