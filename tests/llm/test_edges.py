@@ -164,3 +164,19 @@ def test_pipeline_stages_on_odd_tables(spark, docs, none):
             assert now.count() <= before.count()
         last = corpus_pipeline.STAGES[-1][1](spark, now, sf)
         assert last.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+
+
+def test_the_rest_of_a_packing_takes_no_more_rounds(spark, monkeypatch):
+    rounds, sweep = [], packing._sweep
+    monkeypatch.setattr(packing, "_sweep", lambda *a: rounds.append(1) or sweep(*a))
+    items = spark.range(60).selectExpr("id * 3 + 1 as item", "id * id % 97 + if(id % 7 = 0, 900, 1) as length")
+    packed = {}
+    for limit in (20_000, 40):
+        monkeypatch.setattr(packing, "FINISH_ROWS", limit)
+        rounds.clear()
+        got = packing.best_fit(spark, items, 1000).join(items, "item").toPandas().sort_values(["sequence_id", "offset"])
+        packed[limit] = (len(rounds), got["sequence_id"].nunique())
+        assert sorted(got["item"]) == [3 * i + 1 for i in range(60)]
+        assert (got["offset"] == got.groupby("sequence_id")["length"].cumsum() - got["length"]).all()
+        assert (got.groupby("sequence_id")["length"].sum() <= 1000).all()
+    assert packed[20_000] == (0, 12) and packed[40][0] > 0
