@@ -205,3 +205,21 @@ def test_histograms_by_pairs_of_features(n, width):
     nodes = np.arange(n) % 3
     both = T.node_histograms(np.ascontiguousarray(codes.T), nodes, [2, 0], np.arange(width), g, h)
     assert (both[0] == columns.histogram(np.flatnonzero(nodes == 2), g, h)).all() and (both[1] == columns.histogram(np.flatnonzero(nodes == 0), g, h)).all()
+
+
+def test_masks_give_the_margins_of_routing_to_the_last_bit():
+    rng = np.random.default_rng(3)
+    rows = T.Masks.ROWS + 700
+    codes = rng.integers(0, T.BINS - 1, (rows, 5)).astype(np.uint8)
+    label = (codes[:, 0].astype(int) * codes[:, 1] + rng.integers(0, 900, rows) > 1400).astype(np.uint8)
+    for leaves in (2, 31, 64, 90):  # more than 64 are routed
+        params = {**bo.BASE_PARAMS, "n_estimators": 6, "num_leaves": leaves}
+        forest = [tree for _, tree in T.boosted(codes, label, np.zeros(rows, bool), np.arange(rows), params, None)]
+        assert max((tree["feature"] < 0).sum() for tree in forest) == leaves
+        odd = codes.copy()
+        odd[:50, 0] = T.MISSING  # above every cut
+        routed = np.zeros(rows)
+        for tree in forest:
+            routed += tree["value"][T.routed(tree, odd)]
+        assert (bo.margin_of(forest, odd) == routed).all()
+        assert (T.Masks(forest).margin(odd[:0]) == routed[:0]).all()
