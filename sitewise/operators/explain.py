@@ -19,6 +19,7 @@ absolute value runs JVM-side (``array_sort`` and ``slice``).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,18 +59,24 @@ def leaves(tree: dict[str, np.ndarray]) -> list[Leaf]:
     return out
 
 
+@functools.cache
+def _points(n: int) -> tuple[np.ndarray, np.ndarray]:
+    points, weights = np.polynomial.legendre.leggauss(n)
+    return (points + 1) / 2, weights / 2
+
+
 def _shares(ratio: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """(patterns, features): the Shapley share of each feature of a leaf for each bit pattern."""
     d = len(ratio)
-    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
-    t, w = (points + 1) / 2, weights / 2
+    t, w = _points((d + 1) // 2)
     factor = ratio[None, :, None] * (1 - t) + bits[:, :, None] * t
     return (bits - ratio) * ((factor.prod(axis=1)[:, None, :] / factor) @ w)
 
 
 def shap_values(forest: list[dict], codes: np.ndarray, features: int) -> np.ndarray:
     """SHAP values (rows, features) of binned rows, in log-odds."""
-    phi = np.zeros((len(codes), features))
+    phi, found = np.zeros((len(codes), features)), np.empty((len(codes), features))
+    columns = np.ascontiguousarray(codes.T).astype(np.intp)
     for tree in forest:
         paths = [p for p in leaves(tree) if p.ratio]
         if not paths:
@@ -81,7 +88,7 @@ def shap_values(forest: list[dict], codes: np.ndarray, features: int) -> np.ndar
             for k, p in enumerate(paths):
                 if f in p.ratio:
                     table[p.low[f] + 1 : p.high[f] + 1, k] = 1 << place[k][f]
-            pattern += table[codes[:, f]]
+            pattern += table.take(columns[f], axis=0)
         for k, p in enumerate(paths):
             names, ratio = list(p.ratio), np.array(list(p.ratio.values()))
             if 1 << len(names) <= 4 * len(codes):
@@ -89,7 +96,9 @@ def shap_values(forest: list[dict], codes: np.ndarray, features: int) -> np.ndar
             else:
                 kinds, at = np.unique(pattern[:, k], return_inverse=True)
             share = p.value * _shares(ratio, (kinds[:, None] >> np.arange(len(names)) & 1).astype(float))
-            phi[:, names] += share[at]
+            whole = np.zeros((len(share), features))  # a row of all features is added faster than some of its columns
+            whole[:, names] = share
+            phi += whole.take(at, axis=0, out=found, mode="clip")
     return phi
 
 

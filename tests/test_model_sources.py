@@ -247,3 +247,14 @@ def test_class_weighted_fit(spark):
     m = bo.trained(p, bo.fit(p, [spec]), spec)
     # balanced classes start at even odds
     assert m.forest[0]["value"][0] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_shap_values_find_their_quadrature_points_once(monkeypatch):
+    calls, points = [], np.polynomial.legendre.leggauss
+    monkeypatch.setattr(np.polynomial.legendre, "leggauss", lambda n: calls.append(n) or points(n))
+    tree = {"feature": np.array([0, 1, -1, -1, -1]), "bin": np.array([3, 5, 0, 0, 0]), "left": np.array([1, 3, -1, -1, -1]), "right": np.array([2, 4, -1, -1, -1]),
+            "value": np.array([0.0, 0.0, 1.0, 2.0, 4.0]), "cover": np.array([8, 4, 4, 2, 2])}
+    rows = np.array([[3, 5], [3, 6], [4, 0]], np.uint8)
+    got = xp.shap_values([tree] * 9, rows, 2)
+    assert np.allclose(got.sum(axis=1) + xp.expected([tree] * 9), 9 * np.array([2.0, 4.0, 1.0]))
+    assert len(calls) == len(set(calls))
