@@ -4,8 +4,10 @@ Every vector is centred, rotated by a random orthogonal matrix and kept as the s
 of its components, packed into bits, with two correction scalars: its distance from
 the centre and how far its code points in its own direction.  From the bits alone the
 inner product with a query is estimated without bias, with an error bound that holds
-with high probability.  Per query, vectors whose upper bound reaches the k-th best
-lower bound are reranked by the exact inner product in double precision.
+with high probability.  Per query, the likeliest vectors by the estimate are scored
+exactly, and all vectors whose upper bound reaches the k-th best of these scores are
+checked: by a single precision product of whole blocks, then, where that reaches it too, by
+the exact inner product in double precision.
 
 Queries and vectors meet in blocks: each task holds one block of codes and one block of
 queries, and hands on k rows per query.
@@ -23,6 +25,7 @@ CENTRE_ROWS = 10_000    # bound on the rows, chosen by a hash of vec_id, that th
 VECTOR_BLOCK = 8_192    # vectors of a block on average
 QUERY_BLOCK = 1_024     # queries of a block on average
 QUERIES_AT_ONCE = 64
+LIKELY = 8              # times k: groups of a block's vectors whose likeliest one is scored first
 ERROR = 4.0             # half width of the bounds, in standard errors of the estimate
 
 
@@ -45,27 +48,25 @@ class Codes:
         around = vectors - centre
         self.norm = np.linalg.norm(around, axis=1)
         unit = around / np.where(self.norm > 0, self.norm, 1)[:, None]
-        signs = unit @ turn > 0
-        self.bits = np.packbits(signs, axis=1)
+        turned = unit @ turn
+        self.bits = np.packbits(turned > 0, axis=1)
         #: inner product of the unit vector with its code
-        self.own = np.abs(unit @ turn).sum(axis=1) / np.sqrt(self.dimension)
+        self.own = np.abs(turned).sum(axis=1) / np.sqrt(self.dimension)
         self.own[self.norm == 0] = 1.0
-        self.to_centre = vectors @ centre
+        #: the vectors that the codes stand for: code = (2 bits - 1) / sqrt(d), as far out as makes the estimate unbiased
+        self.points = np.unpackbits(self.bits, axis=1, count=self.dimension).astype(np.float32) * 2 - 1
+        self.points *= (self.norm / self.own / np.sqrt(self.dimension)).astype(np.float32)[:, None]
+        self.spread = (ERROR * self.norm * np.sqrt(np.maximum(0, 1 - self.own**2)) / self.own / np.sqrt(max(1, self.dimension - 1))).astype(np.float32)
 
     def bounds(self, queries: np.ndarray, turn: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products (query, vector), and half widths of their bounds.
+        """Estimated inner products (query, vector), and half widths of their bounds, in single precision.
 
         <q, v> = <q, centre> + |v - centre| <q, u>, with <q, u> estimated as
         <q, code> / <u, code>; its error shrinks as the code comes closer to u.
         """
-        turned = queries @ turn
-        signs = np.unpackbits(self.bits, axis=1, count=self.dimension).astype(np.float32)
-        # code = (2 bits - 1) / sqrt(d): sums over the set bits are all that depends on the vector
-        products = (2 * (turned.astype(np.float32) @ signs.T) - turned.sum(axis=1, dtype=np.float32)[:, None]) / np.sqrt(self.dimension)
-        scale = self.norm / self.own
-        length = np.linalg.norm(queries, axis=1)
-        spread = self.norm * np.sqrt(np.maximum(0, 1 - self.own**2)) / self.own / np.sqrt(max(1, self.dimension - 1))
-        return (queries @ centre)[:, None] + products * scale, ERROR * length[:, None] * spread
+        middle = (queries @ turn).astype(np.float32) @ self.points.T
+        middle += (queries @ centre).astype(np.float32)[:, None]
+        return middle, np.multiply.outer(np.linalg.norm(queries, axis=1).astype(np.float32), self.spread)
 
 
 def _blocks(batch: pa.Table, column: str) -> np.ndarray:
@@ -73,6 +74,17 @@ def _blocks(batch: pa.Table, column: str) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
+def _likely(estimates: np.ndarray, k: int) -> np.ndarray:
+    """Per query places of at least k of the largest estimates, or of all if there are fewer: the largest one of each of many groups."""
+    n = estimates.shape[1]
+    groups = LIKELY * k
+    if n < 2 * groups:
+        return np.broadcast_to(np.arange(n), estimates.shape)
+    width = n // groups
+    best = estimates[:, : groups * width].reshape(len(estimates), groups, width).argmax(axis=2)
+    return best + np.arange(groups) * width
+
+
 def _search(k: int, centre: np.ndarray, turn: np.ndarray):  # noqa: ANN202
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -80,17 +92,34 @@ def _search(k: int, centre: np.ndarray, turn: np.ndarray):  # noqa: ANN202
             data, ids = _blocks(vectors, "embedding"), vectors.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             data, ids = data[order], ids[order]
-            codes = Codes(data, centre, turn)
             asked, names = _blocks(queries, "embedding"), queries.column("query_id").to_numpy()
+            # lengths of 1 at most, so that single precision holds them; the scores themselves are those of the vectors as given
+            size = max(float(np.abs(data).max()) * np.sqrt(data.shape[1]), np.finfo(float).tiny)
+            lengths = np.linalg.norm(asked, axis=1)
+            lengths[lengths == 0] = 1.0
+            codes, small = Codes(data / size, centre / size, turn), (data / size).astype(np.float32)
+            slack = np.float32(4 * (data.shape[1] + 2) * np.finfo(np.float32).eps)
             for i in range(0, len(asked), QUERIES_AT_ONCE):
-                q, who = asked[i : i + QUERIES_AT_ONCE], names[i : i + QUERIES_AT_ONCE]
-                middle, half = codes.bounds(q, turn, centre)
-                middle[who[:, None] == ids[None, :]] = -np.inf
-                lower = middle - half
-                at = max(0, lower.shape[1] - k)
-                least = np.partition(lower, at, axis=1)[:, at]
+                q, who, length = asked[i : i + QUERIES_AT_ONCE], names[i : i + QUERIES_AT_ONCE], lengths[i : i + QUERIES_AT_ONCE]
+                unit = q / length[:, None]
+                upper, half = codes.bounds(unit, turn, centre / size)
+                own = list(zip(np.searchsorted(ids, who), np.searchsorted(ids, who, "right"), strict=True))
+                for j, (a, b) in enumerate(own):
+                    upper[j, a:b] = -np.inf
+                likely = _likely(upper, k)
+                least = np.full(len(q), -np.inf)
+                if likely.shape[1] >= k:
+                    first = np.einsum("jcd,jd->jc", data[likely], q) / (length * size)[:, None]
+                    first[ids[likely] == who[:, None]] = -np.inf
+                    least = np.partition(first, likely.shape[1] - k, axis=1)[:, likely.shape[1] - k]
+                floor = (least - slack).astype(np.float32)[:, None]
+                upper += half
+                reach = upper >= floor
+                some = np.flatnonzero(reach.any(axis=0))
+                reach = reach[:, some] & (unit.astype(np.float32) @ small[some].T >= floor)
                 for j in range(len(q)):
-                    near = np.flatnonzero((middle[j] + half[j] >= least[j]) & (ids != who[j]))
+                    near = some[reach[j]]
+                    near = near[ids[near] != who[j]]
                     score = (data[near] * q[j]).sum(axis=1)  # one expression for any number of rows: equal vectors have equal scores
                     best = np.lexsort((ids[near], -score))[:k]
                     found.append((np.full(len(best), who[j]), ids[near][best], score[best]))
