@@ -15,6 +15,9 @@ rim.  Hence the result is that of comparing every location.
 Cells and locations are shuffled by cell, zones by the cells they ask for, and a cell with
 many asking zones is split by Spark's handling of skewed joins, since each side's rows
 are independent of one another.
+
+Where zones are at least as many as locations, and a tile's locations fit a task, the sums
+come from :mod:`strips` instead.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON, flat_km
 from ..session import spread, written
+from . import strips
 
 #: locations a cell may hold before it is divided
 FULL = 32
@@ -55,11 +59,13 @@ def radius_sums(zones: DataFrame, locs: DataFrame, r_km: float, measures: list[s
 
     locs: one row a location with ``plat``, ``plon`` and the measures.
     """
-    own = zones.columns
     # equal zone rows and zones at one place ask once
     places = zones.where(F.col(zlat).isNotNull() & F.col(zlon).isNotNull()).select(F.col(zlat).alias("zlat"), F.col(zlon).alias("zlon")).distinct()
     places = written(places, "pyramid-places")
-    places = spread(places, places.count()).withColumns({"zx": F.col("zlat") * KM_PER_DEG_LAT, "zy": F.col("zlon") * KM_PER_DEG_LON})
+    n_places = places.count()
+    if strips.suit(n_places, locs, r_km, measures):
+        return _with_sums(zones, strips.radius_sums(places, n_places, locs, r_km, measures, inclusive), measures, zlat, zlon)
+    places = spread(places, n_places).withColumns({"zx": F.col("zlat") * KM_PER_DEG_LAT, "zy": F.col("zlon") * KM_PER_DEG_LON})
     left = locs.select("plat", "plon", (F.col("plat") * KM_PER_DEG_LAT).alias("px"), (F.col("plon") * KM_PER_DEG_LON).alias("py"), *measures)
 
     side = r_km / REACH
@@ -93,9 +99,12 @@ def radius_sums(zones: DataFrame, locs: DataFrame, r_km: float, measures: list[s
     parts = found[0]
     for more in found[1:]:
         parts = parts.unionByName(more)
-    sums = parts.groupBy("zlat", "zlon").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
+    return _with_sums(zones, parts.groupBy("zlat", "zlon").agg(*[F.sum(m).alias(f"_{m}") for m in measures]), measures, zlat, zlon)
+
+
+def _with_sums(zones: DataFrame, sums: DataFrame, measures: list[str], zlat: str, zlon: str) -> DataFrame:
     out = zones.alias("z").join(sums.alias("s"), (F.col(f"z.`{zlat}`") == F.col("s.zlat")) & (F.col(f"z.`{zlon}`") == F.col("s.zlon")), "left")
-    return out.select(*[F.col(f"z.`{c}`") for c in own], *[F.coalesce(F.col(f"s._{m}"), F.lit(0)).alias(m) for m in measures])
+    return out.select(*[F.col(f"z.`{c}`") for c in zones.columns], *[F.coalesce(F.col(f"s._{m}"), F.lit(0)).alias(m) for m in measures])
 
 
 def _occupied(locs: DataFrame, side: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..functions.geo import flat_km
-from ..operators import pyramid, recommend, scoring, spatial
+from ..operators import pyramid, recommend, scoring, spatial, strips
 from ..operators.joins import bounded_broadcast
 from ..schema import ALL_FEATURES, add_missing, canonical_order, cast_contract, numeric_columns, unique_existing
 from ..session import ensure_checkpoint_dir
@@ -62,7 +62,7 @@ def zone_table_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import tables as _tables
     from ..sources.materialize import materialized
 
-    code = [sys.modules[__name__], scoring, spatial, pyramid, _fx, _geo, _tables]
+    code = [sys.modules[__name__], scoring, spatial, pyramid, strips, _fx, _geo, _tables]
     return materialized(spark, "zone_features", [f"{sf_dir}/customer.parquet", f"{sf_dir}/supplier.parquet"],
                         lambda: zone_table(spark, sf_dir), code=code)
 
