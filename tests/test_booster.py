@@ -223,3 +223,17 @@ def test_masks_give_the_margins_of_routing_to_the_last_bit():
             routed += tree["value"][T.routed(tree, odd)]
         assert (bo.margin_of(forest, odd) == routed).all()
         assert (T.Masks(forest).margin(odd[:0]) == routed[:0]).all()
+
+
+@pytest.mark.parametrize("heavy", [1.0, 40.0, 1e6])
+def test_hessians_and_rows_from_one_sum(heavy):
+    """Sums of several parts, and hessians so large that the rows are counted apart."""
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 64, (3, 90_000)).astype(np.uint8)
+    g, h = np.rint(rng.normal(0, heavy * T.SCALE, 90_000)), np.rint(rng.random(90_000) * heavy * T.SCALE / 4)
+    sums = T.Sums(g, h)
+    assert (len(sums.weights) == 2) == (heavy < 1e3)
+    for rows in (None, np.arange(0, 90_000, 2), np.arange(500)):
+        some = slice(None) if rows is None else rows
+        want = [[np.bincount(c[some], None if w is None else w[some], 64) for c in codes] for w in (g, h, None)]
+        assert (T.Columns(codes).histogram(rows, g, h) == want).all()
