@@ -167,6 +167,14 @@ def test_search_tries_every_draw_and_stops_early(rows):
     assert [r["trial"] for r in bo.search(p, draws, patience=3, seconds=-1)] == [0, 1, 2]  # the first wave always runs
 
 
+def test_search_tries_every_draw_however_long_it_takes(rows, monkeypatch):
+    clock = iter(range(0, 10**9, 10**6))  # a wave seems to take eleven days
+    monkeypatch.setattr(bo.time, "monotonic", lambda: float(next(clock)))
+    monkeypatch.setattr(bo, "WAVE", 1)
+    draws = [{**d, "n_estimators": 2} for d in bo.random_draws(3)]
+    assert [r["trial"] for r in bo.search(prepared(rows), draws, patience=2)] == [0, 1, 2]
+
+
 def test_a_feature_without_values_is_an_error(rows):
     with pytest.raises(ValueError, match="c"):
         bo.prepare(rows.withColumn("c", F.lit(None).cast("double")), ["a", "c"], ["kind"], "id")
