@@ -329,3 +329,33 @@ def test_toxicity_counts_ratios_and_scores_by_their_definition(spark, docs, kept
     got = {r["row"]["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
     for d in grams:
         assert got[d] == pytest.approx(1 / (1 + math.exp(-sum(weight.get(g, 0.0) for g in grams[d]) - model.intercept)), abs=1e-9)
+
+
+def test_a_large_host_is_judged_as_a_whole(spark, monkeypatch):
+    """Many tasks give what one would, also where a group of pages alone would judge otherwise."""
+    monkeypatch.setattr(html_text, "PAGES", 20)
+    monkeypatch.setattr(html_text, "BUCKET_PAGES", 30, raising=False)
+    terms, notice, quote, foot = "all rights reserved " + unique("terms", 40), "sign up here for our weekly letter", "as one of our readers put it last year", "you read this on our site today"
+
+    def page(i):
+        text = unique(i)
+        if i % 10 == 7:  # copies and near-copies of three texts
+            text = unique(f"copied{i % 3}").replace(f"ucopied{i % 3}x{i % 30} ", f"another{i % 20} ")
+        out = [f"<p>{foot if i % 8 else unique(f'{i}f', 7)} {text}</p>"]
+        out += [f"<p>{unique(f'{i}a')} {terms} {unique(f'{i}b')}</p>"] * (i % 9 == 4) + [f"<div>{notice}</div>"] * (i % 9 in (1, 2)) + [f"<p>{quote}</p>"] * (i in (3, 40))
+        if i % 2:
+            out = ["<article>", *out, "</article>"]
+        return "<nav>menu</nav>" + "".join(out)
+
+    rows = [(i, f"http://{'big' if i < 200 else 'small'}.net/{i}", page(i)) for i in range(215)] + [(None, "http://big.net/", None), (7, "http://big.net/7", page(7)), (500, "http://big.net/e", "<p>few words</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id or -1, r.url), r.text) for r in html_text.main_text(df).collect())
+    want = []
+    for host in ("big", "small"):
+        own = [r for r in rows if f"//{host}." in r[1]]
+        want += [((r[0] or -1, r[1]), text) for r, text in zip(own, html_text.main_texts([html_text.blocks(r[2] or "") for r in own]), strict=True)]
+    assert got == sorted(want)
+    big = {i: text for (i, url), text in got if "//big." in url}
+    assert not any(foot in text for text in big.values()) and sum(quote in text for text in big.values()) == 2
+    assert all((terms in text) == (i % 9 == 4 and i % 2 == 1) and (notice in text) == (i % 9 in (1, 2) and i % 2 == 1) for i, text in big.items())  # in an article more pages must share it
+    assert sum(f"ucopied{k}x0 " in text for text in big.values() for k in range(3)) == 20
