@@ -10,8 +10,9 @@ the leaf's value v is
 since the integral of t^k (1 - t)^(d-1-k) is the Shapley weight of a subset of k of the other
 d - 1 features (Lundberg, Erion and Lee, 2018, define the values).  The integrand is a
 polynomial of degree d - 1, so Gauss-Legendre points give it exactly.  It depends on the
-row through the bits o alone: a leaf's values are computed once per bit pattern, and a row
-only looks its patterns up, made for all leaves at once by adding a small table per feature.
+row through the bits o alone: a leaf's values are computed once per bit pattern.  Neighbouring
+leaves share most of their paths, so their values are summed for each pattern of the bits of all of
+them, and a row only looks up its pattern of each such group, made by adding a small table per feature.
 
 Values are log-odds: base + sum of values = log-odds of the probability.  The ranking by
 absolute value runs JVM-side (``array_sort`` and ``slice``).
@@ -19,7 +20,6 @@ absolute value runs JVM-side (``array_sort`` and ``slice``).
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,10 +59,14 @@ def leaves(tree: dict[str, np.ndarray]) -> list[Leaf]:
     return out
 
 
-@functools.cache
+_POINTS: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a table, since a cached function doesn't travel to tasks by value
+
+
 def _points(n: int) -> tuple[np.ndarray, np.ndarray]:
-    points, weights = np.polynomial.legendre.leggauss(n)
-    return (points + 1) / 2, weights / 2
+    if n not in _POINTS:
+        points, weights = np.polynomial.legendre.leggauss(n)
+        _POINTS[n] = (points + 1) / 2, weights / 2
+    return _POINTS[n]
 
 
 def _shares(ratio: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -73,32 +77,71 @@ def _shares(ratio: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits - ratio) * ((factor.prod(axis=1)[:, None, :] / factor) @ w)
 
 
+#: bits of a row's pattern within a group of leaves, and rows whose values stay in a core's cache
+GROUP_BITS, CACHED_ROWS = 10, 2048
+#: rows for which the groups' values are computed once
+ROWS_AT_ONCE = 1 << 16
+
+Condition = tuple[int, int, int]  # feature, low, high
+
+
+def grouped(tree: dict[str, np.ndarray]) -> list[tuple[list[Condition], list[Leaf]]]:
+    """Neighbouring leaves with their conditions together, as many as ``GROUP_BITS`` bits tell apart; a leaf of more conditions is a group."""
+    out: list[tuple[list[Condition], list[Leaf]]] = []
+    for leaf in leaves(tree):
+        if not leaf.ratio:
+            continue
+        own = [(f, leaf.low[f], leaf.high[f]) for f in leaf.ratio]
+        if out:
+            known, group = out[-1]
+            new = [c for c in own if c not in known]
+            if len(known) + len(new) <= GROUP_BITS:
+                known += new
+                group.append(leaf)
+                continue
+        out.append((own, [leaf]))
+    return out
+
+
 def shap_values(forest: list[dict], codes: np.ndarray, features: int) -> np.ndarray:
     """SHAP values (rows, features) of binned rows, in log-odds."""
-    phi, found = np.zeros((len(codes), features)), np.empty((len(codes), features))
+    phi = np.zeros((len(codes), features))
     columns = np.ascontiguousarray(codes.T).astype(np.intp)
     for tree in forest:
-        paths = [p for p in leaves(tree) if p.ratio]
-        if not paths:
+        groups = grouped(tree)
+        if not groups:
             continue
-        pattern = np.zeros((len(codes), len(paths)), np.int32)
-        place = [{f: i for i, f in enumerate(p.ratio)} for p in paths]
-        for f in {f for p in paths for f in p.ratio}:
-            table = np.zeros((BINS, len(paths)), np.int32)
-            for k, p in enumerate(paths):
-                if f in p.ratio:
-                    table[p.low[f] + 1 : p.high[f] + 1, k] = 1 << place[k][f]
-            pattern += table.take(columns[f], axis=0)
-        for k, p in enumerate(paths):
-            names, ratio = list(p.ratio), np.array(list(p.ratio.values()))
-            if 1 << len(names) <= 4 * len(codes):
-                kinds, at = np.arange(1 << len(names)), pattern[:, k]
+        pattern = np.zeros((len(groups), len(codes)), np.int64)
+        for k, (conditions, _) in enumerate(groups):
+            tables: dict[int, np.ndarray] = {}
+            for bit, (f, low, high) in enumerate(conditions):
+                tables.setdefault(f, np.zeros(BINS, np.int64))[low + 1 : high + 1] |= 1 << bit
+            for f, table in tables.items():
+                pattern[k] += table.take(columns[f])
+        wholes = []
+        for k, (conditions, group) in enumerate(groups):
+            if 1 << len(conditions) <= max(4 * len(codes), 1 << GROUP_BITS):
+                kinds = np.arange(1 << len(conditions))
             else:
-                kinds, at = np.unique(pattern[:, k], return_inverse=True)
-            share = p.value * _shares(ratio, (kinds[:, None] >> np.arange(len(names)) & 1).astype(float))
-            whole = np.zeros((len(share), features))  # a row of all features is added faster than some of its columns
-            whole[:, names] = share
-            phi += whole.take(at, axis=0, out=found, mode="clip")
+                kinds, pattern[k] = np.unique(pattern[k], return_inverse=True)
+            whole = np.zeros((len(kinds), features))  # a row of all features is added faster than some of its columns
+            for leaf in group:
+                names, ratio = list(leaf.ratio), np.array(list(leaf.ratio.values()))
+                bits = [conditions.index((f, leaf.low[f], leaf.high[f])) for f in names]
+                if len(bits) < len(conditions):  # each pattern of the leaf's own bits once
+                    own = np.arange(1 << len(bits))
+                    at = sum(((kinds >> b & 1) << i for i, b in enumerate(bits)), np.zeros(len(kinds), np.int64))
+                    if len(own) > len(kinds):
+                        own, at = np.unique(at, return_inverse=True)
+                    whole[:, names] += (leaf.value * _shares(ratio, (own[:, None] >> np.arange(len(bits)) & 1).astype(float))).take(at, axis=0)
+                else:
+                    whole[:, names] += leaf.value * _shares(ratio, (kinds[:, None] >> np.array(bits) & 1).astype(float))
+            wholes.append(whole)
+        found = np.empty((min(CACHED_ROWS, len(codes)), features))
+        for a in range(0, len(codes), CACHED_ROWS):
+            part = phi[a : a + CACHED_ROWS]
+            for whole, at in zip(wholes, pattern, strict=True):
+                part += whole.take(at[a : a + CACHED_ROWS], axis=0, out=found[: len(part)], mode="clip")
     return phi
 
 
@@ -121,13 +164,26 @@ def explain(scored: DataFrame, model: BoostedModel, keep: list[str], top_n: int
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep] + ["shap array<double>", "base double"])
     base = expected(forest)
 
+    def valued(held: list[tuple[pd.DataFrame, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        codes = np.concatenate([c for _, c in held])
+        phi, at = shap_values(forest, codes, len(names)), 0
+        for out, c in held:
+            out["shap"] = list(phi[at : at + len(c)])
+            out["base"] = base
+            at += len(c)
+            yield out
+
     def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for rows in batches:
             x = np.array(rows["_x"].tolist(), float).reshape(len(rows), len(names))
-            out = rows[keep].copy()
-            out["shap"] = list(shap_values(forest, binned(cuts, x), len(names)))
-            out["base"] = base
-            yield out
+            held.append((rows[keep].copy(), binned(cuts, x)))
+            n += len(rows)
+            if n >= ROWS_AT_ONCE:
+                yield from valued(held)
+                held, n = [], 0
+        if held:
+            yield from valued(held)
 
     values = src.mapInPandas(explained, schema)
     items = F.transform(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("f"), F.col("shap").alias("v")), lambda e: F.struct(

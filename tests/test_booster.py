@@ -245,3 +245,47 @@ def test_hessians_and_rows_from_one_sum(heavy):
         some = slice(None) if rows is None else rows
         want = [[np.bincount(c[some], None if w is None else w[some], 64) for c in codes] for w in (g, h, None)]
         assert (T.Columns(codes).histogram(rows, g, h) == want).all()
+
+
+def test_rows_inside_of_regions_and_their_histograms():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, T.BINS - 1, (5, 40_000)).astype(np.uint8)
+    label = (codes[0].astype(int) * codes[1] + rng.integers(0, 900, 40_000) > 1400).astype(float)
+    g, h = T.gradients(rng.normal(0, 1, 40_000), label, bo.BASE_PARAMS)
+    used = np.array([0, 1, 2, 4])
+    model = bo.Model(0, {"num_leaves": 100})
+    growth = bo.Growth(model, used)
+    nodes, rounds = [0], 0
+    while nodes:  # as the rounds ask for them
+        at = T.inside(growth.regions(nodes), codes)
+        want = np.zeros(40_000, int) if growth.ahead is None else T.routed(growth.ahead.arrays(model["params"]), codes.T)
+        assert (at == np.select([want == n for n in nodes], range(len(nodes)), -1)).all()
+        own = np.flatnonzero(at >= 0)
+        hists = T.histograms([codes[f].take(own) for f in used], at.take(own), len(nodes), g[own], h[own])
+        for k in range(len(nodes)):
+            rows = np.flatnonzero(at == k)
+            assert (hists[k] == T.Columns(codes[used]).histogram(rows, g, h)).all()
+        growth.take({n: hists[k].astype(float) for k, n in enumerate(nodes)})
+        nodes, rounds = growth.wanted(), rounds + 1
+    one, _ = T.grown(codes[used], g, h, used, model["params"])
+    a, b = growth.settled()[0].arrays(model["params"]), one.arrays(model["params"])
+    assert rounds < 30 and all((a[k] == b[k]).all() for k in a)
+    many = [{0: (k // 10 * 6 - 1, k // 10 * 6 + 5), 1: (k % 10 * 6 - 1, k % 10 * 6 + 5)} for k in range(100)]  # more than a word has bits
+    at = T.inside(many, codes)
+    assert (at == np.where((codes[0] < 60) & (codes[1] < 60), codes[0].astype(int) // 6 * 10 + codes[1] // 6, -1)).all()
+
+
+def test_a_round_sends_what_it_asks_for_alone(rows, spark, monkeypatch):
+    sizes, dumps = [], bo.cloudpickle.dumps
+    mapped = bo.RDD.map
+    monkeypatch.setattr(bo.RDD, "map", lambda self, f, *a, **kw: sizes.append(len(dumps(f))) or mapped(self, f, *a, **kw))
+    bo.fit(prepared(rows, block_rows=250), [bo.Model(0, PARAMS)])
+    assert len(sizes) > 3 * PARAMS["n_estimators"] and sorted(sizes)[-3] < 8000  # all but the two that read the blocks
+
+
+def test_blocks_are_larger_where_there_is_one_model(rows, monkeypatch):
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 250)
+    monkeypatch.setattr(bo, "ONE_MODEL_ROWS", 1300)
+    assert prepared(rows).n_blocks == 5 and bo.prepare(rows, ["a", "b", "c"], ["kind"], "id").n_blocks == 1
+    monkeypatch.setattr(bo, "ONE_MODEL_ROWS", 600)
+    assert bo.prepare(rows, ["a", "b", "c"], ["kind"], "id").n_blocks == 2

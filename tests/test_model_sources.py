@@ -258,3 +258,19 @@ def test_shap_values_find_their_quadrature_points_once(monkeypatch):
     got = xp.shap_values([tree] * 9, rows, 2)
     assert np.allclose(got.sum(axis=1) + xp.expected([tree] * 9), 9 * np.array([2.0, 4.0, 1.0]))
     assert len(calls) == len(set(calls))
+
+
+def test_leaves_are_valued_in_groups(monkeypatch):
+    """The values don't depend on how many leaves a group has, nor on how many rows come at once; a group costs a row one lookup."""
+    from sitewise.operators import trees as T
+
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 60, (5000, 6)).astype(np.uint8)
+    label = (codes[:, 0].astype(int) * codes[:, 1] + codes[:, 2] * 20 + rng.integers(0, 900, 5000) > 2200).astype(np.uint8)
+    forest = [tree for _, tree in T.boosted(codes, label, np.zeros(5000, bool), np.arange(5000), {**bo.BASE_PARAMS, "n_estimators": 5}, None)]
+    got = xp.shap_values(forest, codes, 6)
+    assert sum(len(xp.grouped(tree)) for tree in forest) < 0.5 * sum(len(xp.leaves(tree)) for tree in forest)
+    assert np.allclose(xp.expected(forest) + got.sum(axis=1), bo.margin_of(forest, codes), atol=1e-9)
+    monkeypatch.setattr(xp, "GROUP_BITS", 0)  # each leaf alone
+    assert np.allclose(xp.shap_values(forest, codes, 6), got, atol=1e-12)
+    assert np.allclose(np.concatenate([xp.shap_values(forest, codes[i : i + 7], 6) for i in range(0, 70, 7)]), got[:70], atol=1e-12)
